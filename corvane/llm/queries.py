@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, packing, token_counts, token_output
+from corvane.llm import bpe, chat, exact_dedup, fingerprints, packing, token_counts, token_output
 from corvane.llm.common import scratch, table, written
 
 
@@ -29,6 +29,10 @@ GROUP BY source, lang, version
 """
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), at)
@@ -62,5 +66,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_token_output, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op5_token_output, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
 ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL}
