@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, fingerprints, packing, token_counts, token_output
+from corvane.llm import bpe, chat, exact_dedup, fingerprints, lm_score, packing, quality, token_counts, token_output
 from corvane.llm.common import scratch, table, written
 
 
@@ -33,12 +33,26 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(quality.remainder(4) != 2))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (quality.remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), at)
     return token_output.token_spans(spark, at)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality.remainder(7) == 2, F.lit(False))
+    scored = lm_score.score(docs, lm_score.train(docs.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -66,5 +80,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op5_token_output, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
 ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL}
