@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, fingerprints, lm_score, packing, quality, token_counts, token_output
+from corvane.llm import bpe, chat, exact_dedup, fingerprints, lm_score, near_dedup, packing, quality, token_counts, token_output
 from corvane.llm.common import scratch, table, written
 
 
@@ -33,6 +33,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(quality.remainder(4) != 2))
@@ -80,5 +84,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
 ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL}
