@@ -6,10 +6,11 @@ come from buckets; bit counts of the exclusive-or of signatures, corrected for c
 similarity; what may reach the threshold (six standard errors of slack) is confirmed on the full sets. With five rows and 50
 bands a pair at similarity 0.8 shares no bucket with probability 2.4e-9.
 
-No bucket emits all its pairs. First every member is compared with its bucket's least node only; confirmed links are
-merged to components. Buckets that still hold several components are then compared member by member, inside
-the task, signature against signature, across components only, leaving out pairs already compared; only candidates that pass the
-estimate leave the task. Buckets of more than BLOCK such members are dealt in blocks, a pair of blocks a group. Two members of a bucket
+No bucket emits all its pairs. First every member is compared with one node of its bucket only, one near its middle; confirmed
+links are merged to components. Buckets that still hold several components are then compared member by member inside
+the task: signature against signature, across components only, each pair in the least bucket that it shares, leaving out those
+already compared. Members with a candidate meet again, with their full sets, and the task gives the links that join components, at most one
+for each member. Buckets of more than BLOCK members are dealt in blocks, a pair of blocks a group. Two members of a bucket
 are thus in one component, or have been compared: no link that a bucket holds is lost, and none is capped.
 
 Components come from rounds of large-star and small-star steps, which never move more than the links.
@@ -132,9 +133,8 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - apart / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of `pairs` (a < b, node ids) those whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id and shingles (64-bit integers in bytes) of the documents `ids` (doc_id)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
     def shingle(batches):
@@ -144,7 +144,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingler.set_of(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    sets = written(texts.mapInArrow(shingle, "id long, shingles binary"), "sets")
+    return written(texts.mapInArrow(shingle, "id long, shingles binary"), "sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Of `pairs` (a < b, node ids) those whose full sets reach the threshold."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, width)
     # a hub's set is copied once for every SALT_ROWS of its members
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("copies"))
     hubs = sets.withColumnRenamed("id", "a").join(copies, "a").select("a", F.col("shingles").alias("_of_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_salt"))
@@ -185,57 +190,120 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def unresolved(members: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components in one bucket, less those with the bucket's least node, already compared."""
-    spread = members.join(found.withColumnRenamed("least", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def unresolved(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, as key, i, j (a pair of blocks), own, node, component, sig, bands."""
+    spread = members.join(found.select(F.col("id").alias("node"), F.col("least").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi AND size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = spread.join(mixed, "key").filter("node != leader").join(sigs, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = spread.join(mixed, "key").filter("node != leader")
     # a member of block i meets block j in the group of (i, j)
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.col("_own").alias("own"), "node", "component", "sig")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "component")
+    return rows.join(nodes.select("node", "sig", "bands"), "node")
 
-    def run(batches):
+
+def grouped(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def _groups(batches, columns):
+    """(key, i, j) and the rows of each group, a group at a time."""
+    group, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", *columns))):
+            if row[:3] != group:
+                if held:
+                    yield group, held
+                group, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield group, held
+
+
+def _candidates(group, threshold, own, node, component, sig, bands):
+    """Blocks of positions (left, right) that may be linked: in different components, near by estimate, and this key the least they share."""
+    first, second = np.flatnonzero(own == group[1]), np.flatnonzero(own == group[2])
+    chance = 2.0**-BITS
+    for at in range(0, len(first), 128):
+        left = first[at : at + 128]
+        apart = np.zeros((len(left), len(second)), np.int64)
+        for k in range(SIG_WORDS):
+            x = sig[left, k][:, None] ^ sig[second, k][None, :]
+            apart += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        near = ((1 - apart / PERMUTATIONS) - chance) / (1 - chance) * 100 >= threshold - 100 * SLACK
+        near &= component[left][:, None] != component[second][None, :]
+        if group[1] == group[2]:
+            near &= node[left][:, None] < node[second][None, :]
+        i, j = np.nonzero(near)
+        a, b = left[i], second[j]
+        for part in range(0, len(a), 4096):
+            x, y = a[part : part + 4096], b[part : part + 4096]
+            shared = np.where(bands[x] == bands[y], bands[x], np.iinfo(np.int64).max).min(1)
+            yield x[shared == group[0]], y[shared == group[0]]
+
+
+_ARRAYS = ("own", "node", "component", "sig", "bands")
+
+
+def _arrays(held):
+    own, node, component, sig, bands = (np.array(x, np.int64) for x in zip(*(h[: len(_ARRAYS)] for h in held)))
+    return own, node, component, sig.view(np.uint64), bands
+
+
+def late_links(rows: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components inside the groups of `rows`. A task gives the links that join components, no others."""
+
+    def involve(batches):
         import pyarrow as pa
 
-        group, held = None, []
+        for group, held in _groups(batches, _ARRAYS):
+            own, node, component, sig, bands = _arrays(held)
+            some = [np.concatenate(x) for x in _candidates(group, threshold, own, node, component, sig, bands)]
+            at = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), group[k]), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(node[at]), pa.array(own[at], pa.int32())], names=["key", "i", "j", "node", "own"])
 
-        def pairs():
-            node, component, own = (np.array([h[i] for h in held], np.int64) for i in (0, 1, 2))
-            sig = np.array([h[3] for h in held], np.int64).view(np.uint64)
-            sides = [np.flatnonzero(own == x) for x in ((group[1], group[2]) if group[1] != group[2] else (group[1],))]
-            left, right = sides[0], sides[-1]
-            a, b = [], []
-            for at in range(0, len(left), 256):
-                rows = left[at : at + 256]
-                apart = np.zeros((len(rows), len(right)), np.int64)
-                for k in range(SIG_WORDS):
-                    x = sig[rows, k][:, None] ^ sig[right, k][None, :]
-                    apart += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-                chance = 2.0**-BITS
-                near = ((1 - apart / PERMUTATIONS) - chance) / (1 - chance) >= THRESHOLD / 100 - SLACK
-                near &= component[rows][:, None] != component[right][None, :]
-                if len(sides) == 1:
-                    near &= node[rows][:, None] < node[right][None, :]
-                i, j = np.nonzero(near)
-                a.append(node[rows[i]])
-                b.append(node[right[j]])
-            a, b = np.concatenate(a or [node[:0]]), np.concatenate(b or [node[:0]])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    involved = written(grouped(rows).mapInArrow(involve, "key long, i int, j int, node long, own int"), "involved")
+    sets = sets_of(involved.select(F.col("node").alias("doc_id")).distinct(), docs, width).withColumnRenamed("id", "node")
+    full = involved.join(rows.select("key", "i", "j", "own", "node", "component", "sig", "bands"), ["key", "i", "j", "node", "own"]).join(sets, "node")
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "component", "own", "sig"))):
-                if row[:3] != group:
-                    if held:
-                        yield pairs()
-                    group, held = row[:3], []
-                held.append((row[3], row[4], row[5], row[6]))
-        if held:
-            yield pairs()
+    def link(batches):
+        import pyarrow as pa
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        for group, held in _groups(batches, (*_ARRAYS, "shingles")):
+            own, node, component, sig, bands = _arrays(held)
+            sets = [np.frombuffer(h[5], np.uint64) for h in held]
+            size = np.array([len(s) for s in sets])
+            top: dict[int, int] = {}
+
+            def root(x):
+                while top.get(x, x) != x:
+                    x = top[x] = top.get(top[x], top[x])
+                return x
+
+            a, b = [], []
+            for left, right in _candidates(group, threshold, own, node, component, sig, bands):
+                few, many = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+                for x, y in zip(left[ok := 100 * few >= threshold * many].tolist(), right[ok].tolist()):
+                    p, q = root(component[x]), root(component[y])
+                    if p == q:
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * shared >= threshold * (size[x] + size[y] - shared):
+                        top[max(p, q)] = min(p, q)
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return grouped(full).mapInArrow(link, "a long, b long").distinct()
+
+
+def led(members: DataFrame) -> DataFrame:
+    """`members` (key, node, leader, size) with a leader near the middle: of a bucket's nodes the one whose own buckets hold most.
+    Near copies of one text share its minima, so it stands in larger buckets than they do. Buckets of two need no choice."""
+    large = members.filter("size > 2").select("key", "node")
+    weight = members.filter("size > 2").groupBy("node").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("weight"))
+    best = large.join(weight, "node").groupBy("key").agg(F.max(F.struct(F.round("weight", 6).alias("w"), (-F.col("node")).alias("n"))).alias("best")).select("key", (-F.col("best.n")).alias("_leader"))
+    return written(members.join(best, "key", "left").select("key", "node", F.coalesce("_leader", "leader").alias("leader")), "members")
 
 
 def attached(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
@@ -257,17 +325,17 @@ def mark(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> D
     nodes = written(nodes.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     sigs = nodes.select("node", "sig").dropDuplicates(["node"])
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader != last").select("key", "leader")
-    members = written(buckets.join(leaders, "key"), "members")
+    multi = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("size")).filter("leader != last").select("key", "leader", "size")
+    members = led(written(buckets.join(multi, "key"), "members"))
     # rows that share a doc_id are one document
     same = real.select(F.col("doc_id"), "set_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     shared = real.join(same, "doc_id", "left_semi").join(groups, "set_id").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b"))
-    first = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = members.filter("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = written(confirm(written(screened(first, sigs, threshold), "candidates"), docs, width, threshold).unionByName(shared), "confirmed")
     joined = components(links)
-    more = written(unresolved(members, joined.withColumnRenamed("id", "node"), sigs), "candidates")
+    more = written(unresolved(members, joined, nodes), "unresolved")
     if more.limit(1).count():
-        late = written(confirm(more, docs, width, threshold), "confirmed")
+        late = written(late_links(more, docs, width, threshold), "confirmed")
         if late.limit(1).count():
             joined = components(links.unionByName(late))
     by_set = groups.join(joined.withColumnRenamed("id", "node"), "node", "left").select("set_id", "size", F.coalesce("least", "node").alias("component_id"))
