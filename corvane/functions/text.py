@@ -15,17 +15,22 @@ STOPWORDS = (
 CHARS_PER_TOKEN = 3.6
 
 
+#: Steps of the stemmer. Each replaces its one argument, so the expression grows with the steps and not with their product;
+#: the mark of the first keeps the others off.
+_STEPS = (
+    (r"^(.{2,})ies$", "$1y\u0001"),
+    (r"^(.{2,}[^sui])s$", "$1"),
+    (r"^(?:(.{3,})ing|(.{2,}[^e])ed)$", "$1$2"),
+    (r"^(?:([A-Za-z]+)([bcdghjkmnpqrtvwxy])\2e|([A-Za-z]{2,})([bcdghjkmnpqrtvwxy])\4|([A-Za-z]{2,}[A-Za-df-z])e)$", "$1$2$3$4$5"),
+    ("\u0001$", ""),
+)
+
+
 def stem(term: Column) -> Column:
     """Light suffix stripping: ies to y, plural s, ing or ed, final e, doubled final consonant; identifiers and other scripts keep their end."""
-    def cut(c: Column, n: int) -> Column:
-        return F.substring(c, F.lit(1), F.greatest(F.lit(0), F.length(c) - n))
-
-    plural = F.when((F.length(term) > 3) & term.endswith("s") & ~term.rlike("(ss|us|is)$"), cut(term, 1)).otherwise(term)
-    bare = F.when((F.length(plural) > 5) & plural.endswith("ing"), cut(plural, 3)).when((F.length(plural) > 4) & plural.endswith("ed") & ~plural.endswith("eed") & ~((F.length(plural) > 5) & plural.endswith("ing")), cut(plural, 2)).otherwise(plural)
-    no_e = F.when(bare.endswith("e") & ~bare.endswith("ee"), cut(bare, 1)).otherwise(bare)
-    single = F.when(no_e.rlike(r"([^aeioulsfz])\1$"), cut(no_e, 1)).otherwise(no_e)
-    rest = F.when(~bare.rlike("^[A-Za-z]+$") | (F.length(bare) <= 3), bare).otherwise(single)
-    return F.when((F.length(term) > 4) & term.endswith("ies"), F.concat(cut(term, 3), F.lit("y"))).otherwise(rest)
+    for pattern, by in _STEPS:
+        term = F.regexp_replace(term, pattern, by)
+    return term
 
 
 def _indexed(words: Column) -> Column:

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corvane-"))
-    return df.checkpoint()
+from corvane.session import stored
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, id, hop): all that each seed (column id) reaches, with the least number of hops; `most` bounds the hops."""
-    seen = _cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct())
+    seen = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop")).distinct())
     fresh, hop = seen, 0
     while most is None or hop < most:
         hop += 1
         step = fresh.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(hop).alias("hop")).distinct()
-        fresh = _cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"))
+        fresh = stored(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"))
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
@@ -33,11 +25,11 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
 def closure(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) with a path from src to dst."""
     first = edges.select("src", "dst").distinct()
-    found = _cut(first)
+    found = stored(first)
     fresh = found
     while True:
         step = fresh.alias("a").join(first.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-        fresh = _cut(step.join(found, ["src", "dst"], "left_anti"))
+        fresh = stored(step.join(found, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh)
@@ -53,10 +45,10 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def trimmed(edges: DataFrame) -> DataFrame:
     """Edges that may lie on a cycle: nodes without a way in or out go, again and again."""
-    live = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    live = stored(edges.select("src", "dst").filter("src <> dst").distinct())
     n = live.count()
     while True:
-        live = _cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        live = stored(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if (now := live.count()) == n:
             return live
         n = now
@@ -65,14 +57,14 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """id and level of each node outside cycles and what depends on none: the longest path of dependencies below it."""
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    left, rest, out, level = _cut(nodes), _cut(edges.select("src", "dst").distinct()), None, 0
+    left, rest, out, level = stored(nodes), stored(edges.select("src", "dst").distinct()), None, 0
     while True:
-        ready = _cut(left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+        ready = stored(left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         if ready.isEmpty():
             break
         done = ready.withColumn("level", F.lit(level))
         out = done if out is None else out.unionByName(done)
-        left = _cut(left.join(ready, "id", "left_anti"))
-        rest = _cut(rest.join(ready.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = stored(left.join(ready, "id", "left_anti"))
+        rest = stored(rest.join(ready.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
         level += 1
     return out if out is not None else nodes.withColumn("level", F.lit(0)).limit(0)

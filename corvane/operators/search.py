@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.session import stored
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 4.0, "path": 2.0, "content": 1.0}
@@ -49,7 +50,7 @@ def expanded(posted: DataFrame, query: list[str]) -> DataFrame:
 
 def scores(units: DataFrame, query: list[str], allowed: Column | None = None) -> DataFrame:
     """id and score of the units that hold a query term. Statistics are over all units, `allowed` picks among them."""
-    posted = postings(units)
+    posted = stored(postings(units))  # read by five branches
     wanted = F.broadcast(expanded(posted, query))
     n = units.agg(F.count("*").alias("n"))
     hits = posted.join(wanted, "term")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,3 +26,15 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, Path(root.name) / p.relative_to(root))
     spark.sparkContext.addPyFile(at)
     _SHIPPED.add(app)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the folder that executors share: computed once, without lineage."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        spark.sparkContext.setCheckpointDir(where)
+    path = f"{where.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
