@@ -20,17 +20,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import _Kept, small_batches, texts_of, tokenizer_path
+from corvane.llm.common import BYTE_PATTERN, _Kept, byte_stand_ins, small_batches, texts_of, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
 class BacktrackingBPE:
@@ -43,7 +35,7 @@ class BacktrackingBPE:
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        alphabet = byte_alphabet()
+        alphabet = {c: b for b, c in byte_stand_ins().items()}
         vocabulary = data["model"]["vocab"]
         as_bytes = {t: bytes(map(alphabet.__getitem__, t)) for t in vocabulary}
         special = {x["content"]: x["id"] for x in data["added_tokens"]}
@@ -73,7 +65,7 @@ class BacktrackingBPE:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.special_id = special
-        self.split = regex.compile(_SPLIT).findall
+        self.split = regex.compile(BYTE_PATTERN).findall
         self.spaces = re.compile(r"\s*\S+|\s+\Z").findall
         self.odd, self.other_space = re.compile(r"[\x1c-\x1f]").search, re.compile(r"[^\S \n]").search
         self.first, self.rest = _Kept(self._both, keep // 8), _Kept(lambda piece: self._both(" " + piece), keep)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# fixed values: the splitting patterns of the public vocabularies
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+
+def byte_stand_ins() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library, chunk by chunk, keeping what frequent chunks encode to.
 
@@ -71,16 +85,21 @@ class ChunkEncoder:
 
     _known: dict[tuple[str, int], ChunkEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.by_word = "</w>" in (getattr(self.tokenizer.model, "end_of_word_suffix", None) or "")
-        self.first = _Kept(self._ids, keep // 8)
-        self.rest = self.first if self.by_word else _Kept(lambda piece: self._ids(" " + piece), keep)
+        self.model = self.tokenizer.model
+        self.stand_in = byte_stand_ins()
+        self.split = regex.compile(WORD_PATTERN if self.by_word else BYTE_PATTERN).findall
+        self.parts = _Kept(self._part, keep)
+        self.first = _Kept(self._chunk, keep // 8)
+        self.rest = self.first if self.by_word else _Kept(lambda piece: self._chunk(" " + piece), keep)
         if self.by_word:
             self.first.room = keep
         self.odd = re.compile(r"[\x1c-\x1f]").search
@@ -88,16 +107,28 @@ class ChunkEncoder:
         self.chunks = re.compile(r"\s*\S+|\s+\Z").findall
 
     @classmethod
-    def of(cls, path: str, keep: int = 400_000) -> ChunkEncoder:
+    def of(cls, path: str, keep: int = 900_000) -> ChunkEncoder:
         if (path, keep) not in cls._known:
             cls._known[path, keep] = cls(path, keep)
         return cls._known[path, keep]
 
     def _ids(self, text: str) -> bytes:
-        from array import array
-
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """The ids of one match of the splitting pattern, from the library's model."""
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of one chunk. Plain Latin chunks are split here, so that their parts are found again; others go to the library."""
+        if not (chunk.isascii() or max(chunk) < "\u0250") or "<|" in chunk:
+            return self._ids(chunk)
+        if self.by_word:
+            if "\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk):
+                return self._ids(chunk)
+            chunk = chunk.lower()
+        return b"".join(map(self.parts.__getitem__, self.split(chunk)))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
