@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.json"
 class BacktrackingBPE:
     _known: dict[str, BacktrackingBPE] = {}
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import ahocorasick
         import numpy as np
         import regex
@@ -69,7 +69,7 @@ class BacktrackingBPE:
         self.spaces = re.compile(r"\s*\S+|\s+\Z").findall
         self.odd, self.other_space = re.compile(r"[\x1c-\x1f]").search, re.compile(r"[^\S \n]").search
         self.first, self.rest = _Kept(self._both, keep // 8), _Kept(lambda piece: self._both(" " + piece), keep)
-        self.tokens = _Kept(self._encode, keep // 4)
+        self.tokens = _Kept(self._encode, keep // 2)
         lengths = np.fromiter(map(len, self.bytes), np.int64, size)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.buffer = np.frombuffer(b"".join(self.bytes), np.uint8)
