@@ -16,11 +16,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BYTE_PATTERN, _Kept, byte_stand_ins, small_batches, texts_of, tokenizer_path
+from corvane.llm.common import BYTE_PATTERN, _Kept, byte_stand_ins, small_batches, texts_of, tokenizer_path, word_and_marks
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -57,7 +58,7 @@ class BacktrackingBPE:
         # the automaton works on text, so a byte stands as the character of its number
         self.automaton = ahocorasick.Automaton()
         for b, i in self.id.items():
-            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+            self.automaton.add_word(b.decode("latin-1"), (len(b) - 1, i))
         self.automaton.make_automaton()
         self.shorter = [None] * size  # the longest token that is a proper prefix
         for b, i in self.id.items():
@@ -71,6 +72,7 @@ class BacktrackingBPE:
         self.first, self.rest = _Kept(self._both, keep // 8), _Kept(lambda piece: self._both(" " + piece), keep)
         self.tokens = _Kept(self._encode, keep // 2)
         lengths = np.fromiter(map(len, self.bytes), np.int64, size)
+        self.decimals = [b"%d," % i for i in range(size)]
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.buffer = np.frombuffer(b"".join(self.bytes), np.uint8)
 
@@ -112,11 +114,9 @@ class BacktrackingBPE:
             return [whole]
         n = len(raw)
         longest: list[int | None] = [None] * n
-        best = [0] * n
-        for end, (size, token) in self.automaton.iter(raw.decode("latin-1")):
-            at = end - size + 1
-            if size > best[at]:
-                best[at], longest[at] = size, token
+        # ends ascend, so the last match that begins at a place is the longest there
+        for end, (before, token) in self.automaton.iter(raw.decode("latin-1")):
+            longest[end - before] = token
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
@@ -141,8 +141,10 @@ class BacktrackingBPE:
 
     def _both(self, text: str) -> tuple[bytes, bytes]:
         """Ids as little-endian 32-bit integers, and as decimals with a comma after each."""
-        from array import array
-
+        word, marks = word_and_marks(text)
+        if word:  # letters and marks: no special token, and one chunk each
+            ids = self.tokens[word] + self.tokens[marks] if marks else self.tokens[word]
+            return array("I", ids).tobytes(), b"".join([self.decimals[i] for i in ids])
         ids: list[int] = []
         for part in self.special(text) if self.special else [text]:
             if part in self.special_id:
@@ -150,7 +152,7 @@ class BacktrackingBPE:
             else:
                 for chunk in self.split(part):
                     ids += self.tokens[chunk]
-        return array("I", ids).tobytes(), b"".join(b"%d," % i for i in ids)
+        return array("I", ids).tobytes(), b"".join([self.decimals[i] for i in ids])
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         if not text:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import tempfile
-import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterable
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import ship_package
 
+PUNCTUATION = string.punctuation
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows per Arrow batch. A row may hold a whole document, so batches stay small.
 ARROW_ROWS = 1000
@@ -74,6 +75,13 @@ def byte_stand_ins() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def word_and_marks(chunk: str) -> tuple[str, str]:
+    """A chunk that is letters (after a blank, perhaps), then ASCII punctuation (perhaps): both patterns split it in these two. Else ("", "")."""
+    word = chunk.rstrip(PUNCTUATION)
+    letters = word[1:] if word[:1] == " " else word
+    return (word, chunk[len(word) :]) if letters.isalpha() else ("", "")
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library, chunk by chunk, keeping what frequent chunks encode to.
 
@@ -96,6 +104,7 @@ class ChunkEncoder:
         self.by_word = "</w>" in (getattr(self.tokenizer.model, "end_of_word_suffix", None) or "")
         self.model = self.tokenizer.model
         self.stand_in = byte_stand_ins()
+        self.blank = self.stand_in[0x20]
         self.split = regex.compile(WORD_PATTERN if self.by_word else BYTE_PATTERN).findall
         self.parts = _Kept(self._part, keep)
         self.first = _Kept(self._chunk, keep // 8)
@@ -117,16 +126,21 @@ class ChunkEncoder:
 
     def _part(self, part: str) -> bytes:
         """The ids of one match of the splitting pattern, from the library's model."""
-        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+        # of printable ASCII only the blank has a stand-in other than itself
+        shown = part.replace(" ", self.blank) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.stand_in)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of one chunk. Plain Latin chunks are split here, so that their parts are found again; others go to the library."""
         if not (chunk.isascii() or max(chunk) < "\u0250") or "<|" in chunk:
             return self._ids(chunk)
         if self.by_word:
-            if "\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk):
+            if "\u0130" in chunk:  # below U+0250 all is in normal form C, and this alone lower-cases to two
                 return self._ids(chunk)
             chunk = chunk.lower()
+        word, marks = word_and_marks(chunk)
+        if word:
+            return self.parts[word] + self.parts[marks] if marks else self.parts[word]
         return b"".join(map(self.parts.__getitem__, self.split(chunk)))
 
     def encode(self, text: str) -> bytes:
