@@ -63,7 +63,8 @@ class BacktrackingBPE:
         self.shorter = [None] * size  # the longest token that is a proper prefix
         for b, i in self.id.items():
             self.shorter[i] = next((self.id[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.id), None)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.lengths = list(map(len, self.bytes))
+        self.pairs: dict[int, bool] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.special_id = special
         self.split = regex.compile(BYTE_PATTERN).findall
@@ -71,7 +72,7 @@ class BacktrackingBPE:
         self.odd, self.other_space = re.compile(r"[\x1c-\x1f]").search, re.compile(r"[^\S \n]").search
         self.first, self.rest = _Kept(self._both, keep // 8), _Kept(lambda piece: self._both(" " + piece), keep)
         self.tokens = _Kept(self._encode, keep // 2)
-        lengths = np.fromiter(map(len, self.bytes), np.int64, size)
+        lengths = np.array(self.lengths, np.int64)
         self.decimals = [b"%d," % i for i in range(size)]
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.buffer = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -84,8 +85,10 @@ class BacktrackingBPE:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank keeps the border between these tokens when they stand side by side."""
-        if (known := self.pairs.get((left, right))) is not None:
-            return known
+        known = self.pairs.get(left << 32 | right)
+        return self._compare(left, right) if known is None else known
+
+    def _compare(self, left: int, right: int) -> bool:
         a, b, limit = left, right, len(self.merged)
         rank, halves = self.rank, self.halves
         while True:
@@ -103,7 +106,7 @@ class BacktrackingBPE:
             else:
                 limit, b = rb + 1, halves[b][0]
         if len(self.pairs) < 1_000_000:
-            self.pairs[left, right] = out
+            self.pairs[left << 32 | right] = out
         return out
 
     def _encode(self, chunk: str) -> list[int]:
@@ -117,21 +120,30 @@ class BacktrackingBPE:
         # ends ascend, so the last match that begins at a place is the longest there
         for end, (before, token) in self.automaton.iter(raw.decode("latin-1")):
             longest[end - before] = token
+        known, lengths, shorter = self.pairs.get, self.lengths, self.shorter
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < n:
-            end = at + len(self.bytes[token])
-            if alive[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else None
-            elif self.shorter[token] is not None:
-                token = self.shorter[token]
+            end = at + lengths[token]
+            if alive[end]:
+                if last < 0:
+                    fits = True
+                elif (fits := known(last << 32 | token)) is None:
+                    fits = self._compare(last, token)
+                if fits:
+                    out.append(token)
+                    at, last = end, token
+                    if at < n:
+                        token = longest[at]
+                    continue
+            if shorter[token] is not None:
+                token = shorter[token]
             else:
                 alive[at] = 0
                 token = out.pop()
-                at -= len(self.bytes[token])
+                at -= lengths[token]
+                last = out[-1] if out else -1
         return out
 
     def _made(self, token: int) -> bool:
