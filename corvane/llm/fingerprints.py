@@ -103,30 +103,33 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as row, doc_id, next_id, text and edited_text: the last quarter gives way to as much of the next document."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("quarter", F.expr("length(text) div 4"))
+    """Rows of `docs` as key, row, doc_id, next_id, text and edited_text: the last quarter gives way to as much of the next document.
+
+    `key` stands for doc_id and is never null. Both joins need the same columns of the texts partitioned by it, so that
+    one shuffle of the texts serves both, and all that follows per text."""
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")).alias("key")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), key, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     follow = next_ids(docs)
     # how much of each next document is wanted, and by whom
-    wanted = base.groupBy("doc_id").agg(F.max("quarter").alias("most")).join(follow, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "most")
-    heads = base.join(wanted, "doc_id").select("for_id", F.col("doc_id").alias("next_id"), F.expr("left(text, cast(most as int))").alias("head"))
-    heads = heads.groupBy("for_id").agg(F.first("next_id").alias("next_id"), F.min("head").alias("head")).withColumnRenamed("for_id", "doc_id")
-    out = base.join(heads, "doc_id", "left")
-    text = F.expr("concat(left(text, cast(length(text) - quarter as int)), left(coalesce(head, ''), cast(quarter as int)))")
-    return out.select("row", "doc_id", "next_id", "text", text.alias("edited_text"))
+    most = base.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("most"))
+    wanted = most.join(follow, "doc_id").select(F.col("doc_id").cast("string").alias("for_key"), F.col("next_id").cast("string").alias("key"), "most")
+    heads = base.join(wanted, "key").select("for_key", F.struct(F.expr("left(text, cast(most as int))").alias("head"), F.col("doc_id").alias("next_id"), "row").alias("h"))
+    heads = heads.groupBy(F.col("for_key").alias("key")).agg(F.min("h").alias("h")).select("key", "h.next_id", "h.head")
+    text = F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(coalesce(head, ''), cast(length(text) div 4 as int)))")
+    return base.join(heads, "key", "left").select("key", "row", "doc_id", "next_id", "text", text.alias("edited_text"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    both = edited(docs)
-    texts = both.select("row", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.inline(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited_text").alias("text")))))
+    own = ["key", "row", "doc_id", "next_id", "n_chars"]
+    texts = edited(docs).select(*own[:-1], F.length("text").cast("long").alias("n_chars"), F.inline(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited_text").alias("text")))))
     keyed = texts.withColumn("edited_sha256", F.when(F.col("version") == 1, F.sha2(F.col("text").cast("binary"), 256)))
-    keys = ["row", "doc_id", "next_id", "n_chars", "version", "edited_sha256"]
-    prints = written(fingerprint(keyed, keys), "fingerprints")
-    vector = prints.select("row", "doc_id", "next_id", "n_chars", "version", "edited_sha256", "units", "words")
-    own = vector.filter("version = 0").select("row", "doc_id", "next_id", "n_chars", "units", "words")
-    new = vector.filter("version = 1").select("row", "edited_sha256", F.col("units").alias("e_units"), F.col("words").alias("e_words"))
-    after = own.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("units", "words")).alias("n")).select("next_id", F.col("n.units").alias("n_units"), F.col("n.words").alias("n_words"))
-    row = own.join(new, "row").join(after, "next_id", "left")
+    # both versions of a text lie in one task
+    version = lambda v, c: F.max(F.when(F.col("version") == v, F.col(c)))
+    both = fingerprint(keyed, [*own, "version", "edited_sha256"]).groupBy(*own).agg(F.max("edited_sha256").alias("edited_sha256"), version(0, "units").alias("units"), F.first(F.when(F.col("version") == 0, F.col("words")), ignorenulls=True).alias("words"), version(1, "units").alias("e_units"), F.first(F.when(F.col("version") == 1, F.col("words")), ignorenulls=True).alias("e_words"))
+    prints = written(both.drop("key", "row"), "fingerprints")
+    after = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("units", "words")).alias("n")).select("next_id", F.col("n.units").alias("n_units"), F.col("n.words").alias("n_words"))
+    row = prints.join(after, "next_id", "left")
     for p in ("", "e_", "n_"):
         row = row.withColumn(f"{p}lanes", lanes(F.col(f"{p}words"), F.col(f"{p}units")))
     for p in ("", "e_", "n_"):
