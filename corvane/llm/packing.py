@@ -31,6 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 32
 VOCABULARY = "word_bpe_49k.json"
+#: Chunks, and parts of chunks, whose ids a worker keeps: some 200 bytes each, so that two workers fit beside the JVM.
+KEEP = 400_000
 
 
 def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -168,7 +170,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     def cut(batches):
         import pyarrow as pa
 
-        encoder = ChunkEncoder.of(path)
+        encoder = ChunkEncoder.of(path, KEEP)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
