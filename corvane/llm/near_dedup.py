@@ -52,17 +52,13 @@ def _stir(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    _known: dict[int, Shingler] = {}
+    """Made for each task; `keep` word hashes stay at hand, and go with the task."""
 
-    def __init__(self, width: int, keep: int = 400_000):
+    def __init__(self, width: int, keep: int = 100_000):
         import xxhash
 
         self.width, self.hash = width, _Kept(xxhash.xxh3_64_intdigest, keep)
 
-    @classmethod
-    def of(cls, width: int) -> Shingler:
-        return cls._known.setdefault(width, cls(width))
-
     def set_of(self, text: str | None) -> np.ndarray:
         """The sorted distinct shingles of a text."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -107,7 +103,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import xxhash
 
-        shingler = Shingler.of(width)
+        shingler = Shingler(width)
         for batch in batches:
             n, ids, sigs, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -140,7 +136,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     def shingle(batches):
         import pyarrow as pa
 
-        shingler = Shingler.of(width)
+        shingler = Shingler(width)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingler.set_of(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
 

@@ -32,7 +32,7 @@ END_ID = 0
 SALTS = 32
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks, and parts of chunks, whose ids a worker keeps: some 200 bytes each, so that two workers fit beside the JVM.
-KEEP = 400_000
+KEEP = 250_000
 
 
 def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
