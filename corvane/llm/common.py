@@ -19,6 +19,7 @@ PUNCTUATION = string.punctuation
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows per Arrow batch. A row may hold a whole document, so batches stay small.
 ARROW_ROWS = 1000
+ARROW_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Prepares a session for functions on Arrow batches: the package on the workers, few rows a batch."""
+    """Prepares a session for functions on Arrow batches: the package on the workers, few rows and bytes a batch."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
