@@ -1,13 +1,15 @@
 """LM scoring: a Brown class-based bigram model.
 
-Words are counted over all training documents. The TOP most frequent, and BUCKETS of all others by their ending,
-are clustered by the exchange algorithm on their bigram counts; every word so has a class. A text's probability is the product of
-class transitions and word emissions. Transitions are smoothed by absolute discounting towards class frequencies, emissions by absolute
-discounting, whose mass each class gives to its one unknown word; both are proper distributions.
+Words are counted over all training documents. The TOP most frequent are clustered by the exchange algorithm on their bigram
+counts, all others standing as one item meanwhile. Every other word then joins the class that makes its own bigrams likeliest: the same
+exchange step, on its counts of classes before and after it, in one distributed pass. Classes of all words met, class transitions are
+counted over all training documents. A text's probability is the product of class transitions and word emissions. Transitions are
+smoothed by absolute discounting towards class frequencies; emissions are relative frequencies, and the class that has most words
+seen once gives a discount of its own to the unknown word, which is in it. Both are proper distributions.
 
-Counts that grow with the corpus stay distributed: the vocabulary is a table. The most frequent words, KNOWN at the most, are
-broadcast; other words of a document are joined with the table, and each document's sums are added up. The
-driver holds class statistics only: at most (TOP + BUCKETS + 1)**2 bigram counts.
+Counts that grow with the corpus stay distributed: the vocabulary, with counts and classes, is a table. The most frequent words, KNOWN
+at the most, are broadcast; other words of a document are joined with the table, place by place, as their neighbours' transitions need
+their classes, and each document's sums are added up. The driver holds class statistics and at most (TOP + 2)**2 bigram counts.
 
 Words are the runs of bytes other than white space, A-Z lower-cased; the end of a text is a word of its own, kept as the empty one.
 
@@ -19,33 +21,29 @@ than doc_id and text are not read.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import small_batches, written
 
 TOP = 1000
-BUCKETS = 64
 CLASSES = 48
 SWEEPS = 6
 KNOWN = 200_000
 FLUSH = 200_000
 BINS_PER_DOUBLING = 16
 END = b""
+#: In place of a class: the words without one so far, and the word itself.
+OTHER, SELF = CLASSES + 1, CLASSES + 2
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % BUCKETS
-
-
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word and c: how often each word, and the end, stands in `docs`."""
     small_batches(docs.sparkSession)
@@ -81,10 +79,10 @@ def frequent(vocab: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], int]
 
 
 def bigrams(docs: DataFrame, items: dict[bytes, int]) -> np.ndarray:
-    """Counts of adjacent items, in a matrix of (TOP + BUCKETS + 1) squared; item 0 is the end, on both sides of each text."""
+    """Counts of adjacent items, in a matrix of (TOP + 2) squared; item 0 is the end, on both sides of each text, and the last one all words not in `items`."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
-    size = TOP + BUCKETS + 1
+    size = TOP + 2
 
     def run(batches):
         import pyarrow as pa
@@ -94,11 +92,7 @@ def bigrams(docs: DataFrame, items: dict[bytes, int]) -> np.ndarray:
         for batch in batches:
             flat = [0]
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                ids = list(map(known.get, words))
-                if None in ids:
-                    ids = [TOP + 1 + bucket(w) if i is None else i for w, i in zip(words, ids)]
-                flat += ids
+                flat += [known.get(w, TOP + 1) for w in words_of(text)]
                 flat.append(0)
             x = np.array(flat, np.int64)
             counts += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
@@ -111,16 +105,20 @@ def bigrams(docs: DataFrame, items: dict[bytes, int]) -> np.ndarray:
     return out.reshape(size, size)
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """The class of each item, by exchange clustering: items move, one by one, to the class that makes the bigrams likeliest. Item 0 keeps class 0 alone."""
+    """The class of each item, by exchange clustering: items move, one by one, to the class that makes the bigrams likeliest. Item 0 keeps class 0 alone, and the last item the last class."""
     n = len(pairs)
     pairs = pairs.astype(np.float64)
     order = np.argsort(-pairs.sum(1), kind="stable")
-    order = order[order != 0]
+    order = order[(order != 0) & (order != n - 1)]
     of = np.zeros(n, np.int64)
     of[order] = 1 + np.arange(len(order)) % classes
-    f = lambda x: x * np.log(np.maximum(x, 1))
-    size = classes + 1
+    of[n - 1] = classes + 1
+    f, size = xlogx, classes + 2
     member = np.zeros((n, size))
     member[np.arange(n), of] = 1
     out_of, into = pairs @ member, pairs.T @ member  # item to class, class to item
@@ -141,7 +139,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             left, right = table.sum(1), table.sum(0)
             lt, rt = lw.sum() + own, rw.sum() + own
             gain -= f(left + lt) - f(left) + f(right + rt) - f(right)
-            b = 1 + int(np.argmax(gain[1:]))
+            b = 1 + int(np.argmax(gain[1:-1]))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             table[b] += lw
@@ -159,12 +157,152 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def transitions(pairs: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """log10 of the probability of a class (column) after a class (row)."""
-    member = np.zeros((len(of), classes + 1))
-    member[np.arange(len(of)), of] = 1
-    table = member.T @ pairs.astype(np.float64) @ member
-    base = (table.sum(0) + 1) / (table.sum() + classes + 1)
+class Rows:
+    """Rows gathered column by column, taken as Arrow batches."""
+
+    def __init__(self, **types):
+        import pyarrow as pa
+
+        self.schema = pa.schema(list(types.items()))
+        self.columns = [[] for _ in types]
+
+    def add(self, *columns) -> None:
+        for held, more in zip(self.columns, columns):
+            held.extend(more)
+
+    def full(self) -> bool:
+        return len(self.columns[0]) >= 50_000
+
+    def taken(self):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, self.schema.types)], schema=self.schema)
+        self.columns = [[] for _ in self.columns]
+        return batch
+
+
+def contexts(docs: DataFrame, of_top: dict[bytes, int]) -> DataFrame:
+    """word, key and n: how often each word not in `of_top` stands between two classes; key is 64 * before + after, each a class, OTHER or SELF."""
+    shared = docs.sparkSession.sparkContext.broadcast(of_top)
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = shared.value
+        counts: Counter = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.binary()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "key", "n"])
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                c = np.array([0, *(known.get(w, OTHER) for w in words), 0], np.int64)
+                at = np.flatnonzero(c == OTHER)
+                before, after = c[at - 1], c[at + 1]
+                for i in np.flatnonzero(before == OTHER).tolist():
+                    if words[at[i] - 1] == words[at[i] - 2]:
+                        before[i] = after[i - 1] = SELF
+                counts.update(zip([words[i] for i in (at - 1).tolist()], (64 * before + after).tolist()))
+                if len(counts) > FLUSH:
+                    yield flush()
+                    counts.clear()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "word binary, key int, n long")
+
+
+def joined_class(before: np.ndarray, after: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class each word goes to from OTHER, by the gain of exchange(): a row per word of the counts of classes before and after it, and of itself after itself."""
+    f, n = xlogx, len(own)
+    gain = np.zeros((n, len(table)))
+    for counts, t, back in ((before, table, after), (after, table.T, before)):
+        held = counts.copy()
+        held[:, OTHER] = 0
+        row, c = np.nonzero(held)  # few for a rare word
+        np.add.at(gain, row, f(t[c] + held[row, c][:, None]) - f(t[c]))
+        rest = t[OTHER] - back  # the word is out of OTHER
+        gain += f(rest + counts[:, OTHER, None]) - f(rest)
+    d = np.diag(table)
+    gain += f(d + before + after + own[:, None]) - f(d) - (f(d + before) - f(d)) - (f(d + after) - f(d))
+    total = (before.sum(1) + own)[:, None]
+    left, right = table.sum(1), table.sum(0)
+    gain -= f(left + total) - f(left) + f(right + total) - f(right)
+    return 1 + np.argmax(gain[:, 1:OTHER], 1)
+
+
+def classes_of(docs: DataFrame, of_top: dict[bytes, int], table: np.ndarray) -> DataFrame:
+    """word, c and class of every word of `docs` that is not in `of_top`; `table` has the bigrams of classes, OTHER the last."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("around")
+            sizes, entries = lists.value_lengths().to_numpy(), lists.flatten()
+            key, n = (entries.field(i).to_numpy() for i in range(2))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            before, after = np.zeros((len(sizes), SELF + 1)), np.zeros((len(sizes), SELF + 1))
+            np.add.at(before, (row, key // 64), n)
+            np.add.at(after, (row, key % 64), n)
+            of = joined_class(before[:, :SELF], after[:, :SELF], before[:, SELF], table)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "c", "class"])
+
+    # a word has at most 64**2 keys
+    sums = contexts(docs, of_top).repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    return sums.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("around")).mapInArrow(run, "word binary, c long, class int")
+
+
+def class_pairs(docs: DataFrame, model: dict) -> np.ndarray:
+    """Counts of adjacent classes over all words of `docs`."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: k for w, _, k in model["known"]})
+    size = CLASSES + 1
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = shared.value
+        counts = np.zeros(size * size, np.int64)
+        rows = Rows(row=pa.int64(), pos=pa.int64(), word=pa.binary(), before=pa.int32(), after=pa.int32(), n=pa.int64())
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                x = np.array([0, *(known.get(w, -1) for w in words), 0], np.int64)
+                a, b = x[:-1], x[1:]
+                both = (a >= 0) & (b >= 0)
+                counts += np.bincount(a[both] * size + b[both], minlength=size * size)
+                at = np.flatnonzero(x < 0)
+                for i in range(0, len(at), 50_000):
+                    j = at[i : i + 50_000]
+                    rows.add([row] * len(j), j.tolist(), [words[k - 1] for k in j.tolist()], x[j - 1].tolist(), x[j + 1].tolist(), [None] * len(j))
+                    if rows.full():
+                        yield rows.taken()
+        k = np.flatnonzero(counts).tolist()
+        rows.add([None] * len(k), k, [None] * len(k), [None] * len(k), [None] * len(k), counts[k].tolist())
+        yield rows.taken()
+
+    parts = written(docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "row long, pos long, word binary, before int, after int, n long"), "pairs")
+    out = np.zeros((size, size), np.int64)
+    for r in parts.filter("word IS NULL").groupBy("pos").agg(F.sum("n").alias("n")).collect():  # a row per pair of classes
+        out[divmod(r["pos"], size)] += r["n"]
+    for r in placed(parts, model).groupBy("before", "class", "after").count().collect():  # a row per three classes
+        if r["before"] >= 0:
+            out[r["before"], r["class"]] += r["count"]
+        out[r["class"], r["after"]] += r["count"]
+    return out
+
+
+def placed(parts: DataFrame, model: dict) -> DataFrame:
+    """The words of `parts` (row, pos, word, before, after), which are not broadcast, with c (null for unknown words) and class.
+
+    before and after are classes, or -1 for such a word; then `after` is filled in here."""
+    rare = model["vocab"].filter(F.col("c") < F.lit(model["least"]))
+    tail = parts.filter("word IS NOT NULL").join(rare, "word", "left").withColumn("class", F.coalesce("class", F.lit(model["unknown"])))
+    follow = F.lead("class").over(Window.partitionBy("row").orderBy("pos"))
+    return tail.withColumn("after", F.when(F.col("after") < 0, follow).otherwise(F.col("after")))
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """log10 of the probability of a class (column) after a class (row), from the counts of adjacent classes."""
+    table = table.astype(np.float64)
+    base = (table.sum(0) + 1) / (table.sum() + len(table))
     discount = np.minimum(table, 0.5)
     total = table.sum(1, keepdims=True)
     smooth = np.where(total > 0, (table - discount + discount.sum(1, keepdims=True) * base) / np.maximum(total, 1), base)
@@ -175,52 +313,46 @@ def train(docs: DataFrame) -> dict:
     """The model of the documents `docs`; `vocab` is its table of words."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocab = written(vocabulary(docs), "vocabulary")
-    known, least = frequent(vocab, KNOWN)
-    top = [w for w, _ in known if w != END][:TOP]
-    items = {END: 0} | {w: i + 1 for i, w in enumerate(top)}
+    counted = written(vocabulary(docs), "vocabulary")
+    known, least = frequent(counted, KNOWN)
+    top = [(w, c) for w, c in known if w != END][:TOP]
+    items = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(top)}
     pairs = bigrams(docs, items)
     of = exchange(pairs)
+    member = np.eye(CLASSES + 2)[of]
     of_top = {w: int(of[i]) for w, i in items.items()}
-    of_bucket = [int(of[TOP + 1 + i]) for i in range(BUCKETS)]
-    shared = spark.sparkContext.broadcast(of_top)
-
-    def classed(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            c = batch.column("c").to_numpy()
-            at = np.fromiter((shared.value.get(w) if w in shared.value else of_bucket[bucket(w)] for w in batch.column("word").to_pylist()), np.int64, len(c))
-            n = CLASSES + 1
-            total, kinds, once, twice = (np.bincount(at, x, n).astype(np.int64) for x in (c, np.ones(len(c)), c == 1, c == 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(x) for x in (total, kinds, once, twice))], names=["class", "total", "kinds", "once", "twice"])
-
-    sums = vocab.mapInArrow(classed, "class long, total long, kinds long, once long, twice long").groupBy("class").agg(*[F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice")]).collect()  # a row per class
-    total, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    further = classes_of(docs, of_top, member.T @ pairs.astype(np.float64) @ member)
+    seeds = spark.createDataFrame([(w, k) for w, k in of_top.items()], "word binary, class int").join(counted, "word").select("word", "c", "class")
+    vocab = written(further.unionByName(seeds), "classes")
+    one = lambda c: F.count(F.when(F.col("c") == c, 1))
+    sums = vocab.groupBy("class").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), one(1).alias("once"), one(2).alias("twice")).collect()  # a row per class
+    total, kinds, once = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in sums:
-        total[r["class"]], kinds[r["class"]] = r["total"], r["kinds"]
-    once, twice = sum(r["once"] for r in sums), sum(r["twice"] for r in sums)
-    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    return {"vocab": vocab, "least": least, "known": known, "of_top": of_top, "of_bucket": of_bucket, "trans": transitions(pairs, of), "total": total, "kinds": kinds, "discount": discount, "N": int(total.sum()), "V": int(kinds.sum())}
+        total[r["class"]], kinds[r["class"]], once[r["class"]] = r["total"], r["kinds"], r["once"]
+    twice = sum(r["twice"] for r in sums)
+    discount = min(0.9, max(0.1, once.sum() / max(1, once.sum() + 2 * twice)))
+    unknown = 1 + int(np.argmax((once if once[1:].any() else kinds)[1:]))
+    words = vocab.filter(F.col("c") >= F.lit(least)).collect() if known else []  # KNOWN at the most
+    model = {"vocab": vocab, "least": least, "known": sorted(((bytes(r["word"]), r["c"], r["class"]) for r in words), key=lambda x: (-x[1], x[0])), "unknown": unknown, "total": total, "kinds": kinds, "discount": discount, "N": int(total.sum()), "V": int(kinds.sum())}
+    return model | {"trans": transitions(class_pairs(docs, model))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     small_batches(spark)
-    total, kinds, discount, n, v = (model[k] for k in ("total", "kinds", "discount", "N", "V"))
-    of_top, of_bucket = model["of_top"], model["of_bucket"]
-    known = [w for w, _ in model["known"]]
-    counts = np.array([c for _, c in model["known"]], np.float64)
-    classes = np.array([of_top[w] if w in of_top else of_bucket[bucket(w)] for w in known], np.int64)
-    with np.errstate(divide="ignore"):
-        unknown = np.where(total > 0, np.log10(np.maximum(discount * kinds, 1e-300) / np.maximum(total, 1)), 0.0)
-    emit = np.where(classes == 0, 0.0, np.log10((counts - discount) / np.maximum(total[classes], 1))) if known else np.zeros(0)
+    total, kinds, discount, unknown, n, v = (model[k] for k in ("total", "kinds", "discount", "unknown", "N", "V"))
+    known = [w for w, _, _ in model["known"]]
+    counts = np.array([c for _, c, _ in model["known"]], np.float64)
+    classes = np.array([k for _, _, k in model["known"]], np.int64)
+    off = np.where(np.arange(CLASSES + 1) == unknown, discount, 0.0)  # what each word of a class gives to the unknown one
+    new = math.log10(discount * kinds[unknown] / total[unknown]) if total[unknown] else 0.0
+    emit = np.where(classes == 0, 0.0, np.log10((counts - off[classes]) / np.maximum(total[classes], 1))) if known else np.zeros(0)
     floor = n + 1 * (v + 1)
     base = np.log10((counts + 1) / floor) if known else np.zeros(0)
     # the last entries stand for words that are joined: nothing is added for them here
-    shared = spark.sparkContext.broadcast({"id": {w: i for i, w in enumerate(known)}, "class": np.append(classes, 0), "emit": np.append(emit, 0.0), "base": np.append(base, 0.0), "trans": model["trans"], "of_bucket": of_bucket})
-    schema = "row long, doc_id long, word binary, class int, n long, n_tokens long, n_known long, base_score double, score double"
+    shared = spark.sparkContext.broadcast({"id": {w: i for i, w in enumerate(known)}, "class": np.append(classes, -1), "emit": np.append(emit, 0.0), "base": np.append(base, 0.0), "trans": model["trans"]})
+    schema = "row long, doc_id long, word binary, pos long, before int, after int, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches):
         import pyarrow as pa
@@ -228,37 +360,34 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         ids, rest, trans = m["id"], len(m["id"]), m["trans"]
         end = ids.get(END, rest)
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        rows = Rows(row=pa.int64(), doc_id=pa.int64(), word=pa.binary(), pos=pa.int64(), before=pa.int32(), after=pa.int32(), n_tokens=pa.int64(), n_known=pa.int64(), base_score=pa.float64(), score=pa.float64())
         for batch in batches:
-            rows = []
             for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
                 words = words_of(text)
-                at = list(map(ids.get, words))
-                tail: Counter = Counter()
-                if None in at:
-                    spots = [i for i, x in enumerate(at) if x is None]
-                    tail.update(words[i] for i in spots)
-                    for i in spots:
-                        at[i] = rest
-                at.append(end)
-                x = np.array(at)
-                c = m["class"][x]
-                if tail:
-                    c[spots] = [m["of_bucket"][bucket(words[i])] for i in spots]
-                score = trans[np.append(0, c[:-1]), c].sum() + m["emit"][x].sum()
+                x = np.array([*(ids.get(w, rest) for w in words), end])
+                c = np.append(0, m["class"][x])
+                c[-1] = 0
+                a, b = c[:-1], c[1:]
+                both = (a >= 0) & (b >= 0)
+                score = trans[a[both], b[both]].sum() + m["emit"][x].sum()
                 extra = 0.0 if end < rest else math.log10(1 / floor)  # the end has its probability also where nothing was learned
-                rows.append((row, doc_id, None, None, None, len(x), int((x < rest).sum()), float(m["base"][x].sum()) + extra, float(score)))
-                rows += [(row, doc_id, w, m["of_bucket"][bucket(w)], k, 0, 0, 0.0, 0.0) for w, k in tail.items()]
-            for i in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000]), types)], names=["row", "doc_id", "word", "class", "n", "n_tokens", "n_known", "base_score", "score"])
+                rows.add([row], [doc_id], [None], [None], [None], [None], [len(x)], [int((x < rest).sum())], [float(m["base"][x].sum()) + extra], [float(score)])
+                at = np.flatnonzero(c < 0)
+                for i in range(0, len(at), 50_000):
+                    j = at[i : i + 50_000]
+                    k = len(j)
+                    rows.add([row] * k, [doc_id] * k, [words[p - 1] for p in j.tolist()], j.tolist(), c[j - 1].tolist(), c[j + 1].tolist(), [0] * k, [0] * k, [0.0] * k, [0.0] * k)
+                    if rows.full():
+                        yield rows.taken()
+        yield rows.taken()
 
     parts = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scores")
     c = F.coalesce(F.col("c"), F.lit(0))
-    by_class = lambda x: F.element_at(F.array(*[F.lit(float(y)) for y in x]), F.col("class") + 1)
-    rare = model["vocab"].filter(F.col("c") < F.lit(model["least"]))
-    tail = parts.filter("word IS NOT NULL").select("row", "doc_id", "word", "class", "n").join(rare, "word", "left")
-    emitted = F.when(c > 0, F.log10((c - F.lit(discount)) / by_class(np.maximum(total, 1)))).otherwise(by_class(unknown))
-    joined = tail.select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_known"), (F.col("n") * F.log10((c + 1) / F.lit(float(floor)))).alias("base_score"), (F.col("n") * emitted).alias("score"))
+    at = lambda x, i: F.element_at(F.lit(np.asarray(x, np.float64).ravel()), i + 1)
+    step = lambda a, b: at(model["trans"], F.col(a) * (CLASSES + 1) + F.col(b))
+    emitted = F.when(c > 0, F.log10((c - at(off, F.col("class"))) / at(np.maximum(total, 1), F.col("class")))).otherwise(F.lit(new))
+    into = F.when(F.col("before") >= 0, step("before", "class")).otherwise(0.0)
+    joined = placed(parts, model).select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), (c > 0).cast("long").alias("n_known"), F.log10((c + 1) / F.lit(float(floor))).alias("base_score"), (emitted + into + step("class", "after")).alias("score"))
     whole = parts.filter("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score").unionByName(joined)
     sums = whole.groupBy("row", "doc_id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

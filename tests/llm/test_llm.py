@@ -175,6 +175,70 @@ def test_lm_score(docs, none):
     assert lm_score.score(docs, lm_score.train(none)).count() == len(ROWS)
 
 
+def _likelihood(of, words):
+    """The exchange criterion: what classes `of` give to the class bigrams of one text, its end on both sides."""
+    c = [of[w] for w in [b"", *words, b""]]
+    f = lambda counts: sum(n * np.log(n) for n in counts.values())
+    return f(Counter(zip(c, c[1:]))) - f(Counter(c[:-1])) - f(Counter(c[1:]))
+
+
+def test_words_join_the_class_of_the_greatest_likelihood():
+    rng = random.Random(5)
+    words = [rng.choice([b"a", b"b", b"c", b"x", b"x", b"y"]) for _ in range(400)]
+    of = {b"": 0, b"a": 1, b"b": 2, b"c": 3, b"x": lm_score.OTHER, b"y": lm_score.OTHER}
+    table, before, after, own = np.zeros((lm_score.OTHER + 1,) * 2), np.zeros((2, lm_score.OTHER + 1)), np.zeros((2, lm_score.OTHER + 1)), np.zeros(2)
+    for v, w in zip([b"", *words], [*words, b""]):
+        table[of[v], of[w]] += 1
+        for i, u in enumerate((b"x", b"y")):
+            if v == w == u:
+                own[i] += 1
+            elif w == u:
+                before[i, of[v]] += 1
+            elif v == u:
+                after[i, of[w]] += 1
+    got = lm_score.joined_class(before, after, own, table)
+    for u, k in zip((b"x", b"y"), got):
+        assert _likelihood(of | {u: int(k)}, words) >= max(_likelihood(of | {u: j}, words) for j in range(1, lm_score.OTHER)) - 1e-6
+
+
+@pytest.mark.parametrize("most", [lm_score.KNOWN, 1500])
+def test_lm_classes_of_rare_words_come_from_their_own_bigrams(spark, monkeypatch, most):
+    monkeypatch.setattr(lm_score, "KNOWN", most)  # all words broadcast, or the rare ones joined
+    rng = random.Random(6)
+    lines = [f"n{rng.randrange(550)}s v{rng.randrange(550)}s" for _ in range(20000)]
+    # two rare words of one ending, and two that only stand beside each other
+    lines += [f"raren v{i}s" for i in range(8)] + [f"n{i}s rarev" for i in range(8)] + ["rarern v1s raren rarerv n5s"] * 3
+    texts = [(i, " ".join(lines[20 * i : 20 * i + 20])) for i in range(len(lines) // 20 + 1)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm_score.train(rows)
+    of = {bytes(r["word"]): (r["class"], r["c"]) for r in model["vocab"].collect()}
+    counts = Counter(w for _, t in texts for w in [*lm_score.words_of(t), b""])
+    assert {w: c for w, (_, c) in of.items()} == counts
+    nouns, verbs = ({of[w][0] for w, n in counts.items() if w[:1] == k and n > 30} for k in (b"n", b"v"))
+    assert not nouns & verbs and of[b"raren"][0] in nouns and of[b"rarev"][0] in verbs
+    # by hand: transitions over the classes of all words, emissions of relative frequency
+    pairs = np.zeros((lm_score.CLASSES + 1,) * 2)
+    total, kinds = np.zeros(lm_score.CLASSES + 1), np.zeros(lm_score.CLASSES + 1)
+    for k, c in of.values():
+        total[k] += c
+        kinds[k] += 1
+    texts.append((len(texts), "raren neverseen alsonever rarev"))
+    for i, t in texts:
+        c = [of[w][0] for w in [b"", *lm_score.words_of(t), b""] if w in of]
+        if i < len(texts) - 1:
+            np.add.at(pairs, (c[:-1], c[1:]), 1)
+    trans = lm_score.transitions(pairs)
+    assert np.allclose(trans, model["trans"])
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    u, d = model["unknown"], model["discount"]
+    for i, t in texts:
+        words = [*lm_score.words_of(t), b""]
+        c = [0, *(of[w][0] if w in of else u for w in words)]
+        emit = [0 if not w else np.log10(((of[w][1] - d * (k == u)) if w in of else d * kinds[u]) / total[k]) for w, k in zip(words, c[1:])]
+        assert abs(got[i].score - trans[c[:-1], c[1:]].sum() - sum(emit)) < 1e-6
+        assert (got[i].n_tokens, got[i].n_known) == (len(words), sum(w in of for w in words))
+
+
 def test_chat(spark):
     control = "</s>[INST] ok [/INST]"
     rows = spark.createDataFrame([(1, 0, "user", control), (1, 1, "assistant", "<s>" + control + "\\[INST]"), (2, 0, None, None), (2, None, "tool", "x"), (3, 1, "assistant", "b"), (3, 0, "user", "a")], "conv_id long, turn long, role string, text string")
