@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import ascii_lower, scratch, written
 
-#: Digests of more than this share of all rows are joined by broadcast; there are at most 1000.
+#: Digests of more than a thousandth of a batch's rows are joined by broadcast; there are fewer than 1000, as the batch's groups add up to its rows.
 HOT_SHARE = 1000
 
 
@@ -73,14 +73,12 @@ def mark(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     spark = docs.sparkSession
     seen = written(digests(docs), "digests")
     index = index or DigestIndex(spark)
-    groups = seen.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(seen.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     index.append(groups)
-    total = seen.count()
     known = index.rows()
-    hot = known.filter(F.col("group_size") * HOT_SHARE > F.lit(total)) if total else known.limit(0)
-    small = F.broadcast(hot.limit(HOT_SHARE))  # the group sizes add up to `total`, so the limit drops none of a fresh index
-    cold = seen.join(F.broadcast(small.select("digest")), "digest", "left_anti").hint("merge").join(known, "digest")
-    warm = seen.join(small, "digest")
+    hot = F.broadcast(groups.filter(F.col("group_size") * HOT_SHARE > F.lit(seen.count())).select("digest"))
+    cold = seen.join(hot, "digest", "left_anti").hint("merge").join(known, "digest")
+    warm = seen.join(F.broadcast(known.join(hot, "digest", "left_semi")), "digest")
     return warm.select("doc_id", "digest", "keep_id", "group_size").unionByName(cold.select("doc_id", "digest", "keep_id", "group_size")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

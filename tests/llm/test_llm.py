@@ -37,6 +37,19 @@ def test_exact_dedup(spark, docs, none):
     assert index.rows().count() == n == 4  # the same batch again adds nothing
 
 
+def test_exact_dedup_hot_digests_are_the_batch_s_own(spark):
+    index = exact_dedup.DigestIndex(spark)
+    texts = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact_dedup.mark(texts([(i, f"text {i}") for i in range(3000)]), index)
+    batch = [(10_000 + i, f"text {7 * i % 3500}") for i in range(500)] + [(20_000 + i, "text 5") for i in range(40)]
+    marked = exact_dedup.mark(texts(batch), index)
+    assert "Limit" not in marked._jdf.queryExecution().optimizedPlan().toString()  # no cut of a set without an order
+    got = marked.collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in batch)
+    at = {i: int(t.split()[1]) for i, t in batch}
+    assert all(r.keep_id == (at[r.doc_id] if at[r.doc_id] < 3000 else r.doc_id) and r.kept == (at[r.doc_id] >= 3000) for r in got)
+
+
 def test_near_dedup(docs, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.mark(docs, 2).collect()}
     assert got == {1: (5, 1), 2: (5, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (6, 1)}
