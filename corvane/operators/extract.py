@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import ast
 import difflib
+import math
 import re
+import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,22 +106,79 @@ def sections(pages: DataFrame) -> DataFrame:
     return pages.select("file", "text").mapInPandas(run, "file string, anchor string, level int, title string, content string")
 
 
+#: Tokens whose commonness orders the items of a text; any order is right, this one keeps candidates few.
+RANKED = 50_000
+
+
+def tokens_of(text: str | None) -> list[str]:
+    return re.findall(r"\w+|[^\w\s]", text or "")
+
+
 def ratio(a: str, b: str) -> float:
     """Share of tokens in matching runs."""
-    x, y = (re.findall(r"\w+|[^\w\s]", t or "") for t in (a, b))
-    return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    return difflib.SequenceMatcher(None, tokens_of(a), tokens_of(b), autojunk=False).ratio()
+
+
+def ratio_from(a: str, b: str, least: float) -> float:
+    """The ratio, or 0 where the tokens in common, which bound it from above, do not reach `least`."""
+    if a == b:
+        return 1.0
+    x, y = Counter(tokens_of(a)), Counter(tokens_of(b))
+    return ratio(a, b) if 2 * (x & y).total() >= least * (x.total() + y.total()) - 1e-9 else 0.0
+
+
+def prefixes(rows: DataFrame, least: float) -> DataFrame:
+    """`rows` (id, block, n_chars, text) as id, block, n_chars, n (number of tokens) and item, a row for each of the rarest items of a text.
+
+    Items are tokens numbered by their repeats, so that sets of items stand for multisets of tokens. Texts of a ratio of `least` share
+    least / (2 - least) of the items of either at least; so in any one order of all items, they share one of the first of each that are left over, and one more."""
+
+    def counts(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update({zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens_of(text)})
+                if len(seen) > 200_000:
+                    yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+                    seen.clear()
+        yield pd.DataFrame({"token": list(seen), "n": list(seen.values())}, dtype="int64")
+
+    import pandas as pd
+
+    common = rows.select("text").mapInPandas(counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED).collect()
+    shared = rows.sparkSession.sparkContext.broadcast({r["token"]: r["n"] for r in common})
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for id_, block, n_chars, text in zip(batch["id"], batch["block"], batch["n_chars"], batch["text"]):
+                repeats = Counter(zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens_of(text))
+                n = repeats.total()
+                items = sorted((shared.value.get(t, 0) / (k + 1) ** 2, t, k) for t, m in repeats.items() for k in range(m))
+                out += [(id_, block, n_chars, n, t << 31 | k) for _, t, k in items[: n - math.ceil(n * least / (2 - least) - 1e-9) + 1]]
+            yield pd.DataFrame(out, columns=["id", "block", "n_chars", "n", "item"])
+
+    return rows.select("id", "block", "n_chars", "text").mapInPandas(run, "id long, block long, n_chars long, n long, item long")
 
 
 def similar_pairs(rows: DataFrame, block: list[str], least: float) -> DataFrame:
     """Pairs (a, b, similarity) of `rows` (id, text, n_chars and the columns of `block`) whose sequence ratio reaches `least`.
-    Equal blocks and near lengths are joined; shared distinct words bound the ratio from above and are tested before the sequence."""
+    Equal blocks (null is one) and near lengths are compared. All such pairs are found: they share an item of their prefixes. Texts without tokens have no pairs."""
     ship_package(rows.sparkSession)
-    a, b = (rows.select(*block, *[F.col(c).alias(f"_{s}{c}") for c in ("id", "text", "n_chars")]) for s in "ab")
-    near = a.join(b, block).filter((F.col("_aid") < F.col("_bid")) & (F.least("_an_chars", "_bn_chars") >= 0.9 * least * F.greatest("_an_chars", "_bn_chars")))
+    keyed = rows.select(F.col("id").cast("long").alias("id"), "text", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64(F.lit(0), *block).alias("block"))
+    texts = keyed.select("id", "text")
+    found = prefixes(keyed, least)
+    a, b = (found.select("block", "item", *[F.col(c).alias(f"_{s}{c}") for c in ("id", "n_chars", "n")]) for s in "ab")
+    near = a.join(b, ["block", "item"]).filter("_aid < _bid").filter(F.least("_an_chars", "_bn_chars") >= 0.9 * least * F.greatest("_an_chars", "_bn_chars"))
+    near = near.filter(2 * F.least("_an", "_bn") >= least * (F.col("_an") + F.col("_bn")) - 1e-9)
+    # up to the end of the prefix that ends first, all shared items are in both; after it there is at most the rest of that text
+    rest = lambda n: F.ceil(F.col(n) * (least / (2 - least)) - 1e-9) - 1
+    near = near.groupBy("_aid", "_bid", "_an", "_bn").count().filter(2 * (F.col("count") + F.greatest(rest("_an"), rest("_bn"))) >= least * (F.col("_an") + F.col("_bn")) - 1e-9).select("_aid", "_bid").distinct()
+    near = near.join(texts.select(F.col("id").alias("_aid"), F.col("text").alias("_atext")), "_aid").join(texts.select(F.col("id").alias("_bid"), F.col("text").alias("_btext")), "_bid")
 
     def run(frames):
         for frame in frames:
-            frame["similarity"] = [ratio(x, y) for x, y in zip(frame["_atext"], frame["_btext"])]
+            frame["similarity"] = [ratio_from(x, y, least) for x, y in zip(frame["_atext"], frame["_btext"])]
             kept = frame[frame["similarity"] >= least]
             yield kept[["_aid", "_bid", "similarity"]].set_axis(["a", "b", "similarity"], axis=1)
 

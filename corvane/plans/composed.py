@@ -112,9 +112,9 @@ def py_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies by sequence ratio, blocked and screened before."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text", F.expr("left(text, 12)").alias("block"), "n_chars").filter("n_chars < 4000")
-    return extract.similar_pairs(docs, ["lang", "block"], 0.95)
+    """Near copies of one language by sequence ratio."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text", F.length("text").alias("n_chars"))
+    return extract.similar_pairs(docs, ["lang"], 0.95)
 
 
 def best_window_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from corvane.operators import extract, graph, packing, search
 from corvane.plans.registry import ORACLE_SQL, QUERIES
 
@@ -25,6 +27,30 @@ def test_title_match_ranks_first(spark):
     assert search.scores(units, ["signa"]).count() == 1
 
 
+def test_similar_pairs_against_brute_force(spark):
+    rng = random.Random(7)
+    texts = []
+    for size in (3, 12, 40, 900):  # the last are longer than 4000 characters
+        base = [f"w{rng.randrange(60)}é" for _ in range(size)]
+        for i in range(9):
+            words = base[:]
+            for _ in range(rng.choice([0, 1, size // 40, size // 20])):
+                words[rng.choice([0, rng.randrange(size)])] = rng.choice(["x", "w1é", "!", "y z"])
+            texts.append((len(texts), rng.choice(["en", "en", None]), " ".join(words)))
+    texts += [(len(texts), "en", None), (len(texts) + 1, "en", "")]
+    rows = spark.createDataFrame(texts, "id long, lang string, text string").selectExpr("*", "length(text) AS n_chars")
+    want = {(i, j) for i, k, t in texts for j, m, u in texts if i < j and k == m and t and u and min(len(t), len(u)) >= 0.9 * 0.95 * max(len(t), len(u)) and extract.ratio(t, u) >= 0.95}
+    assert {(r.a, r.b) for r in extract.similar_pairs(rows, ["lang"], 0.95).collect()} == want
+    by = {i: t for i, _, t in texts}
+    assert any(len(by[i]) > 4000 for i, _ in want) and any(by[i][:12] != by[j][:12] for i, j in want)
+
+
+def test_similarity_ratio_finds_long_texts(spark):
+    long = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars >= 4000").collect()}
+    pairs = QUERIES["similarity_ratio"](spark, SF).collect()
+    assert any(r.a in long for r in pairs)
+
+
 def test_sections_and_python():
     page = "# Card\nIntro.\n## Setup\n```\n# no\n```\nA\n## Setup\n"
     assert [s[:2] for s in extract.sections_of(page)] == [("card", 1), ("setup", 2), ("setup-1", 2)]
