@@ -1,21 +1,21 @@
 """Document fingerprints: a homomorphic multiset hash in DataFrame functions alone.
 
-A text is a multiset of paragraphs (its lines), and a paragraph a multiset of the sentences in it. A
-sentence is hashed to a vector of 128 lanes of 4 bits (eight 64-bit hashes); the vector of a paragraph is the sum of its
-sentences', and that of a document the sum of its paragraphs', lane by lane modulo 2**16. Sums do not depend on
+A text is a multiset of paragraphs (its lines). A
+paragraph is hashed whole to a vector of 128 lanes of 4 bits (eight 64-bit hashes); the vector of a document is the sum of its
+paragraphs', lane by lane modulo 2**16. Sums do not depend on
 the order, and paragraphs are put in or taken out by adding or subtracting their vectors, together with the number of
-sentences, which is part of the fingerprint (modulo 2**32). Equal multisets have equal fingerprints; others differ but for hash
+paragraphs, which is part of the fingerprint (modulo 2**32). Equal multisets have equal fingerprints; others differ but for hash
 collisions.
 
 Four lanes share a 64-bit word, 16 bits apart, so a plain sum adds four lanes. A document is summed in
-blocks of 2048 sentences, in which no lane can reach its neighbour (15 * 2048 < 2**15), and lanes are taken modulo 2**16 where
+blocks of 2048 paragraphs, in which no lane can reach its neighbour (15 * 2048 < 2**15), and lanes are taken modulo 2**16 where
 blocks meet. A long document is thus many small partial sums.
 
-Likeness: lanes, less their mean of 7.5 a sentence, are random projections of the multiset, so the cosine of
-two fingerprints' lanes estimates that of the two multisets; below 0 counts as 0, and equal fingerprints have likeness 1. The
+Likeness: sentences are summed apart in the same way, for likeness only. Their lanes, less their mean of 7.5 a sentence, are random projections of the multiset, so the cosine of
+two texts' lanes estimates that of the two multisets; below 0 counts as 0, and equal fingerprints have likeness 1. The
 estimate's standard error is at most 1/sqrt(128); wrapped lanes (thousands of copies of one sentence) only blur it.
 
-Defined cases: a null or empty text is one empty sentence; repeated sentences count as often as they stand; rows that repeat a
+Defined cases: a null or empty text is one empty paragraph and sentence; repeated ones count as often as they stand; rows that repeat a
 doc_id are fingerprinted each, and the next document of a doc_id is the least text of the next larger doc_id; a null doc_id
 has no next document (likeness null, edited as if followed by an empty text); in a table with one doc_id the next document is
 itself; an empty table gives no rows. Columns other than doc_id and text are not read.
@@ -37,13 +37,17 @@ _LOW = 0x000F000F000F000F
 _EVEN = 0x0000FFFF0000FFFF
 
 
+def paragraphs() -> Column:
+    return F.split(F.coalesce(F.col("text"), F.lit("")), r"\n")
+
+
 def sentences() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), ENDS)
 
 
-def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys`, units (number of sentences) and words (array of WORDS 64-bit integers, four lanes each) of each text; keys name a text."""
-    units = rows.select(*keys, F.posexplode(sentences()).alias("_at", "_unit")).withColumn("_block", F.expr(f"_at div {BLOCK}"))
+def fingerprint(rows: DataFrame, keys: list[str], parts: Column | None = None) -> DataFrame:
+    """`keys`, units (number of `parts`, paragraphs by default) and words (array of WORDS 64-bit integers, four lanes each) of each text; keys name a text."""
+    units = rows.select(*keys, F.posexplode(paragraphs() if parts is None else parts).alias("_at", "_unit")).withColumn("_block", F.expr(f"_at div {BLOCK}"))
     for h in range(HASHES):
         units = units.withColumn(f"_h{h}", F.xxhash64(F.lit(h), "_unit"))
     # the sums of one block
@@ -67,7 +71,7 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def as_text(words: Column, units: Column) -> Column:
-    """The fingerprint in hexadecimal digits: the number of sentences, then the lanes."""
+    """The fingerprint in hexadecimal digits: the number of paragraphs, then the lanes."""
     return F.concat(F.lpad(F.hex(units), 8, "0"), F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
 
 
@@ -122,17 +126,20 @@ def edited(docs: DataFrame) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     own = ["key", "row", "doc_id", "next_id", "n_chars"]
-    texts = edited(docs).select(*own[:-1], F.length("text").cast("long").alias("n_chars"), F.inline(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited_text").alias("text")))))
-    keyed = texts.withColumn("edited_sha256", F.when(F.col("version") == 1, F.sha2(F.col("text").cast("binary"), 256)))
-    # both versions of a text lie in one task
-    version = lambda v, c: F.max(F.when(F.col("version") == v, F.col(c)))
-    both = fingerprint(keyed, [*own, "version", "edited_sha256"]).groupBy(*own).agg(F.max("edited_sha256").alias("edited_sha256"), version(0, "units").alias("units"), F.first(F.when(F.col("version") == 0, F.col("words")), ignorenulls=True).alias("words"), version(1, "units").alias("e_units"), F.first(F.when(F.col("version") == 1, F.col("words")), ignorenulls=True).alias("e_words"))
+    both_ways = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(k).alias("kind"), F.col(c).alias("text")) for v, c in enumerate(("text", "edited_text")) for k in (0, 1)])
+    texts = edited(docs).select(*own[:-1], F.length("text").cast("long").alias("n_chars"), F.inline(both_ways))
+    keyed = texts.withColumn("edited_sha256", F.when((F.col("version") == 1) & (F.col("kind") == 0), F.sha2(F.col("text").cast("binary"), 256)))
+    parts = F.when(F.col("kind") == 0, paragraphs()).otherwise(sentences())
+    # both versions of a text lie in one task, by paragraphs (p_) and by sentences
+    of = lambda v, k, c: F.first(F.when((F.col("version") == v) & (F.col("kind") == k), F.col(c)), ignorenulls=True)
+    sums = [of(v, k, c).alias(f"{a}{b}{c}") for v, a in enumerate(("", "e_")) for k, b in enumerate(("p_", "")) for c in ("units", "words")]
+    both = fingerprint(keyed, [*own, "version", "kind", "edited_sha256"], parts).groupBy(*own).agg(F.max("edited_sha256").alias("edited_sha256"), *sums)
     prints = written(both.drop("key", "row"), "fingerprints")
-    after = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("units", "words")).alias("n")).select("next_id", F.col("n.units").alias("n_units"), F.col("n.words").alias("n_words"))
+    after = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("p_units", "p_words", "units", "words")).alias("n")).select("next_id", *[F.col(f"n.{c}").alias(f"n_{c}") for c in ("p_units", "p_words", "units", "words")])
     row = prints.join(after, "next_id", "left")
     for p in ("", "e_", "n_"):
         row = row.withColumn(f"{p}lanes", lanes(F.col(f"{p}words"), F.col(f"{p}units")))
     for p in ("", "e_", "n_"):
         row = row.withColumn(f"{p}norm", _dot(F.col(f"{p}lanes"), F.col(f"{p}lanes")))
-    near = lambda p: likeness(F.col("lanes"), F.col(f"{p}lanes"), F.col("norm"), F.col(f"{p}norm"), (F.col("words") == F.col(f"{p}words")) & (F.col("units") == F.col(f"{p}units")))
-    return row.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("words"), F.col("units")).alias("fingerprint"), as_text(F.col("e_words"), F.col("e_units")).alias("edited_fingerprint"), near("e_").alias("near_edited"), near("n_").alias("near_next"))
+    near = lambda p: likeness(F.col("lanes"), F.col(f"{p}lanes"), F.col("norm"), F.col(f"{p}norm"), (F.col("p_words") == F.col(f"{p}p_words")) & (F.col("p_units") == F.col(f"{p}p_units")))
+    return row.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("p_words"), F.col("p_units")).alias("fingerprint"), as_text(F.col("e_p_words"), F.col("e_p_units")).alias("edited_fingerprint"), near("e_").alias("near_edited"), near("n_").alias("near_next"))

@@ -163,6 +163,14 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.compare(none).count() == 0
 
 
+def test_fingerprints_tell_paragraphs_apart(spark):
+    texts = ["A. B.", "A.\nB.", "B.\nA.", "B. A."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compare(rows).collect()}
+    assert got[1].fingerprint == got[2].fingerprint and len({r.fingerprint for r in got.values()}) == 3
+    assert got[0].near_next > 0.99  # sentences alike
+
+
 def test_quality(spark, docs, none):
     train = spark.createDataFrame([(i, ("good words in a line " if i % 2 else "BAD!! $$$ ###") * 3) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (1, None)], "doc_id long, quality int")
