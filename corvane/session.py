@@ -1,16 +1,22 @@
-"""Session settings and shipping of this package to executors."""
+"""Session settings, shipping of this package to executors, and tables in the folder that executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Where `stored` tables lie, so that `discard` can remove them.
+_AT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -28,13 +34,34 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` as a table in the folder that executors share: computed once, without lineage."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only where one process runs everything, as in tests, a new local one stands in."""
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "stored", **options: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, without lineage, and it outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _AT[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of `stored` tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = _AT.pop(df, None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
