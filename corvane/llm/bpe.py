@@ -21,7 +21,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BYTE_PATTERN, _Kept, byte_stand_ins, small_batches, texts_of, tokenizer_path, word_and_marks
+from corvane.llm.common import BYTE_PATTERN, KEEP_BYTES, Room, _Kept, byte_stand_ins, small_batches, texts_of, tokenizer_path, word_and_marks
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -29,7 +29,7 @@ VOCABULARY = "byte_bpe_50k.json"
 class BacktrackingBPE:
     _known: dict[str, BacktrackingBPE] = {}
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = KEEP_BYTES):
         import ahocorasick
         import numpy as np
         import regex
@@ -70,8 +70,9 @@ class BacktrackingBPE:
         self.split = regex.compile(BYTE_PATTERN).findall
         self.spaces = re.compile(r"\s*\S+|\s+\Z").findall
         self.odd, self.other_space = re.compile(r"[\x1c-\x1f]").search, re.compile(r"[^\S \n]").search
-        self.first, self.rest = _Kept(self._both, keep // 8), _Kept(lambda piece: self._both(" " + piece), keep)
-        self.tokens = _Kept(self._encode, keep // 2)
+        self.room = Room(keep)
+        self.first, self.rest = _Kept(self._both, self.room), _Kept(lambda piece: self._both(" " + piece), self.room)
+        self.tokens = _Kept(self._encode, self.room)
         lengths = np.array(self.lengths, np.int64)
         self.decimals = [b"%d," % i for i in range(size)]
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -105,7 +106,8 @@ class BacktrackingBPE:
                 limit, a = ra, halves[a][1]
             else:
                 limit, b = rb + 1, halves[b][0]
-        if len(self.pairs) < 1_000_000:
+        if self.room.left > 0:
+            self.room.left -= 140
             self.pairs[left << 32 | right] = out
         return out
 

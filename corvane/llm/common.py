@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import string
-import tempfile
 import uuid
 from array import array
 from collections.abc import Iterable
@@ -13,22 +12,16 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import ship_package
+from corvane.session import discard, shared_dir, ship_package, stored  # noqa: F401
 
 PUNCTUATION = string.punctuation
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows per Arrow batch. A row may hold a whole document, so batches stay small.
 ARROW_ROWS = 1000
 ARROW_BYTES = "8m"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+#: Bytes of chunks whose ids a worker keeps, and the longest chunk that it keeps, in characters.
+KEEP_BYTES = 192 << 20
+LONGEST_KEY = 64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,11 +29,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder. It cuts the lineage, and outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """`df` as a table in the shared folder. It cuts the lineage, and outlives executors; `discard` removes it."""
+    return stored(df, name, compression="zstd")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,13 +79,13 @@ class ChunkEncoder:
 
     A byte-level vocabulary never merges across the start of a white-space run, and a
     word vocabulary never across white space, so the ids of a text are those of its chunks in
-    a row. The store is bounded by `keep`; chunks met later are encoded each time. Texts with
+    a row. The stores are bounded by `keep` bytes together; chunks met later are encoded each time. Texts with
     white space on which Python and the library disagree go to the library whole.
     """
 
     _known: dict[tuple[str, int], ChunkEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = KEEP_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -108,17 +98,16 @@ class ChunkEncoder:
         self.stand_in = byte_stand_ins()
         self.blank = self.stand_in[0x20]
         self.split = regex.compile(WORD_PATTERN if self.by_word else BYTE_PATTERN).findall
-        self.parts = _Kept(self._part, keep)
-        self.first = _Kept(self._chunk, keep // 8)
-        self.rest = self.first if self.by_word else _Kept(lambda piece: self._chunk(" " + piece), keep)
-        if self.by_word:
-            self.first.room = keep
+        room = Room(keep)
+        self.parts = _Kept(self._part, room)
+        self.first = _Kept(self._chunk, room)
+        self.rest = self.first if self.by_word else _Kept(lambda piece: self._chunk(" " + piece), room)
         self.odd = re.compile(r"[\x1c-\x1f]").search
         self.other_space = re.compile(r"[^\S \n]").search
         self.chunks = re.compile(r"\s*\S+|\s+\Z").findall
 
     @classmethod
-    def of(cls, path: str, keep: int = 900_000) -> ChunkEncoder:
+    def of(cls, path: str, keep: int = KEEP_BYTES) -> ChunkEncoder:
         if (path, keep) not in cls._known:
             cls._known[path, keep] = cls(path, keep)
         return cls._known[path, keep]
@@ -159,19 +148,34 @@ class ChunkEncoder:
         return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
 
 
+class Room:
+    """Bytes that the stores of one encoder share."""
+
+    def __init__(self, size: int):
+        self.left = size
+
+
 class _Kept(dict):
-    """What `make` gives for a key, remembered for the first `room` keys."""
+    """What `make` gives for a key, remembered for the first keys that `room` has bytes for. Long keys are not kept: they seldom recur."""
 
-    def __init__(self, make, room: int):
+    def __init__(self, make, room: Room):
         super().__init__()
         self.make, self.room = make, room
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.room:
+        if self.room.left > 0 and len(key) <= LONGEST_KEY:
+            # a dict's entry, a string of up to 4 bytes a character, and what it stands for
+            self.room.left -= 160 + (len(key) if key.isascii() else 4 * len(key)) + self.size(value)
             self[key] = value
         return value
 
+    @staticmethod
+    def size(value) -> int:
+        if isinstance(value, (tuple, list)):
+            return 60 + sum(8 if isinstance(x, int) else 40 + len(x) for x in value)
+        return 40 + (len(value) if isinstance(value, bytes) else 0)
+
 
 def texts_of(batch, name: str = "text") -> Iterable[str]:
     """The texts of an Arrow batch, null as empty."""

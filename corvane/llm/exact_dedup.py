@@ -2,11 +2,12 @@
 
 The index is a Spark table of digests, bucketed and sorted by the digest. A batch of documents is
 reduced to one row per digest, an anti-join against the index (a sort-merge join in which only the
-batch is shuffled, as the index is bucketed) finds the new digests, and those are appended.
+batch is shuffled, as the index is bucketed) finds the new digests, and those are appended. How often a
+later batch holds a digest that an earlier one brought is appended to a second table, bucketed alike.
 
 Defined cases: a null text counts as empty; the empty text is a text like others; letters A-Z are
-lower-cased before hashing, no other character is changed; of equal texts the largest doc_id stays
-(a null doc_id is smaller than any); rows that repeat doc_id and text are one document twice: both
+lower-cased before hashing, no other character is changed; of equal texts the largest doc_id of the batch that brought
+them stays (a null doc_id is smaller than any); rows that repeat doc_id and text are one document twice: both
 count in group_size, and `deduplicate` returns one of them. An empty table gives an empty result.
 Columns other than doc_id and text are not read; their names do not matter.
 """
@@ -15,13 +16,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, scratch, written
+from corvane.llm.common import ascii_lower, discard, scratch, written
 
 #: Digests of more than a thousandth of a batch's rows are joined by broadcast; there are fewer than 1000, as the batch's groups add up to its rows.
 HOT_SHARE = 1000
+#: Ids that `deduplicate` broadcasts at the most, 16 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def digest():
@@ -30,34 +33,59 @@ def digest():
 
 
 class DigestIndex:
-    """Digests seen so far, each with the document that stays.
+    """Digests seen so far, each with the document that stays and the number of its rows.
 
-    The table survives sessions: give `path` and open it again. A batch is committed by its id in one
-    append of rows tagged with the id; committing the same id again first finds its digests
-    present and adds nothing, so a batch that is run again changes nothing.
+    The index survives sessions: give `path` and open it again. The number of buckets lies beside the data, so every session
+    reads and appends by the same one. Rows carry the id of the batch that brought them. A batch that is committed again
+    finds its digests, and its rows among the repeats, and adds nothing; one that broke off is completed.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "digest-index")
-        self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
-        n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{self.path}'"
-        )
+        self.spark, self.path, self.fresh = spark, path or scratch(spark, "digest-index"), path is None
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/buckets/_SUCCESS")
+        if not self.fresh and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            self.buckets = spark.read.schema("buckets int").json(f"{self.path}/buckets").first()["buckets"]
+        else:
+            self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            spark.createDataFrame([(self.buckets,)], "buckets int").write.mode("overwrite").json(f"{self.path}/buckets")
+        key = uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex
+        self.name, self.repeats = f"digest_index_{key}", f"digest_repeats_{key}"
+        for name, columns in ((self.name, "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"), (self.repeats, "digest BINARY, n BIGINT, batch STRING")):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name.split('_')[1]}'")
 
     def rows(self) -> DataFrame:
+        """A row for each digest: digest, keep_id, group_size (in the batch that brought it) and batch."""
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        """Adds the digests of `groups` that the index does not hold: an anti-join, then an append."""
+    def known(self) -> DataFrame:
+        """digest, keep_id and group_size over all batches."""
+        rows = self.rows().select("digest", "keep_id", "group_size")
+        if self.fresh:
+            return rows
+        more = self.spark.table(self.repeats).groupBy("digest").agg(F.sum("n").alias("_more"))
+        return rows.join(more, "digest", "left").select("digest", "keep_id", (F.col("group_size") + F.coalesce("_more", F.lit(0))).alias("group_size"))
+
+    def _append(self, rows: DataFrame, name: str) -> None:
+        rows.repartition(self.buckets, "digest").write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
+
+    def append(self, groups: DataFrame, batch: str | None = None) -> None:
+        """Adds a batch, a row per digest: an anti-join finds the digests that the index does not hold. Without an id a batch is known by its contents."""
+        if batch is None:
+            n, total = groups.agg(F.count("*"), F.sum(F.xxhash64("digest", "keep_id", "group_size").cast("decimal(38,0)"))).first()
+            batch = f"{n}:{total}"
         new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        n = int(self.spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").first()["data_type"])
-        new.select("digest", "keep_id", "group_size").repartition(n, "digest").write.insertInto(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        self._append(new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")), self.name)
+        if not self.fresh:
+            before = self.rows().filter(F.col("batch") != batch).select("digest")
+            told = self.spark.table(self.repeats).filter(F.col("batch") == batch).select("digest")
+            again = groups.hint("merge").join(before, "digest", "left_semi").join(told, "digest", "left_anti")
+            self._append(again.select("digest", F.col("group_size").alias("n"), F.lit(batch).alias("batch")), self.repeats)
 
     def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """Takes the tables out of the catalog; the files stay."""
+        for name in (self.name, self.repeats):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -65,29 +93,37 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
 
 
-def mark(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def mark(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, keep_id, group_size, kept, digest.
 
     Digests the index held before keep the document it names; for a new index that is the largest doc_id.
     """
     spark = docs.sparkSession
     seen = written(digests(docs), "digests")
-    index = index or DigestIndex(spark)
+    own = index or DigestIndex(spark)
     groups = written(seen.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    index.append(groups)
-    known = index.rows()
-    hot = F.broadcast(groups.filter(F.col("group_size") * HOT_SHARE > F.lit(seen.count())).select("digest"))
-    cold = seen.join(hot, "digest", "left_anti").hint("merge").join(known, "digest")
-    warm = seen.join(F.broadcast(known.join(hot, "digest", "left_semi")), "digest")
-    return warm.select("doc_id", "digest", "keep_id", "group_size").unionByName(cold.select("doc_id", "digest", "keep_id", "group_size")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-
-
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    own.append(groups, batch)
+    found = written(groups.select("digest", F.col("group_size").alias("_n")).hint("merge").join(own.known(), "digest"), "found")
+    if index is None:
+        own.close()
+    discard(groups)
+    hot = F.broadcast(found.filter(F.col("_n") * HOT_SHARE > F.lit(seen.count())))
+    found, hot = found.drop("_n"), hot.drop("_n")
+    warm = seen.join(hot, "digest")
+    cold = seen.join(hot.select("digest"), "digest", "left_anti").hint("merge").join(found, "digest")
+    return warm.unionByName(cold).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows of `docs` that stay, all columns unchanged; of rows that repeat doc_id and text, one."""
-    stay = mark(docs, index).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
-    both = docs.withColumn("_digest", digest()).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    if repeated:
-        one = Window.partitionBy("doc_id", "_digest").orderBy(F.lit(1))
-        both = both.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
-    return both.drop("_digest")
+    marked = written(mark(docs, index, batch), "marked")
+    key = F.col("doc_id").cast("long")
+    if marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count() == 0:
+        gone = marked.filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+        return docs.join(gone, key == F.col("_gone"), "left_anti")
+    # a doc_id does not name a row: by doc_id and digest, and one row of each
+    name = next(x for x in (f"_digest{i}" for i in range(len(docs.columns) + 1)) if x not in map(str.lower, docs.columns))
+    stay = marked.filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
+    both = docs.withColumn(name, digest()).join(stay, key.eqNullSafe(F.col("_stay_id")) & (F.col(name) == F.col("_stay_digest")), "left_semi")
+    return both.dropDuplicates(["doc_id", name]).drop(name)

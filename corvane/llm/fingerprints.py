@@ -16,7 +16,7 @@ two texts' lanes estimates that of the two multisets; below 0 counts as 0, and e
 estimate's standard error is at most 1/sqrt(128); wrapped lanes (thousands of copies of one sentence) only blur it.
 
 Defined cases: a null or empty text is one empty paragraph and sentence; repeated ones count as often as they stand; rows that repeat a
-doc_id are fingerprinted each, and the next document of a doc_id is the least text of the next larger doc_id; a null doc_id
+doc_id are fingerprinted each, and the next document of a doc_id is, of the rows of the next larger doc_id, the one that lies first in the table; a null doc_id
 has no next document (likeness null, edited as if followed by an empty text); in a table with one doc_id the next document is
 itself; an empty table gives no rows. Columns other than doc_id and text are not read.
 """
@@ -107,7 +107,7 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as key, row, doc_id, next_id, text and edited_text: the last quarter gives way to as much of the next document.
+    """Rows of `docs` as key, row, doc_id, next_row, text and edited_text: the last quarter gives way to as much of the next document.
 
     `key` stands for doc_id and is never null. Both joins need the same columns of the texts partitioned by it, so that
     one shuffle of the texts serves both, and all that follows per text."""
@@ -117,15 +117,15 @@ def edited(docs: DataFrame) -> DataFrame:
     # how much of each next document is wanted, and by whom
     most = base.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("most"))
     wanted = most.join(follow, "doc_id").select(F.col("doc_id").cast("string").alias("for_key"), F.col("next_id").cast("string").alias("key"), "most")
-    heads = base.join(wanted, "key").select("for_key", F.struct(F.expr("left(text, cast(most as int))").alias("head"), F.col("doc_id").alias("next_id"), "row").alias("h"))
-    heads = heads.groupBy(F.col("for_key").alias("key")).agg(F.min("h").alias("h")).select("key", "h.next_id", "h.head")
+    heads = base.join(wanted, "key").select("for_key", F.struct("row", F.expr("left(text, cast(most as int))").alias("head")).alias("h"))
+    heads = heads.groupBy(F.col("for_key").alias("key")).agg(F.min("h").alias("h")).select("key", F.col("h.row").alias("next_row"), "h.head")
     text = F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(coalesce(head, ''), cast(length(text) div 4 as int)))")
-    return base.join(heads, "key", "left").select("key", "row", "doc_id", "next_id", "text", text.alias("edited_text"))
+    return base.join(heads, "key", "left").select("key", "row", "doc_id", "next_row", "text", text.alias("edited_text"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    own = ["key", "row", "doc_id", "next_id", "n_chars"]
+    own = ["key", "row", "doc_id", "next_row", "n_chars"]
     both_ways = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(k).alias("kind"), F.col(c).alias("text")) for v, c in enumerate(("text", "edited_text")) for k in (0, 1)])
     texts = edited(docs).select(*own[:-1], F.length("text").cast("long").alias("n_chars"), F.inline(both_ways))
     keyed = texts.withColumn("edited_sha256", F.when((F.col("version") == 1) & (F.col("kind") == 0), F.sha2(F.col("text").cast("binary"), 256)))
@@ -134,12 +134,11 @@ def compare(docs: DataFrame) -> DataFrame:
     of = lambda v, k, c: F.first(F.when((F.col("version") == v) & (F.col("kind") == k), F.col(c)), ignorenulls=True)
     sums = [of(v, k, c).alias(f"{a}{b}{c}") for v, a in enumerate(("", "e_")) for k, b in enumerate(("p_", "")) for c in ("units", "words")]
     both = fingerprint(keyed, [*own, "version", "kind", "edited_sha256"], parts).groupBy(*own).agg(F.max("edited_sha256").alias("edited_sha256"), *sums)
-    prints = written(both.drop("key", "row"), "fingerprints")
-    after = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("p_units", "p_words", "units", "words")).alias("n")).select("next_id", *[F.col(f"n.{c}").alias(f"n_{c}") for c in ("p_units", "p_words", "units", "words")])
-    row = prints.join(after, "next_id", "left")
-    for p in ("", "e_", "n_"):
-        row = row.withColumn(f"{p}lanes", lanes(F.col(f"{p}words"), F.col(f"{p}units")))
-    for p in ("", "e_", "n_"):
-        row = row.withColumn(f"{p}norm", _dot(F.col(f"{p}lanes"), F.col(f"{p}lanes")))
-    near = lambda p: likeness(F.col("lanes"), F.col(f"{p}lanes"), F.col("norm"), F.col(f"{p}norm"), (F.col("p_words") == F.col(f"{p}p_words")) & (F.col("p_units") == F.col(f"{p}p_units")))
-    return row.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("p_words"), F.col("p_units")).alias("fingerprint"), as_text(F.col("e_p_words"), F.col("e_p_units")).alias("edited_fingerprint"), near("e_").alias("near_edited"), near("n_").alias("near_next"))
+    prints = written(both.drop("key"), "fingerprints").withColumn("same", F.xxhash64("p_units", "p_words"))
+    near = lambda p, same: likeness(F.col("lanes"), F.col(f"{p}lanes"), _dot(F.col("lanes"), F.col("lanes")), _dot(F.col(f"{p}lanes"), F.col(f"{p}lanes")), same)
+    of_lanes = lambda rows, *ps: rows.withColumns({f"{p}lanes": lanes(F.col(f"{p}words"), F.col(f"{p}units")) for p in ps})
+    # the likeness to the edited text first, so that its sums do not move
+    here = of_lanes(prints, "", "e_").withColumn("near_edited", near("e_", (F.col("p_words") == F.col("e_p_words")) & (F.col("p_units") == F.col("e_p_units")))).drop("lanes", "e_lanes", "e_words", "e_units")
+    after = prints.select(F.col("row").alias("next_row"), F.col("units").alias("n_units"), F.col("words").alias("n_words"), F.col("same").alias("n_same"))
+    row = of_lanes(here.join(after, "next_row", "left"), "", "n_").withColumn("near_next", near("n_", F.col("same") == F.col("n_same")))
+    return row.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("p_words"), F.col("p_units")).alias("fingerprint"), as_text(F.col("e_p_words"), F.col("e_p_units")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import _Kept, small_batches, written
+from corvane.llm.common import Room, _Kept, discard, small_batches, written
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -34,10 +34,13 @@ ROWS, BANDS, BITS = 5, 50, 2
 PERMUTATIONS = ROWS * BANDS
 SIG_WORDS = -(-PERMUTATIONS * BITS // 64)
 SLACK = 0.18
-BLOCK = 4096
-#: Members of a hub that meet one copy of its set.
-SALT_ROWS = 2000
+#: Members of a bucket, and shingles of their sets, that a block of it holds or so: a task holds two blocks with their sets, some 16 MB.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Pairs of a hub that meet one copy of its row, and the most hubs there are.
+SALT_ROWS, HUBS = 2000, 10_000
 HOT_SHARE = 1000
+#: Bytes of word hashes that a task keeps.
+KEEP_BYTES = 24 << 20
 
 _DRAW = np.random.Generator(np.random.PCG64(20240229))
 _A = _DRAW.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -52,12 +55,12 @@ def _stir(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Made for each task; `keep` word hashes stay at hand, and go with the task."""
+    """Made for each task; `keep` bytes of word hashes stay at hand, and go with the task."""
 
-    def __init__(self, width: int, keep: int = 100_000):
+    def __init__(self, width: int, keep: int = KEEP_BYTES):
         import xxhash
 
-        self.width, self.hash = width, _Kept(xxhash.xxh3_64_intdigest, keep)
+        self.width, self.hash = width, _Kept(xxhash.xxh3_64_intdigest, Room(keep))
 
     def set_of(self, text: str | None) -> np.ndarray:
         """The sorted distinct shingles of a text."""
@@ -143,14 +146,22 @@ def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return written(texts.mapInArrow(shingle, "id long, shingles binary"), "sets")
 
 
+def beside(pairs: DataFrame, key: str, rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """`pairs` (a, b and more; those of the table `among`) joined with `rows` by the column `key` of both. A hub's row is copied once for every SALT_ROWS of its pairs,
+    or for more where there are more than HUBS such hubs, so no task gets all pairs of one."""
+    among = pairs if among is None else among
+    least = max(SALT_ROWS, among.count() // HUBS)
+    hubs = F.broadcast(among.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_copies")))  # at most HUBS rows
+    spread = pairs.join(hubs, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
+    copied = rows.join(hubs, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))).drop("_copies")
+    return spread.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of `pairs` (a < b, node ids) those whose full sets reach the threshold."""
+    """Of `pairs` (a < b, node ids; a table) those whose full sets reach the threshold."""
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, width)
-    # a hub's set is copied once for every SALT_ROWS of its members
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("copies"))
-    hubs = sets.withColumnRenamed("id", "a").join(copies, "a").select("a", F.col("shingles").alias("_of_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_salt"))
-    spread = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("_salt"))
-    both = spread.join(hubs, ["a", "_salt"]).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_of_b")), "b").select("a", "b", "_of_a", "_of_b")
+    both = beside(pairs, "a", sets.select(F.col("id").alias("a"), F.col("shingles").alias("_of_a")))
+    both = beside(both, "b", sets.select(F.col("id").alias("b"), F.col("shingles").alias("_of_b")), pairs).select("a", "b", "_of_a", "_of_b")
 
     def compare(batches):
         import pyarrow as pa
@@ -164,7 +175,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> Da
                 linked.append(100 * shared >= threshold * (len(x) + len(y) - shared) and len(x) > 0)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    out = written(both.mapInArrow(compare, "a long, b long").distinct(), "linked")
+    discard(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,7 +192,8 @@ def components(links: DataFrame) -> DataFrame:
         # small-star: each node links its smaller neighbours, and itself, to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("least")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("least")).distinct())
@@ -189,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
 def unresolved(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, as key, i, j (a pair of blocks), own, node, component, sig, bands."""
     spread = members.join(found.select(F.col("id").alias("node"), F.col("least").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi AND size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).filter("lo != hi AND size > 2").select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = spread.join(mixed, "key").filter("node != leader")
     # a member of block i meets block j in the group of (i, j)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -259,7 +273,8 @@ def late_links(rows: DataFrame, docs: DataFrame, width: int, threshold: int) ->
             yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), group[k]), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(node[at]), pa.array(own[at], pa.int32())], names=["key", "i", "j", "node", "own"])
 
     involved = written(grouped(rows).mapInArrow(involve, "key long, i int, j int, node long, own int"), "involved")
-    sets = sets_of(involved.select(F.col("node").alias("doc_id")).distinct(), docs, width).withColumnRenamed("id", "node")
+    sets_table = sets_of(involved.select(F.col("node").alias("doc_id")).distinct(), docs, width)
+    sets = sets_table.withColumnRenamed("id", "node")
     full = involved.join(rows.select("key", "i", "j", "own", "node", "component", "sig", "bands"), ["key", "i", "j", "node", "own"]).join(sets, "node")
 
     def link(batches):
@@ -290,16 +305,18 @@ def late_links(rows: DataFrame, docs: DataFrame, width: int, threshold: int) ->
                         b.append(max(node[x], node[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return grouped(full).mapInArrow(link, "a long, b long").distinct()
+    out = written(grouped(full).mapInArrow(link, "a long, b long").distinct(), "linked")
+    discard(involved, sets_table)
+    return out
 
 
 def led(members: DataFrame) -> DataFrame:
-    """`members` (key, node, leader, size) with a leader near the middle: of a bucket's nodes the one whose own buckets hold most.
+    """`members` (key, node, n_shingles, leader, size) with a leader near the middle: of a bucket's nodes the one whose own buckets hold most.
     Near copies of one text share its minima, so it stands in larger buckets than they do. Buckets of two need no choice."""
     large = members.filter("size > 2").select("key", "node")
     weight = members.filter("size > 2").groupBy("node").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("weight"))
     best = large.join(weight, "node").groupBy("key").agg(F.max(F.struct(F.round("weight", 6).alias("w"), (-F.col("node")).alias("n"))).alias("best")).select("key", (-F.col("best.n")).alias("_leader"))
-    return written(members.join(best, "key", "left").select("key", "node", F.coalesce("_leader", "leader").alias("leader")), "members")
+    return written(members.join(best, "key", "left").select("key", "node", "n_shingles", F.coalesce("_leader", "leader").alias("leader")), "members")
 
 
 def attached(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
@@ -318,31 +335,38 @@ def mark(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> D
     # equal sets are one node, named by the least doc_id
     groups = written(real.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "sets-of")
     nodes = real.join(groups.select("set_id", F.col("node").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
-    nodes = written(nodes.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(nodes.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     sigs = nodes.select("node", "sig").dropDuplicates(["node"])
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     multi = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("size")).filter("leader != last").select("key", "leader", "size")
-    members = led(written(buckets.join(multi, "key"), "members"))
+    chosen = written(buckets.join(multi, "key"), "members")
+    members = led(chosen)
+    discard(chosen)
     # rows that share a doc_id are one document
     same = real.select(F.col("doc_id"), "set_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     shared = real.join(same, "doc_id", "left_semi").join(groups, "set_id").select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b"))
-    first = members.filter("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    links = written(confirm(written(screened(first, sigs, threshold), "candidates"), docs, width, threshold).unionByName(shared), "confirmed")
+    first = written(members.filter("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "first")
+    candidates = written(screened(first, sigs, threshold), "candidates")
+    links = written(confirm(candidates, docs, width, threshold).unionByName(shared), "confirmed")
+    discard(first, candidates)
     joined = components(links)
     more = written(unresolved(members, joined, nodes), "unresolved")
     if more.limit(1).count():
-        late = written(late_links(more, docs, width, threshold), "confirmed")
+        late = late_links(more, docs, width, threshold)
         if late.limit(1).count():
             joined = components(links.unionByName(late))
     by_set = groups.join(joined.withColumnRenamed("id", "node"), "node", "left").select("set_id", "size", F.coalesce("least", "node").alias("component_id"))
-    linked = attached(real.select("doc_id", "n_shingles", "set_id"), written(by_set, "components"), "set_id", total).select("doc_id", "n_shingles", "component_id")
+    by_set = written(by_set, "components")
+    discard(members, nodes, groups, links, more, joined)
+    linked = attached(real.select("doc_id", "n_shingles", "set_id"), by_set, "set_id", total).select("doc_id", "n_shingles", "component_id")
     rest = found.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def screened(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
-    """Of `pairs` those whose estimate may reach the threshold."""
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("_b")), "b")
+    """Of `pairs` (a table) those whose estimate may reach the threshold."""
+    both = beside(pairs, "a", sigs.select(F.col("node").alias("a"), F.col("sig").alias("_a")))
+    both = beside(both, "b", sigs.select(F.col("node").alias("b"), F.col("sig").alias("_b")), pairs)
     return both.filter(estimate(F.col("_a"), F.col("_b")) >= threshold / 100 - SLACK).select("a", "b")
 
 

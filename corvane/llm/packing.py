@@ -29,10 +29,11 @@ from corvane.llm.common import ChunkEncoder, small_batches, texts_of, tokenizer_
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 32
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks, and parts of chunks, whose ids a worker keeps: some 200 bytes each, so that two workers fit beside the JVM.
-KEEP = 250_000
+#: Bytes of chunks whose ids a worker keeps, so that two workers fit beside the JVM.
+KEEP_BYTES = 96 << 20
+#: Pieces of one length that a task ranks, and the most such tasks there are in all besides one for each length.
+SALT_ROWS, MOST_SALTS = 20_000, 100_000
 
 
 def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -96,7 +97,7 @@ def dominating(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
             for a in reversed(sizes[: bisect.bisect_right(sizes, room)]):
                 if best and 2 * a <= sum(best):
                     break
-                if left[a] > (a == j) and (b := largest(min(a, room - a), {j: 1} if a != j else {j: 2})) is not None and (a != b or left[a] > 1 + (a == j)):
+                if left[a] > (a == j) and (b := largest(min(a, room - a), {j: 1, a: 1} if a != j else {j: 2})) is not None:
                     best = max(best or (0, 0), (a, b), key=sum)
             if best is None or k >= sum(best):
                 out.append(((j, k), 1))
@@ -170,7 +171,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     def cut(batches):
         import pyarrow as pa
 
-        encoder = ChunkEncoder.of(path, KEEP)
+        encoder = ChunkEncoder.of(path, KEEP_BYTES)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
@@ -186,9 +187,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`parts` (with doc_id, piece and length) with sequence_id and offset."""
     spark = parts.sparkSession
-    parts = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    sizes = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    most = max(SALT_ROWS, sum(sizes.values()) // MOST_SALTS)
+    salts = spark.createDataFrame([(w, -(-n // most)) for w, n in sizes.items()], "length long, _salts long")
+    # a task ranks `most` pieces or so, however many pieces have one length
+    parts = parts.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts")).cast("int")).drop("_salts").select(*parts.columns, "_salt")
     per = parts.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    counts = sorted((r["length"], r["_salt"], r["n"]) for r in per.collect())  # at most capacity * SALTS rows
+    counts = sorted((r["length"], r["_salt"], r["n"]) for r in per.collect())  # at most capacity + MOST_SALTS rows
     total: dict[int, int] = defaultdict(int)
     first = {}
     for w, salt, n in counts:

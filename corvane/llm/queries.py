@@ -41,7 +41,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(quality.remainder(4) != 2))
     scored = quality.score(docs, model)
-    return scored.select("doc_id", (quality.remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(quality.remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

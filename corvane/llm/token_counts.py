@@ -7,7 +7,7 @@ overwritten, so commits are idempotent; totals are the sums over complete batche
 base and remembers the ids that it holds; it counts once its marker file exists.
 
 Defined cases: a null text counts as empty (0 tokens); null source or lang are keys of their own; a document given
-twice counts twice; keys whose documents and tokens are all taken away leave the rollup; empty batches are committed too. Other columns are not read.
+twice counts twice; columns named version or n_tokens in `docs` are not read; keys whose documents and tokens are all taken away leave the rollup; empty batches are committed too. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import scratch
+from corvane.llm.common import ChunkEncoder, scratch, small_batches, texts_of
 
-#: Tokenizer versions: a regular expression for a token.
+#: Tokenizer versions that Spark counts by itself: a regular expression for a token. `counted_by_vocabulary` counts with a vocabulary.
 VERSIONS = {
     "words-1": r"[^\x20\x09-\x0D]+",
     "pieces-1": r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]",
@@ -44,6 +44,22 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
     return signed(old, -1).unionByName(signed(new, 1))
 
 
+def counted_by_vocabulary(docs: DataFrame, version: str, path: str) -> DataFrame:
+    """Like `counted`, by the vocabulary at `path` (a file of the tokenizers library, without special tokens), as `version`."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        encoder = ChunkEncoder.of(path)
+        for batch in batches:
+            n = pa.array([len(encoder.encode(t)) // 4 for t in texts_of(batch)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), n], names=["doc_id", "source", "lang", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long").select("doc_id", "source", "lang", F.lit(version).alias("version"), "n_tokens")
+
+
 class Rollup:
     """Totals in a folder on any file system that Spark reaches."""
 
@@ -59,13 +75,22 @@ class Rollup:
         names = (x.getPath().getName() for x in self.fs.listStatus(self._path(kind)))
         return sorted(x for x in names if not x.startswith(("_", ".")) and self.fs.exists(self._path(kind, x, "_SUCCESS")))
 
-    def _base(self) -> list[str]:
-        return self._folders("base")[-1:]
+    def _state(self) -> tuple[str | None, set[str], list[str]]:
+        """Of one look at the folders: the newest complete base, the batches it holds, and the complete batches after it."""
+        deltas = [x.removeprefix("batch=") for x in self._folders("deltas")]  # first: a base that is newer than this list may only hold more of it
+        base = (self._folders("base") or [None])[-1]
+        held = {r["batch"] for r in self.spark.read.schema("batch string").json(f"{self.path}/base/{base}/batches").collect()} if base else set()
+        return base, held, [x for x in deltas if x not in held]
+
+    def _sums(self, base: str | None, after: list[str]) -> DataFrame:
+        parts = ([f"{self.path}/base/{base}/totals"] if base else []) + [f"{self.path}/deltas/batch={x}" for x in after]
+        rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 OR n_tokens != 0")
 
     def committed(self) -> set[str]:
         """Ids of all complete batches."""
-        held = {r["batch"] for b in self._base() for r in self.spark.read.schema("batch string").json(f"{self.path}/base/{b}/batches").collect()}
-        return held | {x.removeprefix("batch=") for x in self._folders("deltas")}
+        _, held, after = self._state()
+        return held | set(after)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch once; whether it was new."""
@@ -77,15 +102,16 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens now."""
-        held = {r["batch"] for b in self._base() for r in self.spark.read.schema("batch string").json(f"{self.path}/base/{b}/batches").collect()}
-        parts = [f"{self.path}/base/{b}/totals" for b in self._base()] + [f"{self.path}/deltas/{x}" for x in self._folders("deltas") if x.removeprefix("batch=") not in held]
-        rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 OR n_tokens != 0")
+        base, _, after = self._state()
+        return self._sums(base, after)
 
     def compact(self) -> None:
-        """Folds all complete batches into a new base. It counts from the moment that its _SUCCESS is there."""
-        ids, n = sorted(self.committed()), len(self._folders("base"))
-        name = f"{n:08d}"
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{name}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").write.mode("overwrite").json(f"{self.path}/base/{name}/batches")
+        """Folds all complete batches into a new base, which counts from the moment that its _SUCCESS is there. What the base before it
+        held already, its deltas and older bases, is removed; what is folded now stays until the next time, for those who still read it."""
+        base, held, after = self._state()  # sums and ids are of one look, so a batch that is committed meanwhile is in neither
+        name = f"{int(base) + 1 if base else 0:08d}"
+        self._sums(base, after).write.mode("overwrite").parquet(f"{self.path}/base/{name}/totals")
+        self.spark.createDataFrame([(i,) for i in sorted(held | set(after))], "batch string").write.mode("overwrite").json(f"{self.path}/base/{name}/batches")
         self.fs.create(self._path("base", name, "_SUCCESS"), True).close()
+        for kind, x in [("deltas", x) for x in self._folders("deltas") if x.removeprefix("batch=") in held] + [("base", x) for x in self._folders("base") if base and x < base]:
+            self.fs.delete(self._path(kind, x), True)

@@ -1,7 +1,7 @@
 """Token-ID output: Parquet with list columns, dictionary or delta encoding, row groups and page indexes.
 
 `write_tokens` encodes documents and writes, in ascending doc_id order over the files, the columns doc_id, shard
-(number of the file in that order), n_tokens and tokens (list of int). Spark's own Parquet writer does it, so writing
+(number of the file in that order), row (place in the file, from 0), n_tokens and tokens (list of int). Spark's own Parquet writer does it, so writing
 is committed, survives lost executors and works on any file system Spark reaches. Row groups and pages have the
 sizes given; page (column and offset) indexes and statistics let `read_tokens` skip row groups and pages by doc_id, and read
 metadata without tokens. `token_spans` gives the place of each document in the stream of all ids.
@@ -25,11 +25,11 @@ VOCABULARY = "byte_bpe_50k.json"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 PAGE_ROWS = 2000
-SCHEMA = "doc_id long, shard int, n_tokens long, tokens array<int>"
+SCHEMA = "doc_id long, shard int, row long, n_tokens long, tokens array<int>"
 
 
 def encoded(docs: DataFrame, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """doc_id, shard, n_tokens and tokens of `docs`, which has doc_id, text and shard."""
+    """doc_id, shard, row, n_tokens and tokens of `docs`, which has doc_id, text and shard, a partition for each shard."""
     path = path or tokenizer_path(VOCABULARY)
     end = end_id.to_bytes(4, "little")
 
@@ -37,13 +37,15 @@ def encoded(docs: DataFrame, end_id: int = END_ID, path: str | None = None) -> D
         import numpy as np
         import pyarrow as pa
 
-        encoder = ChunkEncoder.of(path)
+        encoder, row = ChunkEncoder.of(path), 0
         for batch in batches:
             ids = [encoder.encode(text) + end for text in texts_of(batch)]
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             values = pa.array(np.frombuffer(b"".join(ids), np.int32))
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(n), tokens], names=["doc_id", "shard", "n_tokens", "tokens"])
+            rows = pa.array(np.arange(row, row + len(ids)))
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), rows, pa.array(n), tokens], names=["doc_id", "shard", "row", "n_tokens", "tokens"])
 
     return docs.select("doc_id", "text", "shard").mapInArrow(encode, SCHEMA)
 
@@ -75,7 +77,7 @@ def read_tokens(spark: SparkSession, at: str, doc_ids: list[int] | None = None,
 
 
 def token_spans(spark: SparkSession, at: str) -> DataFrame:
-    """Read back from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Read back from the files, in the order of their rows: doc_id, start, n_tokens, ids_crc32."""
     small_batches(spark)
 
     def digest(batches):
@@ -87,10 +89,10 @@ def token_spans(spark: SparkSession, at: str) -> DataFrame:
             values, offsets = np.ascontiguousarray(tokens.values.to_numpy(zero_copy_only=False), "<u4"), tokens.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             n = np.diff(offsets).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "shard", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("row"), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "shard", "row", "n_tokens", "ids_crc32"])
 
-    found = written(read_tokens(spark, at, columns=("doc_id", "shard", "tokens")).mapInArrow(digest, "doc_id long, shard int, n_tokens long, ids_crc32 long"), "spans")
+    found = written(read_tokens(spark, at, columns=("doc_id", "shard", "row", "tokens")).mapInArrow(digest, "doc_id long, shard int, row long, n_tokens long, ids_crc32 long"), "spans")
     # a row per file: bounded by the number of files
     files = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", F.coalesce("_before", F.lit(0)).alias("_before"))
-    before = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("_start", F.coalesce(before, F.lit(0))).join(F.broadcast(files), "shard").select("doc_id", (F.col("_start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
