@@ -7,15 +7,17 @@ counted over all training documents. A text's probability is the product of clas
 smoothed by absolute discounting towards class frequencies; emissions are relative frequencies, and the class that has most words
 seen once gives a discount of its own to the unknown word, which is in it. Both are proper distributions.
 
-Counts that grow with the corpus stay distributed: the vocabulary, with counts and classes, is a table. The most frequent words, KNOWN
-at the most, are broadcast; other words of a document are joined with the table, place by place, as their neighbours' transitions need
-their classes, and each document's sums are added up. The driver holds class statistics and at most (TOP + 2)**2 bigram counts.
+Texts are split once. From then on a document is a string of 64-bit codes: the rank of a word among the most frequent, KNOWN at the
+most, which are broadcast; for any other word its 63-bit hash, below zero; and 0, the end. All later passes work on codes.
+Counts that grow with the corpus stay distributed: the classes and counts of words are a table. Words that are not broadcast
+are joined with it, place by place, as their neighbours' transitions need their classes, and each document's sums are added up.
+The driver holds class statistics and at most (TOP + 2)**2 bigram counts.
 
 Words are the runs of bytes other than white space, A-Z lower-cased; the end of a text is a word of its own, kept as the empty one.
 
 Defined cases: a null text counts as empty and has one token, the end; without training documents every word has probability 1 in its
-class; rows that repeat a doc_id are scored each (a null doc_id counts as the text ''); an empty table gives no rows. Columns other
-than doc_id and text are not read.
+class; rows that repeat a doc_id are scored each (a null doc_id counts as the text '' where documents are drawn by it); an empty table
+gives no rows; two rare words whose hashes agree (once in 2**63 pairs) count as one. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ import math
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import small_batches, written
+from corvane.llm.common import discard, small_batches, written
 
 TOP = 1000
 CLASSES = 48
 SWEEPS = 6
 KNOWN = 200_000
 FLUSH = 200_000
+#: Codes that a task gathers before it counts them together.
+GATHER = 2_000_000
 BINS_PER_DOUBLING = 16
+#: Words of more than a thousandth of all places to be joined are joined by broadcast; there are fewer than 1000.
+HOT_SHARE = 1000
 END = b""
 #: In place of a class: the words without one so far, and the word itself.
 OTHER, SELF = CLASSES + 1, CLASSES + 2
@@ -78,28 +84,68 @@ def frequent(vocab: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], int]
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0])), least
 
 
-def bigrams(docs: DataFrame, items: dict[bytes, int]) -> np.ndarray:
-    """Counts of adjacent items, in a matrix of (TOP + 2) squared; item 0 is the end, on both sides of each text, and the last one all words not in `items`."""
+def code_of(word: Column) -> Column:
+    """The code of a word that is not broadcast: its hash, below zero."""
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def coded(docs: DataFrame, words: list[bytes], learn: Column | None = None) -> DataFrame:
+    """row (a number of its own), doc_id, learn and codes (64-bit integers in bytes) of each of `docs`; `words` have the codes from 1 on."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    size = TOP + 2
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)})
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
-        known = shared.value
-        counts = np.zeros(size * size, np.int64)
+        class Codes(dict):
+            def __missing__(self, word):
+                return (xxhash.xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
+
+        get = Codes(shared.value).__getitem__
         for batch in batches:
-            flat = [0]
-            for text in batch.column("text").to_pylist():
-                flat += [known.get(w, TOP + 1) for w in words_of(text)]
-                flat.append(0)
-            x = np.array(flat, np.int64)
-            counts += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
+            out = [np.array([*map(get, words_of(t)), 0], np.int64).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("learn"), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["row", "doc_id", "learn", "codes"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).alias("learn"), "text")
+    return written(rows.mapInArrow(run, "row long, doc_id long, learn boolean, codes binary"), "codes")
+
+
+def _flat(batch) -> np.ndarray:
+    """The codes of a batch in a row. Each text ends with 0, so what stands before a text is an end, too."""
+    return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64)
+
+
+def _gathered(batches):
+    """Codes of some batches in a row, GATHER of them or so."""
+    held, n = [], 0
+    for batch in batches:
+        x = _flat(batch)
+        held.append(x)
+        n += len(x)
+        if n >= GATHER:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def bigrams(codes: DataFrame, top: int) -> np.ndarray:
+    """Counts of adjacent items, in a matrix of (top + 2) squared; item 0 is the end, on both sides of each text, and the last one all words after the `top` first."""
+    size = top + 2
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(size * size, np.int64)
+        for x in _gathered(batches):
+            items = np.where((x >= 0) & (x <= top), x, top + 1)
+            counts += np.bincount(np.concatenate([[0], items[:-1]]) * size + items, minlength=size * size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = codes.select("codes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)
     out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out.reshape(size, size)
@@ -157,56 +203,30 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-class Rows:
-    """Rows gathered column by column, taken as Arrow batches."""
-
-    def __init__(self, **types):
-        import pyarrow as pa
-
-        self.schema = pa.schema(list(types.items()))
-        self.columns = [[] for _ in types]
-
-    def add(self, *columns) -> None:
-        for held, more in zip(self.columns, columns):
-            held.extend(more)
-
-    def full(self) -> bool:
-        return len(self.columns[0]) >= 50_000
-
-    def taken(self):
-        import pyarrow as pa
-
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, self.schema.types)], schema=self.schema)
-        self.columns = [[] for _ in self.columns]
-        return batch
-
-
-def contexts(docs: DataFrame, of_top: dict[bytes, int]) -> DataFrame:
-    """word, key and n: how often each word not in `of_top` stands between two classes; key is 64 * before + after, each a class, OTHER or SELF."""
-    shared = docs.sparkSession.sparkContext.broadcast(of_top)
+def contexts(codes: DataFrame, of_top: np.ndarray) -> DataFrame:
+    """code, key and n: how often each word without a class in `of_top` (by code) stands between two classes; key is 64 * before + after, each a class, OTHER or SELF."""
+    shared = codes.sparkSession.sparkContext.broadcast(of_top)
 
     def run(batches):
         import pyarrow as pa
 
-        known = shared.value
-        counts: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.binary()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "key", "n"])
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                c = np.array([0, *(known.get(w, OTHER) for w in words), 0], np.int64)
-                at = np.flatnonzero(c == OTHER)
-                before, after = c[at - 1], c[at + 1]
-                for i in np.flatnonzero(before == OTHER).tolist():
-                    if words[at[i] - 1] == words[at[i] - 2]:
-                        before[i] = after[i - 1] = SELF
-                counts.update(zip([words[i] for i in (at - 1).tolist()], (64 * before + after).tolist()))
-                if len(counts) > FLUSH:
-                    yield flush()
-                    counts.clear()
-        yield flush()
-
-    return docs.select("text").mapInArrow(run, "word binary, key int, n long")
+        of = shared.value
+        for x in _gathered(batches):
+            c = np.where((x >= 0) & (x < len(of)), of[np.clip(x, 0, len(of) - 1)], OTHER)
+            at = np.flatnonzero(c == OTHER)  # never the last, which is an end
+            code, before = x[at], np.where(at > 0, c[at - 1], 0)
+            after = c[at + 1]
+            before[(at > 0) & (x[at - 1] == code)] = SELF
+            after[x[at + 1] == code] = SELF
+            key = 64 * before + after
+            few = code > 0
+            pair, n = np.unique(code[few] * 4096 + key[few], return_counts=True)
+            n = np.concatenate([n, np.ones((~few).sum(), np.int64)])
+            code, key = np.concatenate([pair // 4096, code[~few]]), np.concatenate([pair % 4096, key[~few]]).astype(np.int32)
+            for i in range(0, len(n), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 50_000]), pa.array(key[i : i + 50_000]), pa.array(n[i : i + 50_000])], names=["code", "key", "n"])
+
+    return codes.select("codes").mapInArrow(run, "code long, key int, n long")
 
 
 def joined_class(before: np.ndarray, after: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -228,77 +248,100 @@ def joined_class(before: np.ndarray, after: np.ndarray, own: np.ndarray, table:
     return 1 + np.argmax(gain[:, 1:OTHER], 1)
 
 
-def classes_of(docs: DataFrame, of_top: dict[bytes, int], table: np.ndarray) -> DataFrame:
-    """word, c and class of every word of `docs` that is not in `of_top`; `table` has the bigrams of classes, OTHER the last."""
+def classes_of(codes: DataFrame, of_top: np.ndarray, table: np.ndarray) -> DataFrame:
+    """code, c and class of every word of `codes` that has no class in `of_top`; `table` has the bigrams of classes, OTHER the last."""
 
     def run(batches):
         import pyarrow as pa
 
+        seen: dict[int, int] = {}  # the class of a word met once, by its key
         for batch in batches:
             lists = batch.column("around")
             sizes, entries = lists.value_lengths().to_numpy(), lists.flatten()
             key, n = (entries.field(i).to_numpy() for i in range(2))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            before, after = np.zeros((len(sizes), SELF + 1)), np.zeros((len(sizes), SELF + 1))
-            np.add.at(before, (row, key // 64), n)
-            np.add.at(after, (row, key % 64), n)
-            of = joined_class(before[:, :SELF], after[:, :SELF], before[:, SELF], table)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(of.astype(np.int32))], names=["word", "c", "class"])
+            first = np.cumsum(sizes) - sizes
+            once = (sizes == 1) & (n[first] == 1)
+            new = [k for k in np.unique(key[first[once]]).tolist() if k not in seen]
+            # the words met more often, then one of each new kind of the others
+            many = np.flatnonzero(~once)
+            at = np.flatnonzero(np.repeat(~once, sizes))
+            row = np.concatenate([np.repeat(np.arange(len(many)), sizes[many]), len(many) + np.arange(len(new))]).astype(np.int64)
+            keys, counts = np.concatenate([key[at], np.array(new, np.int32)]), np.concatenate([n[at], np.ones(len(new), np.int64)])
+            before, after = np.zeros((len(many) + len(new), SELF + 1)), np.zeros((len(many) + len(new), SELF + 1))
+            np.add.at(before, (row, keys // 64), counts)
+            np.add.at(after, (row, keys % 64), counts)
+            got = joined_class(before[:, :SELF], after[:, :SELF], before[:, SELF], table)
+            seen |= dict(zip(new, got[len(many) :].tolist()))
+            of, c = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int64)
+            of[many], c[many] = got[: len(many)], before[: len(many)].sum(1)
+            of[once] = [seen[k] for k in key[first[once]].tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(c), pa.array(of)], names=["code", "c", "class"])
 
     # a word has at most 64**2 keys
-    sums = contexts(docs, of_top).repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    return sums.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("around")).mapInArrow(run, "word binary, c long, class int")
+    sums = contexts(codes, of_top).repartition("code").groupBy("code", "key").agg(F.sum("n").alias("n"))
+    return sums.groupBy("code").agg(F.collect_list(F.struct("key", "n")).alias("around")).mapInArrow(run, "code long, c long, class int")
 
 
-def class_pairs(docs: DataFrame, model: dict) -> np.ndarray:
-    """Counts of adjacent classes over all words of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for w, _, k in model["known"]})
-    size = CLASSES + 1
+def places(codes: DataFrame, classes: np.ndarray, rare: DataFrame, unknown: int) -> DataFrame:
+    """The places of words that are not broadcast: row, learn, before, class, after and c (null for unknown words). `classes` are those
+    of the words that are, by code; before and after are classes, before is -1 where such a word stands there."""
+    shared = codes.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         import pyarrow as pa
 
-        known = shared.value
-        counts = np.zeros(size * size, np.int64)
-        rows = Rows(row=pa.int64(), pos=pa.int64(), word=pa.binary(), before=pa.int32(), after=pa.int32(), n=pa.int64())
+        of = shared.value
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
-                x = np.array([0, *(known.get(w, -1) for w in words), 0], np.int64)
-                a, b = x[:-1], x[1:]
-                both = (a >= 0) & (b >= 0)
-                counts += np.bincount(a[both] * size + b[both], minlength=size * size)
-                at = np.flatnonzero(x < 0)
-                for i in range(0, len(at), 50_000):
-                    j = at[i : i + 50_000]
-                    rows.add([row] * len(j), j.tolist(), [words[k - 1] for k in j.tolist()], x[j - 1].tolist(), x[j + 1].tolist(), [None] * len(j))
-                    if rows.full():
-                        yield rows.taken()
-        k = np.flatnonzero(counts).tolist()
-        rows.add([None] * len(k), k, [None] * len(k), [None] * len(k), [None] * len(k), counts[k].tolist())
-        yield rows.taken()
-
-    parts = written(docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "row long, pos long, word binary, before int, after int, n long"), "pairs")
+            x = _flat(batch)
+            sizes = np.array([len(b) // 8 for b in batch.column("codes").to_pylist()])
+            at = np.flatnonzero(x < 0)
+            c = np.where(x >= 0, of[np.maximum(x, 0)], -1)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+            row, learn = batch.column("row").to_numpy()[doc], batch.column("learn").to_numpy(zero_copy_only=False)[doc]
+            before, after = np.where(at > 0, c[at - 1], 0).astype(np.int32), c[at + 1].astype(np.int32)
+            for i in range(0, len(at), 50_000):
+                j = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(row[j]), pa.array(learn[j]), pa.array(at[j]), pa.array(x[at[j]]), pa.array(before[j]), pa.array(after[j])], names=["row", "learn", "pos", "code", "before", "after"])
+
+    found = written(codes.select("row", "learn", "codes").mapInArrow(run, "row long, learn boolean, pos long, code long, before int, after int"), "places")
+    total = found.count()
+    hot = found.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") * HOT_SHARE > F.lit(total)).select("code")
+    warm = F.broadcast(hot.join(rare, "code", "left"))
+    cold = found.join(F.broadcast(hot), "code", "left_anti").join(rare, "code", "left")
+    both = found.join(warm, "code").unionByName(cold).withColumn("class", F.coalesce("class", F.lit(unknown)))
+    follow = F.lead("class").over(Window.partitionBy("row").orderBy("pos"))
+    out = written(both.select("row", "learn", "before", "class", F.when(F.col("after") < 0, follow).otherwise(F.col("after")).alias("after"), "c"), "placed")
+    discard(found)
+    return out
+
+
+def class_pairs(codes: DataFrame, placed: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of adjacent classes over all words of `codes`."""
+    shared = codes.sparkSession.sparkContext.broadcast(classes)
+    size = CLASSES + 1
+
+    def run(batches):
+        import pyarrow as pa
+
+        of, counts = shared.value, np.zeros(size * size, np.int64)
+        for x in _gathered(batches):
+            b = np.where(x >= 0, of[np.maximum(x, 0)], -1)
+            a = np.concatenate([[0], b[:-1]])
+            both = (a >= 0) & (b >= 0)
+            counts += np.bincount(a[both] * size + b[both], minlength=size * size)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
+
     out = np.zeros((size, size), np.int64)
-    for r in parts.filter("word IS NULL").groupBy("pos").agg(F.sum("n").alias("n")).collect():  # a row per pair of classes
-        out[divmod(r["pos"], size)] += r["n"]
-    for r in placed(parts, model).groupBy("before", "class", "after").count().collect():  # a row per three classes
+    for r in codes.filter("learn").select("codes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # a row per pair of classes
+        out[divmod(r["pair"], size)] += r["n"]
+    for r in placed.filter("learn").groupBy("before", "class", "after").count().collect():  # a row per three classes
         if r["before"] >= 0:
             out[r["before"], r["class"]] += r["count"]
         out[r["class"], r["after"]] += r["count"]
     return out
 
 
-def placed(parts: DataFrame, model: dict) -> DataFrame:
-    """The words of `parts` (row, pos, word, before, after), which are not broadcast, with c (null for unknown words) and class.
-
-    before and after are classes, or -1 for such a word; then `after` is filled in here."""
-    rare = model["vocab"].filter(F.col("c") < F.lit(model["least"]))
-    tail = parts.filter("word IS NOT NULL").join(rare, "word", "left").withColumn("class", F.coalesce("class", F.lit(model["unknown"])))
-    follow = F.lead("class").over(Window.partitionBy("row").orderBy("pos"))
-    return tail.withColumn("after", F.when(F.col("after") < 0, follow).otherwise(F.col("after")))
-
-
 def transitions(table: np.ndarray) -> np.ndarray:
     """log10 of the probability of a class (column) after a class (row), from the counts of adjacent classes."""
     table = table.astype(np.float64)
@@ -309,85 +352,112 @@ def transitions(table: np.ndarray) -> np.ndarray:
     return np.log10(smooth)
 
 
-def train(docs: DataFrame) -> dict:
-    """The model of the documents `docs`; `vocab` is its table of words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    counted = written(vocabulary(docs), "vocabulary")
-    known, least = frequent(counted, KNOWN)
-    top = [(w, c) for w, c in known if w != END][:TOP]
-    items = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(top)}
-    pairs = bigrams(docs, items)
+def _clustered(codes: DataFrame, vocab: DataFrame, known: list[tuple[bytes, int]]) -> dict:
+    """The model but for its transitions, from the `codes` of training documents."""
+    n, v = vocab.agg(F.sum("c"), F.count("*")).first()
+    ends = codes.count()
+    top = min(TOP, len(known))
+    pairs = bigrams(codes, top)
     of = exchange(pairs)
     member = np.eye(CLASSES + 2)[of]
-    of_top = {w: int(of[i]) for w, i in items.items()}
-    further = classes_of(docs, of_top, member.T @ pairs.astype(np.float64) @ member)
-    seeds = spark.createDataFrame([(w, k) for w, k in of_top.items()], "word binary, class int").join(counted, "word").select("word", "c", "class")
-    vocab = written(further.unionByName(seeds), "classes")
+    of_top = of[: top + 1]  # by code; the end has class 0
+    further = written(classes_of(codes, of_top, member.T @ pairs.astype(np.float64) @ member), "classes")
     one = lambda c: F.count(F.when(F.col("c") == c, 1))
-    sums = vocab.groupBy("class").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), one(1).alias("once"), one(2).alias("twice")).collect()  # a row per class
-    total, kinds, once = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in sums:
-        total[r["class"]], kinds[r["class"]], once[r["class"]] = r["total"], r["kinds"], r["once"]
-    twice = sum(r["twice"] for r in sums)
+    total, kinds, once, twice = (np.zeros(CLASSES + 1) for _ in range(4))
+    for r in further.groupBy("class").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), one(1).alias("once"), one(2).alias("twice")).collect():  # a row per class
+        total[r["class"]], kinds[r["class"]], once[r["class"]], twice[r["class"]] = r["total"], r["kinds"], r["once"], r["twice"]
+    counts = np.array([ends, *(c for _, c in known)], np.int64)
+    np.add.at(total, of_top, counts[: top + 1])
+    np.add.at(kinds, of_top, 1)
+    np.add.at(once, of_top, counts[: top + 1] == 1)
+    twice = twice.sum() + (counts[: top + 1] == 2).sum()
+    if not ends:
+        kinds[0] = 0
     discount = min(0.9, max(0.1, once.sum() / max(1, once.sum() + 2 * twice)))
     unknown = 1 + int(np.argmax((once if once[1:].any() else kinds)[1:]))
-    words = vocab.filter(F.col("c") >= F.lit(least)).collect() if known else []  # KNOWN at the most
-    model = {"vocab": vocab, "least": least, "known": sorted(((bytes(r["word"]), r["c"], r["class"]) for r in words), key=lambda x: (-x[1], x[0])), "unknown": unknown, "total": total, "kinds": kinds, "discount": discount, "N": int(total.sum()), "V": int(kinds.sum())}
-    return model | {"trans": transitions(class_pairs(docs, model))}
+    classes = np.zeros(len(known) + 1, np.int64)
+    classes[: top + 1] = of_top
+    for r in further.filter("code > 0").collect():  # KNOWN at the most
+        classes[r["code"]] = r["class"]
+    words = [w for w, _ in known]
+    code = vocab.sparkSession.createDataFrame([(END, 0), *((w, i) for i, w in enumerate(words, 1))], "word binary, _known long")
+    every = further.select("code", "class").unionByName(vocab.sparkSession.createDataFrame(list(enumerate(of_top.tolist())), "code long, class int"))
+    table = vocab.join(code, "word", "left").withColumn("code", F.coalesce("_known", code_of(F.col("word")))).join(every, "code").select("word", "c", "class")
+    return {"vocab": table, "words": words, "counts": counts, "classes": classes, "rare": further.filter("code < 0"), "unknown": unknown, "total": total, "kinds": kinds, "discount": discount, "N": int(n or 0), "V": int(v)}
+
+
+def _known(vocab: DataFrame) -> list[tuple[bytes, int]]:
+    """The words that are broadcast, commonest first, without the end."""
+    return [(w, c) for w, c in frequent(vocab, KNOWN)[0] if w != END]
+
+
+def train(docs: DataFrame) -> dict:
+    """The model of the documents `docs`; `vocab` is its table of words."""
+    small_batches(docs.sparkSession)
+    vocab = written(vocabulary(docs), "vocabulary")
+    known = _known(vocab)
+    codes = coded(docs, [w for w, _ in known])
+    model = _clustered(codes, vocab, known)
+    placed = places(codes, model["classes"], model["rare"], model["unknown"])
+    model["trans"] = transitions(class_pairs(codes, placed, model["classes"]))
+    discard(codes, placed)
+    return model
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    total, kinds, discount, unknown, n, v = (model[k] for k in ("total", "kinds", "discount", "unknown", "N", "V"))
-    known = [w for w, _, _ in model["known"]]
-    counts = np.array([c for _, c, _ in model["known"]], np.float64)
-    classes = np.array([k for _, _, k in model["known"]], np.int64)
+    codes = coded(docs, model["words"])
+    return _scored(codes, places(codes, model["classes"], model["rare"], model["unknown"]), model).drop("learn")
+
+
+def train_and_score(docs: DataFrame, learn: Column) -> DataFrame:
+    """Like `score` on all `docs`, with the model of those where `learn` holds, and that column; texts are split once for both."""
+    small_batches(docs.sparkSession)
+    vocab = written(vocabulary(docs.filter(learn)), "vocabulary")
+    known = _known(vocab)
+    codes = coded(docs, [w for w, _ in known], learn)
+    model = _clustered(codes.filter("learn"), vocab, known)
+    placed = places(codes, model["classes"], model["rare"], model["unknown"])
+    return _scored(codes, placed, model | {"trans": transitions(class_pairs(codes, placed, model["classes"]))})
+
+
+def _scored(codes: DataFrame, placed: DataFrame, model: dict) -> DataFrame:
+    spark = codes.sparkSession
+    total, kinds, discount, unknown, n, v, counts, classes = (model[k] for k in ("total", "kinds", "discount", "unknown", "N", "V", "counts", "classes"))
     off = np.where(np.arange(CLASSES + 1) == unknown, discount, 0.0)  # what each word of a class gives to the unknown one
     new = math.log10(discount * kinds[unknown] / total[unknown]) if total[unknown] else 0.0
-    emit = np.where(classes == 0, 0.0, np.log10((counts - off[classes]) / np.maximum(total[classes], 1))) if known else np.zeros(0)
+    emit = np.where(classes == 0, 0.0, np.log10(np.maximum(counts - off[classes], 1e-300) / np.maximum(total[classes], 1)))
     floor = n + 1 * (v + 1)
-    base = np.log10((counts + 1) / floor) if known else np.zeros(0)
-    # the last entries stand for words that are joined: nothing is added for them here
-    shared = spark.sparkContext.broadcast({"id": {w: i for i, w in enumerate(known)}, "class": np.append(classes, -1), "emit": np.append(emit, 0.0), "base": np.append(base, 0.0), "trans": model["trans"]})
-    schema = "row long, doc_id long, word binary, pos long, before int, after int, n_tokens long, n_known long, base_score double, score double"
+    # the end has its base probability also where nothing was learned
+    shared = spark.sparkContext.broadcast({"class": classes, "emit": emit, "base": np.log10((counts + 1) / floor), "trans": model["trans"], "end": int(counts[0] > 0)})
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
-        ids, rest, trans = m["id"], len(m["id"]), m["trans"]
-        end = ids.get(END, rest)
-        rows = Rows(row=pa.int64(), doc_id=pa.int64(), word=pa.binary(), pos=pa.int64(), before=pa.int32(), after=pa.int32(), n_tokens=pa.int64(), n_known=pa.int64(), base_score=pa.float64(), score=pa.float64())
         for batch in batches:
-            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
-                words = words_of(text)
-                x = np.array([*(ids.get(w, rest) for w in words), end])
-                c = np.append(0, m["class"][x])
-                c[-1] = 0
-                a, b = c[:-1], c[1:]
-                both = (a >= 0) & (b >= 0)
-                score = trans[a[both], b[both]].sum() + m["emit"][x].sum()
-                extra = 0.0 if end < rest else math.log10(1 / floor)  # the end has its probability also where nothing was learned
-                rows.add([row], [doc_id], [None], [None], [None], [None], [len(x)], [int((x < rest).sum())], [float(m["base"][x].sum()) + extra], [float(score)])
-                at = np.flatnonzero(c < 0)
-                for i in range(0, len(at), 50_000):
-                    j = at[i : i + 50_000]
-                    k = len(j)
-                    rows.add([row] * k, [doc_id] * k, [words[p - 1] for p in j.tolist()], j.tolist(), c[j - 1].tolist(), c[j + 1].tolist(), [0] * k, [0] * k, [0.0] * k, [0.0] * k)
-                    if rows.full():
-                        yield rows.taken()
-        yield rows.taken()
-
-    parts = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scores")
+            x = _flat(batch)
+            if not len(x):
+                continue
+            sizes = np.array([len(b) // 8 for b in batch.column("codes").to_pylist()])
+            first = np.cumsum(sizes) - sizes
+            known, at = x >= 0, np.maximum(x, 0)
+            b = np.where(known, m["class"][at], -1)
+            a = np.concatenate([[0], b[:-1]])
+            both = (a >= 0) & (b >= 0)
+            score = np.where(known, m["emit"][at], 0.0) + np.where(both, m["trans"][np.maximum(a, 0), np.maximum(b, 0)], 0.0)
+            sums = lambda y: pa.array(np.add.reduceat(y, first))
+            seen = known.astype(np.int64)
+            seen[x == 0] = m["end"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "learn")), pa.array(sizes), sums(seen), sums(np.where(known, m["base"][at], 0.0)), sums(score)], names=["row", "doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
+
+    whole = codes.mapInArrow(run, "row long, doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
     c = F.coalesce(F.col("c"), F.lit(0))
     at = lambda x, i: F.element_at(F.lit(np.asarray(x, np.float64).ravel()), i + 1)
     step = lambda a, b: at(model["trans"], F.col(a) * (CLASSES + 1) + F.col(b))
     emitted = F.when(c > 0, F.log10((c - at(off, F.col("class"))) / at(np.maximum(total, 1), F.col("class")))).otherwise(F.lit(new))
     into = F.when(F.col("before") >= 0, step("before", "class")).otherwise(0.0)
-    joined = placed(parts, model).select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), (c > 0).cast("long").alias("n_known"), F.log10((c + 1) / F.lit(float(floor))).alias("base_score"), (emitted + into + step("class", "after")).alias("score"))
-    whole = parts.filter("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score").unionByName(joined)
-    sums = whole.groupBy("row", "doc_id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    rest = placed.groupBy("row").agg(F.count(F.when(c > 0, 1)).alias("_known"), F.sum(F.log10((c + 1) / F.lit(float(floor)))).alias("_base"), F.sum(emitted + into + step("class", "after")).alias("_score"))
+    both = whole.join(rest, "row", "left")
+    score = F.col("score") + F.coalesce("_score", F.lit(0.0))
+    return both.select("doc_id", "learn", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

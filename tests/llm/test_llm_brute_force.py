@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, exact_dedup, fingerprints, near_dedup, packing, quality, queries, token_counts, token_output
+from corvane.llm import chat, exact_dedup, fingerprints, lm_score, near_dedup, packing, quality, queries, token_counts, token_output
 from corvane.llm.common import ChunkEncoder, _Kept, Room, scratch, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -201,6 +201,18 @@ def test_stores_are_bounded_by_bytes():
     assert tight.encode(t) == wide.encode(t)
 
 
+# ---- 6: LM scoring
+
+
+def test_one_splitting_serves_training_and_scoring(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(texts(spark, [(None, "a b"), (None, None), (5, "")]))
+    learn = F.coalesce(quality.remainder(3) != 1, F.lit(True))
+    apart = lm_score.score(docs, lm_score.train(docs.filter(learn)))
+    both = lm_score.train_and_score(docs, learn).drop("learn")
+    show = lambda df: sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+    assert show(apart) == show(both) and both.count() == docs.count()
+
+
 # ---- 7: packing
 
 
