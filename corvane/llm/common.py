@@ -131,7 +131,10 @@ class ChunkEncoder:
             chunk = chunk.lower()
         word, marks = word_and_marks(chunk)
         if word:
-            return self.parts[word] + self.parts[marks] if marks else self.parts[word]
+            if not marks:  # kept by who asks, under the chunk
+                return self._part(word)
+            bare = self.rest[word[1:]] if word[0] == " " else self.first[word]
+            return bare + self.parts[marks]
         return b"".join(map(self.parts.__getitem__, self.split(chunk)))
 
     def encode(self, text: str) -> bytes:
@@ -164,18 +167,12 @@ class _Kept(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if self.room.left > 0 and len(key) <= LONGEST_KEY:
-            # a dict's entry, a string of up to 4 bytes a character, and what it stands for
-            self.room.left -= 160 + (len(key) if key.isascii() else 4 * len(key)) + self.size(value)
+        if self.room.left > 0 and (n := len(key)) <= LONGEST_KEY:
+            # a dict's entry, a string of up to 4 bytes a character, and ids or the like, no more than characters or so
+            self.room.left -= 180 + 6 * n
             self[key] = value
         return value
 
-    @staticmethod
-    def size(value) -> int:
-        if isinstance(value, (tuple, list)):
-            return 60 + sum(8 if isinstance(x, int) else 40 + len(x) for x in value)
-        return 40 + (len(value) if isinstance(value, bytes) else 0)
-
 
 def texts_of(batch, name: str = "text") -> Iterable[str]:
     """The texts of an Arrow batch, null as empty."""
