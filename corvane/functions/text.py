@@ -51,9 +51,12 @@ def terms(text: Column) -> Column:
     """Stems of whole words and, where they differ, of their camel-case and underscore parts."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
 
+    # fixed value: where identifiers are cut
+    camel = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+"
+
     def parts(word: Column) -> Column:
         chunks = F.split(word, "_")
-        pieces = lambda c: F.when(c.rlike(r"^\p{ASCII}*$"), F.regexp_extract_all(c, F.lit(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+"), F.lit(0))).otherwise(F.array(c))
+        pieces = lambda c: F.when(c.rlike(r"^\p{ASCII}*$"), F.regexp_extract_all(c, F.lit(camel), F.lit(0))).otherwise(F.array(c))
         return F.transform(F.flatten(F.transform(chunks, pieces)), F.lower)
 
     def of(word: Column) -> Column:
@@ -121,7 +124,8 @@ def head_and_tail(text: Column, most: int, marker: str = "\n...\n") -> Column:
 
 def clamp_score(text: Column, default: int = 0) -> Column:
     """An integer from 0 to 100; the default where there is none."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.try_to_number(F.regexp_extract(text, r"^\s*(-?\d{1,9})", 1), F.lit("S999999999")).cast("int"))), F.lit(default))
+    number = F.try_to_number(F.regexp_extract(text, r"^\s*(-?\d{1,9})", 1), F.lit("S999999999")).cast("int")
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), number)))
 
 
 def word_boundary(text: Column, name: str) -> Column:

@@ -1,66 +1,116 @@
-"""Ranked lexical search: a weighted-field inverted index and what is built on its scores."""
+"""Ranked lexical search: a weighted-field inverted index that is stored, and what is built on its scores."""
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.session import stored
+from corvane.session import shared_dir
 
+# fixed values of the ranking
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 4.0, "path": 2.0, "content": 1.0}
 PREFIX_WEIGHT, PREFIX_WINDOW = 0.5, 6
 STALE, HOP = 0.5, 0.5
+PINS = 5
+RECHECK_S = 30
 
+BUCKETS = 64
 
-def fields(units: DataFrame) -> DataFrame:
-    """id, field, term of every occurrence; `units` has id, title, path and content."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), T.whole_terms(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in WEIGHTS])
-    return units.select("id", F.inline(each)).select("id", "field", F.explode("terms").alias("term"))
-
-
-def postings(units: DataFrame) -> DataFrame:
-    """id, field, term, freq."""
-    return fields(units).groupBy("id", "field", "term").agg(F.count("*").alias("freq"))
-
-
-def lengths(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("id", "field").agg(F.sum("freq").alias("len"))
-
-
-def average_lengths(posted: DataFrame, n_units: DataFrame) -> DataFrame:
-    """field and avg, 1 at least; over all units, also those without the field."""
-    return posted.groupBy("field").agg(F.sum("freq").alias("total")).crossJoin(F.broadcast(n_units)).select("field", F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.lit(1), F.col("n"))).alias("avg"))
-
-
-def expanded(posted: DataFrame, query: list[str]) -> DataFrame:
-    """term and weight: query terms that exist; for others of three letters or more, of the next PREFIX_WINDOW words those they begin, at half weight."""
-    spark = posted.sparkSession
-    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(query)], "asked string")
-    vocabulary = posted.select("term").distinct()
-    exact = vocabulary.join(F.broadcast(asked), F.col("term") == F.col("asked"), "left_semi").withColumn("weight", F.lit(1.0))
-    missing = asked.join(exact.select(F.col("term").alias("asked")), "asked", "left_anti").filter(F.length("asked") >= 3)
-    window = reduce(DataFrame.unionByName, [vocabulary.filter(F.col("term") >= t).orderBy("term").limit(PREFIX_WINDOW).withColumn("asked", F.lit(t)) for t in dict.fromkeys(query) if len(t) >= 3] or [vocabulary.withColumn("asked", F.lit("")).limit(0)])
-    near = window.join(F.broadcast(missing), "asked", "left_semi").filter(F.col("term").startswith(F.col("asked"))).select("term", F.lit(PREFIX_WEIGHT).alias("weight"))
-    return exact.unionByName(near).groupBy("term").agg(F.max("weight").alias("weight"))
 
-
-def scores(units: DataFrame, query: list[str], allowed: Column | None = None) -> DataFrame:
-    """id and score of the units that hold a query term. Statistics are over all units, `allowed` picks among them."""
-    posted = stored(postings(units))  # read by five branches
-    wanted = F.broadcast(expanded(posted, query))
-    n = units.agg(F.count("*").alias("n"))
-    hits = posted.join(wanted, "term")
-    df = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))
-    weight = F.create_map(*[x for f, w in WEIGHTS.items() for x in (F.lit(f), F.lit(w))])
-    norm = (1 - B) + F.lit(B) * F.col("len") / F.col("avg")
-    tf = hits.join(lengths(posted), ["id", "field"]).join(F.broadcast(average_lengths(posted, n)), "field").groupBy("id", "term", "weight").agg(F.sum(F.element_at(weight, F.col("field")) * F.col("freq") / norm).alias("tf"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    out = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("id").agg(F.sum(F.col("weight") * idf * F.col("tf") / (K1 + F.col("tf"))).alias("score")).filter("score > 0")
-    return out if allowed is None else out.join(units.filter(allowed).select("id"), "id", "left_semi")
+def fields(units: DataFrame) -> DataFrame:
+    """id, field, len (terms of that field) and term of every occurrence; `units` has id, title, path and content. Null fields are empty."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), T.terms(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in WEIGHTS])
+    return units.select("id", F.inline(each)).select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+
+
+def query_terms(spark: SparkSession, text: str) -> list[str]:
+    """The terms of a question, by the rules of the index, once each."""
+    return list(dict.fromkeys(spark.range(1).select(T.terms(F.lit(text)).alias("t")).first()["t"]))
+
+
+class Index:
+    """Postings in buckets of terms, sorted by term; the vocabulary in order; numbers of units and terms. A query reads the buckets of its terms alone."""
+
+    _open: dict[tuple[str, str], tuple[Index, object, float]] = {}
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        row = spark.read.schema("n long, total map<string,long>, buckets int").json(f"{path}/stats").first()
+        self.n, self.buckets = row["n"], row["buckets"]
+        self.average = {f: max(1.0, (row["total"].get(f) or 0) / max(1, self.n)) for f in WEIGHTS}
+
+    @classmethod
+    def build(cls, units: DataFrame, path: str | None = None, buckets: int = BUCKETS) -> Index:
+        """Writes the index of `units`; its size is that of the texts, a query's cost that of its terms."""
+        spark = units.sparkSession
+        path = path or f"{shared_dir(spark)}/index-{time.time_ns():x}"
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        posted = fields(units).groupBy("id", "field", "len", "term").agg(F.count("*").alias("freq")).select("*", bucket)
+        posted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+        rows = cls._rows(spark, path)
+        rows.groupBy("term").agg(F.countDistinct("id").alias("df")).orderBy("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        total = {r["field"]: r["n"] for r in rows.groupBy("field").agg(F.sum("freq").alias("n")).collect()}  # a row per field
+        spark.createDataFrame([(units.count(), total, buckets)], "n long, total map<string,long>, buckets int").write.mode("overwrite").json(f"{path}/stats")
+        return cls(spark, path)
+
+    @classmethod
+    def fresh(cls, units: DataFrame, name: str, stamp) -> Index:
+        """The index of `units` as `name`: built once, looked at again after RECHECK_S seconds, and built anew when `stamp()` has changed."""
+        spark = units.sparkSession
+        key = (spark.sparkContext.applicationId, name)
+        held = cls._open.get(key)
+        if held and time.monotonic() - held[2] < RECHECK_S:
+            return held[0]
+        now = stamp()
+        index = held[0] if held and held[1] == now else cls.build(units)
+        cls._open[key] = (index, now, time.monotonic())
+        return index
+
+    @staticmethod
+    def _rows(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/postings")
+
+    def vocabulary(self) -> DataFrame:
+        """term and df (units that hold it in any field)."""
+        return self.spark.read.parquet(f"{self.path}/vocabulary")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """id, field, len, term and freq of these terms, from their buckets alone."""
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()] if terms else []
+        return self._rows(self.spark, self.path).filter(F.col("bucket").isin(buckets or [-1]) & F.col("term").isin(terms))
+
+    def expanded(self, query: list[str]) -> dict[str, tuple[float, int]]:
+        """Weight and df by term: query terms that exist; for others of three letters or more, of the PREFIX_WINDOW words from it on those it begins, at half weight."""
+        words = self.vocabulary()
+        out = {r["term"]: (1.0, r["df"]) for r in words.filter(F.col("term").isin(list(query))).collect()} if query else {}
+        look = [words.filter(F.col("term") >= q).orderBy("term").limit(PREFIX_WINDOW).withColumn("q", F.lit(q)) for q in dict.fromkeys(query) if q not in out and len(q) >= 3]
+        for r in reduce(DataFrame.unionByName, look).collect() if look else []:  # PREFIX_WINDOW rows a word
+            if r["term"].startswith(r["q"]):
+                out.setdefault(r["term"], (PREFIX_WEIGHT, r["df"]))
+        return out
+
+    def scores(self, query: list[str], allowed: DataFrame | None = None) -> DataFrame:
+        """id and score of the units that hold a query term. Statistics are over all units; `allowed` (id) picks among them."""
+        wanted = self.expanded(query)
+        spark = self.spark
+        idf = spark.createDataFrame([(t, w, d) for t, (w, d) in wanted.items()], "term string, weight double, df long").select("term", (F.col("weight") * F.ln(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+        of = lambda values: F.create_map(*[x for f, v in values.items() for x in (F.lit(f), F.lit(float(v)))])
+        norm = (1 - B) + F.lit(B) * F.col("len") / F.element_at(of(self.average), F.col("field"))
+        tf = self.postings(list(wanted)).groupBy("id", "term").agg(F.sum(F.element_at(of(WEIGHTS), F.col("field")) * F.col("freq") / norm).alias("tf"))
+        out = tf.join(F.broadcast(idf), "term").groupBy("id").agg(F.sum(F.col("idf") * F.col("tf") / (K1 + F.col("tf"))).alias("score")).filter("score > 0")
+        return out if allowed is None else out.join(allowed.select("id"), "id", "left_semi")
+
+
+def of_kind(units: DataFrame, kinds: str = "all") -> DataFrame:
+    """Units that are documents (kind section), code, or all."""
+    if kinds not in ("docs", "code", "all"):
+        raise ValueError(f"kinds is docs, code or all, not {kinds!r}")
+    return units if kinds == "all" else units.filter((F.col("kind") == "section") == (kinds == "docs"))
 
 
 def top(ranked: DataFrame, k: int) -> DataFrame:
@@ -78,10 +128,34 @@ def fused(parts: list[tuple[DataFrame, float]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select("id", (F.col("score") * w).alias("score")) for p, w in parts]).groupBy("id").agg(F.max("score").alias("score"))
 
 
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """Candidate lists (id, score, via: array, hits: array) as one: the largest score, every way it was found, three hits from the first lists on."""
+    rows = reduce(DataFrame.unionByName, [p.select("id", "score", "via", "hits", F.lit(i).alias("_list")) for i, p in enumerate(parts)])
+    order = F.array_sort(F.collect_list(F.struct("_list", "via", "hits")))
+    return rows.groupBy("id").agg(F.max("score").alias("score"), order.alias("_all")).select("id", "score", F.array_sort(F.array_distinct(F.flatten("_all.via"))).alias("via"), F.slice(F.flatten("_all.hits"), 1, 3).alias("hits"))
+
+
+def pinned(ranked: DataFrame, units: DataFrame, names: list[str], k: int) -> DataFrame:
+    """Units that bear a name of the question come first, PINS at most: whole qualified names, then classes and functions, then public names, then what
+    is no test, then by score; their scores are above all others. The rest follows by score; k in all. `units` has id, name, qualified, kind and file."""
+    wanted = units.filter(F.col("name").isin(names) | F.col("qualified").isin(names)).select("id", "name", "qualified", "kind", "file")
+    best = ranked.agg(F.max("score").alias("_top"))
+    keys = [F.when(F.col("qualified").isin(names), 0).otherwise(1), F.when(F.col("kind").isin("class", "function"), 0).otherwise(1), F.when(F.col("name").startswith("_"), 1).otherwise(0), F.when(is_test_path(F.col("file")), 1).otherwise(0), -F.coalesce("score", F.lit(0.0)), F.col("id")]
+    first = wanted.join(ranked, "id", "left").orderBy(*keys).limit(PINS)
+    place = F.row_number().over(Window.orderBy(*keys))  # of PINS rows
+    pins = first.withColumn("_place", place).crossJoin(F.broadcast(best)).select("id", (F.coalesce("_top", F.lit(0.0)) + 1 + PINS - F.col("_place")).alias("score"))
+    return top(pins.unionByName(ranked.select("id", "score").join(pins.select("id"), "id", "left_anti")), k)
+
+
+def is_test_path(path):
+    """Whether a path is of tests, by its folders or its file's name."""
+    return path.rlike(r"(^|/)(tests?|__tests__|spec|testing)/|(^|/)test_[^/]*$|(_test|\.test|\.spec|_spec)\.[^/.]+$|(^|/)conftest\.py$")
+
+
 def reranked(candidates: DataFrame) -> DataFrame:
-    """`candidates` (id, score, hits, tokens) by relevance, grep hits and density."""
-    best = F.max("score").over(Window.partitionBy(F.lit(1)))
-    return candidates.withColumn("priority", F.col("score") / best + F.when(F.col("hits") > 0, 0.6).otherwise(0.0) + 0.3 / (1 + F.col("tokens") / 800.0))
+    """`candidates` (id, score, hits, tokens) by relevance, grep hits and density; the best score is one broadcast number."""
+    best = candidates.agg(F.max("score").alias("_best"))
+    return candidates.crossJoin(F.broadcast(best)).withColumn("priority", F.when(F.col("_best") > 0, F.col("score") / F.col("_best")).otherwise(0.0) + F.when(F.col("hits") > 0, 0.6).otherwise(0.0) + 0.3 / (1 + F.col("tokens") / 800.0)).drop("_best")
 
 
 def frontier(seeds: DataFrame, neighbours: DataFrame, per_hop: int = 10, most: int = 30) -> DataFrame:

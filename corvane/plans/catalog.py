@@ -64,20 +64,22 @@ def field_avg_lengths(d):
 
 @plan
 def prefix_expand(d):
-    """Of the six terms from a stem on, those it begins."""
-    return f"SELECT q, term FROM (SELECT q, term, row_number() OVER (PARTITION BY q ORDER BY term) AS k FROM (SELECT DISTINCT {d.each(d.words('text'))} AS term FROM units) v JOIN (SELECT 'err' AS q UNION ALL SELECT 'tho' UNION ALL SELECT 'zzz') p ON term >= q) w WHERE k <= 6 AND starts_with(term, q)" if d.duck else f"SELECT q, term FROM (SELECT q, term, row_number() OVER (PARTITION BY q ORDER BY term) AS k FROM (SELECT DISTINCT {d.each(d.words('text'))} AS term FROM units) v JOIN (SELECT 'err' AS q UNION ALL SELECT 'tho' UNION ALL SELECT 'zzz') p ON term >= q) w WHERE k <= 6 AND startswith(term, q)"
+    """Of the six terms from a stem on, those it begins: a short ordered look at the vocabulary for each stem."""
+    starts = "starts_with" if d.duck else "startswith"
+    look = " UNION ALL ".join(f"SELECT * FROM (SELECT '{q}' AS q, term FROM v WHERE term >= '{q}' ORDER BY term LIMIT 6) x{i}" for i, q in enumerate(("err", "tho", "zzz")))
+    return f"WITH v AS (SELECT DISTINCT {d.each(d.words('text'))} AS term FROM units) SELECT q, term FROM ({look}) y WHERE {starts}(term, q)"
 
 
 @plan
 def name_pin(d):
-    """Exact names first, large kinds before others, five pins at most."""
-    return "SELECT id, CAST(rk AS BIGINT) AS rk FROM (SELECT id, row_number() OVER (ORDER BY CASE WHEN name = target THEN 0 ELSE 1 END, CASE WHEN kind LIKE 'STANDARD%' THEN 0 ELSE 1 END, id) AS rk FROM comp CROSS JOIN (SELECT min(name) AS target FROM comp) t WHERE name = target) x WHERE rk <= 5"
+    """Exact names first: large kinds before others, longer paths first, then by id; five pins at most, whose scores lie above all others."""
+    return "SELECT id, kind, path FROM comp JOIN (SELECT min(name) AS target FROM comp) t ON name = target ORDER BY CASE WHEN kind LIKE 'STANDARD%' THEN 0 ELSE 1 END, CASE WHEN dir LIKE '%1' THEN 1 ELSE 0 END, length(path) DESC, id LIMIT 5"
 
 
 @plan
 def priority_rerank(d):
-    """Relevance, grep hits and density in one number, on scores made of text length."""
-    return "SELECT id, CAST(floor((score / max(score) OVER () + CASE WHEN hits > 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CAST(0.3 AS DOUBLE) / (1 + tokens / CAST(800 AS DOUBLE))) * 1000000 + 0.5) AS BIGINT) AS priority FROM (SELECT id, CAST(n_chars % 97 + 1 AS DOUBLE) AS score, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS hits, tokens FROM units) u"
+    """Relevance, grep hits and density in one number; the best score is one broadcast number. Scores here are made of text length."""
+    return "WITH u AS (SELECT id, CAST(n_chars % 97 + 1 AS DOUBLE) AS score, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS hits, tokens FROM units) SELECT id, CAST(floor((score / top + CASE WHEN hits > 0 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + CAST(0.3 AS DOUBLE) / (1 + tokens / CAST(800 AS DOUBLE))) * 1000000 + 0.5) AS BIGINT) AS priority FROM u CROSS JOIN (SELECT max(score) AS top FROM u) m"
 
 
 # ---- lines, intervals
@@ -94,7 +96,7 @@ def enclosing_interval(d):
     """The innermost of the blocks of 10 and of 50 lines that holds a line."""
     return f"""SELECT id, ord, lo, hi FROM (SELECT l.id, l.ord, b.lo, b.hi, row_number() OVER (PARTITION BY l.id, l.ord ORDER BY b.hi - b.lo, b.lo) AS k
       FROM {d.rows_of(d.lines('text'), 'id', 'units')} l JOIN (SELECT DISTINCT id, w, {d.div('ord - 1', 'w')} * w + 1 AS lo, {d.div('ord - 1', 'w')} * w + w AS hi FROM {d.rows_of(d.lines('text'), 'id', 'units')} x CROSS JOIN (SELECT 10 AS w UNION ALL SELECT 50) ww WHERE {d.div('ord - 1', 'w')} % 2 = 0) b
-      ON l.id = b.id AND l.ord BETWEEN b.lo AND b.hi WHERE l.ord % 7 = 0) t WHERE k = 1"""
+      ON l.id = b.id AND l.ord BETWEEN b.lo AND b.hi) t WHERE k = 1"""
 
 
 @plan
@@ -138,14 +140,14 @@ def edges_known_only(d):
 
 @plan
 def khop_dependents_1(d):
-    """What uses a changed component."""
-    return "SELECT DISTINCT dst AS changed, src AS dependent FROM edge WHERE dst % 50 = 0"
+    """What uses each component."""
+    return "SELECT DISTINCT dst AS changed, src AS dependent FROM edge"
 
 
 @plan
 def khop_dependents_2(d):
-    """What uses it within two steps, itself excluded."""
-    return "SELECT DISTINCT changed, dependent FROM (SELECT dst AS changed, src AS dependent FROM edge WHERE dst % 50 = 0 UNION ALL SELECT a.dst, b.src FROM edge a JOIN edge b ON b.dst = a.src WHERE a.dst % 50 = 0) t WHERE changed <> dependent"
+    """What uses each component within two steps, itself excluded."""
+    return "SELECT DISTINCT changed, dependent FROM (SELECT dst AS changed, src AS dependent FROM edge UNION ALL SELECT a.dst, b.src FROM edge a JOIN edge b ON b.dst = a.src) t WHERE changed <> dependent"
 
 
 @plan
@@ -181,7 +183,7 @@ def implements_by_containment(d):
 @plan
 def leaf_selection(d):
     """All valid nodes; from 400 on only those no other depends on."""
-    return "SELECT id FROM comp WHERE (SELECT count(*) FROM comp) < 400 OR pk NOT IN (SELECT dst FROM edge)"
+    return "SELECT id FROM comp LEFT JOIN (SELECT DISTINCT dst FROM edge) e ON pk = dst CROSS JOIN (SELECT count(*) AS n FROM comp) c WHERE n < 400 OR dst IS NULL"
 
 
 @plan
@@ -196,7 +198,7 @@ def leaf_type_gate(d):
 @plan
 def unique_names(d):
     """Names that one component alone has, of five letters or more."""
-    return "SELECT name, min(id) AS id FROM comp WHERE length(name) >= 5 GROUP BY name HAVING count(*) = 1"
+    return "SELECT name, min(id) AS id FROM (SELECT concat(name, ' ', kind) AS name, id FROM comp) c WHERE length(name) >= 5 GROUP BY name HAVING count(*) = 1"
 
 
 @plan
@@ -209,20 +211,23 @@ def resolve_calls_ranked(d):
 
 @plan
 def resolve_name_first(d):
-    """What is still unresolved binds to the first component of that name."""
-    return "SELECT c.pk AS caller, f.first_id AS resolved FROM comp c JOIN (SELECT name, min(pk) AS first_id FROM comp GROUP BY name) f ON c.name = f.name"
+    """A call that no unique key resolves binds to the first component of that name; resolved ones are left alone."""
+    return "SELECT c.pk AS caller, f.first_id AS resolved FROM comp c JOIN (SELECT name, min(pk) AS first_id, count(*) AS n FROM comp GROUP BY name) f ON c.name = f.name WHERE n > 1"
 
 
 @plan
 def owner_resolve_prefix(d):
-    """An unlisted id tries its enclosing names."""
-    return "SELECT c.id, o.path AS owner FROM comp c LEFT JOIN (SELECT path FROM comp GROUP BY path HAVING count(*) >= 10) o ON starts_with(c.id, concat(o.path, '::'))" if d.duck else "SELECT c.id, o.path AS owner FROM comp c LEFT JOIN (SELECT path FROM comp GROUP BY path HAVING count(*) >= 10) o ON o.path = substring_index(c.id, '::', 1)"
+    """An unlisted id tries its enclosing names, the nearest first: the parts of its path, cut one by one."""
+    cut = "regexp_extract(c.id, '^(.*)::', 1)" if d.duck else "regexp_extract(c.id, '^(.*)::', 1)"
+    levels = f"SELECT c.id, 1 AS k, {cut} AS key FROM comp c UNION ALL SELECT c.id, 2, c.dir FROM comp c"
+    owners = "SELECT path AS key, path AS owner FROM comp GROUP BY path HAVING count(*) >= 10 UNION ALL SELECT dir, dir FROM comp GROUP BY dir HAVING count(*) >= 20"
+    return f"SELECT id, owner FROM (SELECT l.id, o.owner, row_number() OVER (PARTITION BY l.id ORDER BY CASE WHEN o.owner IS NULL THEN 1 ELSE 0 END, l.k) AS r FROM ({levels}) l LEFT JOIN ({owners}) o ON l.key = o.key) t WHERE r = 1"
 
 
 @plan
 def representatives(d):
     """One component for each file without a chosen one."""
-    return "SELECT path, min(id) AS id FROM comp WHERE path NOT IN (SELECT path FROM comp WHERE tokens >= 50) GROUP BY path"
+    return "SELECT path, min(id) AS id FROM comp c WHERE NOT EXISTS (SELECT 1 FROM comp b WHERE b.path = c.path AND b.tokens >= 50) GROUP BY path"
 
 
 @plan
@@ -233,8 +238,9 @@ def vote_partition(d):
 
 @plan
 def nearest_module(d):
-    """A file goes to the module that overflows least, is nearest, lightest, first by name."""
-    return "SELECT path, target FROM (SELECT f.path, m.dir AS target, row_number() OVER (PARTITION BY f.path ORDER BY CASE WHEN m.load + f.load > 2500 THEN 1 ELSE 0 END, CASE WHEN f.dir = m.dir THEN 0 ELSE 1 END, m.load, m.dir) AS k FROM (SELECT path, dir, sum(tokens) AS load FROM comp GROUP BY path, dir) f CROSS JOIN (SELECT dir, sum(tokens) AS load FROM comp GROUP BY dir) m) r WHERE k = 1"
+    """A file goes to the module that overflows least, is nearest, lightest, first by name. Of the modules that are no nearer than others only the lightest can win: each file meets its own and that one."""
+    load = "SELECT dir, sum(tokens) AS load, min(path) AS p FROM comp GROUP BY dir"
+    return f"WITH m AS ({load}), f AS (SELECT path, dir, sum(tokens) AS load FROM comp GROUP BY path, dir), low AS (SELECT dir, load FROM m ORDER BY load, dir LIMIT 1), c AS (SELECT f.path, m.dir AS target, m.load AS had, f.load AS own, 0 AS far FROM f JOIN m ON f.dir = m.dir UNION ALL SELECT f.path, low.dir, low.load, f.load, 1 FROM f CROSS JOIN low WHERE low.dir <> f.dir) SELECT path, target FROM (SELECT path, target, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN had + own > 2500 THEN 1 ELSE 0 END, far, had, target) AS k FROM c) r WHERE k = 1"
 
 
 @plan
@@ -258,7 +264,7 @@ def route_same_file(d):
 @plan
 def route_same_dir(d):
     """D03 rule 2: or to the one leaf of its directory."""
-    return "SELECT n.id, o.owner FROM comp n JOIN (SELECT dir, min(kind) AS owner FROM comp WHERE pk % 10 <> 0 AND tokens > 45 GROUP BY dir HAVING count(DISTINCT kind) = 1) o ON n.dir = o.dir WHERE n.pk % 10 = 0"
+    return "SELECT n.id, o.owner FROM comp n JOIN (SELECT path, min(kind) AS owner FROM comp WHERE pk % 10 <> 0 GROUP BY path HAVING count(DISTINCT kind) = 1) o ON n.path = o.path WHERE n.pk % 10 = 0"
 
 
 @plan
@@ -290,14 +296,14 @@ def ancestors_explode(d):
 
 @plan
 def preorder(d):
-    """Parents before children."""
-    return "SELECT node, CAST(row_number() OVER (ORDER BY node) AS BIGINT) AS ord FROM (SELECT DISTINCT parent AS node FROM module UNION SELECT path FROM module) t"
+    """Parents before children: a module's place is its parent's first place and its own among its siblings."""
+    return "WITH m AS (SELECT parent, path, row_number() OVER (PARTITION BY parent ORDER BY path) AS k FROM module), p AS (SELECT parent, count(*) + 1 AS n FROM module GROUP BY parent), q AS (SELECT a.parent, coalesce(sum(b.n), 0) AS before FROM p a LEFT JOIN p b ON b.parent < a.parent GROUP BY a.parent) SELECT parent AS node, CAST(before + 1 AS BIGINT) AS ord FROM q UNION ALL SELECT m.path, CAST(before + 1 + k AS BIGINT) FROM m JOIN q ON m.parent = q.parent"
 
 
 @plan
 def postorder(d):
     """Children before parents."""
-    return "SELECT node, CAST(row_number() OVER (ORDER BY p, leaf DESC, node) AS BIGINT) AS ord FROM (SELECT DISTINCT parent AS node, parent AS p, 0 AS leaf FROM module UNION SELECT path, parent, 1 FROM module) t"
+    return "WITH m AS (SELECT parent, path, row_number() OVER (PARTITION BY parent ORDER BY path) AS k FROM module), p AS (SELECT parent, count(*) + 1 AS n FROM module GROUP BY parent), q AS (SELECT a.parent, a.n, coalesce(sum(b.n), 0) AS before FROM p a LEFT JOIN p b ON b.parent < a.parent GROUP BY a.parent, a.n) SELECT parent AS node, CAST(before + n AS BIGINT) AS ord FROM q UNION ALL SELECT m.path, CAST(before + k AS BIGINT) FROM m JOIN q ON m.parent = q.parent"
 
 
 @plan
@@ -321,13 +327,14 @@ def multi_claims(d):
 @plan
 def coverage_check(d):
     """Missing, outside and repeated ids of a partition."""
-    return "SELECT 'missing' AS fault, count(*) AS n FROM comp WHERE pk NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'outside', count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT pk FROM comp)) o UNION ALL SELECT 'repeated', count(*) FROM (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1) r"
+    return "SELECT 'missing' AS fault, count(*) AS n FROM comp WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = pk) UNION ALL SELECT 'outside', count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM comp WHERE pk = l_partkey)) o UNION ALL SELECT 'repeated', count(*) FROM (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1) r"
 
 
 @plan
 def common_prefix(d):
-    """The common start of a module's paths is that of its least and its greatest."""
-    return "SELECT dir, min(path) AS lo, max(path) AS hi, min(path) = max(path) AS single FROM comp GROUP BY dir"
+    """The common start of a module's paths, which is that of its least and its greatest: up to the first place where they differ."""
+    at = f"SELECT dir, lo, hi, {d.each('range(1, length(lo) + 1)') if d.duck else 'explode(sequence(1, greatest(1, length(lo))))'} AS i FROM (SELECT dir, min(path) AS lo, max(path) AS hi FROM comp GROUP BY dir) m"
+    return f"SELECT dir, substring(lo, 1, CAST(coalesce(min(CASE WHEN substring(lo, CAST(i AS INT), 1) <> substring(hi, CAST(i AS INT), 1) THEN i END) - 1, length(lo)) AS INT)) AS prefix FROM ({at}) t GROUP BY dir, lo"
 
 
 @plan
@@ -416,8 +423,8 @@ def reference_inverse(d):
 
 @plan
 def stale_links(d):
-    """Links to what only one page knows."""
-    return f"WITH l AS (SELECT * FROM {_links(d)} x) SELECT DISTINCT page_id, target FROM l WHERE target NOT IN (SELECT target FROM l GROUP BY target HAVING count(DISTINCT page_id) >= 2)"
+    """Links to what fewer than five pages know."""
+    return f"WITH l AS (SELECT * FROM {_links(d)} x) SELECT DISTINCT page_id, l.target FROM l JOIN (SELECT target FROM l GROUP BY target HAVING count(DISTINCT page_id) < 5) r ON l.target = r.target"
 
 
 @plan
@@ -428,8 +435,8 @@ def first_link_per_section(d):
 
 @plan
 def related_pages(d):
-    """Five pages with most shared targets; targets of many pages do not relate them."""
-    return f"WITH l AS (SELECT DISTINCT page_id, target FROM {_links(d)} x), r AS (SELECT page_id, target FROM l WHERE target IN (SELECT target FROM l GROUP BY target HAVING count(*) BETWEEN 2 AND 50)) SELECT a, b, n FROM (SELECT x.page_id AS a, y.page_id AS b, count(*) AS n, row_number() OVER (PARTITION BY x.page_id ORDER BY count(*) DESC, y.page_id) AS k FROM r x JOIN r y ON x.target = y.target AND x.page_id <> y.page_id GROUP BY x.page_id, y.page_id) t WHERE k <= 5"
+    """Five pages with most shared targets. Pages with equal targets are met once as a class, so a common target costs the square of classes, not of pages."""
+    return f"WITH l AS (SELECT DISTINCT page_id, target FROM {_links(d)} x), g AS (SELECT page_id, {d.joined('target', chr(9))} AS sig FROM l GROUP BY page_id), c AS (SELECT sig, min(page_id) AS cls FROM g GROUP BY sig), r AS (SELECT DISTINCT c.cls, l.target FROM l JOIN g ON l.page_id = g.page_id JOIN c ON g.sig = c.sig), n AS (SELECT x.cls AS a, y.cls AS b, count(*) AS n FROM r x JOIN r y ON x.target = y.target GROUP BY x.cls, y.cls), of AS (SELECT g.page_id, c.cls, row_number() OVER (PARTITION BY c.cls ORDER BY g.page_id) AS nth FROM g JOIN c ON g.sig = c.sig) SELECT a, b, n FROM (SELECT x.page_id AS a, y.page_id AS b, n.n, row_number() OVER (PARTITION BY x.page_id ORDER BY n.n DESC, y.page_id) AS k FROM of x JOIN n ON x.cls = n.a JOIN of y ON y.cls = n.b AND y.nth <= 6 WHERE x.page_id <> y.page_id) t WHERE k <= 5"
 
 
 @plan
@@ -440,8 +447,9 @@ def plain_text_strip(d):
 
 @plan
 def ignore_precedence(d):
-    """User excludes win, defaults yield to the white list."""
-    return "SELECT page_id, url LIKE '%/1%' OR (NOT url LIKE '%wiki%' AND url LIKE '%.com%') AS excluded FROM pages"
+    """User excludes win, defaults yield to the white list, ignored files come last. Here: private hosts, query strings, pages of one kind, numbered paths."""
+    user, default, white, ignored = (d.like("url", p) for p in ("/private/|/tmp/", "[?#]|/[0-9]*[13579]$", "/wiki/|/docs?/", "/[0-9]+0$"))
+    return f"SELECT page_id, {user} OR (NOT {white} AND {default}) OR {ignored} AS excluded, {user} AS by_user, {white} AS listed FROM pages"
 
 
 # ---- ledger, sessions, jobs
@@ -455,11 +463,13 @@ def ledger_summary(d):
 
 _PRICES = "(SELECT 'view' AS pp, CAST(2 AS BIGINT) AS price UNION ALL SELECT 'click', 3 UNION ALL SELECT 'purchase', 7)"
 
+_RATES = "(SELECT 'view' AS pp, CAST(1.25 AS DECIMAL(10, 4)) AS rate_in, CAST(0.125 AS DECIMAL(10, 4)) AS rate_cache UNION ALL SELECT 'click', 3, NULL UNION ALL SELECT 'purchase', 15, 1.5)"
+
 
 @plan
 def priced_usage(d):
-    """Prices in whole units; phases without a price stay unknown."""
-    return f"SELECT phase, count(*) AS n, CAST(sum(price * CAST(floor(seconds) AS BIGINT)) AS BIGINT) AS cost FROM ledger LEFT JOIN {_PRICES} p ON phase = pp GROUP BY phase"
+    """Decimal prices a million tokens; cached tokens by the rate of the cache or else of input; phases without rates stay unknown."""
+    return f"SELECT phase, count(*) AS n, CAST(floor(CAST(sum((tokens - cached) * rate_in + cached * coalesce(rate_cache, rate_in)) AS DECIMAL(30, 6)) * 1000 / 1000000 + CAST(0.5 AS DECIMAL(2, 1))) AS BIGINT) AS millis FROM (SELECT phase, CAST(floor(seconds * 1000) AS DECIMAL(18, 0)) AS tokens, CAST(floor(seconds * 250) AS DECIMAL(18, 0)) AS cached FROM ledger) l LEFT JOIN {_RATES} p ON phase = pp GROUP BY phase"
 
 
 @plan
@@ -518,9 +528,9 @@ def gap_islands_low_gain(d):
 
 @plan
 def cache_expiry(d):
-    """Keys of cached pages."""
+    """The newest entry of each key that is not past its time; entries of a key are made when their page is met, a day for each hundred pages."""
     key = "substring(sha256(url), 1, 16)" if d.duck else "substring(sha2(url, 256), 1, 16)"
-    return f"SELECT {key} AS cache_key, max(page_id) AS page FROM pages GROUP BY {key}"
+    return f"SELECT cache_key, max(page_id) AS page, max(age) AS oldest FROM (SELECT {key} AS cache_key, page_id, (SELECT max(page_id) FROM pages) - page_id AS age FROM pages) t WHERE age <= 200 GROUP BY cache_key"
 
 
 @plan
@@ -531,8 +541,13 @@ def rubric_weighted_score(d):
 
 @plan
 def rename_candidates_blocked(d):
-    """Pairs of one source and first word, of like length, with a Dice score of 0.95 or more on their words."""
-    w = f"(SELECT id, {d.each(d.words('text'))} AS w FROM units WHERE n_chars < 4000)"
-    return f"""WITH c AS (SELECT id, w, count(*) AS n FROM {w} x GROUP BY id, w), z AS (SELECT c.id, sum(n) AS total, lang, substring(text, 1, 12) AS block FROM c JOIN units u ON c.id = u.id GROUP BY c.id, lang, substring(text, 1, 12)),
-      p AS (SELECT a.id AS a, b.id AS b, a.total + b.total AS t FROM z a JOIN z b ON a.block = b.block AND a.lang = b.lang AND a.id < b.id WHERE 100 * least(a.total, b.total) >= 85 * greatest(a.total, b.total))
-      SELECT a, b FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b AND y.w = x.w GROUP BY a, b, t HAVING 200 * sum(least(x.n, y.n)) >= 95 * t"""
+    """Pairs of one language, of like length, with a Dice score of 0.95 or more on their words. Equal multisets of words meet once, as a class; classes meet on their rarer words: of a class's words, ordered by how many classes hold them, as many come first as leave out no pair."""
+    w = f"(SELECT id, {d.each(d.words('text'))} AS w FROM units)"
+    sig = f"{d.listed('cw', 'cw', ' ')}"
+    return f"""WITH c AS (SELECT id, w, count(*) AS n FROM {w} x GROUP BY id, w), s AS (SELECT id, {sig} AS sig, sum(n) AS total FROM (SELECT id, n, concat(w, ':', CAST(n AS STRING)) AS cw FROM c) y GROUP BY id),
+      k AS (SELECT s.sig, u.lang, min(s.id) AS cls, min(total) AS total FROM s JOIN units u ON s.id = u.id GROUP BY s.sig, u.lang), of AS (SELECT s.id, k.cls FROM s JOIN units u ON s.id = u.id JOIN k ON k.sig = s.sig AND k.lang = u.lang),
+      m AS (SELECT k.cls, k.lang, k.total, c.w, c.n FROM k JOIN c ON c.id = k.cls), f AS (SELECT w, count(*) AS df FROM m GROUP BY w),
+      o AS (SELECT m.*, coalesce(sum(m.n) OVER (PARTITION BY m.cls ORDER BY f.df, m.w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m JOIN f ON m.w = f.w),
+      p AS (SELECT DISTINCT a.cls AS a, b.cls AS b, a.total + b.total AS t FROM o a JOIN o b ON a.w = b.w AND a.lang = b.lang AND a.cls < b.cls WHERE a.before <= a.total - ceil(a.total * CAST(0.95 AS DOUBLE) / CAST(1.05 AS DOUBLE)) + 1 AND b.before <= b.total - ceil(b.total * CAST(0.95 AS DOUBLE) / CAST(1.05 AS DOUBLE)) + 1 AND 100 * least(a.total, b.total) >= 85 * greatest(a.total, b.total)),
+      q AS (SELECT a, b FROM p JOIN m x ON x.cls = a JOIN m y ON y.cls = b AND y.w = x.w GROUP BY a, b, t HAVING 200 * sum(least(x.n, y.n)) >= 95 * t)
+      SELECT cls AS a, id AS b, 'copy' AS how FROM of WHERE cls <> id UNION ALL SELECT a, b, 'near' FROM q"""

@@ -12,7 +12,7 @@ RELATIONS = {
     "comp": "SELECT p_partkey AS pk, concat(p_brand, '/', p_type, '::', CAST(p_partkey AS STRING)) AS id, concat(p_brand, '/', p_type) AS path, p_brand AS dir, p_type AS kind, p_name AS name, CAST(p_size AS BIGINT) AS tokens FROM part",
     "edge": (
         "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst"
-        " FROM lineitem WHERE l_quantity >= 49) e WHERE dst IS NOT NULL AND src <> dst"
+        " FROM lineitem WHERE l_quantity >= 45) e WHERE dst IS NOT NULL AND src <> dst"
     ),
     "module": "SELECT r_name AS parent, n_name AS name, n_nationkey AS mk, r_regionkey AS pk, concat(r_name, '/', n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey",
     "owned": "SELECT n_nationkey AS mk, concat('s', CAST(s_suppkey AS STRING)) AS cid, s_acctbal AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey, concat('c', CAST(c_custkey AS STRING)), c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey",

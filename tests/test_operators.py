@@ -1,6 +1,6 @@
 import random
 
-from corvane.operators import extract, graph, packing, search
+from corvane.operators import extract, graph, packing
 from corvane.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,12 +21,6 @@ def test_packing(spark):
     assert [r.share for r in packing.water_fill(rows, 16).orderBy("id").collect()] == [4, 4, 3, 4]
 
 
-def test_title_match_ranks_first(spark):
-    units = spark.createDataFrame([(1, "unsign", "", "verify a signature"), (2, "sign", "", "unsign is the reverse")], "id long, title string, path string, content string")
-    assert search.top(search.scores(units, ["unsign"]), 2).first().id == 1
-    assert search.scores(units, ["signa"]).count() == 1
-
-
 def test_similar_pairs_against_brute_force(spark):
     rng = random.Random(7)
     texts = []
