@@ -67,7 +67,7 @@ def test_resolution(spark, components):
     assert bound[4] == ("a.py::Cart.add", 20) and 7 not in bound and 8 not in bound and bound[9] == (None, None) and 10 not in bound
     assert ("b.py::add", "a.py::Cart") in {tuple(r) for r in R.edges(rows, components).collect()}
     assert {r.id: r.called_by for r in R.call_summary(R.edges(rows, components)).collect()}["f.go::only"] == ["c.java::shop.Cart.add"]
-    assert R.entry_points(components, R.edges(rows, components), 1).first().id == "b.py::add" and R.picture(components, R.edges(rows, components)).count() > 8
+    assert R.entry_points(components, R.edges(rows, components), 1).first().id == "a.py::Cart" and R.picture(components, R.edges(rows, components)).count() > 8
     assert {tuple(r) for r in R.project_packages(components).filter("language = 'java'").collect()} == {("java", "shop"), ("java", "far")}
 
 
