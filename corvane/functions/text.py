@@ -136,3 +136,90 @@ def word_boundary(text: Column, name: str) -> Column:
 def first_sentence(text: Column, most: int = 160) -> Column:
     found = F.regexp_extract(text, r"(?s)^(.+?[.!?])(\s|$)", 1)
     return F.left(F.when(found == "", text).otherwise(found), F.lit(most))
+
+
+def in_thousands(n: Column) -> Column:
+    """A count as people write it: 950, 1.2k, 3.4M."""
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(F.concat(F.format_string("%.1f", n / 1_000_000.0), F.lit("M")))
+
+
+def duration(seconds: Column) -> Column:
+    """45s, 3m 05s, 2h 07m."""
+    s = F.floor(F.greatest(F.lit(0), seconds)).cast("long")
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+
+
+def human_size(n: Column) -> Column:
+    """Bytes as B, KB, MB or GB."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).when(n < 1 << 30, F.format_string("%.1f MB", n / float(1 << 20))).otherwise(F.format_string("%.1f GB", n / float(1 << 30)))
+
+
+def dollars(x: Column) -> Column:
+    """$0.0042 below a cent's tenth part, $1.25 else; unknown for null."""
+    return F.when(x.isNull(), "unknown").when(x < 0.1, F.format_string("$%.4f", x.cast("double"))).otherwise(F.format_string("$%.2f", x.cast("double")))
+
+
+def file_parts(path: Column) -> Column:
+    """dir, name, stem and ending of a path."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.struct(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), name.alias("name"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1)).alias("ending"))
+
+
+def epoch(stamp: Column) -> Column:
+    """Seconds since 1970 of an ISO time, with or without zone; null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(stamp, "Z$", "+00:00")).cast("double")
+
+
+def age_days(stamp: Column, now: Column) -> Column:
+    return F.floor((now.cast("timestamp").cast("double") - epoch(stamp)) / 86_400).cast("int")
+
+
+def day_name(prefix: str, ts: Column) -> Column:
+    """prefix-2024-01-31."""
+    return F.concat(F.lit(prefix + "-"), F.date_format(ts, "yyyy-MM-dd"))
+
+
+def clean_list(items: Column, most: int) -> Column:
+    """The first `most` strings that are not blank, trimmed; null is empty."""
+    return F.slice(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != "")), 1, most)
+
+
+def origin(url: Column) -> Column:
+    """Scheme and host of an address, in lower case, without user and the usual port."""
+    host = F.regexp_extract(url, r"^(?i)(https?://)(?:[^/@]*@)?([^/?#]+)", 2)
+    scheme = F.lower(F.regexp_extract(url, r"^(?i)(https?://)", 1))
+    return F.when(scheme == "", None).otherwise(F.concat(scheme, F.regexp_replace(F.lower(host), r":(80|443)$", "")))
+
+
+def repository(url: Column) -> Column:
+    """host/owner/name of a repository's address in any form."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(url), r"^git@([^:]+):", "$1/"), r"^(?i)(?:https?|ssh|git)://(?:[^/@]*@)?", "")
+    return F.lower(F.regexp_replace(plain, r"(\.git)?/*$", ""))
+
+
+# fixed values: names of languages people write
+LANGUAGE_TAGS = {"english": "en", "chinese": "zh", "japanese": "ja", "korean": "ko", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "russian": "ru", "vietnamese": "vi", "italian": "it"}
+
+
+def language_tag(name: Column) -> Column:
+    """The tag of a language by name or tag, region in capitals; English for none."""
+    low = F.lower(F.trim(F.replace(name, F.lit("_"), F.lit("-"))))
+    by_name = F.element_at(F.create_map(*[x for k, v in LANGUAGE_TAGS.items() for x in (F.lit(k), F.lit(v))]), low)
+    tagged = F.when(low.rlike("^[a-z]{2,3}-[a-z]{2}$"), F.concat(F.substring_index(low, "-", 1), F.lit("-"), F.upper(F.substring_index(low, "-", -1)))).otherwise(low)
+    return F.coalesce(by_name, F.when(F.coalesce(low, F.lit("")) == "", "en").otherwise(tagged))
+
+
+def clipped(text: Column, tokens: int) -> Column:
+    """The start of a text that is about so many tokens, up to the last blank."""
+    most = int(tokens * CHARS_PER_TOKEN)
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.left(text, F.lit(most)), r"\s+\S*$", ""))
+
+
+def message_tokens(texts: Column) -> Column:
+    """Tokens of a conversation's messages: each has eight besides its text."""
+    return F.aggregate(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: approx_tokens(F.length(F.coalesce(t, F.lit("")))) + 8), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def counters_merged(a: Column, b: Column) -> Column:
+    """Two maps of counts as one."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
