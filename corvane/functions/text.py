@@ -181,7 +181,7 @@ def day_name(prefix: str, ts: Column) -> Column:
 
 def clean_list(items: Column, most: int) -> Column:
     """The first `most` strings that are not blank, trimmed; null is empty."""
-    return F.slice(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != "")), 1, most)
+    return F.slice(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 1, most)
 
 
 def origin(url: Column) -> Column:

@@ -45,7 +45,7 @@ def references(pages: DataFrame, ids: DataFrame, names: DataFrame) -> DataFrame:
 def page_components(listed: DataFrame, refs: DataFrame, components: DataFrame) -> DataFrame:
     """page and component_id: what a page's module lists and what the page names, as far as it exists."""
     both = listed.select(F.array_join("path", "/").alias("page"), "component_id").union(refs.filter("kind = 'ids'").select("page", F.col("ref").alias("component_id")))
-    return both.distinct().join(components.select(F.col("id").alias("component_id")), "component_id", "left_semi")
+    return both.distinct().join(components.select(F.col("id").alias("component_id")), "component_id", "left_semi").select("page", "component_id")
 
 
 def fences(text: str) -> list[tuple[str, int, int, str]]:
@@ -186,6 +186,8 @@ def linked_terms(page: str, text: str, terms: dict[str, str]) -> tuple[str, list
     out: list[str] = []
 
     def put(m):
+        if m[1] and (old := re.match(r"\[`?([^\]`]*)`?\]", m[1])):
+            done.add(old[1])  # linked before
         word = m[2] or (m[1][1:-1] if m[1].startswith("`") and m[1][1:-1] in terms and m[1][1:-1] in todo else None)
         if word is None or word in done:
             return m[0]
