@@ -52,15 +52,28 @@ def test_sections_and_python():
     assert extract.window_of("x\nthe der\nthe", ["the", "der"], 12) == (2, 3, 3)
 
 
-def test_every_query_runs_and_has_columns_like_its_sql(spark):
+def _plain(v):
+    return round(v, 6) if isinstance(v, float) else v
+
+
+#: Seconds each on the smallest tables, as their loops start many jobs; graphs of their kind are tested above.
+SLOW = {"similarity_ratio"}
+
+
+def test_every_query_gives_what_its_sql_gives(spark):
     import duckdb
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("graph_diff_counts", "page_links", "owner_map_deepest", "pack_skip_greedy"):
-        df = QUERIES[name](spark, SF)
+    wrong = []
+    for name in sorted(set(QUERIES) - SLOW):
+        rows = QUERIES[name](spark, SF)
+        got = rows.collect()
+        if name not in ORACLE_SQL:
+            continue
         want = con.sql(ORACLE_SQL[name])
-        assert sorted(df.columns) == sorted(want.columns)
-        key = sorted(df.columns)
-        assert sorted(map(repr, [tuple(r[c] for c in key) for r in df.collect()])) == sorted(repr(tuple(r[want.columns.index(c)] for c in key)) for r in want.fetchall())
+        key = sorted(rows.columns)
+        if key != sorted(want.columns) or sorted(repr([_plain(r[c]) for c in key]) for r in got) != sorted(repr([_plain(r[want.columns.index(c)]) for c in key]) for r in want.fetchall()):
+            wrong.append(name)
+    assert not wrong
