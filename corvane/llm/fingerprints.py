@@ -107,7 +107,7 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` as key, row, doc_id, next_row, text and edited_text: the last quarter gives way to as much of the next document.
+    """Rows of `docs` as key, row, doc_id, next_row, next_id, text and edited_text: the last quarter gives way to as much of the next document.
 
     `key` stands for doc_id and is never null. Both joins need the same columns of the texts partitioned by it, so that
     one shuffle of the texts serves both, and all that follows per text."""
@@ -117,15 +117,15 @@ def edited(docs: DataFrame) -> DataFrame:
     # how much of each next document is wanted, and by whom
     most = base.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("most"))
     wanted = most.join(follow, "doc_id").select(F.col("doc_id").cast("string").alias("for_key"), F.col("next_id").cast("string").alias("key"), "most")
-    heads = base.join(wanted, "key").select("for_key", F.struct("row", F.expr("left(text, cast(most as int))").alias("head")).alias("h"))
-    heads = heads.groupBy(F.col("for_key").alias("key")).agg(F.min("h").alias("h")).select("key", F.col("h.row").alias("next_row"), "h.head")
+    heads = base.join(wanted, "key").select("for_key", F.struct("row", F.expr("left(text, cast(most as int))").alias("head"), F.col("doc_id").alias("next_id")).alias("h"))
+    heads = heads.groupBy(F.col("for_key").alias("key")).agg(F.min("h").alias("h")).select("key", F.col("h.row").alias("next_row"), "h.next_id", "h.head")
     text = F.expr("concat(left(text, cast(length(text) - length(text) div 4 as int)), left(coalesce(head, ''), cast(length(text) div 4 as int)))")
-    return base.join(heads, "key", "left").select("key", "row", "doc_id", "next_row", "text", text.alias("edited_text"))
+    return base.join(heads, "key", "left").select("key", "row", "doc_id", "next_row", "next_id", "text", text.alias("edited_text"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    own = ["key", "row", "doc_id", "next_row", "n_chars"]
+    own = ["key", "row", "doc_id", "next_row", "next_id", "n_chars"]
     both_ways = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(k).alias("kind"), F.col(c).alias("text")) for v, c in enumerate(("text", "edited_text")) for k in (0, 1)])
     texts = edited(docs).select(*own[:-1], F.length("text").cast("long").alias("n_chars"), F.inline(both_ways))
     keyed = texts.withColumn("edited_sha256", F.when((F.col("version") == 1) & (F.col("kind") == 0), F.sha2(F.col("text").cast("binary"), 256)))
