@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes of chunks whose ids a worker keeps, so that two workers fit beside the JVM.
 KEEP_BYTES = 96 << 20
 #: Pieces of one length that a task ranks, and the most such tasks there are in all besides one for each length.
-SALT_ROWS, MOST_SALTS = 20_000, 100_000
+SALT_ROWS, MOST_SALTS = 1000, 100_000
 
 
 def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
