@@ -16,7 +16,7 @@ rows are scored each; an empty table gives no rows. Columns other than doc_id, t
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import small_batches
@@ -91,7 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     share = {y: min(1.0, 4 * sample / n) for y, n in prior.items()}
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     few = known.withColumn("_draw", draw).filter(F.col("_draw") <= F.when(F.col("quality") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
-    chosen = few.withColumn("_nth", F.row_number().over(Window.partitionBy("quality").orderBy("_draw", "doc_id"))).filter(F.col("_nth") <= sample).select("doc_id", "quality")
+    # the rows of the smallest draws of each label: every task keeps `sample` at the most
+    first = lambda y: few.filter(F.col("quality") == y).orderBy("_draw", "doc_id").limit(sample).select("doc_id", "quality")
+    chosen = first(0).unionByName(first(1))
 
     def features(batches):
         import pyarrow as pa
