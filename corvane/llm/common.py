@@ -101,7 +101,7 @@ class ChunkEncoder:
         room = Room(keep)
         self.parts = _Kept(self._part, room)
         self.first = _Kept(self._chunk, room)
-        self.rest = self.first if self.by_word else _Kept(lambda piece: self._chunk(" " + piece), room)
+        self.rest = self.first if self.by_word else _Kept(self._after_blank, room)
         self.odd = re.compile(r"[\x1c-\x1f]").search
         self.other_space = re.compile(r"[^\S \n]").search
         self.chunks = re.compile(r"\s*\S+|\s+\Z").findall
@@ -137,18 +137,37 @@ class ChunkEncoder:
             return bare + self.parts[marks]
         return b"".join(map(self.parts.__getitem__, self.split(chunk)))
 
+    def _after_blank(self, piece: str) -> bytes:
+        """The ids of a blank and `piece`, which has no blank. Words, the most frequent case, first."""
+        word = piece.rstrip(PUNCTUATION)
+        if word.isalpha():
+            if word.isascii():
+                if len(word) == len(piece):
+                    return array("I", [t.id for t in self.model.tokenize(self.blank + piece)]).tobytes()
+                if "<|" not in piece:
+                    return self.rest[word] + self.parts[piece[len(word) :]]
+        elif self.other_space(piece):
+            raise _OtherSpace
+        return self._chunk(" " + piece)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.odd(text):
-            return self._ids(text)
         if self.by_word:
-            return b"".join(map(self.first.__getitem__, text.split()))
-        if self.other_space(text) or "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace():
-            return b"".join(map(self.first.__getitem__, self.chunks(text)))
-        head, *pieces = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
+            return self._ids(text) if self.odd(text) else b"".join(map(self.first.__getitem__, text.split()))
+        if not ("  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()):
+            head, *pieces = text.split(" ")
+            if not self.other_space(head):
+                try:  # a piece with other white space is never kept, so each one is noticed
+                    return self.first[head] + b"".join(map(self.rest.__getitem__, pieces))
+                except _OtherSpace:
+                    pass
+        return self._ids(text) if self.odd(text) else b"".join(map(self.first.__getitem__, self.chunks(text)))
+
+
+class _OtherSpace(Exception):
+    """White space other than blanks and line ends is in a piece."""
 
 
 class Room:
