@@ -197,6 +197,15 @@ def repository(url: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"(\.git)?/*$", ""))
 
 
+def repository_parts(url: Column) -> Column:
+    """owner, name and full_name of a repository's address, by its last two parts; unknown where it has fewer."""
+    parts = F.split(F.regexp_replace(url, r"/+$", ""), "/")
+    known = F.size(parts) > 1
+    owner = F.when(known, F.get(parts, F.size(parts) - 2)).otherwise("unknown")
+    name = F.when(known, F.replace(F.get(parts, F.size(parts) - 1), F.lit(".git"), F.lit(""))).otherwise("unknown")
+    return F.struct(owner.alias("owner"), name.alias("name"), F.when(known, F.concat(owner, F.lit("/"), name)).otherwise("unknown").alias("full_name"))
+
+
 # fixed values: names of languages people write
 LANGUAGE_TAGS = {"english": "en", "chinese": "zh", "japanese": "ja", "korean": "ko", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "russian": "ru", "vietnamese": "vi", "italian": "it"}
 

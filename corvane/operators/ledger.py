@@ -148,6 +148,14 @@ def makespans(jobs: DataFrame, concurrency: list[int]) -> DataFrame:
     return jobs.select("run", "id", "parent", "seconds", "ord").groupBy("run").applyInPandas(run, f"run {kind}, slots int, makespan double, serial double, critical double")
 
 
+def slots_held(events: DataFrame, slots: int) -> DataFrame:
+    """`events` (run, ord, kind) with held, the slots in use after each, and over, how many of them are more than there are. A job takes one (hold), gives it back
+    (release), or lends it while its children run (lend) and takes it again (resume); other kinds change nothing. A run has at least one slot."""
+    step = F.when(F.col("kind").isin("hold", "resume"), 1).when(F.col("kind").isin("release", "lend"), -1).otherwise(0)
+    held = F.sum(step).over(Window.partitionBy("run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("held", held).withColumn("over", F.greatest(F.lit(0), F.col("held") - max(1, slots)))
+
+
 def log_statistics(lines: DataFrame) -> DataFrame:
     """run, errors, retries, turns (mean of those told) and lines of a benchmark's log (run, line)."""
     turn = F.regexp_extract("line", r"(?i)\bturns?[=: ]+(\d+)", 1)

@@ -511,6 +511,25 @@ def schedules(spark, sf_dir):
     return ledger.makespans(rows, [1, 4])
 
 
+@query("""SELECT user_id AS run, event_id AS ord, held, greatest(0, held - 2) AS over FROM (SELECT user_id, event_id, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN 1 WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS held FROM events)""")
+def slots_lent(spark, sf_dir):
+    """Slots held by jobs that lend theirs while children run; events of a user stand for a run's."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "hold", "view", "resume", "purchase", "lend", "error", "release", "signup", "wait")]), F.col("event_type"))
+    return ledger.slots_held(load(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), kind.alias("kind")), 2).drop("kind")
+
+
+@query("""SELECT user_id AS ask, event_id AS n, '{"type":"' || event_type || '","id":' || event_id || '}' AS line FROM events
+LEFT JOIN (SELECT user_id, min(event_id) AS ended FROM events WHERE event_type = 'signup' AND value > 100 GROUP BY user_id) USING (user_id)
+LEFT JOIN (SELECT user_id, min(event_id) AS gone FROM events WHERE event_type = 'error' AND value > 100 GROUP BY user_id) USING (user_id)
+WHERE (ended IS NULL OR event_id < ended) AND (gone IS NULL OR event_id <= gone)""")
+def answer_stream(spark, sf_dir):
+    """Events of answers as lines, up to their end or to where the reader left; events of a user stand for an answer's."""
+    rows = load(spark, sf_dir, "events")
+    high = F.col("value") > 100
+    sent = rows.select(F.col("user_id").alias("ask"), F.col("event_id").alias("n"), F.when(high & (F.col("event_type") == "signup"), "end").otherwise(F.col("event_type")).alias("type"), F.col("event_id").alias("id"))
+    return sessions.answer_lines(sent, rows.filter(high & (F.col("event_type") == "error")).select(F.col("user_id").alias("ask"), F.col("event_id").alias("n")))
+
+
 @query()
 def answer_reading(spark, sf_dir):
     """What is read of the best units under a budget, and what is left."""

@@ -115,3 +115,14 @@ def progress(events: DataFrame, cached: float = 2.0) -> DataFrame:
         one(done & (F.col("seconds") < cached)).alias("cached"), one(done & (F.col("seconds") >= cached)).alias("timed"),
         F.round(F.sum(F.when(done & (F.col("seconds") >= cached), F.col("seconds")).otherwise(0.0)), 6).alias("seconds"),
     )
+
+
+def answer_lines(events: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """`events` (ask, n, type and what they carry) of answers as ask, n and line, a JSON object each. An answer ends before its first event
+    of type end. Of `stops` (ask, n: the last event the reader took), the least n of an ask ends its answer after that event."""
+    ends = events.filter(F.col("type") == "end").groupBy("ask").agg(F.min("n").alias("_end"))
+    lines = events.select("ask", "n", F.to_json(F.struct(*[c for c in events.columns if c not in ("ask", "n")])).alias("line"))
+    sent = lines.join(ends, "ask", "left").filter(F.col("_end").isNull() | (F.col("n") < F.col("_end")))
+    if stops is not None:
+        sent = sent.join(stops.groupBy("ask").agg(F.min("n").alias("_stop")), "ask", "left").filter(F.col("_stop").isNull() | (F.col("n") <= F.col("_stop")))
+    return sent.select("ask", "n", "line")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, search
+from corvane.operators import graph, ledger, search
 from corvane.streaming import sessions
 
 
@@ -64,3 +64,17 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in states.collect()} == {(1, "c"), (2, "d")}
     told = sessions.into_table(sessions.throttled_stream(sessions.read_stream(spark, at).select(F.col("user_id").alias("key"), "ts")), "update")
     assert {(r.key, r.n) for r in told.collect()} == {(1, 1), (1, 2), (1, 3), (2, 1)}
+
+
+def test_answer_lines(spark):
+    events = spark.createDataFrame([(1, 1, "step", "x"), (1, 2, "answer", 'q"\n'), (1, 3, "end", None), (1, 4, "late", "y"), (2, 1, "step", None), (2, 2, "answer", "z")], "ask long, n long, type string, text string")
+    stops = spark.createDataFrame([(2, 1), (2, 2)], "ask long, n long")
+    both = [tuple(r) for r in sessions.answer_lines(events, stops).orderBy("ask", "n").collect()]
+    assert both == [(1, 1, '{"type":"step","text":"x"}'), (1, 2, '{"type":"answer","text":"q\\"\\n"}'), (2, 1, '{"type":"step"}')]
+    assert sessions.answer_lines(events).count() == 4 and sessions.answer_lines(events.limit(0)).count() == 0
+
+
+def test_lent_slots(spark):
+    kinds = ["hold", "lend", "hold", "hold", "note", "release", "resume", "release", "release"]
+    rows = ledger.slots_held(spark.createDataFrame([("r", i, k) for i, k in enumerate(kinds)], "run string, ord long, kind string"), 1).orderBy("ord").collect()
+    assert [r.held for r in rows] == [1, 0, 1, 2, 2, 1, 2, 1, 0] and [r.over for r in rows] == [0, 0, 0, 1, 1, 0, 1, 0, 0]
