@@ -9,7 +9,7 @@ import uuid
 from array import array
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.session import discard, shared_dir, ship_package, stored  # noqa: F401
@@ -196,3 +196,21 @@ class _Kept(dict):
 def texts_of(batch, name: str = "text") -> Iterable[str]:
     """The texts of an Arrow batch, null as empty."""
     return (x or "" for x in batch.column(name).to_pylist())
+
+
+def ranked(rows: DataFrame, group: str, order: list) -> tuple[DataFrame, DataFrame]:
+    """`rows`, stored, with `rank` (from 0) within each value of `group` (null is one) by `order`; and group, n of each value.
+
+    Rows are dealt out by ranges of (group, order), so a hot group spreads over many tasks. Each task numbers what it has; how many rows of a group lie
+    in the ranges before is added from a table of a row per range and group that meet, which is broadcast: at most partitions + groups rows.
+    """
+    spark = rows.sparkSession
+    keys = [F.col(group).asc(), *order]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    numbered = written(numbered, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    sizes = written(numbered.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")), "ranks")
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("_part").alias("_p"), F.col(group).alias("_g"), (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = numbered.join(F.broadcast(shift), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g"))).withColumn("rank", F.col("_at") + F.col("_shift"))
+    return out.select(*rows.columns, "rank"), sizes.groupBy(group).agg(F.sum("_n").alias("n"))

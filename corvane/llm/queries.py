@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, fingerprints, lm_score, near_dedup, packing, quality, token_counts, token_output
+from corvane.llm import bpe, chat, exact_dedup, fingerprints, lm_score, merkle, near_dedup, packing, quality, token_counts, token_output
 from corvane.llm.common import scratch, table, written
 
 
@@ -84,5 +84,51 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format)}
-ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = merkle.leaves_of(table(spark, sf_dir, "documents"), merkle.tampered_text())
+    return merkle.proofs(merkle.build(leaves)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in merkle.FIELDS[:-1])
+#: The unsigned CRC-32 of the decimal doc_id, bit by bit.
+_CRC32 = (
+    "xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT),"
+    " lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+)
+OP13_SQL = f"""
+WITH RECURSIVE tampered AS (
+  SELECT *, {_FIELDS} AS head, dense_rank() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS lang_no,
+    CASE WHEN {_CRC32} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now FROM documents),
+digests AS (
+  SELECT doc_id, lang_no, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS leaf_now FROM tampered),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang_no ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang_no) AS n, row_number() OVER (ORDER BY lang_no, doc_id NULLS FIRST, leaf) AS k FROM digests),
+node AS (
+  SELECT lang_no, 0 AS h, i, leaf AS d, n FROM leaf
+  UNION ALL SELECT lang_no, h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM node WHERE n > 1 GROUP BY lang_no, h, i // 8, n),
+subroot AS (SELECT lang_no, d FROM node WHERE n = 1),
+above AS (
+  SELECT 0 AS h, lang_no AS i, d, count(*) OVER () AS n FROM subroot
+  UNION ALL SELECT h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (n + 7) // 8 FROM above WHERE n > 1 GROUP BY h, i // 8, n),
+step AS (
+  SELECT lang_no, h, i, coalesce(string_agg(d, '') OVER (PARTITION BY lang_no, h, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '') OVER (PARTITION BY lang_no, h, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM node WHERE n > 1),
+step_above AS (
+  SELECT h, i, coalesce(string_agg(d, '') OVER (PARTITION BY h, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '') OVER (PARTITION BY h, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM above WHERE n > 1),
+path AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY up, h) - 1 AS nth, l, r FROM (
+    SELECT k, 0 AS up, h, l, r FROM leaf JOIN step ON step.lang_no = leaf.lang_no AND step.i = leaf.i >> (3 * h)
+    UNION ALL SELECT k, 1, h, l, r FROM leaf JOIN step_above ON step_above.i = leaf.lang_no >> (3 * h)) x),
+proof AS (SELECT k, sha256(string_agg(l || r, '' ORDER BY nth)) AS proof_sha256 FROM path GROUP BY k),
+fold AS (
+  SELECT k, 0 AS nth, leaf_now AS d FROM leaf
+  UNION ALL SELECT fold.k, fold.nth + 1, sha256(l || d || r) FROM fold JOIN path ON path.k = fold.k AND path.nth = fold.nth),
+folded AS (SELECT k, arg_max(d, nth) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot.d AS subroot, above.d AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = above.d AS verified
+FROM leaf JOIN subroot USING (lang_no) JOIN folded USING (k) LEFT JOIN proof USING (k) CROSS JOIN (SELECT d FROM above WHERE n = 1) above
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format, op13_merkle_manifest)}
+ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
