@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, fingerprints, lm_score, merkle, near_dedup, packing, quality, token_counts, token_output
+from corvane.llm import bpe, chat, collocations, exact_dedup, fingerprints, lm_score, merkle, near_dedup, packing, quality, token_counts, token_output
 from corvane.llm.common import scratch, table, written
 
 
@@ -84,6 +84,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH text AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+piece AS (SELECT lang, piece, row_number() OVER () AS p FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM text) x),
+word AS (SELECT lang, p, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT lang, p, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece) x),
+start AS (SELECT lang, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM word WINDOW p AS (PARTITION BY p ORDER BY i)),
+gram AS (
+  SELECT lang, 1 AS m, w1 AS phrase, count(*) AS a FROM start GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM start WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM start WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM start WHERE w4 IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM gram WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM gram WHERE m > 1 AND a >= 30),
+cut AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:m], ' ') AS rest FROM cand, range(1, 4) AS t(k) WHERE k < m),
+scored AS (
+  SELECT cut.lang, cut.m, cut.phrase, cut.a, k, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * cut.a) // (l.a::HUGEINT + r.a) AS BIGINT) AS score
+  FROM cut JOIN gram l ON l.lang = cut.lang AND l.m = k AND l.phrase = first JOIN gram r ON r.lang = cut.lang AND r.m = cut.m - k AND r.phrase = rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (SELECT DISTINCT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM cand, range(1, 4) AS t(i), range(2, 4) AS u(s) WHERE s < m AND i + s - 1 <= m),
+kept AS (SELECT * FROM weakest WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.lang = weakest.lang AND part.phrase = weakest.phrase AND 100::HUGEINT * part.a >= 80::HUGEINT * weakest.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = merkle.leaves_of(table(spark, sf_dir, "documents"), merkle.tampered_text())
     return merkle.proofs(merkle.build(leaves)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -130,5 +158,5 @@ FROM leaf JOIN subroot USING (lang_no) JOIN folded USING (k) LEFT JOIN proof USI
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format, op13_merkle_manifest)}
-ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format, op12_collocations, op13_merkle_manifest)}
+ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op12_collocations": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
