@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, collocations, exact_dedup, fingerprints, lm_score, merkle, near_dedup, packing, quality, token_counts, token_output
+from corvane.llm import bpe, chat, collocations, exact_dedup, fingerprints, langid, lm_score, merkle, near_dedup, packing, quality, token_counts, token_output
 from corvane.llm.common import scratch, table, written
 
 
@@ -84,6 +84,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, langid.fit(docs.filter(quality.remainder(4) != 2)))
+    return predicted.select("doc_id", F.coalesce(quality.remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_second", "ambiguous")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top(table(spark, sf_dir, "documents"))
 
@@ -158,5 +164,5 @@ FROM leaf JOIN subroot USING (lang_no) JOIN folded USING (k) LEFT JOIN proof USI
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format, op12_collocations, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_minhash_near_dedup, op4_quality_classifier, op5_token_output, op6_lm_scoring, op7_best_fit_packing, op8_exact_dedup, op9_bpe, op10_chat_format, op11_language_id, op12_collocations, op13_merkle_manifest)}
 ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op12_collocations": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
