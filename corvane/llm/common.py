@@ -44,6 +44,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """`name`, or with a number after it, so that it is none of the columns `taken`."""
+    taken = {x.lower() for x in taken}
+    return next(x for i in range(len(taken) + 1) if (x := f"{name}{i or ''}") not in taken)
+
+
 def ascii_lower(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ascii_lower, discard, scratch, written
+from corvane.llm.common import ascii_lower, discard, free_name, scratch, written
 
 #: Digests of more than a thousandth of a batch's rows are joined by broadcast; there are fewer than 1000, as the batch's groups add up to its rows.
 HOT_SHARE = 1000
@@ -119,11 +119,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     marked = written(mark(docs, index, batch), "marked")
     key = F.col("doc_id").cast("long")
     if marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count() == 0:
-        gone = marked.filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+        name = free_name(docs.columns, "_gone")
+        gone = marked.filter("NOT kept").select(F.col("doc_id").alias(name))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-        return docs.join(gone, key == F.col("_gone"), "left_anti")
+        return docs.join(gone, key == F.col(name), "left_anti")
     # a doc_id does not name a row: by doc_id and digest, and one row of each
-    name = next(x for x in (f"_digest{i}" for i in range(len(docs.columns) + 1)) if x not in map(str.lower, docs.columns))
-    stay = marked.filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
-    both = docs.withColumn(name, digest()).join(stay, key.eqNullSafe(F.col("_stay_id")) & (F.col(name) == F.col("_stay_digest")), "left_semi")
+    name, stay_id, stay_digest = (free_name(docs.columns, x) for x in ("_digest", "_stay_id", "_stay_digest"))
+    stay = marked.filter("kept").select(F.col("doc_id").alias(stay_id), F.col("digest").alias(stay_digest)).distinct()
+    both = docs.withColumn(name, digest()).join(stay, key.eqNullSafe(F.col(stay_id)) & (F.col(name) == F.col(stay_digest)), "left_semi")
     return both.dropDuplicates(["doc_id", name]).drop(name)

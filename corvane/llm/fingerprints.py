@@ -11,9 +11,10 @@ Four lanes share a 64-bit word, 16 bits apart, so a plain sum adds four lanes. A
 blocks of 2048 paragraphs, in which no lane can reach its neighbour (15 * 2048 < 2**15), and lanes are taken modulo 2**16 where
 blocks meet. A long document is thus many small partial sums.
 
-Likeness: sentences are summed apart in the same way, for likeness only. Their lanes, less their mean of 7.5 a sentence, are random projections of the multiset, so the cosine of
+Likeness: a text's sentences are summed in the same way, and a fingerprint holds both sums: number of paragraphs and their lanes, then number of sentences and theirs. The sentences' lanes, less
+their mean of 7.5 a sentence, are random projections of the multiset, so the cosine of
 two texts' lanes estimates that of the two multisets; below 0 counts as 0, and equal fingerprints have likeness 1. The
-estimate's standard error is at most 1/sqrt(128); wrapped lanes (thousands of copies of one sentence) only blur it.
+estimate's standard error is at most 1/sqrt(128); wrapped lanes (thousands of copies of one sentence) only blur it. `likeness_between` gives it for any two fingerprints, without their texts.
 
 Defined cases: a null or empty text is one empty paragraph and sentence; repeated ones count as often as they stand; rows that repeat a
 doc_id are fingerprinted each, and the next document of a doc_id is, of the rows of the next larger doc_id, the one that lies first in the table; a null doc_id
@@ -71,10 +72,28 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def as_text(words: Column, units: Column) -> Column:
-    """The fingerprint in hexadecimal digits: the number of paragraphs, then the lanes."""
+    """A sum in hexadecimal digits: the number of units, then the lanes."""
     return F.concat(F.lpad(F.hex(units), 8, "0"), F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 16, "0")), ""))
 
 
+#: Digits of one of the two sums of a fingerprint.
+DIGITS = 8 + 16 * WORDS
+
+
+def sentence_sum(fingerprint: Column) -> Column:
+    """units and words of the sentences, read from a fingerprint."""
+    number = lambda at, n: F.conv(F.substring(fingerprint, at, n), 16, 10)
+    half = lambda at: number(at, F.lit(8)).cast("long")  # noqa: E731  two halves, as a word may pass a signed integer
+    words = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.shiftleft(half(F.lit(DIGITS + 9) + i * 16), 32).bitwiseOR(half(F.lit(DIGITS + 17) + i * 16)))
+    return F.struct(half(F.lit(DIGITS + 1)).alias("units"), words.alias("words"))
+
+
+def likeness_between(a: Column, b: Column) -> Column:
+    """How like the texts of two fingerprints are, 0 to 1, from the fingerprints alone."""
+    x, y = (lanes(sentence_sum(c)["words"], sentence_sum(c)["units"]) for c in (a, b))
+    return likeness(x, y, _dot(x, x), _dot(y, y), a == b)
+
+
 def lanes(words: Column, units: Column) -> Column:
     """Twice the lanes less their mean, signed, as doubles."""
     def centred(w: Column, j: int) -> Column:
@@ -111,8 +130,9 @@ def edited(docs: DataFrame) -> DataFrame:
 
     `key` stands for doc_id and is never null. Both joins need the same columns of the texts partitioned by it, so that
     one shuffle of the texts serves both, and all that follows per text."""
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")).alias("key")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), key, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # a row without a doc_id has a key of its own, so that many of them do not meet
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))).alias("key")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("row", key, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     follow = next_ids(docs)
     # how much of each next document is wanted, and by whom
     most = base.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("most"))
@@ -135,10 +155,11 @@ def compare(docs: DataFrame) -> DataFrame:
     sums = [of(v, k, c).alias(f"{a}{b}{c}") for v, a in enumerate(("", "e_")) for k, b in enumerate(("p_", "")) for c in ("units", "words")]
     both = fingerprint(keyed, [*own, "version", "kind", "edited_sha256"], parts).groupBy(*own).agg(F.max("edited_sha256").alias("edited_sha256"), *sums)
     prints = written(both.drop("key"), "fingerprints").withColumn("same", F.xxhash64("p_units", "p_words"))
+    whole = lambda p: F.concat(as_text(F.col(f"{p}p_words"), F.col(f"{p}p_units")), as_text(F.col(f"{p}words"), F.col(f"{p}units")))
     near = lambda p, same: likeness(F.col("lanes"), F.col(f"{p}lanes"), _dot(F.col("lanes"), F.col("lanes")), _dot(F.col(f"{p}lanes"), F.col(f"{p}lanes")), same)
     of_lanes = lambda rows, *ps: rows.withColumns({f"{p}lanes": lanes(F.col(f"{p}words"), F.col(f"{p}units")) for p in ps})
     # the likeness to the edited text first, so that its sums do not move
-    here = of_lanes(prints, "", "e_").withColumn("near_edited", near("e_", (F.col("p_words") == F.col("e_p_words")) & (F.col("p_units") == F.col("e_p_units")))).drop("lanes", "e_lanes", "e_words", "e_units")
+    here = of_lanes(prints, "", "e_").withColumn("near_edited", near("e_", (F.col("p_words") == F.col("e_p_words")) & (F.col("p_units") == F.col("e_p_units")))).drop("lanes", "e_lanes")
     after = prints.select(F.col("row").alias("next_row"), F.col("units").alias("n_units"), F.col("words").alias("n_words"), F.col("same").alias("n_same"))
     row = of_lanes(here.join(after, "next_row", "left"), "", "n_").withColumn("near_next", near("n_", F.col("same") == F.col("n_same")))
-    return row.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("p_words"), F.col("p_units")).alias("fingerprint"), as_text(F.col("e_p_words"), F.col("e_p_units")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return row.select("doc_id", "n_chars", "edited_sha256", whole("").alias("fingerprint"), whole("e_").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -203,8 +203,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def contexts(codes: DataFrame, of_top: np.ndarray) -> DataFrame:
-    """code, key and n: how often each word without a class in `of_top` (by code) stands between two classes; key is 64 * before + after, each a class, OTHER or SELF."""
+def contexts(codes: DataFrame, of_top: np.ndarray, broadcast_words: bool) -> DataFrame:
+    """code, key and n: how often each word without a class in `of_top` (by code) stands between two classes; key is 64 * before + after, each a class, OTHER or SELF.
+    Either of the words that are broadcast (codes above 0), summed up for each GATHER codes, or of all others, a row each time."""
     shared = codes.sparkSession.sparkContext.broadcast(of_top)
 
     def run(batches):
@@ -219,10 +220,12 @@ def contexts(codes: DataFrame, of_top: np.ndarray) -> DataFrame:
             before[(at > 0) & (x[at - 1] == code)] = SELF
             after[x[at + 1] == code] = SELF
             key = 64 * before + after
-            few = code > 0
-            pair, n = np.unique(code[few] * 4096 + key[few], return_counts=True)
-            n = np.concatenate([n, np.ones((~few).sum(), np.int64)])
-            code, key = np.concatenate([pair // 4096, code[~few]]), np.concatenate([pair % 4096, key[~few]]).astype(np.int32)
+            own = (code > 0) == broadcast_words
+            code, key = code[own], key[own].astype(np.int32)
+            n = np.ones(len(code), np.int64)
+            if broadcast_words:
+                pair, n = np.unique(code * 4096 + key, return_counts=True)
+                code, key = pair // 4096, (pair % 4096).astype(np.int32)
             for i in range(0, len(n), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 50_000]), pa.array(key[i : i + 50_000]), pa.array(n[i : i + 50_000])], names=["code", "key", "n"])
 
@@ -277,8 +280,10 @@ def classes_of(codes: DataFrame, of_top: np.ndarray, table: np.ndarray) -> DataF
             of[once] = [seen[k] for k in key[first[once]].tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(c), pa.array(of)], names=["code", "c", "class"])
 
-    # a word has at most 64**2 keys
-    sums = contexts(codes, of_top).repartition("code").groupBy("code", "key").agg(F.sum("n").alias("n"))
+    # a word has at most 64**2 keys. The frequent words' rows are summed before they move, and dealt by key, too, before a word's keys meet;
+    # no other word is frequent, so theirs move once
+    summed = lambda x: x.groupBy("code", "key").agg(F.sum("n").alias("n"))
+    sums = summed(contexts(codes, of_top, True)).unionByName(summed(contexts(codes, of_top, False).repartition("code")))
     return sums.groupBy("code").agg(F.collect_list(F.struct("key", "n")).alias("around")).mapInArrow(run, "code long, c long, class int")
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Room, _Kept, discard, small_batches, written
+from corvane.llm.common import Room, _Kept, discard, free_name, small_batches, written
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -200,15 +200,15 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def unresolved(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, as key, i, j (a pair of blocks), own, node, component, sig, bands."""
+def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, as key, i, j (a pair of blocks), own, node, component. A member stands here once for every block of its
+    bucket, so its signature is not carried along: it joins the group where the group is compared."""
     spread = members.join(found.select(F.col("id").alias("node"), F.col("least").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).filter("lo != hi AND size > 2").select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = spread.join(mixed, "key").filter("node != leader")
     # a member of block i meets block j in the group of (i, j)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "component")
-    return rows.join(nodes.select("node", "sig", "bands"), "node")
+    return rows.select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "component")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -260,8 +260,8 @@ def _arrays(held):
     return own, node, component, sig.view(np.uint64), bands
 
 
-def late_links(rows: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) between components inside the groups of `rows`. A task gives the links that join components, no others."""
+def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components inside the groups of `rows`, whose signatures are in `nodes`. A task gives the links that join components, no others."""
 
     def involve(batches):
         import pyarrow as pa
@@ -272,10 +272,11 @@ def late_links(rows: DataFrame, docs: DataFrame, width: int, threshold: int) ->
             at = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), group[k]), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(node[at]), pa.array(own[at], pa.int32())], names=["key", "i", "j", "node", "own"])
 
-    involved = written(grouped(rows).mapInArrow(involve, "key long, i int, j int, node long, own int"), "involved")
+    signed = nodes.select("node", "sig", "bands")
+    involved = written(grouped(rows.join(signed, "node")).mapInArrow(involve, "key long, i int, j int, node long, own int"), "involved")
     sets_table = sets_of(involved.select(F.col("node").alias("doc_id")).distinct(), docs, width)
     sets = sets_table.withColumnRenamed("id", "node")
-    full = involved.join(rows.select("key", "i", "j", "own", "node", "component", "sig", "bands"), ["key", "i", "j", "node", "own"]).join(sets, "node")
+    full = involved.join(rows, ["key", "i", "j", "node", "own"]).join(signed, "node").join(sets, "node")
 
     def link(batches):
         import pyarrow as pa
@@ -350,9 +351,9 @@ def mark(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> D
     links = written(confirm(candidates, docs, width, threshold).unionByName(shared), "confirmed")
     discard(first, candidates)
     joined = components(links)
-    more = written(unresolved(members, joined, nodes), "unresolved")
+    more = written(unresolved(members, joined), "unresolved")
     if more.limit(1).count():
-        late = late_links(more, docs, width, threshold)
+        late = late_links(more, nodes, docs, width, threshold)
         if late.limit(1).count():
             joined = components(links.unionByName(late))
     by_set = groups.join(joined.withColumnRenamed("id", "node"), "node", "left").select("set_id", "size", F.coalesce("least", "node").alias("component_id"))
@@ -372,5 +373,6 @@ def screened(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs` that stay, one document of each component, all columns unchanged."""
-    gone = mark(docs, width, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = mark(docs, width, threshold).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

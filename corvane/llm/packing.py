@@ -24,6 +24,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corvane.llm.common import ChunkEncoder, small_batches, texts_of, tokenizer_path, written
 
@@ -206,20 +207,25 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = parts.withColumn("_nth", F.row_number().over(nth) - 1).join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_nth") + F.col("_before")).drop("_salt", "_nth", "_before")
     names = [c for c in ranked.columns if c != "_rank"]
 
-    def assign(frames):
+    schema = StructType([f for f in ranked.schema if f.name != "_rank"]).add("sequence_id", "long").add("offset", "long")
+
+    def assign(batches):
         import numpy as np
+        import pyarrow as pa
 
         known = {w: tuple(map(np.asarray, x)) for w, x in runs.value.items()}
-        for frame in frames:
-            frame["sequence_id"] = frame["offset"] = np.int64(0)
-            for w, group in frame.groupby("length"):
+        for batch in batches:
+            lengths, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for w in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == w)
                 ranks, bases, offsets = known[w]
-                i = np.searchsorted(ranks, group["_rank"].to_numpy(), side="right") - 1
-                frame.loc[group.index, "sequence_id"] = bases[i] + group["_rank"].to_numpy() - ranks[i]
-                frame.loc[group.index, "offset"] = offsets[i]
-            yield frame[[*names, "sequence_id", "offset"]]
+                i = np.searchsorted(ranks, rank[at], side="right") - 1
+                sequence[at], offset[at] = bases[i] + rank[at] - ranks[i], offsets[i]
+            # the columns pass through as they are: a null beside a large doc_id changes nothing
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInPandas(assign, ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long").select(*[c for c in parts.columns if c != "_salt"], "sequence_id", "offset")
+    return ranked.mapInArrow(assign, schema).select(*[c for c in parts.columns if c != "_salt"], "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ overwritten, so commits are idempotent; totals are the sums over complete batche
 base and remembers the ids that it holds; it counts once its marker file exists.
 
 Defined cases: a null text counts as empty (0 tokens); null source or lang are keys of their own; a document given
-twice counts twice; columns named version or n_tokens in `docs` are not read; keys whose documents and tokens are all taken away leave the rollup; empty batches are committed too. Other columns are not read.
+twice counts twice; a batch id is any text of at most MOST_ID bytes in UTF-8 (its folder is named by those bytes in hexadecimal), longer ones are refused; columns named version or n_tokens in `docs` are not read; keys whose documents and tokens are all taken away leave the rollup; empty batches are committed too. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ VERSIONS = {
     "pieces-1": r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]",
 }
 KEYS = ["source", "lang", "version"]
+#: Bytes of a batch id; file systems take names of 255 characters.
+MOST_ID = 120
 SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
@@ -60,6 +62,18 @@ def counted_by_vocabulary(docs: DataFrame, version: str, path: str) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long").select("doc_id", "source", "lang", F.lit(version).alias("version"), "n_tokens")
 
 
+def folder_of(batch: str) -> str:
+    """The name of a batch's folder: one path element, and no pattern to Spark's readers, whatever the id."""
+    name = batch.encode()
+    if len(name) > MOST_ID:
+        raise ValueError(f"a batch id has at most {MOST_ID} bytes")
+    return f"batch={name.hex()}"
+
+
+def id_of(folder: str) -> str:
+    return bytes.fromhex(folder.removeprefix("batch=")).decode()
+
+
 class Rollup:
     """Totals in a folder on any file system that Spark reaches."""
 
@@ -77,13 +91,13 @@ class Rollup:
 
     def _state(self) -> tuple[str | None, set[str], list[str]]:
         """Of one look at the folders: the newest complete base, the batches it holds, and the complete batches after it."""
-        deltas = [x.removeprefix("batch=") for x in self._folders("deltas")]  # first: a base that is newer than this list may only hold more of it
+        deltas = [id_of(x) for x in self._folders("deltas")]  # first: a base that is newer than this list may only hold more of it
         base = (self._folders("base") or [None])[-1]
         held = {r["batch"] for r in self.spark.read.schema("batch string").json(f"{self.path}/base/{base}/batches").collect()} if base else set()
         return base, held, [x for x in deltas if x not in held]
 
     def _sums(self, base: str | None, after: list[str]) -> DataFrame:
-        parts = ([f"{self.path}/base/{base}/totals"] if base else []) + [f"{self.path}/deltas/batch={x}" for x in after]
+        parts = ([f"{self.path}/base/{base}/totals"] if base else []) + [f"{self.path}/deltas/{folder_of(x)}" for x in after]
         rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 OR n_tokens != 0")
 
@@ -97,7 +111,7 @@ class Rollup:
         if batch in self.committed():
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        sums.write.mode("overwrite").parquet(f"{self.path}/deltas/{folder_of(batch)}")
         return True
 
     def totals(self) -> DataFrame:
@@ -113,5 +127,5 @@ class Rollup:
         self._sums(base, after).write.mode("overwrite").parquet(f"{self.path}/base/{name}/totals")
         self.spark.createDataFrame([(i,) for i in sorted(held | set(after))], "batch string").write.mode("overwrite").json(f"{self.path}/base/{name}/batches")
         self.fs.create(self._path("base", name, "_SUCCESS"), True).close()
-        for kind, x in [("deltas", x) for x in self._folders("deltas") if x.removeprefix("batch=") in held] + [("base", x) for x in self._folders("base") if base and x < base]:
+        for kind, x in [("deltas", x) for x in self._folders("deltas") if id_of(x) in held] + [("base", x) for x in self._folders("base") if base and x < base]:
             self.fs.delete(self._path(kind, x), True)
