@@ -1,8 +1,7 @@
 """Components and calls of source files in sixteen languages.
 
-Python is read with its own parser. The others go through one scanner: comments and strings are blanked out (places and lines stay),
-declarations are found by the patterns of a language, their bodies by matching braces (or `end` at the same indent), and each call belongs to the innermost
-declaration around it. A file that yields nothing, or does not parse, is one component of type file: extraction never loses a file.
+Python is read with its own parser; the others by a lexer with modes (`lexer`) and one reader of scopes over tables of a language's words (`declarations`). Each call and each variable
+whose type is known belongs to the innermost declaration around it. What names stand for is left to joins (`resolve`). A file that yields nothing, or does not parse, is one component of type file: extraction never loses a file.
 """
 
 from __future__ import annotations
@@ -11,11 +10,12 @@ import ast
 import builtins
 import re
 import sys
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.declarations import CONTAINERS, Reader, bindings, calls, embedded, literals, parameters
+from corvane.operators.lexer import LEXICONS
 from corvane.session import ship_package
 
 SCHEMA = (
@@ -31,225 +31,71 @@ EXTENSIONS = {
     "kt": "kotlin", "kts": "kotlin", "php": "php", "rb": "ruby", "scala": "scala", "sc": "scala", "rs": "rust", "dart": "dart", "go": "go", "zig": "zig", "vue": "vue",
 }
 
-SLASHES, HASH = r"//[^\n]*|/\*.*?\*/", r"#[^\n]*"
-DOUBLE, SINGLE, BACK = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"
-NOT_CALLS = frozenset("if for while switch catch return sizeof typeof function func fn def when match synchronized using lock foreach elseif elsif unless until defined super this self new throw await async yield in is as and or not else do try case".split())
-MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|override|export|default|async|declare|readonly|virtual|inline|partial|data|inner|suspend|operator|lateinit|const|constexpr|extern|unsafe|pub(?:\([^)]*\))?|case|implicit|lazy|external|native|synchronized|transient|volatile|strictfp|factory|late|covariant|mixin|base|interface|explicit|friend|actual|expect|tailrec|infix|annotation|value|enum)\s+)*"
-TYPE = r"[\w$.<>\[\],?&*:@]+(?:\s*<[^;{}()]*>)?(?:\[\])*[\s*&]+"
-
-
-@dataclass(frozen=True)
-class Language:
-    #: (component type, what the language calls it, pattern with group `name`) in order; the first that matches at a place counts.
-    declarations: tuple[tuple[str, str, str], ...]
-    blank: str = rf"{SLASHES}|{DOUBLE}|{SINGLE}"
-    #: In the head of a type, after its name: patterns of lists of types it is made of.
-    heritage: tuple[str, ...] = (r"\bextends\s+([^{]+?)(?=\bimplements\b|\bwith\b|\bpermits\b|$)", r"\b(?:implements|with)\s+([^{]+)")
-    new: str = r"\bnew\s+([A-Z_][\w.$]*)"
-    #: Types of fields and parameters, where the language writes them.
-    types: str = ""
-    ends: bool = False
-    skip: str = ""
-    receiver: str = ""
-    extra: tuple[tuple[str, str], ...] = field(default=())
-
-
-_CLASS = r"^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*" + MODS
-JS = (
-    ("class", "class", _CLASS + r"class\s+(?P<name>[\w$]+)"),
-    ("function", "function", _CLASS + r"function\s*\*?\s*(?P<name>[\w$]+)\s*\("),
-    ("function", "arrow", r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*\w*\s*\(|\([^)]*\)\s*(?::[^=\n]+)?=>|[\w$]+\s*=>)"),
-    ("method", "method", r"^[ \t]+" + MODS + r"(?:get\s+|set\s+|\*\s*)?(?P<name>(?!(?:if|for|while|switch|catch|return|function|constructor\b(?!\s*\())\b)[#\w$]+)\s*(?:<[^>(]*>)?\([^;{}]*\)\s*(?::[^{;=]+)?\{"),
-    ("method", "arrow field", r"^[ \t]+" + MODS + r"(?P<name>#?[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>"),
-)
-TS = (
-    ("interface", "interface", _CLASS + r"interface\s+(?P<name>[\w$]+)"),
-    ("type_alias", "type", _CLASS + r"type\s+(?P<name>[\w$]+)\s*(?:<[^=]*>)?\s*="),
-    ("enum", "enum", _CLASS + r"enum\s+(?P<name>[\w$]+)"),
-    ("class", "abstract class", _CLASS + r"class\s+(?P<name>[\w$]+)"),
-    *JS,
-)
-C_FUNCTION = r"^(?!\s*(?:else|return|if|for|while|switch|typedef|using|namespace|delete|throw|goto|case)\b)[ \t]*(?:[A-Z][A-Z0-9_]{3,}(?:\([^)]*\))?\s+)*(?:[\w:<>,~&*\[\]]+[\s*&]+)+?(?P<name>(?:\w+::)*~?\w+|operator\s*\S{1,3})\s*\([^;{}]*\)\s*(?:const\s*|noexcept\s*|override\s*|final\s*|->\s*[\w:<>&* ]+|:\s*[^;{}]*)*\{"
-
-LANGUAGES: dict[str, Language] = {
-    "javascript": Language(JS, rf"{SLASHES}|{DOUBLE}|{SINGLE}|{BACK}"),
-    "typescript": Language(TS, rf"{SLASHES}|{DOUBLE}|{SINGLE}|{BACK}", types=r":\s*([A-Z][\w.]*)"),
-    "java": Language((
-        ("interface", "annotation", _CLASS + r"@interface\s+(?P<name>\w+)"), ("interface", "interface", _CLASS + r"interface\s+(?P<name>\w+)"), ("enum", "enum", _CLASS + r"enum\s+(?P<name>\w+)"), ("record", "record", _CLASS + r"record\s+(?P<name>\w+)\s*[(<]"), ("class", "class", _CLASS + r"class\s+(?P<name>\w+)"),
-        ("method", "constructor", r"^[ \t]+(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected)\s+)?(?P<name>[A-Z]\w*)\s*\([^;{}]*\)\s*(?:throws\s[\w., ]+)?\{"),
-        ("method", "method", r"^[ \t]+(?:@\w+(?:\([^)]*\))?\s*)*" + MODS + r"(?:<[^>]+>\s*)?(?!(?:return|new|else|throw)\b)" + TYPE + r"(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s[\w., ]+)?[{;]"),
-    ), types=r"(?:^|[(,;{}])\s*(?:@\w+\s+)*" + MODS + r"([A-Z][\w.]*)(?:<[^;(){}]*>)?(?:\[\])*\s+\w+\s*(?=[=;,)])"),
-    "csharp": Language((
-        ("interface", "interface", _CLASS + r"interface\s+(?P<name>\w+)"), ("enum", "enum", _CLASS + r"enum\s+(?P<name>\w+)"), ("struct", "struct", _CLASS + r"(?:record\s+)?struct\s+(?P<name>\w+)"), ("record", "record", _CLASS + r"record\s+(?:class\s+)?(?P<name>\w+)"), ("class", "class", _CLASS + r"class\s+(?P<name>\w+)"),
-        ("class", "delegate", _CLASS + r"delegate\s+" + TYPE + r"(?P<name>\w+)\s*\("),
-        ("method", "constructor", r"^[ \t]+(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static)\s+)+(?P<name>[A-Z]\w*)\s*\([^;{}]*\)\s*(?::\s*(?:base|this)\s*\([^{}]*\)\s*)?(?:\{|=>)"),
-        ("method", "method", r"^[ \t]+(?:\[[^\]]*\]\s*)*" + MODS + r"(?!(?:return|new|else|throw|await|using|namespace)\b)" + TYPE + r"(?P<name>\w+)\s*(?:<[^>(]*>)?\([^;{}]*\)\s*(?:where[^{;]*)?(?:\{|=>|;)"),
-        ("variable", "property", r"^[ \t]+(?:public|protected|internal)\s+" + MODS + TYPE + r"(?P<name>\w+)\s*\{\s*(?:get|set|init)\b"),
-    ), heritage=(r":\s*([^{]+?)(?=\bwhere\b|$)",), types=r"(?:^|[(,;{}])\s*" + MODS + r"([A-Z][\w.]*)(?:<[^;(){}]*>)?\??(?:\[\])*\s+\w+\s*(?=[=;,){])"),
-    "c": Language((("struct", "struct", r"^[ \t]*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{"), ("function", "function", C_FUNCTION)), heritage=(), new=r"(?!)", types=r"\bstruct\s+(\w+)"),
-    "cpp": Language((
-        ("class", "class", r"^[ \t]*(?:template\s*<[^;{}]*>\s*)?class\s+(?:[A-Z][A-Z0-9_]{3,}\s+)?(?P<name>\w+)(?:\s+final)?\s*(?=[:{])"), ("struct", "struct", r"^[ \t]*(?:template\s*<[^;{}]*>\s*)?(?:typedef\s+)?struct\s+(?:[A-Z][A-Z0-9_]{3,}\s+)?(?P<name>\w+)(?:\s+final)?\s*(?=[:{])"),
-        ("type_alias", "using", r"^[ \t]*using\s+(?P<name>\w+)\s*="), ("function", "function", C_FUNCTION), ("method", "constructor", r"^[ \t]*(?:explicit\s+)?(?P<name>(?:\w+::)*~?[A-Z]\w*)\s*\([^;{}]*\)\s*(?::\s*[^;{}]*)?\{"),
-    ), heritage=(r":\s*([^{]+)",), new=r"\bnew\s+([A-Z_][\w:]*)", types=r"(?:^|[(,;{}])\s*(?:const\s+|static\s+|mutable\s+)*([A-Z]\w*(?:::\w+)*)(?:<[^;(){}]*>)?[\s*&]+\w+\s*(?=[=;,)])"),
-    "kotlin": Language((
-        ("interface", "interface", _CLASS + r"interface\s+(?P<name>\w+)"), ("enum", "enum class", r"^[ \t]*" + r"(?:public\s+|private\s+|internal\s+)*enum\s+class\s+(?P<name>\w+)"), ("class", "class", _CLASS + r"class\s+(?P<name>\w+)"), ("class", "object", _CLASS + r"(?:companion\s+)?object\s+(?P<name>\w+)"),
-        ("method", "constructor", r"^[ \t]+(?:public\s+|private\s+|internal\s+)*(?P<name>constructor)\s*\("), ("function", "function", _CLASS + r"fun\s+(?:<[^>]*>\s*)?(?:[\w<>?.]+\.)?(?P<name>\w+)\s*\("),
-    ), rf'{SLASHES}|""".*?"""|{DOUBLE}|{SINGLE}', heritage=(r"^\s*(?:<[^>]*>)?\s*:\s*([^{=]+)",), new=r"(?!)", types=r":\s*([A-Z][\w.]*)"),
-    "php": Language((
-        ("interface", "interface", _CLASS + r"interface\s+(?P<name>\w+)"), ("class", "trait", _CLASS + r"trait\s+(?P<name>\w+)"), ("enum", "enum", _CLASS + r"enum\s+(?P<name>\w+)"), ("class", "class", _CLASS + r"class\s+(?P<name>\w+)"), ("function", "function", _CLASS + r"function\s+&?(?P<name>\w+)\s*\("),
-    ), rf"{SLASHES}|#(?!\[)[^\n]*|{DOUBLE}|{SINGLE}", new=r"\bnew\s+([\\\w]+)", types=r"[(,]\s*(?:private|public|protected|readonly|\s)*\??([A-Z][\w\\]*)\s+\$", extra=(("static", r"\b([A-Z][\w\\]*)::"), ("uses", r"^[ \t]+use\s+([A-Z][\w\\, ]*);"))),
-    "ruby": Language((
-        ("class", "module", r"^[ \t]*module\s+(?P<name>[A-Z][\w:]*)"), ("class", "class", r"^[ \t]*class\s+(?P<name>[A-Z][\w:]*)"), ("function", "method", r"^[ \t]*def\s+(?:self\.)?(?P<name>[\w]+[?!=]?)"),
-    ), rf"{HASH}|{DOUBLE}|{SINGLE}", heritage=(r"<\s*([A-Z][\w:]*)",), new=r"\b([A-Z][\w:]*)\.new\b", ends=True, extra=(("mixin", r"^[ \t]*(?:include|extend|prepend)\s+([A-Z][\w:, ]*)"),)),
-    "scala": Language((
-        ("interface", "trait", _CLASS + r"trait\s+(?P<name>\w+)"), ("class", "object", _CLASS + r"object\s+(?P<name>\w+)"), ("enum", "enum", r"^[ \t]*enum\s+(?P<name>\w+)"), ("class", "class", _CLASS + r"class\s+(?P<name>\w+)"), ("function", "def", _CLASS + r"def\s+(?P<name>\w+)"),
-    ), rf'{SLASHES}|""".*?"""|{DOUBLE}', types=r":\s*([A-Z][\w.]*)"),
-    "rust": Language((
-        ("struct", "struct", r"^[ \t]*" + MODS + r"struct\s+(?P<name>\w+)"), ("struct", "union", r"^[ \t]*" + MODS + r"union\s+(?P<name>\w+)"), ("enum", "enum", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)"), ("interface", "trait", r"^[ \t]*" + MODS + r"trait\s+(?P<name>\w+)"),
-        ("impl", "impl", r"^[ \t]*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:(?P<trait>[\w:]+)(?:<[^{]*?>)?\s+for\s+)?(?P<name>\w+)"), ("function", "fn", r"^[ \t]*" + MODS + r"fn\s+(?P<name>\w+)"),
-    ), rf"{SLASHES}|{DOUBLE}|'(?:\\.|[^'\\\n])'", heritage=(r":\s*([^{]+)",), new=r"\b([A-Z]\w*)\s*\{", types=r":\s*&?(?:mut\s+)?(?:(?:Option|Vec|Box|Rc|Arc|Result)<)*([A-Z]\w*)", skip=r"#\[cfg\(test\)\]\s*mod\s+\w+"),
-    "dart": Language((
-        ("class", "mixin", r"^[ \t]*(?:base\s+)?mixin\s+(?!class\b)(?P<name>\w+)"), ("class", "extension", r"^[ \t]*extension\s+(?P<name>\w+)\s+on\b"), ("enum", "enum", r"^[ \t]*enum\s+(?P<name>\w+)"), ("class", "class", _CLASS + r"class\s+(?P<name>\w+)"),
-        ("method", "getter", r"^[ \t]+(?:static\s+)?(?:[\w<>?,]+\s+)?get\s+(?P<name>\w+)"), ("method", "constructor", r"^[ \t]+(?:const\s+|factory\s+)*(?P<name>[A-Z]\w*(?:\.\w+)?)\s*\([^;]*?\)\s*(?::[^;{]*)?[;{]"),
-        ("function", "function", r"^[ \t]*(?:@\w+\s+)*" + MODS + r"(?!(?:return|else|throw|await|new)\b)[\w<>?,.]+\s+(?P<name>\w+)\s*\([^;{}]*\)\s*(?:async\*?\s*|sync\*\s*)?(?:\{|=>)"),
-    ), heritage=(r"\bextends\s+([^{]+?)(?=\bwith\b|\bimplements\b|$)", r"\b(?:with|implements|on)\s+([^{]+?)(?=\bimplements\b|$)"), types=r"(?:^|[(,;{}])\s*(?:final\s+|late\s+|static\s+|const\s+|required\s+)*([A-Z]\w*)(?:<[^;(){}]*>)?\??\s+\w+\s*(?=[=;,)])"),
-    "go": Language((
-        ("interface", "interface", r"^[ \t]*type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+interface\b"), ("struct", "struct", r"^[ \t]*type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+struct\b"), ("type_alias", "type", r"^type\s+(?P<name>\w+)\s+(?!interface\b|struct\b)=?\s*[\w.\[\]*]+"),
-        ("method", "method", r"^func\s*\(\s*(?:(?P<self>\w+)\s+)?\*?(?P<owner>\w+)(?:\[[^\]]*\])?\s*\)\s*(?P<name>\w+)\s*\("), ("function", "func", r"^func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*\("),
-    ), rf"{SLASHES}|{DOUBLE}|'(?:\\.|[^'\\\n])*'|`[^`]*`", heritage=(), new=r"(?<![\w.])&?([A-Z]\w*|\w+\.[A-Z]\w*)\{", types=r"^[ \t]+\w+\s+\*?(?:\[\])?\*?([A-Z]\w*|\w+\.[A-Z]\w*)", extra=(("embeds", r"^[ \t]+\*?((?:\w+\.)?[A-Z]\w*)[ \t]*$"),)),
-    "zig": Language((
-        ("struct", "container", r"^[ \t]*(?:pub\s+)?const\s+(?P<name>\w+)\s*(?::\s*type\s*)?=\s*(?:extern\s+|packed\s+)?(?:struct|enum|union|opaque)\b"), ("function", "fn", r"^[ \t]*(?:pub\s+|export\s+|inline\s+|extern\s+)*fn\s+(?P<name>\w+)\s*\("),
-    ), rf"//[^\n]*|{DOUBLE}|'(?:\\.|[^'\\\n])*'|\\\\[^\n]*", heritage=(), new=r"\b([A-Z]\w*)\{", types=r":\s*\*?(?:const\s+)?([A-Z]\w*)"),
-}
-CONTAINERS = {"class", "interface", "struct", "enum", "record", "impl"}
-CALL = re.compile(r"(?<![\w$.:>\\])([A-Za-z_$@][\w$]*(?:(?:\.|::|->|\?\.|\\)~?[A-Za-z_$][\w$]*)*)\s*(?:<[\w, .<>\[\]?]*>)?\s*!?\(")
-
-
-def _blanked(text: str, pattern: str) -> str:
-    return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
-
-
-def _body(text: str, at: int, ends: bool, start: int) -> tuple[int, int]:
-    """Where the head of a declaration ends, and the whole of it: at the brace that closes its first one, at `end`, or where a statement does."""
-    if ends:
-        line = text.rfind("\n", 0, start) + 1
-        indent = re.match(r"[ \t]*", text[line:])[0]
-        stop = re.compile(rf"^{indent}end\b", re.M).search(text, at)
-        head = text.find("\n", at)
-        return (len(text) if head < 0 else head), (stop.end() if stop else len(text))
-    depth = 0
-    for m in re.compile(r"[(){};\n]").finditer(text, at):
-        c = m[0]
-        if c == "(":
-            depth += 1
-        elif c == ")":
-            depth -= 1
-        elif depth <= 0 and c == "{":
-            level = 0
-            for b in re.compile(r"[{}]").finditer(text, m.start()):
-                level += 1 if b[0] == "{" else -1
-                if not level:
-                    return m.start(), b.end()
-            return m.start(), len(text)
-        elif depth <= 0 and c == ";":
-            return m.start(), m.end()
-        elif depth <= 0 and c == "\n" and not re.match(r"\s*(?:[{:=.,)]|extends\b|implements\b|with\b|where\b|throws\b)", text[m.end() :]) and not re.search(r"[=,:(]\s*$|=>\s*$", text[at : m.start()]):
-            return m.start(), m.start()
-    return len(text), len(text)
-
-
-def _names(listed: str) -> list[str]:
-    """Type names of a comma list, without their arguments."""
-    flat, depth = [], 0
-    for c in listed:
-        depth += (c in "<([") - (c in ">)]")
-        flat.append("," if depth == 0 and c in "+&" else c if depth == 0 and c not in ">)]" else "")
-    found = (re.sub(r"\b(?:public|private|protected|virtual|by|throws|extends|implements|with|final|override)\b.*?(?=[A-Z\\]|$)", "", x).strip() for x in "".join(flat).split(","))
-    return [m[0] for x in found if (m := re.match(r"[\\\w.:$]+", x))]
+_SELVES = ("this", "self", "Self", "$this", "static", "@")
+#: Languages in which the body of a type has declarations only; what looks like a call there is one.
+_NO_CALLS_IN_TYPES = ("c", "cpp")
 
 
 def scanned(path: str, text: str, language: str) -> list[dict]:
-    """Components and calls of one file."""
-    rules = LANGUAGES[language]
-    clean = _blanked(text, rules.blank)
-    if rules.skip:
-        for m in reversed(list(re.finditer(rules.skip, clean))):
-            _, end = _body(clean, m.end(), False, m.start())
-            clean = clean[: m.start()] + re.sub(r"[^\n]", " ", clean[m.start() : end]) + clean[end:]
-    line = lambda at: clean.count("\n", 0, at) + 1
-    found: dict[int, dict] = {}
-    for kind, node, pattern in rules.declarations:
-        for m in re.finditer(pattern, clean, re.M):
-            at = m.start("name")
-            if at in found or m["name"] in NOT_CALLS:
-                continue
-            groups = m.groupdict()
-            begin = m.start() + len(m[0]) - len(m[0].lstrip())
-            head, end = _body(clean, m.end("name"), rules.ends, begin)
-            found[at] = {"kind": kind, "node": node, "name": m["name"], "from": begin, "head": head, "to": max(end, m.end()), "at": at, "owner": groups.get("owner"), "trait": groups.get("trait"), "self": groups.get("self")}
-    decls = sorted(found.values(), key=lambda d: (d["from"], -d["to"]))
-    open_, out, rows = [], [], []
-    for d in decls:
-        while open_ and open_[-1]["to"] <= d["from"]:
-            open_.pop()
-        d["up"] = next((x for x in reversed(open_) if x["kind"] in CONTAINERS), None)
-        inside = next((x for x in reversed(open_)), None)
-        if inside and inside["kind"] not in CONTAINERS and d["kind"] not in CONTAINERS:
-            continue  # a function inside a function is part of it
-        if d["kind"] == "method" and not d["up"] and not d["owner"] and "::" not in d["name"]:
-            continue
-        out.append(d)
-        open_.append(d)
+    """Components, calls and the types of variables of one file."""
+    r = Reader(text, language)
+    t = r.t
     blank = dict.fromkeys(COLUMNS) | {"path": path, "language": language}
-    for d in out:
-        parts, up = [re.sub(r"::", ".", d["name"])], d["up"]
-        while up:
-            parts.insert(0, up["name"])
-            up = up["up"]
-        if d["owner"]:
-            parts.insert(0, d["owner"])
-        object_ = "$" if language == "scala" and d["node"] == "object" else ""
-        d["id"] = f"{path}::{'.'.join(parts)}{object_}"
-    known: set[str] = set()
-    for d in out:
-        head = re.sub(r"^\s*(?:<[^>]*>)?\s*\([^()]*(?:\([^()]*\)[^()]*)*\)", " ", clean[d["at"] + len(d["name"]) : d["head"]])
-        bases = [b for h in rules.heritage for m in re.finditer(h, head, re.S) for b in _names(m[1])] if d["kind"] in CONTAINERS else []
-        if d["trait"]:
-            bases = [d["trait"]]
-        where = line(d["from"])
-        if d["kind"] != "impl" and d["id"] not in known:
-            known.add(d["id"])
-            kind = "method" if d["kind"] == "function" and d["up"] or d["owner"] or "::" in d["name"] else d["kind"]
-            before = re.search(r"(?:/\*\*(?:[^*]|\*(?!/))*\*/|(?:(?://[/!]?|#)[^\n]*\n[ \t]*)+)\s*\Z", text[: d["from"]])
+    begin = lambda i: t.at[i] if i < r.n else len(text)
+    line = lambda i: t.line(begin(i))
+    rows, known = [], set()
+    for d in r.found:
+        d.id = f"{path}::{d.path()}" + ("$" if language == "scala" and d.node == "object" else "")
+    for d in sorted(r.found, key=lambda d: (d.start, -d.end)):
+        if d.kind != "impl" and d.id not in known:
+            known.add(d.id)
+            member = d.owner or d.up is not None and d.up.kind in CONTAINERS or "::" in d.name
+            kind = "method" if d.kind == "function" and member else d.kind
+            last = d.end - 1
+            to = begin(last) + len(t.text[last]) if t.kind[last] != "s" else begin(d.end)
+            source = text[begin(d.start) : to].rstrip()
+            before = re.search(r"(?:/\*\*(?:[^*]|\*(?!/))*\*/|(?:(?://[/!]?|#)[^\n]*\n[ \t]*)+)\s*\Z", text[: begin(d.start)])
             doc = re.sub(r"^[ \t]*(?:/\*\*|\*/|\*|//[/!]?|#)[ \t]?", "", before[0], flags=re.M).replace("*/", "").strip() if before else None
-            args = re.search(r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)", clean[d["at"] : max(d["head"], d["at"] + len(d["name"]) + 1)])
-            params = [x.strip() for x in args[1].split(",") if x.strip()] if args and kind in ("function", "method") else None
-            rows.append(blank | {"row_kind": "component", "id": d["id"], "component_type": kind, "node_type": d["node"], "name": d["name"].split("::")[-1], "start_line": where, "end_line": line(max(d["from"], d["to"] - 1)), "source_code": text[d["from"] : d["to"]], "docstring": doc or None, "parameters": params, "base_classes": bases or None})
-        for b in bases:
-            rows.append(blank | {"row_kind": "call", "id": d["id"], "callee": b, "relation": "inherits", "call_line": where})
-    # everything else belongs to the innermost declaration around it; a receiver of its own kind is named by its owner
-    inner = sorted(out, key=lambda d: d["to"] - d["from"])
-
-    def around(at: int):
-        return next((d for d in inner if d["from"] <= at < d["to"]), None)
-
-    named = {d["at"] for d in found.values()}
-    for relation, pattern in (("new", rules.new), ("call", CALL), ("type", rules.types), *rules.extra):
-        if not pattern:
-            continue
-        for m in pattern.finditer(clean) if isinstance(pattern, re.Pattern) else re.finditer(pattern, clean, re.M):
-            d = around(m.start(1))
-            if d is None or m.start(1) in named:
-                continue
-            for callee in m[1].split(",") if relation in ("mixin", "uses") else [m[1]]:
-                callee = re.sub(r"->|\?\.", ".", callee).strip()
-                head = callee.split(".")[0].split("::")[0]
-                if head in NOT_CALLS - {"this", "self", "super"} or relation == "call" and (d["kind"] == "interface" or re.search(r"\b(?:new|fn|func|fun|def|function)\s+$", clean[: m.start(1)][-12:])):
-                    continue
-                owner = d["owner"] or (d["up"]["name"] if d["up"] else None)
-                if owner and (head in ("this", "self", "Self", "$this", "static") or (d["self"] and head == d["self"])):
-                    callee = re.sub(r"^[\w$]+(?:\.|::)", f"{owner}.", callee)
-                rows.append(blank | {"row_kind": "call", "id": d["id"], "callee": callee.lstrip("\\"), "relation": relation, "call_line": line(m.start(1))})
+            rows.append(blank | {"row_kind": "component", "id": d.id, "component_type": kind, "node_type": d.node, "name": d.name.split("::")[-1], "start_line": line(d.start), "end_line": t.line(begin(d.start) + max(0, len(source) - 1)), "source_code": source, "docstring": doc or None, "parameters": parameters(r, d) if kind in ("function", "method") else None, "base_classes": d.bases or None})
+        rows += [blank | {"row_kind": "call", "id": d.id, "callee": b, "relation": "inherits", "call_line": line(d.start)} for b in d.bases]
+
+    def called(i: int, relation: str, callee: str) -> None:
+        d = r.of[i]
+        if d is None or relation in ("call", "chain") and (d.kind == "interface" or d.kind in CONTAINERS and language in _NO_CALLS_IN_TYPES):
+            return
+        callee = callee.lstrip("\\")
+        head = re.match(r"[^.:(]*", callee)[0]
+        owner = d.owner or (d.up.name if d.up is not None else d.name if d.kind in CONTAINERS else "")
+        if owner and (head in _SELVES or d.receiver and head == d.receiver):
+            callee = re.sub(r"^[^.:(]+(?:\.|::)", f"{owner}.", callee)
+        rows.append(blank | {"row_kind": "call", "id": d.id, "callee": callee, "relation": relation, "call_line": line(i)})
+
+    for i, relation, callee in calls(r):
+        called(i, relation, callee)
+        if language == "php" and relation == "call" and "::" in callee and callee[:1].isupper():
+            called(i, "static", callee.split("::")[0])
+    for i, name in literals(r):
+        called(i, "new", name)
+    for i, d, name in embedded(r):
+        called(i, "embeds", name)
+    for i in range(r.n):
+        w = r.word(i)
+        if language == "ruby" and w in ("include", "extend", "prepend") and r.word(i + 1)[:1].isupper() or language == "php" and w == "use" and r.of[i] is not None and r.of[i].kind in CONTAINERS:
+            k = i + 1
+            while r.word(k) or r.text(k) == "\\":
+                name, k = r.dotted(k, r.n)
+                called(i, "mixin" if language == "ruby" else "uses", name)
+                k += r.text(k) == ","
+    for i, d, name, kind, how in bindings(r):
+        if kind in ("Self", "self", "static"):
+            kind = d.owner or (d.up.name if d.up is not None else kind)
+        if how == "field" and d.kind not in CONTAINERS:  # this.x = ... in a method
+            where = f"{path}::{d.owner}" if d.owner else d.up.id if d.up is not None else d.id
+        else:
+            where = d.id
+        rows.append(blank | {"row_kind": "binding", "id": where, "name": name, "callee": kind, "relation": how, "call_line": line(i)})
+        if not kind.endswith("()"):
+            called(i, "type", kind)
     return rows
 
 
@@ -267,12 +113,24 @@ def vue(path: str, text: str) -> list[dict]:
     rows = [blank | {"row_kind": "component", "id": own, "component_type": "class", "node_type": "component", "name": name, "start_line": 1, "end_line": text.count("\n") + 1, "source_code": text}]
     script = "".join(kept)
     rows += [r | {"language": "vue"} for r in scanned(path, script, language)]
-    options = _blanked(script, LANGUAGES[language].blank)
-    for m in re.finditer(r"\b(?:methods|computed|watch)\s*:\s*\{", options):
-        _, end = _body(options, m.start(), False, m.start())
-        for x in re.finditer(r"(?:^|[,{])\s*(?:async\s+)?([\w$]+)\s*(?:\([^)]*\)\s*\{|:\s*(?:async\s+)?function\b)", options[m.end() - 1 : end]):
-            at = m.end() - 1 + x.start(1)
-            rows.append(blank | {"row_kind": "component", "id": f"{own}.{x[1]}", "component_type": "method", "node_type": "option", "name": x[1], "start_line": options.count("\n", 0, at) + 1, "end_line": options.count("\n", 0, at) + 1})
+    r = Reader(script, language)
+    for i in range(r.n - 2):
+        if r.word(i) not in ("methods", "computed", "watch") or r.text(i + 1) != ":" or r.text(i + 2) != "{":
+            continue
+        k, end = i + 3, r.close(i + 2, r.n)
+        while k < end:  # an entry after the other
+            k = r.next(k, end)
+            k += r.word(k, end) == "async" and r.word(k + 1, end) != ""
+            name, after = r.word(k, end), k + 1
+            function = r.text(after) == "(" and r.text(r.close(after, end) + 1) == "{" or r.text(after) == ":" and r.arrow(after + 1, end) is not None
+            stop = k
+            while stop < end and r.text(stop) != ",":
+                x = r.text(stop)
+                stop = (r.close(stop, end) if x and x in "([{" else stop) + 1
+            if name and function:
+                first, last = r.t.line(r.t.at[k]), r.t.line(r.t.at[min(stop, end) - 1])
+                rows.append(blank | {"row_kind": "component", "id": f"{own}.{name}", "component_type": "method", "node_type": "option", "name": name, "start_line": first, "end_line": last})
+            k = stop + 1
     if t := re.search(r"<template\b[^>]*>(.*)</template>", text, re.S):
         for m in re.finditer(r"<([A-Z]\w*|[a-z]+(?:-[a-z0-9]+)+)\b", t[1]):
             tag = "".join(x[:1].upper() + x[1:] for x in m[1].split("-"))
@@ -378,7 +236,7 @@ def python(path: str, text: str) -> list[dict]:
 
 
 #: How a language is read; another one is added here.
-READERS = {"python": python, "vue": vue} | {n: (lambda p, t, n=n: scanned(p, t, n)) for n in LANGUAGES}
+READERS = {"python": python, "vue": vue} | {n: (lambda p, t, n=n: scanned(p, t, n)) for n in LEXICONS}
 
 
 def read_file(path: str, text: str | None, language: str) -> list[dict]:
@@ -392,7 +250,8 @@ def read_file(path: str, text: str | None, language: str) -> list[dict]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Components and calls of `files` (path, text, language): two kinds of rows, told apart by row_kind. Null texts are empty."""
+    """Components, calls and the types of variables in `files` (path, text, language): three kinds of rows, told apart by row_kind (component, call, binding: a variable `name` of the scope `id` is a
+    `callee`, or what the function `callee` gives back where that ends in brackets; `()` is what the function `id` itself gives back). Null texts are empty."""
     ship_package(files.sparkSession)
 
     def run(frames):

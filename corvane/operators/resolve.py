@@ -119,10 +119,21 @@ def resolved(calls: DataFrame, components: DataFrame) -> DataFrame:
     return calls.join(best, "_n", "left").drop("_n")
 
 
-def bound(calls: DataFrame, components: DataFrame) -> DataFrame:
+def bound(calls: DataFrame, components: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
     """caller, callee, resolved, rule and call_line of all calls that stay: resolved ones, and those that the first component of that name takes (rule 20).
-    External callees that nothing in the project answers to go; so do unresolved calls of AUTHORITATIVE languages. Of a caller and what it resolves to the first line counts."""
-    found = resolved(calls, components)
+    External callees that nothing in the project answers to go; so do unresolved calls of AUTHORITATIVE languages. Of a caller and what it resolves to the first line counts.
+    With `bindings` (types of variables, as languages.extract gives them; calls then have their relation) receivers are followed first (rule 0): what they lead to counts, and calls on what is not the project's go."""
+    if bindings is None:
+        return _by_name(resolved(calls, components), components)
+    from corvane.operators.receivers import followed
+
+    typed = followed(calls, components, bindings).filter("NOT external AND NOT (relation = 'chain' AND resolved IS NULL)")
+    by_name = resolved(typed.filter("resolved IS NULL").select("caller", "callee", "call_line", "language"), components)
+    led = typed.filter("resolved IS NOT NULL").select("caller", "callee", "call_line", "language", "resolved", F.lit(0).alias("rule"))
+    return _by_name(by_name.unionByName(led), components)
+
+
+def _by_name(found: DataFrame, components: DataFrame) -> DataFrame:
     first = components.groupBy("name").agg(F.min("id").alias("_first"))
     tail = F.element_at(F.split(F.element_at(F.split("callee", "::"), -1), r"\."), -1)
     left = found.filter("resolved IS NOT NULL OR language NOT IN ('dart', 'go')").withColumn("_external", F.col("resolved").isNull() & is_external(F.col("callee"), F.col("language"))).filter("NOT _external")
