@@ -33,11 +33,14 @@ BITS = 27
 SLICE = 16
 #: Words of a language that a task keeps ids of; then it starts anew.
 MOST_WORDS = 400_000
+#: Bytes of text that a task counts together.
+GATHER = 8 << 20
 CUT = b"\xff"
 # fixed values: what ends a piece
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _MAP = bytes.maketrans(UPPER.encode() + ENDS, UPPER.lower().encode() + CUT * len(ENDS))
 _P, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+RAW_NAMES = ["lang", "phrase", "n", "slice", "at", "counts"]
 RAW = "lang string, phrase string, n long, slice int, at binary, counts binary"
 
 
@@ -79,14 +82,17 @@ class Vocabulary(dict):
         import xxhash
 
         super().__init__({CUT: 0})
-        self.words, self.hashes, self.frequent = [b""], [0], frequent
+        self.words, self.hashes = [b""], [0]
         self.hash, self.seed = xxhash.xxh64_intdigest, seed_of(lang)
+        self.bits, self.shift = (frequent.data.tobytes(), 64 - frequent.bits) if frequent is not None else (None, 0)
 
     def __missing__(self, word: bytes) -> int:
         h = self.hash(word, self.seed)
-        if self.frequent is not None and not self.frequent.has(h):
-            self[word] = 0
-            return 0
+        if self.bits is not None:
+            b = ((h ^ (h >> 31)) * _MIX & 0xFFFFFFFFFFFFFFFF) >> self.shift  # as in bucket()
+            if not self.bits[b >> 3] >> (b & 7) & 1:
+                self[word] = 0
+                return 0
         self[word] = i = len(self.words)
         self.words.append(word)
         self.hashes.append(h)
@@ -128,6 +134,23 @@ def slices(buckets: np.ndarray, least: int):
         yield int(of[a]), low[a:b].tobytes(), n[a:b].tobytes()
 
 
+def gathered(batches):
+    """Texts by language, GATHER bytes of them or so at a time."""
+    import pyarrow as pa
+
+    texts: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= GATHER:
+                yield texts
+                texts, size = {}, 0
+    if texts:
+        yield texts
+
+
 def counted(docs: DataFrame, m: int, least: int, longest: int, bits: int, maps: dict[str, bytes]) -> DataFrame:
     """Pass `m` over `docs` (lang, text): sums of phrases (lang, phrase, n; in the first pass also a null phrase, all words) and of buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(maps)
@@ -137,24 +160,33 @@ def counted(docs: DataFrame, m: int, least: int, longest: int, bits: int, maps:
 
         known = {k: Bitmap(v, bits) for k, v in shared.value.items()}
         vocabularies: dict[str, Vocabulary] = {}
-        for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                texts.setdefault(lang, []).append(text)
-            rows = []
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+        def rows(lang, **columns):
+            n = len(next(iter(columns.values())))
+            arrays = [pa.array([lang]).take(pa.array(np.zeros(n, np.int32))) if f == "lang" else pa.array(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in zip(RAW_NAMES, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=RAW_NAMES)
+
+        def told(lang, phrases, n):
+            for i in range(0, len(phrases), 100_000):
+                yield rows(lang, phrase=pa.array(phrases[i : i + 100_000], pa.binary()).cast(pa.string()), n=n[i : i + 100_000])
+
+        for texts in gathered(batches):
             for lang, own in texts.items():
                 v = vocabularies.get(lang)
                 if v is None or len(v) > MOST_WORDS:
                     v = vocabularies[lang] = Vocabulary(lang, known.get("words"))
                 tokens = tokens_of(own)
+                own.clear()
                 ids = np.fromiter(map(v.__getitem__, tokens), np.int64, len(tokens))
                 del tokens
                 x = np.array(v.hashes, np.uint64)[ids]
                 one, ok = x, ids > 0
                 if m == 1:
                     n = np.bincount(ids, minlength=len(v.words))
-                    rows.append((lang, None, int(n[1:].sum()), None, None, None))
-                    rows += [(lang, v.words[i], int(n[i]), None, None, None) for i in np.flatnonzero(n[1:]) + 1]
+                    at = np.flatnonzero(n[1:]) + 1
+                    yield rows(lang, n=np.array([n[1:].sum()], np.int64))
+                    yield from told(lang, [v.words[i] for i in at.tolist()], n[at])
                 for k in range(2, m + 2):
                     if len(ok) < 2 or k > longest:
                         break
@@ -162,17 +194,13 @@ def counted(docs: DataFrame, m: int, least: int, longest: int, bits: int, maps:
                     ok = ok[:-1] & ok[1:]
                     at = np.flatnonzero(ok)
                     if k == m + 1:
-                        rows += [(lang, None, None, *s) for s in slices(bucket(x[at], bits), least)]
+                        if parts := list(slices(bucket(x[at], bits), least)):
+                            of, places, counts = zip(*parts)
+                            yield rows(lang, slice=of, at=places, counts=counts)
                     elif (test := known.get(f"frequent-{k}" if k < m else "buckets")) is not None:
                         ok[at[~test.has(x[at])]] = False
                     if k == m:
-                        found, n = phrases_at(ids, np.flatnonzero(ok), m, v.words)
-                        rows += [(lang, p, int(c), None, None, None) for p, c in zip(found, n)]
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-            arrays[1] = arrays[1].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n", "slice", "at", "counts"])
+                        yield from told(lang, *phrases_at(ids, np.flatnonzero(ok), m, v.words))
 
     return docs.mapInArrow(run, RAW)
 
