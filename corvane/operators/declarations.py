@@ -56,7 +56,8 @@ GRAMMARS = {
     "zig": Grammar({}, frozenset(["fn"]), typed="after", through=frozenset(), modifiers=frozenset("pub export inline extern noinline".split())),
 }
 GRAMMARS["typescript"] = Grammar(_T | {"type": ("type_alias", "type")}, frozenset(["function"]), members=True, typed="after", through=frozenset(["namespace", "module", "global"]), modifiers=GRAMMARS["javascript"].modifiers)
-_WRAPPERS = {"Option", "Vec", "Box", "Rc", "Arc", "Result", "RefCell", "Mutex", "Optional", "Promise", "Task", "Future", "List", "Array"}
+#: Types that answer to what they hold: pointers, and what is awaited.
+_WRAPPERS = {"Box", "Rc", "Arc", "Ref", "Promise", "Task", "ValueTask", "Future", "FutureOr", "unique_ptr", "shared_ptr"}
 _GOES_ON = frozenset("{ : = . ?. , ) ] => -> && || + ? | & extends implements with where throws else catch finally by".split())
 _WENT_ON = frozenset("= , : ( [ => -> && || + - * / . ?. | & < := extends implements with throws by".split())
 
@@ -938,13 +939,28 @@ def _name_of_type(r: Reader, i: int, j: int) -> str:
     return ""
 
 
+def _inner_types(r: Reader, i: int, j: int):
+    """(place, name) of the types in the angle brackets that open at `i`."""
+    if r.text(i) != "<" or (to := r.t.angles(i, j)) == i:
+        return
+    k = i + 1
+    while k < to:
+        if r.word(k) and not r.x[k].startswith("'"):
+            name, after = r.dotted(k, to)
+            if _is_type(name, r.language):
+                yield k, name
+            k = max(after, k + 1)
+        else:
+            k += 1
+
+
 def _is_type(name: str, language: str) -> bool:
     short = re.split(r"\.|::|\\", name)[-1]
     return bool(short) and (short[:1].isupper() or short[:1] == "_" and short[1:2].isupper()) and not (len(short) == 1)
 
 
 def bindings(r: Reader):
-    """(place, declaration, variable, type, how): what is known of variables' types; how is field, param, local or returns."""
+    """(place, declaration, variable, type, how): what is known of variables' types; how is field, param, local or returns, or inner for a type that stands in another's brackets."""
     typed, n = r.g.typed if r.g else "", r.n
     how = lambda d, i: "field" if d.kind in CONTAINERS and not (d.params and d.params[0] <= i < d.params[1] and r.language not in ("kotlin", "scala", "java", "csharp")) else "param" if d.params and d.params[0] <= i < d.params[1] else "local"
     for d in r.found:  # what functions give back
@@ -964,6 +980,10 @@ def bindings(r: Reader):
             name = _name_of_type(r, at + 1, stop)
         if _is_type(name, r.language) or name in ("Self", "self", "static") or r.language == "c" and name and r.word(r.prefix(d.start, d.params[0])[0]) == "struct":
             yield at, d, "()", name, "returns"
+        for k in range(at, min(stop, at + 40)) if typed != "before" else range(r.prefix(d.start, d.params[0])[0], d.params[0] - 1):
+            if r.text(k) == "<":
+                yield from ((q, d, "", inner, "inner") for q, inner in _inner_types(r, k, stop))
+                break
     for i in range(n):
         d = r.of[i]
         w = r.word(i)
@@ -1000,6 +1020,8 @@ def bindings(r: Reader):
             k = i + 1 + (after in ("?", "!"))
             if r.text(k) == ":" and (name := _name_of_type(r, k + 1, min(n, k + 12))) and _is_type(name, r.language):
                 yield i, d, w, name, how(d, i)
+                opens = next((q for q in range(k + 1, min(n, k + 12)) if r.text(q) in ("<", ",", ")", ";", "=", "}")), k)
+                yield from ((q, d, "", inner, "inner") for q, inner in _inner_types(r, opens, n))
         elif typed == "before" and (i + 1 >= n or after in ("=", ";", ",", ")", "{", ":", "in", "=>") or r.k[i + 1] == "s") and (r.word(i - 1) or before in (">", "*", "&", "?", "]", "...")):
             k = i - 1
             while r.text(k) in ("*", "&", "?", "]", "[", "const", "final", "..."):
@@ -1020,6 +1042,7 @@ def bindings(r: Reader):
             plain = r.language != "c" or r.word(k - 1) == "struct" or name[:1].isupper()
             if (_is_type(name, r.language) or r.language == "c" and r.word(k - 1) == "struct") and plain and r.text(k - 1) not in (".", "new", "return", "throw", "extends", "class", "interface", "as", "is", "case", "instanceof", "goto", "enum"):
                 yield k, d, w.lstrip("$"), name.lstrip("\\"), how(d, i)
+                yield from ((q, d, "", inner, "inner") for q, inner in _inner_types(r, last + 1, n))
         elif typed == "go" and r.k[i] == "w" and before != "." and (d.kind == "struct" or d.params and d.params[0] <= i < d.params[1] or r.word(i - 1) == "var" or i < (d.body or 0)):
             k = i + 1
             while r.text(k) in ("*", "[", "]"):

@@ -87,6 +87,9 @@ def scanned(path: str, text: str, language: str) -> list[dict]:
                 called(i, "mixin" if language == "ruby" else "uses", name)
                 k += r.text(k) == ","
     for i, d, name, kind, how in bindings(r):
+        if how == "inner":
+            called(i, "type", kind)
+            continue
         if kind in ("Self", "self", "static"):
             kind = d.owner or (d.up.name if d.up is not None else kind)
         if how == "field" and d.kind not in CONTAINERS:  # this.x = ... in a method

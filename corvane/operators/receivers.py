@@ -42,9 +42,9 @@ def _places(id_: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("place")) for k, c in enumerate((file_of(id_), F.concat_ws("|", "language", folder_of(id_)), F.col("language")))])
 
 
-def type_index(components: DataFrame) -> DataFrame:
-    """kind (0 file, 1 folder, 2 language), place, name and type_id of types that one key names."""
-    types = components.filter(F.col("component_type").isin(*TYPES)).select("id", "language", short(F.col("name")).alias("name"))
+def type_index(components: DataFrame, kinds: tuple[str, ...] = TYPES) -> DataFrame:
+    """kind (0 file, 1 folder, 2 language), place, name and type_id of types (or of components of other `kinds`) that one key names."""
+    types = components.filter(F.col("component_type").isin(*kinds)).select("id", "language", short(F.col("name")).alias("name"))
     keys = types.select("id", "name", F.inline(_places(F.col("id"))))
     return keys.groupBy("kind", "place", "name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("type_id")).filter("n = 1").drop("n")
 
@@ -76,15 +76,17 @@ def first_types(bindings: DataFrame) -> DataFrame:
     return bindings.groupBy(F.col("id").alias("scope"), "name").agg(F.min_by(F.struct(F.col("callee").alias("type"), "language"), F.struct(F.col("callee").endswith("()"), "call_line", "callee")).alias("t")).select("scope", "name", "t.type", "t.language")
 
 
-def resolved_types(bindings: DataFrame, index: DataFrame) -> DataFrame:
-    """scope, name, type_id (null: not of the project) of every variable; those set to what a function gives back take that."""
+def resolved_types(bindings: DataFrame, index: DataFrame, functions: DataFrame) -> DataFrame:
+    """scope, name, type_id (null: not of the project) of every variable; those set to what a function gives back take that. `functions`: an index like that of types."""
     types = first_types(bindings)
     plain = with_type(types.filter(~F.col("type").endswith("()")), index, "type", "scope").select("scope", "name", "type_id")
     results = plain.filter("name = '()'").select(F.col("scope").alias("function"), "type_id")
     called = types.filter(F.col("type").endswith("()")).withColumn("_f", F.regexp_replace("type", r"\(\)$", ""))
-    # a function of the same file, a method of the own class, or a type's own function
+    # a method of the own class, a type's own function, or a function by its name: of the file, the folder, the language
     of_type = with_type(called.withColumn("_t", F.regexp_extract("_f", r"^(.+?)(?:\.|::)[^.:]+$", 1)), index, "_t", "scope")
-    ways = F.array(F.concat(owner_of(F.col("scope")), F.lit("."), F.col("_f")), F.concat(F.col("type_id"), F.lit("."), short(F.col("_f"))), F.concat(file_of(F.col("scope")), F.lit("::"), F.col("_f")))
+    of_type = with_type(of_type.withColumnRenamed("type_id", "_type"), functions, "_f", "scope")
+    plainly = F.when(F.col("_f") == short(F.col("_f")), F.col("type_id"))
+    ways = F.array(F.concat(owner_of(F.col("scope")), F.lit("."), F.col("_f")), F.concat(F.col("_type"), F.lit("."), short(F.col("_f"))), plainly)
     asked = of_type.select("scope", "name", F.posexplode(ways).alias("_way", "function")).filter("function IS NOT NULL")
     found = asked.join(results, "function").groupBy("scope", "name").agg(F.min_by("type_id", "_way").alias("type_id"))
     return plain.unionByName(found)
@@ -96,7 +98,8 @@ def followed(calls: DataFrame, components: DataFrame, bindings: DataFrame) -> Da
     index = stored(type_index(components), "types")
     inherits = calls.filter("relation IN ('inherits', 'embeds', 'mixin', 'uses')").select(F.col("caller").alias("id"), F.col("callee").alias("base"), "language")
     above = stored(ancestors(components, inherits, index), "above")
-    known = stored(resolved_types(bindings, index), "variables")
+    functions = stored(type_index(components, ("function",)), "functions")
+    known = stored(resolved_types(bindings, index, functions), "variables")
     # members of types, their bases' included: fields by name, results of methods by name and brackets, nearest first
     results = known.filter("name = '()'").select(owner_of(F.col("scope")).alias("up_id"), F.concat(F.regexp_extract("scope", r"([^.:]+)$", 1), F.lit("()")).alias("name"), F.col("type_id").alias("to_id"))
     fields = known.filter("name <> '()'").select(F.col("scope").alias("up_id"), "name", F.col("type_id").alias("to_id"))
@@ -110,7 +113,9 @@ def followed(calls: DataFrame, components: DataFrame, bindings: DataFrame) -> Da
     local = chains.join(known.select(F.col("scope").alias("caller"), F.col("name").alias("head"), "type_id"), ["caller", "head"]).select("_n", F.lit(0).alias("_way"), "type_id")
     own = chains.withColumn("type_id", owner_of(F.col("caller"))).join(members.withColumnRenamed("name", "head"), ["type_id", "head"]).select("_n", F.lit(1).alias("_way"), F.col("to_id").alias("type_id"))
     named = with_type(chains, index, "head", "caller").filter("type_id IS NOT NULL").select("_n", F.lit(2).alias("_way"), "type_id")
-    heads = local.unionByName(own).unionByName(named).groupBy("_n").agg(F.min(F.struct("_way", F.col("type_id").isNull().alias("_none"), "type_id")).alias("b")).select("_n", F.col("b.type_id").alias("type_id"))
+    result = known.filter("name = '()'").select(F.col("scope").alias("_function"), F.col("type_id").alias("_to"))
+    given = with_type(chains.filter(F.col("head").endswith("()")).withColumn("_f", F.regexp_replace("head", r"\(\)$", "")), functions, "_f", "caller").join(result, F.col("type_id") == F.col("_function")).select("_n", F.lit(3).alias("_way"), F.col("_to").alias("type_id"))
+    heads = local.unionByName(own).unionByName(named).unionByName(given).groupBy("_n").agg(F.min(F.struct("_way", F.col("type_id").isNull().alias("_none"), "type_id")).alias("b")).select("_n", F.col("b.type_id").alias("type_id"))
     state = stored(chains.join(heads, "_n").select("_n", "type_id", "rest"), "chains")
     done = state.filter("type_id IS NULL").select("_n", F.lit(None).cast("string").alias("resolved"), F.lit(True).alias("external"))
     state = state.filter("type_id IS NOT NULL")

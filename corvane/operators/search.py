@@ -148,8 +148,9 @@ def pinned(ranked: DataFrame, units: DataFrame, names: list[str], k: int) -> Dat
 
 
 def is_test_path(path):
-    """Whether a path is of tests, by its folders or its file's name."""
-    return path.rlike(r"(^|/)(tests?|__tests__|spec|testing)/|(^|/)test_[^/]*$|(_test|\.test|\.spec|_spec)\.[^/.]+$|(^|/)conftest\.py$")
+    """Whether a path is of tests, by its folders or its file's name, in any case."""
+    # fixed values: folders and endings of tests
+    return F.lower(path).rlike(r"(^|/)(test|tests|__tests__|spec|specs)/|(^|/)test_[^/]*$|(_test\.py|\.test\.js|\.test\.ts|\.spec\.js|\.spec\.ts|_test\.go)$")
 
 
 def reranked(candidates: DataFrame) -> DataFrame:

@@ -107,9 +107,9 @@ public final class Cart<T extends Comparable<T>> extends Base<T> implements Sum,
 sealed interface Sum permits Cart { }
 ''',
         "Cart Cart.Cart Cart.total Cart.text Cart.Inner Cart.Inner.one Cart.Mode Cart.Mode.Mode Cart.Mode.g Cart.Point Cart.Point.sum Cart.Near Cart.Near.near Cart.Near.far Cart.Mark Cart.Mark.value Cart.open Cart.after Sum",
-        "Cart>Base Cart>Sum Cart>Iterable Cart>Repo Cart.Cart>check Cart.total>repo.load Cart.total>Tax.of Cart.Inner.one>two Cart.Mode.g>h Cart.Near.far>near Cart.after>Runnable Cart.after>inside",
+        "Cart>Base Cart>Sum Cart>Iterable Cart>Repo Cart>List Cart>Item Cart.Cart>check Cart.total>repo.load Cart.total>Tax.of Cart.Inner.one>two Cart.Mode.g>h Cart.Near.far>near Cart.after>Runnable Cart.after>inside",
         "gone Gone no Comparable>",
-        "Cart.repo:Repo Cart.Cart.i:Item Cart.open.t:Thing Cart.total.rest:Item Cart.after.r:Runnable Cart.field:Outer.Nested",
+        "Cart.repo:Repo Cart.Cart.i:Item Cart.open.t:Thing Cart.total.rest:Item Cart.after.r:Runnable Cart.field:Outer.Nested Cart.items:Map",
     ),
     "csharp": (
         '''
@@ -380,9 +380,9 @@ macro_rules! mac { ($x:expr) => { $x }; }
 extern "C" { fn imported(x: i32); }
 """,
         "Cart Unit Pair Both Mode Sum Sum.total Sum.twice Cart.total Cart.new Cart.go Mode.fmt kept konst imported",
-        "Sum>Base Sum>Send Cart>Sum Mode>Display Sum.twice>Sum.total Cart.total>Cart.add Cart.total>helper Cart.total>format Cart.new>Item Cart.new>tax Cart.go>make Cart.go>Cart::new Mode.fmt>write kept>used konst>bottom",
+        "Sum>Base Sum>Send Cart>Sum Mode>Display Sum.twice>Sum.total Cart>Tax Cart.go>Item Cart.total>Cart.add Cart.total>helper Cart.total>format Cart.new>Item Cart.new>tax Cart.go>make Cart.go>Cart::new Mode.fmt>write kept>used konst>bottom",
         "gone pub Debug",
-        "Cart.item:Item Cart.list:Tax Cart.new.k:Key Cart.new.():Cart Cart.go.t:Tax Cart.go.x:Local Cart.go.():Item",
+        "Cart.item:Item Cart.list:Vec Cart.new.k:Key Cart.new.():Cart Cart.go.t:Tax Cart.go.x:Local Cart.go.():Option",
     ),
     "dart": (
         """

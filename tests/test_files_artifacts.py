@@ -111,3 +111,14 @@ def test_unit_parsers():
     assert [u[0] for u in A.units_of("Makefile", "zz:\nall:\n" + "".join(f"t{i}:\n" for i in range(40)))][:2] == ["all", "zz"] and len(A.units_of("Makefile", "".join(f"t{i}:\n" for i in range(40)))) == 25
     assert A.call_end("A([x)], (y)) z", 0) == 12 and A.units_of("package.json", "{bad") == []
     assert A.references_of("npm run zip && npm install && docker build -f a/Dockerfile .") == [("script", "zip", 1), ("image", "a/Dockerfile", 1)]
+
+
+def test_references_are_words_of_commands():
+    got = A.references_of('{"scripts": {"zip": "node web/app.js && make -C sub all",\n "b": "python3 -m shop.cart:main"}, "main": "lib/x.js"}')
+    assert got == [("path", "web/app.js", 1), ("target", "all", 1), ("module", "shop.cart:main", 2), ("path", "lib/x.js", 2)]
+    text = 'all: build\n\t@python -m shop.cart\nbuild: src/x.c https://e/x.py $(D)/y.py /abs/z.py\n\t-sh tools/pack.sh # see gone.sh\n\tmake -j 4 one two X=1 \\\n  three\n\techo "make coffee" a@b.py x.py:3\n\tcp y.py z.txt\n'
+    want = [("module", "shop.cart", 2), ("path", "src/x.c", 3), ("path", "tools/pack.sh", 4), ("target", "one", 5), ("target", "two", 5), ("target", "three", 5), ("path", "x.py", 7), ("path", "y.py", 8)]
+    assert A.references_of(text) == want
+    steps = "steps:\n  - run: yarn build && ./ci/go.sh --config=conf/a.toml\n  - run: |\n      pnpm lint\n      npm run test\n      npm test\n      bash -c 'make inner'\n"
+    assert A.references_of(steps) == [("script", "build", 2), ("path", "./ci/go.sh", 2), ("path", "conf/a.toml", 2), ("script", "lint", 4), ("script", "test", 5), ("target", "inner", 7)]
+    assert A.references_of("RUN FOO=1 docker buildx build --file=img/D .\ndocker build -t x -f two .") == [("image", "img/D", 1), ("image", "two", 2)] and A.references_of("") == []

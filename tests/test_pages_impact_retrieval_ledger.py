@@ -82,7 +82,7 @@ def dyn(o):
 
 def test_impact(spark):
     assert {k: v[0] for k, v in I.labelled(CODE, "LIMIT").items()} == {1: "import", 2: "definition", 3: "public", 6: "read", 7: "read", 11: "other scope", 12: "other scope", 17: "write", 18: "keyword", 19: "dynamic"}
-    assert I.parameters_of("def f(a, b: int = 2, *c): pass") == ["a", "b"] and I.parameters_of("int f(int a, char b) {") == ["a", "b"]
+    assert I.parameters_of("def f(a, b: int = 2, *c): pass") == ["a", "b", "c"] and I.parameters_of("int f(int a, char b) {") == ["a", "b"]
     files = spark.createDataFrame([("pkg/a.py", CODE), ("tests/test_a.py", "from pkg.a import LIMIT\n"), ("conf/x.yaml", "LIMIT: 4\n"), ("doc/x.md", "LIMIT is\n"), ("b.js", "let y = LIMIT;\n// LIMIT\nLIMITS\n"), ("broken.py", "def (LIMIT\n"), ("n.py", None)], "path string, text string")
     found = {(r.path, r.line): r.kind for r in I.sites(files, "LIMIT").collect()}
     assert found["pkg/a.py", 16] == "textual" and found["conf/x.yaml", 1] == "config" and found["doc/x.md", 1] == "textual" and found["b.js", 1] == "reference" and found["b.js", 2] == "textual" and ("b.js", 3) not in found and found["broken.py", 1] == "reference"
@@ -196,3 +196,47 @@ def test_scalars(spark):
     assert [x(T.language_tag(F.lit(n))) for n in ("German", "pt_br", "", "xx")] == ["de", "pt-BR", "en", "xx"]
     assert x(T.clipped(F.lit("one two three"), 2)) == "one" and x(T.message_tokens(F.array(F.lit("abc"), F.lit("")))) == 18
     assert x(T.counters_merged(F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3)))) == {"a": 3, "b": 3}
+
+
+SCOPES = '''import os, pkg.max_age as m
+from pkg import (a, max_age)
+options = {"max_age": 1, "other": "max_age"}
+def f(*max_age, **kw): return max_age
+def g(a, /, b=max_age, *, max_age: int = 2): max_age = a; return lambda max_age: max_age
+obj.setattr(x, "max_age", 1); getattr(x, "y", "max_age")
+class C:
+    max_age = 1
+    def h(self):
+        global max_age
+        max_age += 1
+        return [max_age for max_age in self.max_age]
+def outer():
+    def inner(): return max_age
+    max_age = 1
+for i, max_age in pairs: pass
+with open(x) as max_age: print(f"{max_age} max_age")
+x = rows["max_age"]; y = (max_age := 3); call(max_age=1)(max_age)
+self.max_age, z = 1, 2
+__all__ = ["max_age"]
+__all__ += ("max_age",)
+del max_age
+@max_age
+def k(): "max_age"
+max_age: int = 3
+'''
+
+
+def test_labels_follow_scopes():
+    got = I.labelled(SCOPES, "max_age")
+    want = {1: "import", 2: "import", 3: "dynamic", 4: "definition", 5: "definition", 6: "dynamic", 8: "definition", 11: "write", 12: "attribute", 14: "other scope", 15: "other scope", 16: "definition", 17: "definition", 18: "definition", 19: "write", 20: "public", 21: "public", 22: "definition", 23: "read", 25: "definition"}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert got[4] == ("definition", "parameter") and got[5] == ("definition", "parameter") and got[8] == ("definition", "")
+    assert I.parameters_of("def f(a, /, b: int = 2, *c, d, **e): pass") == ["a", "b", "c", "d", "e"]
+
+
+def test_paths_of_tests(spark):
+    from corvane.operators.search import is_test_path
+
+    paths = {"Tests/Foo.cs": True, "specs/a.rb": True, "testing/x.py": False, "a/test_x.py": True, "a/x_test.go": True, "a/x.spec.ts": True, "a/conftest.py": False, "latest/x.py": False, "__tests__/a.js": True}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", is_test_path(F.col("p")).alias("t")).collect()
+    assert {r.p: r.t for r in rows} == paths
