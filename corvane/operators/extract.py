@@ -12,7 +12,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import ship_package
+from corvane.session import ship_package, stored
 
 COMPONENT = "row_kind string, path string, id string, component_type string, name string, start_line int, end_line int, docstring string, parameters array<string>, base_classes array<string>, callee string, call_line int"
 
@@ -161,15 +161,29 @@ def prefixes(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("id", "block", "n_chars", "text").mapInPandas(run, "id long, block long, n_chars long, n long, item long")
 
 
-def similar_pairs(rows: DataFrame, block: list[str], least: float) -> DataFrame:
-    """Pairs (a, b, similarity) of `rows` (id, text, n_chars and the columns of `block`) whose sequence ratio reaches `least`.
-    Equal blocks (null is one) and near lengths are compared. All such pairs are found: they share an item of their prefixes. Texts without tokens have no pairs."""
+def similar_classes(rows: DataFrame, block: list[str], least: float) -> tuple[DataFrame, DataFrame]:
+    """(members: id, class; links: a, b, similarity) of `rows` (id, text, n_chars and the columns of `block`). Texts of a block that are equal but for white space are one class, named by its least id, so
+    copies are not compared; links stand between classes whose sequence ratio reaches `least`."""
+    keyed = rows.select(F.col("id").cast("long").alias("id"), "text", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64(F.lit(0), *block).alias("_block"))
+    same = F.sha2(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), 256)
+    marked = stored(keyed.select("id", "_block", same.alias("_same"), "n_chars", F.xxhash64("text").alias("_text")))
+    classes = stored(marked.groupBy("_block", "_same").agg(F.min("id").alias("class")), "classes")
+    members = marked.join(classes, ["_block", "_same"]).select("id", "class")
+    firsts = keyed.join(classes.select(F.col("class").alias("id")), "id", "left_semi")
+    return members, similar_pairs(firsts, ["_block"], least)
+
+
+def similar_pairs(rows: DataFrame, block: list[str], least: float, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, similarity) of `rows` (id, text, n_chars and the columns of `block`) whose sequence ratio reaches `least`; given `left` and `right` (id), those of one of either.
+    Equal blocks (null is one) and near lengths are compared. All such pairs are found: they share an item of their prefixes. Texts without tokens have no pairs. Each of many equal texts meets all others: see similar_classes."""
     ship_package(rows.sparkSession)
     keyed = rows.select(F.col("id").cast("long").alias("id"), "text", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64(F.lit(0), *block).alias("block"))
     texts = keyed.select("id", "text")
     found = prefixes(keyed, least)
     a, b = (found.select("block", "item", *[F.col(c).alias(f"_{s}{c}") for c in ("id", "n_chars", "n")]) for s in "ab")
-    near = a.join(b, ["block", "item"]).filter("_aid < _bid").filter(F.least("_an_chars", "_bn_chars") >= 0.9 * least * F.greatest("_an_chars", "_bn_chars"))
+    if left is not None and right is not None:
+        a, b = a.join(left.select(F.col("id").cast("long").alias("_aid")), "_aid", "left_semi"), b.join(right.select(F.col("id").cast("long").alias("_bid")), "_bid", "left_semi")
+    near = a.join(b, ["block", "item"]).filter("_aid < _bid" if left is None else "_aid <> _bid").filter(F.least("_an_chars", "_bn_chars") >= 0.9 * least * F.greatest("_an_chars", "_bn_chars"))
     near = near.filter(2 * F.least("_an", "_bn") >= least * (F.col("_an") + F.col("_bn")) - 1e-9)
     # up to the end of the prefix that ends first, all shared items are in both; after it there is at most the rest of that text
     rest = lambda n: F.ceil(F.col(n) * (least / (2 - least)) - 1e-9) - 1

@@ -51,14 +51,56 @@ def matched(pairs: DataFrame) -> DataFrame:
 
 
 def rename_pairs(old: DataFrame, new: DataFrame, tau: float = TAU_RENAME) -> DataFrame:
-    """a (gone), b (come) and similarity: of one type, of like length, whose texts agree to `tau`; one to one. `old` and `new` are described."""
+    """a (gone), b (come) and similarity: of one type, of like length, whose texts agree to `tau`; one to one, the best first, ties to the larger names. `old` and `new` are described.
+
+    Texts of a type that are equal but for white space are one class with members on either side; only classes are compared, those with members that are gone with those with members that come, and
+    whole runs of members are assigned at once, so moving many copies of one text costs no more than its classes and members."""
     gone, come = old.join(new.select("id"), "id", "left_anti"), new.join(old.select("id"), "id", "left_anti")
     both = gone.withColumn("side", F.lit(0)).unionByName(come.withColumn("side", F.lit(1))).filter("trim(text) <> ''")
-    both = stored(both.select(F.xxhash64("side", "id").alias("key"), "id", "side", "component_type", "text"))
-    near = extract.similar_pairs(both.select(F.col("key").alias("id"), "text", F.length("text").alias("n_chars"), "component_type"), ["component_type"], tau)
-    of = lambda s: both.select(F.col("key").alias(s), F.col("id").alias(f"_{s}"), F.col("side").alias(f"_s{s}"))
-    named = near.join(of("a"), "a").join(of("b"), "b").filter("_sa <> _sb")
-    return matched(named.select(F.when(F.col("_sa") == 0, F.col("_a")).otherwise(F.col("_b")).alias("a"), F.when(F.col("_sa") == 0, F.col("_b")).otherwise(F.col("_a")).alias("b"), "similarity"))
+    both = stored(both.select("id", "side", "component_type", "text", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("same")))
+    kind = F.xxhash64(F.lit(0), "component_type", "same").alias("class")
+    members = both.select("id", "side", kind)
+    rank = F.row_number().over(Window.partitionBy("class", "side").orderBy(F.col("id").desc())) - 1
+    members = stored(members.withColumn("rank", rank), "members")
+    classes = stored(both.select(kind, "side", "component_type", "text").groupBy("class").agg(F.first("component_type").alias("component_type"), F.min("text").alias("text"), F.count(F.when(F.col("side") == 0, 1)).alias("gone"), F.count(F.when(F.col("side") == 1, 1)).alias("come")), "classes")
+    rows = classes.select(F.col("class").alias("id"), "text", F.length("text").alias("n_chars"), "component_type")
+    near = extract.similar_pairs(rows, ["component_type"], tau, classes.filter("gone > 0").select(F.col("class").alias("id")), classes.filter("come > 0").select(F.col("class").alias("id")))
+    links = near.select("a", "b", "similarity").unionByName(classes.filter("gone > 0 AND come > 0").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")))
+    runs = assigned(links, members)
+    # the members of a run, one to one
+    left = members.filter("side = 0").select(F.col("class").alias("a"), F.col("id").alias("_a"), F.col("rank").alias("_ra"))
+    right = members.filter("side = 1").select(F.col("class").alias("b"), F.col("id").alias("_b"), F.col("rank").alias("_rb"))
+    out = runs.join(left, "a").filter("_ra >= from_a AND _ra < from_a + n").withColumn("_rb", F.col("_ra") - F.col("from_a") + F.col("from_b")).join(right, ["b", "_rb"])
+    return out.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "similarity")
+
+
+def assigned(links: DataFrame, members: DataFrame) -> DataFrame:
+    """a, b, similarity, from_a, from_b, n: runs of members (class, side, id, rank: place by falling name) that are matched, of linked classes (a: gone, b: come), as if all pairs of members went through in order of
+    similarity, name and name. Where a link is the best of both its classes and no other is as good, all members that both have left are matched at once; of links as good as each other, a pair of members a round."""
+    name = members.select("class", "side", "rank", "id")
+    size = members.groupBy("class", "side").agg(F.count("*").alias("n"))
+    of = lambda s, c: size.filter(F.col("side") == s).select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.lit(0).cast("long").alias(f"from_{c}"))
+    left = stored(links.join(of(0, "a"), "a").join(of(1, "b"), "b"), "links")
+    out = None
+    while not left.isEmpty():
+        best = lambda c: left.groupBy(c).agg(F.max("similarity").alias(f"top_{c}"))
+        ranked = left.join(best("a"), "a").join(best("b"), "b")
+        level = lambda c: left.groupBy(c, "similarity").agg(F.count("*").alias(f"even_{c}"))
+        tops = ranked.filter("similarity = top_a AND similarity = top_b").join(level("a"), ["a", "similarity"]).join(level("b"), ["b", "similarity"])
+        tops = stored(tops, "tops")
+        alone = tops.filter("even_a = 1 AND even_b = 1").withColumn("n", F.least(F.col("n_a") - F.col("from_a"), F.col("n_b") - F.col("from_b")))
+        # ties: the pair with the larger names, one member each, if it is the best of both classes
+        tied = tops.filter("even_a > 1 OR even_b > 1")
+        first = lambda s, c: name.filter(F.col("side") == s).select(F.col("class").alias(c), F.col("rank").cast("long").alias(f"from_{c}"), F.col("id").alias(f"id_{c}"))
+        tied = tied.join(first(0, "a"), ["a", "from_a"]).join(first(1, "b"), ["b", "from_b"]).withColumn("_key", F.struct("id_a", "id_b"))
+        one = tied.join(tied.groupBy("a").agg(F.max("_key").alias("_ka")), "a").join(tied.groupBy("b").agg(F.max("_key").alias("_kb")), "b").filter("_key = _ka AND _key = _kb").withColumn("n", F.lit(1).cast("long"))
+        columns = ["a", "b", "similarity", "from_a", "from_b", "n"]
+        taken = stored(alone.select(*columns).unionByName(one.select(*columns)), "runs")
+        out = taken if out is None else out.unionByName(taken)
+        used = lambda c: taken.groupBy(c).agg(F.sum("n").alias(f"used_{c}"))
+        after = left.join(used("a"), "a", "left").join(used("b"), "b", "left").fillna(0, ["used_a", "used_b"])
+        left = stored(after.select("a", "b", "similarity", "n_a", (F.col("from_a") + F.col("used_a")).alias("from_a"), "n_b", (F.col("from_b") + F.col("used_b")).alias("from_b")).filter("from_a < n_a AND from_b < n_b"), "links")
+    return left.select("a", "b", "similarity", "from_a", "from_b", F.col("n_a").alias("n")) if out is None else out
 
 
 def changes(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, tau: float | None = TAU_RENAME) -> DataFrame:
@@ -177,6 +219,40 @@ def routed(added: DataFrame, components: DataFrame, owned: DataFrame, edges: Dat
     return rows.withColumn("rule", F.coalesce("rule", F.lit("untracked")))
 
 
+def by_rules(ids: DataFrame, owned: DataFrame, edges: DataFrame, tau: float = TAU_NEIGHBOURS) -> DataFrame:
+    """id, rule and path of `ids` (id), each on its own, by what is owned now: rules 1 to 3 of `routed` as joins; no row where none holds. Ties go to the path that sorts first."""
+    place = lambda df: df.withColumn("file", F.substring_index("id", "::", 1)).withColumn("dir", F.regexp_extract(F.substring_index("id", "::", 1), "^(.*)/[^/]*$", 1))
+    new, held = place(ids.select("id").distinct()), place(owned.select(F.col("component_id").alias("id"), "path"))
+    most = lambda rows, *keys: rows.groupBy(*keys, "path").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), "path")).alias("b"), F.sum("n").alias("total"))
+    one = new.join(most(held, "file").select("file", F.col("b.path").alias("path")), "file").select("id", F.lit("1").alias("rule"), "path")
+    dirs = held.groupBy("dir").agg(F.min("path").alias("path"), F.max("path").alias("_last")).filter("path = _last").select("dir", "path")
+    two = new.join(dirs, "dir").select("id", F.lit("2").alias("rule"), "path")
+    around = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src")).filter("id <> other").distinct().join(new.select("id"), "id", "left_semi")
+    owner = resolved_owners(around.select(F.col("other").alias("id")), owned).filter("path IS NOT NULL").select(F.col("id").alias("other"), "path")
+    votes = most(around.join(owner, "other"), "id").filter(-F.col("b.m") >= F.lit(tau) * F.col("total"))
+    three = votes.select("id", F.lit("3").alias("rule"), F.col("b.path").alias("path"))
+    return one.unionByName(two).unionByName(three).groupBy("id").agg(F.min(F.struct("rule", "path")).alias("b")).select("id", "b.rule", "b.path")
+
+
+def adopted(found: DataFrame, old_owned: DataFrame, new_owned: DataFrame, old_edges: DataFrame, new_edges: DataFrame, left_out: DataFrame | None = None, tau: float = TAU_NEIGHBOURS, decide=None, modules: DataFrame | None = None) -> DataFrame:
+    """id, rule, path and deleted of changed components that no module lists, in neither tree: the module that answers for them this time, though the tree stays as it is. `found` are the changes (id, change),
+    `left_out` (id) what routing left untracked on purpose. Deleted ids go by the old graph and tree, all others by the new ones, each on its own, so no choice depends on another. What no rule places, but for deleted ids, may be placed by
+    `decide` (DataFrame of id to DataFrame of id, path; rule 4), in a module of `modules` (path) that is there."""
+    ids = stored(found.groupBy("id").agg(F.min(F.col("change") == "deleted").alias("deleted")), "changed")
+    for owned in (new_owned, old_owned):
+        ids = ids.join(resolved_owners(ids.select("id"), owned).filter("path IS NOT NULL").select("id"), "id", "left_anti")
+    if left_out is not None:
+        ids = ids.join(left_out.select("id"), "id", "left_anti")
+    ids = stored(ids, "untracked")
+    sides = [by_rules(ids.filter(F.col("deleted") == gone), owned, edges, tau).withColumn("deleted", F.lit(gone)) for gone, owned, edges in ((True, old_owned, old_edges), (False, new_owned, new_edges))]
+    out = sides[0].unionByName(sides[1])
+    if decide is not None and modules is not None:
+        rest = stored(ids.filter("NOT deleted").join(out, "id", "left_anti").select("id"), "unplaced")
+        said = decide(rest).join(rest, "id", "left_semi").join(modules.select("path"), "path", "left_semi")
+        out = out.unionByName(said.select("id", F.lit("4").alias("rule"), "path", F.lit(False).alias("deleted")))
+    return out
+
+
 def checked_decisions(decisions: DataFrame, modules: DataFrame) -> DataFrame:
     """`decisions` (id, action: place, create or untracked; parent, name) with `path` and `fault`: places must exist, new modules need a parent that exists (or the root) and a name no sibling has."""
     at = F.when(F.col("action") == "place", F.col("parent")).when(F.col("action") == "create", F.concat(F.coalesce("parent", F.array().cast("array<string>")), F.array("name")))
@@ -332,9 +408,11 @@ def touched_modules(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def touched_by_substring(files: DataFrame, modules: DataFrame) -> DataFrame:
-    """The old rule, kept to compare with: a file and a hint of which one contains the other. Modules (few) are broadcast, files stay where they are."""
-    hints = F.broadcast(modules.filter("path_hint <> ''").limit(ON_DRIVER).select("path", "path_hint"))
-    return files.join(hints, F.contains("file", F.col("path_hint")) | F.contains("path_hint", F.col("file"))).select("path", "file").distinct()
+    """The old rule, kept to compare with: a file and a hint of which one contains the other. Modules are broadcast, ON_DRIVER at the most, more are refused; files stay where they are."""
+    hints = modules.filter("path_hint <> ''").select("path", "path_hint")
+    if (n := hints.limit(ON_DRIVER + 1).count()) > ON_DRIVER:
+        raise ValueError(f"more than {n - 1} modules: compare them by folders and names (touched_modules)")
+    return files.join(F.broadcast(hints), F.contains("file", F.col("path_hint")) | F.contains("path_hint", F.col("file"))).select("path", "file").distinct()
 
 
 # ---- pages that have gone stale

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.session import ship_package
 
@@ -10,11 +11,12 @@ from corvane.session import ship_package
 def _ordered(rows: DataFrame) -> DataFrame:
     ship_package(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("tokens", F.coalesce(F.col("tokens").cast("long"), F.lit(0)))
     return rows.repartition(n, "grp").sortWithinPartitions("grp", "ord", "id")
 
 
 def skip_greedy(rows: DataFrame, budget: int) -> DataFrame:
-    """`rows` (grp, id, ord, tokens): what is read under the budget. The first that is too large is cut, later ones are skipped."""
+    """`rows` (grp, id, ord, tokens): what is read under the budget. The first that is too large is cut, later ones are skipped. Null tokens, and fewer than none, are none."""
 
     def run(frames):
         group, used = None, 0
@@ -23,6 +25,7 @@ def skip_greedy(rows: DataFrame, budget: int) -> DataFrame:
             for g, t in zip(frame["grp"], frame["tokens"]):
                 if g != group:
                     group, used = g, 0
+                t = max(0, t)
                 take = t if used + t <= budget else (budget if not used else 0)
                 used += take
                 out.append(take)

@@ -46,7 +46,7 @@ def described(units: DataFrame, stale: DataFrame | None = None) -> DataFrame:
 
 
 def grep(files: DataFrame, components: DataFrame, pattern: str, most_files: int = GREP_FILES, most_hits: int = GREP_HITS) -> DataFrame:
-    """id and hits (the first three lines) of the components that lines matching `pattern` lie in. Files (path, text, ord) are searched in order, up to the limits on files and hits; larger ones than a megabyte are passed over. Hits outside components count towards the limits."""
+    """id and hits (the first three lines) of the components that lines matching `pattern` lie in. Files (path, text, ord) are searched in order, up to the limits on files and hits; larger ones than a megabyte are passed over (passed_over names them). Hits outside components count towards the limits."""
     lines = files.filter(F.length("text") <= GREP_BYTES).select("path", "ord", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1).filter(F.col("text").rlike(pattern))
     first = lines.select("path", "ord").distinct().orderBy("ord", "path").limit(most_files)
     hits = lines.join(F.broadcast(first.select("path")), "path").orderBy("ord", "path", "line").limit(most_hits)
@@ -54,6 +54,11 @@ def grep(files: DataFrame, components: DataFrame, pattern: str, most_files: int
     return found.groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "line", "text"))), lambda x: F.concat(x["line"].cast("string"), F.lit(": "), F.trim(x["text"]))), 1, 3).alias("hits"), F.count("*").alias("n"))
 
 
+def passed_over(files: DataFrame) -> DataFrame:
+    """path and n_chars of files (path, text) that grep does not read, as they are larger than GREP_BYTES."""
+    return files.filter(F.length("text") > GREP_BYTES).select("path", F.length("text").alias("n_chars"))
+
+
 def neighbours(edges: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
     """id and near: what a component uses, what uses it, sections of the first two levels of its pages; and for a section the components of its page. pages (page, component_id), sections (id, page, level)."""
     high = sections.filter("level <= 2").select("id", "page").join(pages, "page")

@@ -119,16 +119,12 @@ def pack_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.next_fit(files.select(F.col("dir").alias("grp"), F.col("path").alias("id"), F.col("path").alias("ord"), "tokens"), 400)
 
 
-def py_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components and calls of Python sources, one that does not parse among them."""
-    sources = [("pkg/a.py", "import os\nclass A(Base):\n    '''Doc.'''\n    def run(self, x):\n        return helper(x)\ndef helper(y):\n    return os.path.join(y)\n"), ("pkg/b.py", "X = 1\n"), ("pkg/c.py", "def broken(:\n")]
-    return extract.python_components(spark.createDataFrame(sources, "path string, text string"))
-
-
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies of one language by sequence ratio."""
+    """Near copies of one language by sequence ratio: pairs of classes (how: near), and the members of each class of copies (how: copy)."""
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text", F.length("text").alias("n_chars"))
-    return extract.similar_pairs(docs, ["lang"], 0.95)
+    members, near = extract.similar_classes(docs, ["lang"], 0.95)
+    copies = members.filter("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("how"))
+    return copies.unionByName(near.withColumn("how", F.lit("near")))
 
 
 def best_window_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,18 +138,12 @@ def water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.water_fill(spark.table("units").select(F.col("source").alias("grp"), "id", "tokens"), 20000)
 
 
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of a page, fenced headings left out, repeated anchors numbered."""
-    page = "# Card\nIntro.\n## Setup\n```\n# no heading\n```\nText\n## Setup\nMore\n"
-    return extract.sections(spark.createDataFrame([("card.md", page)], "file string, text string"))
-
-
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of two hours' inactivity, from a stream over the events."""
     return sessions.run_to_end(spark, f"{sf_dir}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (bm25f_topk, bm25f_topk_docs_only, bm25f_stale_before_cut, fused_two_query, transitive_closure_bounded, scc_members, reach_hops, topo_levels, expand_frontier, pack_skip_greedy, pack_next_fit, py_extract, similarity_ratio, best_window_cut, water_fill, markdown_sections, stream_sessions)}
+QUERIES = {f.__name__: f for f in (bm25f_topk, bm25f_topk_docs_only, bm25f_stale_before_cut, fused_two_query, transitive_closure_bounded, scc_members, reach_hops, topo_levels, expand_frontier, pack_skip_greedy, pack_next_fit, similarity_ratio, best_window_cut, water_fill, stream_sessions)}
 
 _REACH = "WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM r JOIN edge e ON r.dst = e.src)"
 ORACLE_SQL = {

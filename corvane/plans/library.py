@@ -1,4 +1,4 @@
-"""Queries that apply the library's functions to relations bound to the tables, with their SQL where it can say them; those of texts alone run on inline sources."""
+"""Queries that apply the library's functions to relations bound to the tables, with their SQL where it can say them; source files, pages and build files are derived from the tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import artifacts, hierarchy, impact, languages, ledger, maintain, pages, partition, resolve, retrieval, search
+from corvane.operators import artifacts, extract, hierarchy, impact, languages, ledger, maintain, pages, partition, resolve, retrieval, search
+from corvane.session import stored
+from corvane.sources import code
 from corvane.sources import files as sources
 from corvane.sources.tables import load, register
 from corvane.streaming import sessions
@@ -442,60 +444,148 @@ def shown_numbers(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.in_thousands(F.col("n_chars")).alias("shown"), T.duration(F.col("n_chars")).alias("took"))
 
 
-# ---- texts: inline sources
+# ---- texts that Spark derives from the tables
 
-_SOURCES = [
-    ("shop/cart.py", "from shop.tax import Tax\nLIMIT = 3\nclass Cart(Base):\n    def add(self, item: Item):\n        t = Tax()\n        return t.of(item) + self.total() + LIMIT\n    def total(self): return 1\n", "python"),
-    ("shop/tax.go", "package shop\ntype Tax struct {\n\tBase\n}\nfunc (t *Tax) Of(k int) int {\n\treturn t.rate(k)\n}\n", "go"),
-    ("web/app.js", "/** Starts. */\nexport function start(a) { return new Cart(a).add(LIMIT); }\nclass View extends Page {\n  draw() { this.clear(); }\n}\n", "javascript"),
-    ("src/Cart.java", "public class Cart extends Base {\n  public int total(int k) { return tax.of(k); }\n}\n", "java"),
-    ("lib/cart.rs", "pub struct Cart { item: Item }\nimpl Sum for Cart {\n  fn total(&self) -> i32 { helper(2) }\n}\n", "rust"),
-    ("broken.py", "def (", "python"),
-]
+_NAMED = "concat(name, '.f', CAST(dst AS STRING), '.run', CAST(dst AS STRING))"
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SOURCES, "path string, text string, language string")
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The derived files, their components, calls and variables."""
+    files = code.files(spark, sf_dir)
+    rows = stored(languages.extract(files), "extracted")
+    comps = rows.filter("row_kind = 'component'").select("id", "name", "component_type", F.col("path").alias("relative_path"), "language", "start_line", "end_line", "parameters")
+    calls = rows.filter("row_kind = 'call'").select(F.col("id").alias("caller"), "callee", "relation", "call_line", "language")
+    return files, comps, calls, rows.filter("row_kind = 'binding'")
 
 
-@query()
+@query(f"""WITH {code.CODE}
+SELECT 'component' AS row_kind, type_id AS id, kind AS component_type, CAST(NULL AS VARCHAR) AS callee, CAST(NULL AS VARCHAR) AS relation FROM code
+UNION ALL SELECT 'component', method_id, 'method', NULL, NULL FROM code
+UNION ALL SELECT 'call', method_id, NULL, 'log', 'call' FROM code
+UNION ALL SELECT 'call', type_id, NULL, concat('C', CAST(dst AS STRING)), 'type' FROM code JOIN edge ON src = pk
+UNION ALL SELECT 'call', method_id, NULL, {_NAMED}, 'call' FROM code JOIN edge ON src = pk
+UNION ALL SELECT 'binding', type_id, NULL, concat('C', CAST(dst AS STRING)), 'field' FROM code JOIN edge ON src = pk""")
 def language_extract(spark, sf_dir):
-    """Components and calls of source files in several languages."""
-    return languages.extract(_sources(spark)).select("row_kind", "id", "component_type", "callee", "relation")
+    """Components, calls and types of variables of source files in ten languages."""
+    return languages.extract(code.files(spark, sf_dir)).select("row_kind", "id", "component_type", "callee", "relation")
 
 
-@query()
+@query(f"""WITH {code.CODE}, pair AS (SELECT a.type_id, a.method_id, a.name, a.language AS la, dst, b.type_id AS to_type, b.method_id AS to_method, b.language AS lb FROM code a JOIN edge ON src = a.pk JOIN code b ON b.pk = dst)
+SELECT type_id AS caller, concat('C', CAST(dst AS STRING)) AS callee, to_type AS resolved, CASE WHEN la = lb THEN 1 ELSE 11 END AS rule FROM pair
+UNION ALL SELECT method_id, {_NAMED}, to_method, 0 FROM pair WHERE la = lb""")
 def source_graph(spark, sf_dir):
-    """From files to a graph of components."""
-    rows = languages.extract(_sources(spark))
-    comps = rows.filter("row_kind = 'component'").select("id", "name", "component_type", F.col("path").alias("relative_path"), "language")
-    calls = rows.filter("row_kind = 'call'").select(F.col("id").alias("caller"), "callee", "call_line", "language")
-    return resolve.bound(calls, comps)
+    """From files to a graph of components; methods are found by the types of their receivers, and a receiver of another language's type leads nowhere."""
+    _, comps, calls, variables = _graph(spark, sf_dir)
+    return resolve.bound(calls, comps, variables).filter("resolved IS NOT NULL").select("caller", "callee", "resolved", "rule")
+
+
+_LOG_LINES = " ".join(f"WHEN '{x}' THEN {t[1].split('log(')[0].count(chr(10)) + 1}" for x, t in code.TEMPLATES.items())
+
+
+@query(f"WITH {code.CODE} SELECT path, CAST(CASE language {_LOG_LINES} END + greatest(coalesce(n, 1), 1) - 1 AS INTEGER) AS line, 'reference' AS kind FROM code LEFT JOIN (SELECT src, count(*) AS n FROM edge GROUP BY src) e ON src = pk")
+def impact_sites(spark, sf_dir):
+    """Every line of the sources that names a function."""
+    return impact.sites(code.files(spark, sf_dir), "log").select("path", "line", "kind")
 
 
 @query()
 def impact_report(spark, sf_dir):
-    """What a change of a name touches."""
-    rows = languages.extract(_sources(spark))
-    comps = rows.filter("row_kind = 'component'").select("id", F.col("path").alias("relative_path"), "start_line", "end_line", "parameters")
-    sections = spark.createDataFrame([("Cart.md", "limits", "The LIMIT of a cart.")], "file string, anchor string, content string")
-    edges = spark.createDataFrame([("web/app.js::start", "shop/cart.py::Cart.add")], "src string, dst string")
-    return impact.rendered(impact.report("LIMIT", _sources(spark), comps, edges, sections))
+    """What a change of a type touches: its places, and what uses it within two steps."""
+    files, comps, calls, variables = _graph(spark, sf_dir)
+    used = resolve.bound(calls, comps, variables).filter("resolved IS NOT NULL").select(F.col("caller").alias("src"), F.col("resolved").alias("dst"))
+    sections = load(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").cast("string").alias("anchor"), F.col("text").alias("content"))
+    return impact.rendered(impact.report("C1", files, comps, stored(used, "used"), sections))
 
 
-@query()
+_SUPPLIED = "SELECT s_suppkey AS k, concat('S', CAST(s_suppkey AS STRING)) AS s, s_nationkey AS n FROM supplier"
+_MAKE = f"make AS (SELECT *, concat('s', CAST(k AS STRING), '/Makefile') AS path, concat('tools/t', CAST(k AS STRING), '.sh') AS tool, row_number() OVER (ORDER BY concat('s', CAST(k AS STRING), '/Makefile')) <= 40 AS kept, row_number() OVER (ORDER BY concat('tools/t', CAST(k AS STRING), '.sh')) <= 40 AS tool_kept FROM ({_SUPPLIED}) x)"
+
+
+@query(f"""WITH {_MAKE}
+SELECT concat(path, '::file') AS src, concat(path, '::all') AS dst FROM make WHERE kept UNION ALL SELECT concat(path, '::file'), concat(path, '::build', CAST(k AS STRING)) FROM make WHERE kept
+UNION ALL SELECT concat(path, '::file'), concat(tool, CASE WHEN tool_kept THEN '::file' ELSE '::__file__' END) FROM make WHERE kept
+UNION ALL SELECT concat(path, '::file'), concat('pkg/s', CAST(k AS STRING), '.py::__file__') FROM make WHERE kept""")
 def artifact_graph(spark, sf_dir):
-    """Build files, their units and what they name."""
-    files = spark.createDataFrame([("Makefile", 60, "all: build\n\tpython -m shop.cart\nbuild:\n\tsh tools/pack.sh\n"), ("tools/pack.sh", 20, "npm run zip\n"), ("package.json", 40, '{"scripts": {"zip": "node web/app.js"}}'), ("shop/cart.py", 9, "x"), ("web/app.js", 9, "x")], "path string, size int, head string")
+    """Build files (the first 40 of a class, which is the rule), their units and what they name; a supplier's files stand for a project's."""
+    register(spark, sf_dir)
+    files = spark.sql(
+        f"""SELECT path, CAST(length(head) AS INT) AS size, head FROM ({_SUPPLIED}) x LATERAL VIEW inline(array(
+        named_struct('path', concat('s', k, '/Makefile'), 'head', concat('all: build', k, '\n\t@python -m pkg.s', k, ' # tools/gone.sh\nbuild', k, ':\n\tsh ../tools/../tools/none.txt && sh tools/t', k, '.sh\n')),
+        named_struct('path', concat('tools/t', k, '.sh'), 'head', 'echo "pkg/base.py stays"\n'), named_struct('path', concat('pkg/s', k, '.py'), 'head', 'x = 1\n'))) AS path, head"""
+    )
     return artifacts.artifact_pass(files)[1]
 
 
-@query()
+_PAGE = f"page AS (SELECT k, n, concat('d', CAST(n AS STRING), '/supp', CAST(k AS STRING), '.md') AS page FROM ({_SUPPLIED}) x)"
+
+
+@query(f"""WITH {_PAGE}
+SELECT a.page, concat('# S', CAST(a.k AS STRING), chr(10), 'See ', CASE WHEN b.k IS NULL THEN 'other' ELSE concat('[other](', CASE WHEN a.n = b.n THEN '' ELSE concat('../d', CAST(b.n AS STRING), '/') END, 'supp', CAST(b.k AS STRING), '.md)') END,
+  ' and gone, the [Ledger](../ledger.md). Ledger', chr(10), chr(10), '{pages.RELATED[0]}', chr(10), '- Parent: [home](../home.md)', chr(10), '{pages.RELATED[1]}', chr(10)) AS text
+FROM page a LEFT JOIN page b ON b.k = a.k + 1 UNION ALL SELECT 'ledger.md', concat('# Ledger', chr(10)) UNION ALL SELECT 'home.md', concat('# Home', chr(10))""")
 def pages_linked(spark, sf_dir):
-    """Links repaired, first mentions linked, relations appended."""
-    rows = spark.createDataFrame([("core/cart.md", "# Cart\nThe Ledger, [tax](Tax.md) and [gone](x.md).\n"), ("core/tax.md", "# Tax\n"), ("ledger.md", "# Ledger\n")], "page string, text string")
+    """Links repaired, first mentions linked, relations appended; a supplier's page stands for a module's."""
+    register(spark, sf_dir)
+    rows = spark.sql(f"WITH {_PAGE} SELECT page, concat('# S', k, '\nSee [other](SUPP-', k + 1, '.md) and [gone](x', k, '.md), the Ledger. Ledger\n') AS text FROM page UNION ALL SELECT 'ledger.md', '# Ledger\n' UNION ALL SELECT 'home.md', '# Home\n'")
     terms = spark.createDataFrame([("Ledger", "ledger.md", "")], "term string, page string, anchor string")
-    return pages.crosslinked(rows, terms, spark.createDataFrame([("core/cart.md", "Parent", "core/tax.md", 0)], "page string, how string, other string, ord int"))
+    relations = rows.filter("page LIKE 'd%'").select("page", F.lit("Parent").alias("how"), F.lit("home.md").alias("other"), F.lit(0).alias("ord"))
+    return pages.crosslinked(rows, terms, relations)
+
+
+@query(f"""WITH s AS ({_SUPPLIED}), p AS (SELECT *, concat('pkg/s', CAST(k AS STRING), '.py') AS path FROM s)
+SELECT 'component' AS row_kind, concat(path, '::__file__') AS id, 'file' AS component_type, CAST(NULL AS VARCHAR) AS callee, CAST(NULL AS INTEGER) AS line FROM p WHERE k % 7 = 3
+UNION ALL SELECT 'component', concat(path, '::', s), 'class', NULL, 2 FROM p WHERE k % 7 <> 3 UNION ALL SELECT 'call', concat(path, '::', s), NULL, concat('Base', CAST(n AS STRING)), 2 FROM p WHERE k % 7 <> 3
+UNION ALL SELECT 'component', concat(path, '::', s, '.run'), 'method', NULL, 4 FROM p WHERE k % 7 <> 3 UNION ALL SELECT 'call', concat(path, '::', s, '.run'), NULL, concat('help', CAST(k AS STRING)), 5 FROM p WHERE k % 7 <> 3
+UNION ALL SELECT 'component', concat(path, '::help', CAST(k AS STRING)), 'function', NULL, 6 FROM p WHERE k % 7 <> 3 UNION ALL SELECT 'call', concat(path, '::help', CAST(k AS STRING)), NULL, 'os.path.join', 7 FROM p WHERE k % 7 <> 3""")
+def py_extract(spark, sf_dir):
+    """Components and calls of Python sources, some of which do not parse; a supplier's module stands for a project's."""
+    register(spark, sf_dir)
+    text = "concat('import os\nclass ', s, '(Base', n, '):\n    \"class Gone(): pass\"\n    def run(self, x):\n        return help', k, '(x)\ndef help', k, '(y):\n    return os.path.join(y)  # gone(1)\n')"
+    files = spark.sql(f"SELECT concat('pkg/s', k, '.py') AS path, CASE WHEN k % 7 = 3 THEN 'def broken(:' ELSE {text} END AS text FROM ({_SUPPLIED}) x")
+    found = extract.python_components(files)
+    return found.select("row_kind", "id", "component_type", "callee", F.when(F.col("component_type") == "file", F.lit(None)).otherwise(F.coalesce("start_line", "call_line")).cast("int").alias("line"))
+
+
+@query(f"""WITH s AS ({_SUPPLIED}), p AS (SELECT concat('S', CAST(k AS STRING), '.md') AS file, CAST(k AS STRING) AS k, lower(n_name) AS slug, n_name FROM s JOIN nation ON n_nationkey = n)
+SELECT file, concat('card-', k) AS anchor, 1 AS level, concat('Card ', k) AS title, concat('Intro ', k, '.') AS content FROM p UNION ALL SELECT file, 'setup', 2, 'Setup', 'Text' FROM p UNION ALL SELECT file, 'setup-1', 2, 'Setup', 'More' FROM p
+UNION ALL SELECT file, concat('run-', slug), 3, concat('Run ', n_name), '' FROM p""")
+def markdown_sections(spark, sf_dir):
+    """Sections of pages, fenced headings left out, repeated anchors numbered; a supplier's page stands for a module's."""
+    register(spark, sf_dir)
+    page = "concat('# Card ', k, '\nIntro ', k, '.\n## Setup\n```\n# no heading\n```\nText\n## Setup\nMore\n### `Run` [', n_name, '](x.md)\n')"
+    return extract.sections(spark.sql(f"SELECT concat('S', k, '.md') AS file, {page} AS text FROM ({_SUPPLIED}) x JOIN nation ON n_nationkey = n"))
+
+
+_PARTS = "WITH p AS (SELECT pk, id, path, dir, kind, pk % 5 = 0 AS changed, pk % 10 = 0 AS gone FROM comp)"
+_LISTED_NOW = "pk % 5 <> 0 AND dir <> 'Brand#3' AND (dir <> 'Brand#4' OR kind = 'PROMO')"
+_OWNED = f"owned_now AS (SELECT id, path, dir, kind, pk FROM p WHERE {_LISTED_NOW})"
+_BOTH = "both_ways AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge)"
+
+
+@query(f"""{_PARTS}, {_OWNED}, {_BOTH},
+one AS (SELECT id, kind AS owner FROM (SELECT n.id, o.kind, row_number() OVER (PARTITION BY n.id ORDER BY count(*) DESC, o.kind) AS k FROM p n JOIN owned_now o ON n.path = o.path WHERE n.changed GROUP BY n.id, o.kind) t WHERE k = 1),
+two AS (SELECT n.id, o.owner FROM p n JOIN (SELECT dir, min(kind) AS owner FROM owned_now GROUP BY dir HAVING count(DISTINCT kind) = 1) o ON n.dir = o.dir WHERE n.changed),
+votes AS (SELECT n.id, o.kind AS owner, count(*) AS v FROM p n JOIN both_ways ON a = n.pk JOIN owned_now o ON o.pk = b WHERE n.changed AND a <> b GROUP BY n.id, o.kind),
+three AS (SELECT id, owner FROM (SELECT id, owner, v, sum(v) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY v DESC, owner) AS k FROM votes) t WHERE k = 1 AND 2 * v >= total)
+SELECT p.id, CASE WHEN one.id IS NOT NULL THEN '1' WHEN two.id IS NOT NULL THEN '2' ELSE '3' END AS rule, coalesce(one.owner, two.owner, three.owner) AS owner, p.gone AS deleted
+FROM p LEFT JOIN one ON one.id = p.id LEFT JOIN two ON two.id = p.id LEFT JOIN three ON three.id = p.id WHERE p.changed AND coalesce(one.owner, two.owner, three.owner) IS NOT NULL""")
+def ownership_closure(spark, sf_dir):
+    """Who answers for changed components that no module lists; a fifth of the parts is changed, half of them deleted; the others are listed under their kind, but for some brands."""
+    register(spark, sf_dir)
+    comp, near = spark.table("comp"), spark.table("edge")
+    found = comp.filter("pk % 5 = 0").select("id", F.when(F.col("pk") % 10 == 0, "deleted").otherwise("body").alias("change"))
+    listed = comp.filter(_LISTED_NOW).select(F.col("id").alias("component_id"), F.array("kind").alias("path"))
+    ids = comp.select("pk", "id")
+    edges = near.join(ids.select(F.col("pk").alias("src"), F.col("id").alias("_a")), "src").join(ids.select(F.col("pk").alias("dst"), F.col("id").alias("_b")), "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
+    return maintain.adopted(found, listed, listed, edges, edges).select("id", "rule", F.element_at("path", 1).alias("owner"), "deleted")
+
+
+@query()
+def renames_by_classes(spark, sf_dir):
+    """Documents of a source that moved to another, matched one to one by their texts; copies move as one class."""
+    docs = load(spark, sf_dir, "documents")
+    at = lambda part: docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("component_type"), F.coalesce("text", F.lit("")).alias("text"))
+    return maintain.rename_pairs(at(0), at(1))
 
 
 @query()

@@ -97,11 +97,15 @@ def left_out(path: Column, user: Iterable[str] = (), defaults: Iterable[str] = E
 
 def ignore_rule(line: str) -> tuple[str, bool, bool] | None:
     """(regular expression from the folder of the file on, whether it takes back, whether for folders alone) of one line of an ignore file."""
-    line = re.sub(r"(?<!\\)\s+$", "", line)
+    line, end, i = line.rstrip("\r\n"), 0, 0
+    while i < len(line):  # blanks at the end count only after a backslash
+        i += 2 if line[i] == "\\" else 1
+        end = min(i, len(line)) if line[min(i, len(line)) - 1] != " " or line[i - 2 : i - 1] == "\\" else end
+    line = line[:end]
     if not line or line.startswith("#"):
         return None
     back = line.startswith("!")
-    line = line[back:].lstrip("\\") if line[back:].startswith(("\\#", "\\!")) else line[back:]
+    line = line[back:]
     only_dirs, rooted = line.endswith("/"), "/" in line.rstrip("/")
     line, out, i = line.strip("/"), "", 0
     while i < len(line):
@@ -109,6 +113,10 @@ def ignore_rule(line: str) -> tuple[str, bool, bool] | None:
             out, i = out + "(?:.*/)?", i + 3
         elif line.startswith("/**", i) and i + 3 == len(line):
             out, i = out + "/.*", i + 3
+        elif line[i] == "\\":  # the next letter stands for itself; a backslash at the end matches nothing
+            if i + 1 == len(line):
+                return "(?!)", back, only_dirs
+            out, i = out + re.escape(line[i + 1]), i + 2
         elif line[i] == "*":
             out, i = out + "[^/]*", i + 1
         elif line[i] == "?":

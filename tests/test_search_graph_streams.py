@@ -78,3 +78,47 @@ def test_lent_slots(spark):
     kinds = ["hold", "lend", "hold", "hold", "note", "release", "resume", "release", "release"]
     rows = ledger.slots_held(spark.createDataFrame([("r", i, k) for i, k in enumerate(kinds)], "run string, ord long, kind string"), 1).orderBy("ord").collect()
     assert [r.held for r in rows] == [1, 0, 1, 2, 2, 1, 2, 1, 0] and [r.over for r in rows] == [0, 0, 0, 1, 1, 0, 1, 0, 0]
+
+
+def _units(rng, ids):
+    words = [f"w{int(1.2**k)}x{k}" for k in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randrange(n)))
+    return [(i, text(5), rng.choice([None, "src io", ""]), text(60)) for i in ids]
+
+
+def test_updates_of_an_index_equal_a_full_build(spark):
+    rng, schema = random.Random(11), "id long, title string, path string, content string"
+    now = {u[0]: u for u in _units(rng, range(300))}
+    index = search.Index.build(spark.createDataFrame(list(now.values()), schema), buckets=5)
+    for step in range(4):
+        new = _units(rng, [*rng.sample(range(300), 9), 1000 + step])
+        gone = [(i,) for i in rng.sample(sorted(set(now) - {u[0] for u in new}), 3)] + [(99_999,)]
+        now = {i: u for i, u in (now | {u[0]: u for u in new}).items() if (i,) not in gone}
+        index = index.update(spark.createDataFrame(new, schema), spark.createDataFrame(gone, "id long"))
+    whole = search.Index.build(spark.createDataFrame(list(now.values()), schema))
+    assert (index.n, index.total, index.average) == (whole.n, whole.total, whole.average) and 1 < len(index.segments) < 5
+    assert sorted(map(tuple, index.vocabulary().collect())) == sorted(map(tuple, whole.vocabulary().collect()))
+    for query in (["w1x0", "w9x12"], ["w1x"], ["src", "w2x4"]):
+        one, two = ({r.id: round(r.score, 9) for r in x.scores(query).collect()} for x in (index, whole))
+        assert one == two and one
+    again = search.Index(spark, index.path)
+    assert again.n == index.n and len(again.segments) == len(index.segments)
+    merged = again.merged(0)
+    assert len(merged.segments) == 1 and {r.id: round(r.score, 9) for r in merged.scores(["w1x0"]).collect()} == {r.id: round(r.score, 9) for r in whole.scores(["w1x0"]).collect()}
+
+
+def test_an_index_of_nothing(spark):
+    schema = "id string, title string, path string, content string"
+    for rows in ([], [("a", "the of", None, "and the")]):
+        index = search.Index.build(spark.createDataFrame(rows, schema))
+        assert index.n == len(rows) and index.scores(["merg"]).count() == 0 and index.vocabulary().count() == 0
+        index = index.update(spark.createDataFrame([("b", "merge", "", "")], schema), spark.createDataFrame([("a",)], "id string"))
+        assert index.n == 1 and [r.id for r in index.scores(["merg"]).collect()] == ["b"]
+
+
+def test_buckets_are_even_whatever_the_terms(spark):
+    rows = spark.range(4000).select(F.col("id"), F.lit("").alias("title"), F.lit("").alias("path"), F.concat(F.lit("every "), F.when(F.col("id") % 2 == 0, "second ").otherwise(""), F.concat(F.lit("x"), F.col("id") % 50), F.lit(" y"), F.col("id")).alias("content"))
+    index = search.Index.build(rows, buckets=8)
+    sizes = sorted(r["count"] for r in index._postings(index.segments[0]).groupBy("bucket").count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 1.3 * sizes[4] and any(len(b) > 1 for b in index.segments[0].hot.values())
+    assert index.scores(["every"]).count() == 4000 and index.scores(["y17"]).count() == 1
