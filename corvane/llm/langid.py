@@ -7,7 +7,7 @@ right on the language's validation rows. The language with the least loss is cho
 
 Codes: all dichotomies for up to 6 languages (4 have 7 bits, any two codewords differ in 4), else the best of CODES random codes by least distance, of 15 bits for each bit of a language's number.
 
-It fits on at most SAMPLE rows of each language (those of the smallest hashes of doc_id and text; three quarters for the counts, a quarter for scales and weights), so
+It fits on at most SAMPLE rows of each language (those of the smallest hashes of doc_id and text, in each of SALTS groups; three quarters for the counts, a quarter for scales and weights), so
 the model's cost does not grow with the corpus. Only sums per language reach the driver: at most 4 vectors of DIMS numbers a language, and at most MOST_LANGS languages, more are refused.
 
 Defined cases: rows with a null lang are not learned from; a null text, or one without a letter, is `und` with score 0, ambiguous; without any learned language every text is;
@@ -29,6 +29,7 @@ from corvane.llm.common import discard, small_batches, written
 UNKNOWN = "und"
 #: Rows of each language that the model is fitted on, at the most.
 SAMPLE = 2000
+SALTS = 16
 MOST_LANGS = 500
 #: Buckets of n-grams, as a power of 2, and the lengths of n-grams in bytes.
 BITS = 14
@@ -126,9 +127,10 @@ def _sample(docs: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
     # thin by hash in the scan, before any text moves
     shares = docs.sparkSession.createDataFrame([(x, min(1.0, 4 * sample / n)) for x, n in sizes.items()], "lang string, _share double")
     few = rows.join(F.broadcast(shares), "lang").filter(F.pmod("_draw", F.lit(1 << 40)) / F.lit(float(1 << 40)) <= F.col("_share"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))  # each task keeps `sample` rows a language at the most before they move
-    chosen = few.withColumn("_nth", nth).filter(F.col("_nth") <= sample)
-    return chosen.select("lang", "text", (F.pmod("_nth", F.lit(4)) == 0).alias("check")), sorted(sizes, key=str.encode)
+    # a language's rows are dealt out to SALTS groups by hash, of which each gives its share; each task keeps as many a group at the most before they move
+    nth = F.row_number().over(Window.partitionBy("lang", F.pmod("_draw", F.lit(SALTS))).orderBy("_draw"))
+    chosen = few.withColumn("_nth", nth).filter(F.col("_nth") <= max(1, sample // SALTS))
+    return chosen.select("lang", "text", (F.pmod(F.shiftright("_draw", 40), F.lit(4)) == 0).alias("check")), sorted(sizes, key=str.encode)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
