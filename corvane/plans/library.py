@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import artifacts, extract, hierarchy, impact, languages, ledger, maintain, pages, partition, resolve, retrieval, search
+from corvane.operators import artifacts, extract, hierarchy, impact, languages, ledger, maintain, pages, partition, resolve, retrieval, search, stale
 from corvane.session import stored
 from corvane.sources import code
 from corvane.sources import files as sources
@@ -580,6 +580,30 @@ def ownership_closure(spark, sf_dir):
     return maintain.adopted(found, listed, listed, edges, edges).select("id", "rule", F.element_at("path", 1).alias("owner"), "deleted")
 
 
+_ORDERS = (
+    "o AS (SELECT concat('o', CAST(l_orderkey AS STRING)) AS page, l_linenumber AS line, CASE WHEN l_linenumber % 2 = 1 THEN concat('Uses `name_', CAST(pk AS STRING), '`') ELSE concat('Uses (', id, ')') END AS use,"
+    " concat(' of [s](', CASE WHEN l_linenumber % 3 = 0 THEN 'd/' ELSE '' END, 'S', CAST(l_suppkey AS STRING), '.md#x).') AS link FROM lineitem JOIN comp ON l_partkey = pk)"
+)
+_MOVED = "moved AS (SELECT id AS old_id, CASE WHEN pk % 50 = 0 THEN 'renamed' ELSE 'deleted' END AS change, CASE WHEN pk % 50 = 0 THEN concat(path, '::new_', CAST(pk AS STRING)) END AS id, concat('name_', CAST(pk AS STRING)) AS name, CASE WHEN pk % 50 = 0 THEN concat('new_', CAST(pk AS STRING)) END AS new_name FROM comp WHERE pk % 50 < 2)"
+
+
+@query(f"""WITH {_ORDERS}, {_MOVED}, texts AS (SELECT page, string_agg(use || link, chr(10) ORDER BY line, use, link) AS text FROM o GROUP BY page), look AS (SELECT * FROM texts WHERE NOT page LIKE '%7'),
+by_id AS (SELECT page, change AS kind, old_id AS old, id AS new FROM look JOIN moved ON contains(text, old_id)),
+by_name AS (SELECT page, change AS kind, name AS old, new_name AS new FROM look JOIN moved ON contains(text, '`' || name || '`') WHERE NOT EXISTS (SELECT 1 FROM by_id b WHERE b.page = look.page AND b.old = old_id)),
+target AS (SELECT DISTINCT page, 'S' || l_suppkey AS old, l_suppkey AS k, l_linenumber % 3 <> 0 AS plain FROM lineitem JOIN (SELECT DISTINCT page FROM look) p ON page = 'o' || l_orderkey)
+SELECT * FROM by_id UNION ALL SELECT * FROM by_name UNION ALL SELECT DISTINCT page, 'deleted_page', old, CASE WHEN k % 20 = 0 THEN 'S' || (k + 1) END FROM target WHERE k % 20 = 0 OR (k % 10 = 0 AND plain)""")
+def stale_texts(spark, sf_dir):
+    """What pages still say of parts that moved or went, and links to pages that are no more; an order stands for a page that tells of its parts and links their suppliers."""
+    register(spark, sf_dir)
+    text = F.transform(F.array_sort(F.collect_list(F.struct("line", "use", "link"))), lambda x: F.concat(x["use"], x["link"]))
+    orders = spark.sql(f"WITH {_ORDERS} SELECT * FROM o").groupBy("page").agg(F.array_join(text, "\n").alias("text"))
+    there = spark.sql("SELECT concat('S', s_suppkey) AS page, '' AS text FROM supplier WHERE s_suppkey % 10 <> 0")
+    every = stored(orders.unionByName(there), "pages")
+    moved = spark.sql(f"WITH {_MOVED} SELECT * FROM moved")
+    removed = spark.sql("SELECT concat('S', s_suppkey) AS page, concat('S', s_suppkey + 1) AS replacement FROM supplier WHERE s_suppkey % 20 = 0")
+    return stale.scanned(every, moved, moved.select(F.col("old_id").alias("id"), "name"), removed, every.filter("page LIKE '%7' AND page LIKE 'o%'").select("page"))
+
+
 @query()
 def renames_by_classes(spark, sf_dir):
     """Documents of a source that moved to another, matched one to one by their texts; copies move as one class."""
