@@ -221,7 +221,7 @@ def language_tag(name: Column) -> Column:
 def clipped(text: Column, tokens: int) -> Column:
     """The start of a text that is about so many tokens, up to the last blank."""
     most = int(tokens * CHARS_PER_TOKEN)
-    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.left(text, F.lit(most)), r"\s+\S*$", ""))
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.left(text, F.lit(most)), r"\s+\S*\z", ""))
 
 
 def message_tokens(texts: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import composed, library
+from corvane.plans import bound, composed, library
 from corvane.plans.catalog import CATALOG
 from corvane.plans.dialect import DUCK, SPARK
 from corvane.sources.tables import register, with_relations
@@ -20,5 +20,5 @@ def _query(sql) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: _query(sql) for name, sql in CATALOG.items()} | composed.QUERIES | library.QUERIES
-ORACLE_SQL = {name: with_relations(sql(DUCK)) for name, sql in CATALOG.items()} | {name: with_relations(sql) for name, sql in (composed.ORACLE_SQL | library.ORACLE_SQL).items()}
+QUERIES = {name: _query(sql) for name, sql in CATALOG.items()} | composed.QUERIES | library.QUERIES | bound.QUERIES
+ORACLE_SQL = {name: with_relations(sql(DUCK)) for name, sql in CATALOG.items()} | {name: with_relations(sql) for name, sql in (composed.ORACLE_SQL | library.ORACLE_SQL | bound.ORACLE_SQL).items()}
