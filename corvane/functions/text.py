@@ -197,6 +197,17 @@ def repository(url: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"(\.git)?/*$", ""))
 
 
+def clone_address(url: Column) -> Column:
+    """The address to clone a repository of the public forge from: scheme, forge, owner and name alone, whatever page of it or short form (owner/name) was given; anything else as it stands."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"^https?://", ""), r"^www\.", "")
+    parts = F.split(bare, "/")
+    on_forge = bare.startswith("github.com/")
+    first = F.when(on_forge, 1).otherwise(0)
+    known = F.when(on_forge, F.size(parts) >= 3).otherwise(F.size(parts) >= 2)
+    scheme = F.when(F.trim(url).startswith("http://"), "http://").otherwise("https://")
+    return F.when(known, F.concat(scheme, F.lit("github.com/"), F.get(parts, first), F.lit("/"), F.regexp_replace(F.get(parts, first + 1), r"\.git$", ""))).otherwise(url)
+
+
 def repository_parts(url: Column) -> Column:
     """owner, name and full_name of a repository's address, by its last two parts; unknown where it has fewer."""
     parts = F.split(F.regexp_replace(url, r"/+$", ""), "/")

@@ -54,6 +54,13 @@ def grep(files: DataFrame, components: DataFrame, pattern: str, most_files: int
     return found.groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", "line", "text"))), lambda x: F.concat(x["line"].cast("string"), F.lit(": "), F.trim(x["text"]))), 1, 3).alias("hits"), F.count("*").alias("n"))
 
 
+def touched_any(units: DataFrame, touched: DataFrame, hits: DataFrame) -> DataFrame:
+    """file, touched and hit of `units` (id, file): whether any unit of the file is among `touched` (id), and any among `hits` (id)."""
+    mark = lambda rows, name: rows.select("id").distinct().withColumn(name, F.lit(True))
+    rows = units.select("id", "file").join(mark(touched, "_t"), "id", "left").join(mark(hits, "_h"), "id", "left")
+    return rows.groupBy("file").agg(F.bool_or(F.col("_t").isNotNull()).alias("touched"), F.bool_or(F.col("_h").isNotNull()).alias("hit"))
+
+
 def passed_over(files: DataFrame) -> DataFrame:
     """path and n_chars of files (path, text) that grep does not read, as they are larger than GREP_BYTES."""
     return files.filter(F.length("text") > GREP_BYTES).select("path", F.length("text").alias("n_chars"))

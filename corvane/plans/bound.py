@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import maintain, pages, resolve, search
+from corvane.operators import maintain, pages, resolve, retrieval, search
 from corvane.sources import files as sources
 from corvane.sources.tables import load, register
 
@@ -184,3 +184,21 @@ def ignored_paths(spark, sf_dir):
 def scan_summary(spark, sf_dir):
     """How many files a scan has, and their size."""
     return sources.summary(load(spark, sf_dir, "pages").select("url", F.length("html").alias("size_bytes")))
+
+
+_ADDRESSES = "SELECT s_suppkey AS k, concat(CASE s_suppkey % 4 WHEN 0 THEN ' https://github.com/' WHEN 1 THEN 'http://www.github.com/' WHEN 2 THEN '' ELSE 'github.com/' END, 'o', CAST(s_nationkey AS STRING), CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('/r', CAST(s_suppkey AS STRING), CASE s_suppkey % 3 WHEN 0 THEN '.git' WHEN 1 THEN '/tree/main/src' ELSE '' END) END) AS url FROM supplier"
+
+
+@query(f"""SELECT k, CASE WHEN k % 5 = 0 THEN url ELSE concat(CASE WHEN k % 4 = 1 THEN 'http://' ELSE 'https://' END, 'github.com/', regexp_extract(url, 'o[0-9]+'), '/r', CAST(k AS VARCHAR)) END AS address FROM ({_ADDRESSES}) x""")
+def clone_addresses(spark, sf_dir):
+    """Where a repository would be cloned from, for addresses in any form (nothing is cloned)."""
+    register(spark, sf_dir)
+    return spark.sql(_ADDRESSES).select("k", T.clone_address(F.col("url")).alias("address"))
+
+
+@query("SELECT path AS file, bool_or(pk % 61 = 0) AS touched, bool_or(pk % 89 = 0) AS hit FROM comp GROUP BY path")
+def files_touched(spark, sf_dir):
+    """Files of which any unit was touched, or found."""
+    register(spark, sf_dir)
+    comp = spark.table("comp")
+    return retrieval.touched_any(comp.select("id", F.col("path").alias("file")), comp.filter("pk % 61 = 0"), comp.filter("pk % 89 = 0"))
