@@ -162,11 +162,11 @@ def prefixes(rows: DataFrame, least: float) -> DataFrame:
 
 
 def similar_classes(rows: DataFrame, block: list[str], least: float) -> tuple[DataFrame, DataFrame]:
-    """(members: id, class; links: a, b, similarity) of `rows` (id, text, n_chars and the columns of `block`). Texts of a block that are equal but for white space are one class, named by its least id, so
+    """(members: id, class; links: a, b, similarity) of `rows` (id, text, n_chars and the columns of `block`). Equal texts of a block are one class, named by its least id, so
     copies are not compared; links stand between classes whose sequence ratio reaches `least`."""
     keyed = rows.select(F.col("id").cast("long").alias("id"), "text", F.col("n_chars").cast("long").alias("n_chars"), F.xxhash64(F.lit(0), *block).alias("_block"))
-    same = F.sha2(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), 256)
-    marked = stored(keyed.select("id", "_block", same.alias("_same"), "n_chars", F.xxhash64("text").alias("_text")))
+    same = F.sha2(F.coalesce("text", F.lit("")), 256)
+    marked = stored(keyed.select("id", "_block", same.alias("_same")), "marked")
     classes = stored(marked.groupBy("_block", "_same").agg(F.min("id").alias("class")), "classes")
     members = marked.join(classes, ["_block", "_same"]).select("id", "class")
     firsts = keyed.join(classes.select(F.col("class").alias("id")), "id", "left_semi")

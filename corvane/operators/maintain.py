@@ -53,16 +53,16 @@ def matched(pairs: DataFrame) -> DataFrame:
 def rename_pairs(old: DataFrame, new: DataFrame, tau: float = TAU_RENAME) -> DataFrame:
     """a (gone), b (come) and similarity: of one type, of like length, whose texts agree to `tau`; one to one, the best first, ties to the larger names. `old` and `new` are described.
 
-    Texts of a type that are equal but for white space are one class with members on either side; only classes are compared, those with members that are gone with those with members that come, and
+    Equal texts of a type are one class with members on either side; only classes are compared, those with members that are gone with those with members that come, and
     whole runs of members are assigned at once, so moving many copies of one text costs no more than its classes and members."""
     gone, come = old.join(new.select("id"), "id", "left_anti"), new.join(old.select("id"), "id", "left_anti")
     both = gone.withColumn("side", F.lit(0)).unionByName(come.withColumn("side", F.lit(1))).filter("trim(text) <> ''")
-    both = stored(both.select("id", "side", "component_type", "text", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("same")))
+    both = stored(both.select("id", "side", "component_type", "text", F.sha2("text", 256).alias("same")))
     kind = F.xxhash64(F.lit(0), "component_type", "same").alias("class")
     members = both.select("id", "side", kind)
     rank = F.row_number().over(Window.partitionBy("class", "side").orderBy(F.col("id").desc())) - 1
     members = stored(members.withColumn("rank", rank), "members")
-    classes = stored(both.select(kind, "side", "component_type", "text").groupBy("class").agg(F.first("component_type").alias("component_type"), F.min("text").alias("text"), F.count(F.when(F.col("side") == 0, 1)).alias("gone"), F.count(F.when(F.col("side") == 1, 1)).alias("come")), "classes")
+    classes = stored(both.select(kind, "side", "component_type", "text").groupBy("class").agg(F.first("component_type").alias("component_type"), F.first("text").alias("text"), F.count(F.when(F.col("side") == 0, 1)).alias("gone"), F.count(F.when(F.col("side") == 1, 1)).alias("come")), "classes")
     rows = classes.select(F.col("class").alias("id"), "text", F.length("text").alias("n_chars"), "component_type")
     near = extract.similar_pairs(rows, ["component_type"], tau, classes.filter("gone > 0").select(F.col("class").alias("id")), classes.filter("come > 0").select(F.col("class").alias("id")))
     links = near.select("a", "b", "similarity").unionByName(classes.filter("gone > 0 AND come > 0").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")))
