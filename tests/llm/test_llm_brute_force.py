@@ -76,7 +76,8 @@ def test_fingerprints_against_brute_force(spark):
     rows = [(1, "One. Two!\nThree"), (4, None), (5, "x" * 50 + "\n" * 2500 + "é"), (7, "One. Two!\nThree"), (9, "ß"), (12, "a. b. c. d")]
     by = [t or "" for _, t in rows]
     got = {r.doc_id: r for r in fingerprints.compare(texts(spark, rows)).collect()}
-    show = lambda t: f"{t.count(chr(10)) + 1:08x}".upper() + "".join(f"{sum(v << 16 * k for k, v in enumerate(w)):016X}" for w in _words(t.split("\n")))
+    half = lambda parts: f"{len(parts):08X}" + "".join(f"{sum(v << 16 * k for k, v in enumerate(w)):016X}" for w in _words(parts))
+    show = lambda t: half(t.split("\n")) + half(__import__("re").split(fingerprints.ENDS, t))
     centred = lambda t: np.array([v - 7.5 * len(s) for s in [[p for p in __import__("re").split(fingerprints.ENDS, t)]] for w in _words(s) for v in w])
     for i, (doc_id, _) in enumerate(rows):
         t, follow = by[i], by[(i + 1) % len(by)]
