@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import extract, graph, packing, search
+from corvane.plans.dialect import SPARK
 from corvane.sources.tables import load, register
 from corvane.streaming import sessions
 
@@ -127,6 +128,15 @@ def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.unionByName(near.withColumn("how", F.lit("near")))
 
 
+def rename_candidates_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one language with a Dice score of 0.95 or more on their words, between classes of equal words (how: near), and the members of each class (how: copy). Its SQL is in the catalog."""
+    register(spark, sf_dir)
+    rows = spark.sql(f"SELECT id, lang AS block, {SPARK.words('text')} AS words FROM units")
+    members, near = extract.bags_classes(rows, 95)
+    copies = members.filter("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit("copy").alias("how"))
+    return copies.unionByName(near.withColumn("how", F.lit("near")))
+
+
 def best_window_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run of lines within 300 characters that holds most query words."""
     return extract.best_window(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ["the", "der", "les"], 300)
@@ -143,7 +153,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.run_to_end(spark, f"{sf_dir}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (bm25f_topk, bm25f_topk_docs_only, bm25f_stale_before_cut, fused_two_query, transitive_closure_bounded, scc_members, reach_hops, topo_levels, expand_frontier, pack_skip_greedy, pack_next_fit, similarity_ratio, best_window_cut, water_fill, stream_sessions)}
+QUERIES = {f.__name__: f for f in (bm25f_topk, bm25f_topk_docs_only, bm25f_stale_before_cut, fused_two_query, transitive_closure_bounded, scc_members, reach_hops, topo_levels, expand_frontier, pack_skip_greedy, pack_next_fit, similarity_ratio, rename_candidates_blocked, best_window_cut, water_fill, stream_sessions)}
 
 _REACH = "WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM r JOIN edge e ON r.dst = e.src)"
 ORACLE_SQL = {
