@@ -258,6 +258,8 @@ def class_caps(d):
 @plan
 def route_same_file(d):
     """D03 rule 1: a new component goes where most of its file's tracked ones are."""
+    if not d.duck:  # a path's owner is found once, not for each new component
+        return "SELECT DISTINCT n.id, b.owner FROM comp n JOIN (SELECT path, kind AS owner, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, kind) AS k FROM comp WHERE pk % 10 <> 0 GROUP BY path, kind) b ON n.path = b.path WHERE n.pk % 10 = 0 AND b.k = 1"
     return "SELECT id, owner FROM (SELECT n.id, o.kind AS owner, row_number() OVER (PARTITION BY n.id ORDER BY count(*) DESC, o.kind) AS k FROM comp n JOIN comp o ON n.path = o.path AND o.pk % 10 <> 0 WHERE n.pk % 10 = 0 GROUP BY n.id, o.kind) t WHERE k = 1"
 
 

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from corvane.operators import extract
+from corvane.operators import extract, resolve
 from corvane.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,20 @@ def test_bags_against_brute_force(spark):
     bag = [(i, k, Counter(w)) for (k, w), i in cls.items()]
     want = {(a, b) for a, k, x in bag for b, m, y in bag if a < b and k == m and 200 * (x & y).total() >= 95 * (x.total() + y.total())}
     assert {(r.a, r.b) for r in near.collect()} == want and len(want) > 100
+
+
+def test_a_new_component_meets_one_row_of_its_path(spark):
+    plan = QUERIES["route_same_file"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.rindex("count(1)")  # votes are counted below the join
+
+
+def test_implementers_against_brute_force(spark):
+    rng = random.Random(2)
+    methods = [(rng.choice("pq"), f"t{rng.randrange(30)}", rng.choice("abcde")) for _ in range(150)]
+    faces = [m for m in methods if m[1] < "t2"]
+    rows = spark.createDataFrame(methods, "dir string, type string, name string")
+    got = resolve.implementers(rows, spark.createDataFrame(faces, "dir string, interface string, name string"))
+    of = lambda found: {(d, t): {n for e, u, n in found if (e, u) == (d, t)} for d, t, _ in found}
+    want = {(d, t, i) for (d, t), has in of(methods).items() for (e, i), asked in of(faces).items() if d == e and t != i and asked <= has}
+    assert sorted((r.dir, r.type, r.interface) for r in got.collect()) == sorted(want) and want
+    assert "Join Inner" in got._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs are not counted
