@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.maintain import owners
@@ -232,8 +232,10 @@ def tree_check(listed: DataFrame, components: DataFrame) -> DataFrame:
 
 def reclaimed(claims: DataFrame) -> DataFrame:
     """grp, component_id and first: claims (grp, ord, component_id) of an id that an earlier group has."""
-    first = claims.groupBy("component_id").agg(F.min(F.struct("ord", "grp")).alias("f"))
-    return claims.join(first, "component_id").filter("ord > f.ord").select("grp", "component_id", F.col("f.grp").alias("first")).distinct()
+    # one shuffle by id, whose parts are sorted: nearly all claims differ, so sums made before it would only fill memory
+    by = Window.partitionBy("component_id").orderBy("ord", "grp")
+    ranked = claims.filter("component_id IS NOT NULL AND ord IS NOT NULL").select("grp", "component_id", "ord", F.first("ord").over(by).alias("_ord"), F.first("grp").over(by).alias("first"))
+    return ranked.filter("ord > _ord").select("grp", "component_id", "first").distinct()
 
 
 def ownership_report(claims: DataFrame, components: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import stored
+
 #: Languages whose own rules are the last word: a call that they do not resolve is dropped.
 AUTHORITATIVE = ("dart", "go")
 
@@ -26,6 +28,8 @@ EXTERNAL = {
     "rust": "println vec format panic Some Ok Err Box Vec String", "dart": "print List Map Future Stream String Duration", "zig": "std",
 }
 EXTERNAL_PREFIXES = {"java": ("java.", "javax.", "org.junit."), "csharp": ("System.", "Microsoft."), "kotlin": ("kotlin.", "java."), "scala": ("scala.", "java."), "rust": ("std::", "core::"), "cpp": ("std::",), "php": ("Symfony\\",)}
+#: Into how many parts the types of one set of methods are dealt.
+SPREAD = 32
 #: Capitals that are no macros.
 NO_MACROS = ("NULL", "TRUE", "FALSE", "MAIN")
 
@@ -96,14 +100,16 @@ def index(components: DataFrame) -> DataFrame:
     exact = F.transform(F.array_distinct(F.array("id", name, "name")), lambda k: F.struct(F.lit("exact").alias("kind"), k.alias("key")))
     simple = F.transform(F.array_distinct(F.array("name", F.element_at(parts, -1), last_two)), lambda k: F.struct(F.lit("simple").alias("kind"), k.alias("key")))
     package = F.array(F.struct(F.lit("package").alias("kind"), F.concat_ws(":", package_of(F.col("id"), F.col("component_type")), "name").alias("key")))
-    keys = components.select("id", F.explode(F.array("language", F.lit(None))).alias("language"), F.inline(F.concat(exact, simple, package)))
-    unique = keys.filter("NOT (language IS NULL AND kind = 'package')").groupBy("language", "kind", "key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    return unique.filter("n = 1").select("language", "kind", "key", "id")
+    spread = components.repartition(int(components.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # each component gives a dozen keys, and many may lie in one file
+    keys = spread.select("id", F.explode(F.array("language", F.lit(None))).alias("language"), F.inline(F.concat(exact, simple, package)))
+    unique = keys.filter("NOT (language IS NULL AND kind = 'package')").groupBy("language", "kind", "key").agg(F.max("id").alias("_last"), F.min("id").alias("id"))
+    return unique.filter("id = _last").select("language", "kind", "key", "id")
 
 
 def resolved(calls: DataFrame, components: DataFrame) -> DataFrame:
     """`calls` with `resolved` (an id or null) and `rule`: exact; what stands after `::`, exact or simple; the whole or last part of a dotted name; the same package (Java, C#); the plain name; each in the caller's language (1 to 7), then over all (11 to 17)."""
-    calls = calls.withColumn("_n", F.monotonically_increasing_id())
+    # stored: numbers of rows that were shuffled differ from one reading to the next
+    calls = stored(calls.withColumn("_n", F.monotonically_increasing_id()), "calls")
     callee = F.col("callee")
     tail = F.element_at(F.split(callee, "::"), -1)
     parts = F.split(tail, r"\.")
@@ -112,11 +118,11 @@ def resolved(calls: DataFrame, components: DataFrame) -> DataFrame:
     packaged = F.when(F.col("language").isin("java", "csharp"), F.concat_ws(":", package_of(F.col("caller"), F.lit("method")), callee))
     tries = F.array(try_(1, "exact", callee), try_(2, "exact", tail), try_(3, "simple", tail), try_(4, "simple", last_two), try_(5, "simple", F.element_at(parts, -1)), try_(6, "package", packaged), try_(7, "simple", callee))
     asked = calls.select("_n", "language", F.inline(tries)).filter("key IS NOT NULL")
-    idx = index(components)
+    idx = index(components).hint("merge")  # as large as the components, though the planner takes it for small
     own = asked.join(idx, ["language", "kind", "key"]).select("_n", "rule", "id")
     every = asked.drop("language").join(idx.filter("language IS NULL").drop("language"), ["kind", "key"]).select("_n", (F.col("rule") + 10).alias("rule"), "id")
     best = own.unionByName(every).groupBy("_n").agg(F.min(F.struct("rule", "id")).alias("b")).select("_n", F.col("b.id").alias("resolved"), F.col("b.rule").alias("rule"))
-    return calls.join(best, "_n", "left").drop("_n")
+    return calls.join(best.hint("merge"), "_n", "left").drop("_n")
 
 
 def bound(calls: DataFrame, components: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
@@ -137,7 +143,7 @@ def _by_name(found: DataFrame, components: DataFrame) -> DataFrame:
     first = components.groupBy("name").agg(F.min("id").alias("_first"))
     tail = F.element_at(F.split(F.element_at(F.split("callee", "::"), -1), r"\."), -1)
     left = found.filter("resolved IS NOT NULL OR language NOT IN ('dart', 'go')").withColumn("_external", F.col("resolved").isNull() & is_external(F.col("callee"), F.col("language"))).filter("NOT _external")
-    left = left.withColumn("name", F.when(F.col("resolved").isNull(), tail)).join(first, "name", "left").withColumn("rule", F.when(F.col("resolved").isNull() & F.col("_first").isNotNull(), 20).otherwise(F.col("rule"))).withColumn("resolved", F.coalesce("resolved", "_first"))
+    left = left.withColumn("name", F.when(F.col("resolved").isNull(), tail)).join(first.hint("merge"), "name", "left").withColumn("rule", F.when(F.col("resolved").isNull() & F.col("_first").isNotNull(), 20).otherwise(F.col("rule"))).withColumn("resolved", F.coalesce("resolved", "_first"))
     return first_calls(left.select("caller", "callee", "resolved", "rule", "call_line"))
 
 
@@ -168,9 +174,16 @@ def promoted(members: DataFrame, embeds: DataFrame, depth: int = 3) -> DataFrame
 
 def implementers(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
     """dir, type and interface: types (dir, type, name) whose methods hold all of an interface's (dir, interface, name) of the same package."""
-    size = interfaces.groupBy("dir", "interface").agg(F.countDistinct("name").alias("size"))
-    hit = methods.select("dir", "type", "name").distinct().join(interfaces.select("dir", "interface", "name").distinct(), ["dir", "name"]).filter("type <> interface").groupBy("dir", "type", "interface").agg(F.count("*").alias("n"))
-    return hit.join(size, ["dir", "interface"]).filter("n = size").select("dir", "type", "interface")
+    # those of equal methods are one class; classes are compared, and their members paired in SPREAD parts of each class
+    sets = lambda rows, c: rows.select("dir", c, "name").distinct().groupBy("dir", c).agg(F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n")).select("dir", c, "names", (F.size("names") == F.col("n")).alias("whole"))
+    types = stored(sets(methods, "type").filter("size(names) > 0").withColumn("_part", F.pmod(F.xxhash64("type"), F.lit(SPREAD))), "types")
+    faces = stored(sets(interfaces, "interface").filter("whole AND size(names) > 0").drop("whole"), "faces")
+    has = types.select("dir", F.col("names").alias("has")).distinct()
+    asked = faces.select("dir", F.col("names").alias("asked")).distinct()
+    by_name = has.withColumn("name", F.explode("has")).join(asked.withColumn("name", F.explode("asked")), ["dir", "name"])
+    held = stored(by_name.groupBy("dir", "has", "asked").agg(F.count("*").alias("n")).filter("n = size(asked)").select("dir", "has", "asked"), "held")
+    wanted = held.join(faces.withColumnRenamed("names", "asked"), ["dir", "asked"]).select("dir", F.col("has").alias("names"), "interface").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
+    return types.join(wanted, ["dir", "names", "_part"]).filter("type <> interface").select("dir", "type", "interface")
 
 
 # ---- visibility of libraries
