@@ -186,6 +186,22 @@ def implementers(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
     return types.join(wanted, ["dir", "names", "_part"]).filter("type <> interface").select("dir", "type", "interface")
 
 
+def containing(sets: DataFrame, most: int = 16) -> DataFrame:
+    """typ and iface: sets (o, m) that hold all of another, which has two members or more (none of them null). The two rarest members of the smaller one are looked up among the pairs of members of the others; of sets of more than
+    `most` members, whose pairs would be many, among their single members."""
+    rows = stored(sets.select("o", "m").filter("o IS NOT NULL").distinct(), "sets")
+    met = rows.filter("m IS NOT NULL").groupBy("m").agg(F.count("*").alias("n"))
+    held = rows.join(met.hint("merge"), "m", "left").groupBy("o").agg(F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("n", "m")))).alias("ranked"), F.count("*").alias("n"))
+    held = stored(held.select("o", F.col("ranked.m").alias("ms"), (F.size("ranked") == F.col("n")).alias("whole")), "held")
+    faces = held.filter("whole AND size(ms) >= 2").select(F.col("o").alias("iface"), F.col("ms")[0].alias("_a"), F.col("ms")[1].alias("_b"))
+    pairs = F.expr("flatten(transform(sequence(1, size(s) - 1), i -> transform(slice(s, i + 1, size(s)), z -> named_struct('_x', s[i - 1], '_y', z))))")
+    small = held.filter((F.size("ms") >= 2) & (F.size("ms") <= most)).select(F.col("o").alias("typ"), F.array_sort("ms").alias("s")).select("typ", F.inline(pairs))
+    large = held.filter(F.size("ms") > most).select(F.col("o").alias("typ"), F.explode("ms").alias("_a"))
+    found = faces.select("iface", F.least("_a", "_b").alias("_x"), F.greatest("_a", "_b").alias("_y")).join(small.hint("merge"), ["_x", "_y"]).select("typ", "iface").unionByName(faces.join(large, "_a").select("typ", "iface"))
+    found = found.filter("typ <> iface").join(held.select(F.col("o").alias("typ"), F.col("ms").alias("_has")), "typ").join(held.select(F.col("o").alias("iface"), F.col("ms").alias("_asked")), "iface")
+    return found.filter(F.size(F.array_except("_asked", "_has")) == 0).select("typ", "iface")
+
+
 # ---- visibility of libraries
 
 

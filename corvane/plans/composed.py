@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import extract, graph, packing, search
+from corvane.operators import extract, graph, packing, resolve, search
 from corvane.plans.dialect import SPARK
 from corvane.sources.tables import load, register
 from corvane.streaming import sessions
@@ -137,6 +137,11 @@ def rename_candidates_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.unionByName(near.withColumn("how", F.lit("near")))
 
 
+def implements_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose parts hold all parts of a smaller order. Its SQL is in the catalog."""
+    return resolve.containing(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("m")))
+
+
 def best_window_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run of lines within 300 characters that holds most query words."""
     return extract.best_window(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ["the", "der", "les"], 300)
@@ -153,7 +158,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.run_to_end(spark, f"{sf_dir}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (bm25f_topk, bm25f_topk_docs_only, bm25f_stale_before_cut, fused_two_query, transitive_closure_bounded, scc_members, reach_hops, topo_levels, expand_frontier, pack_skip_greedy, pack_next_fit, similarity_ratio, rename_candidates_blocked, best_window_cut, water_fill, stream_sessions)}
+QUERIES = {f.__name__: f for f in (bm25f_topk, bm25f_topk_docs_only, bm25f_stale_before_cut, fused_two_query, transitive_closure_bounded, scc_members, reach_hops, topo_levels, expand_frontier, pack_skip_greedy, pack_next_fit, similarity_ratio, rename_candidates_blocked, implements_by_containment, best_window_cut, water_fill, stream_sessions)}
 
 _REACH = "WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM r JOIN edge e ON r.dst = e.src)"
 ORACLE_SQL = {
