@@ -105,9 +105,9 @@ def makespans(jobs: DataFrame, concurrency: list[int]) -> DataFrame:
     ship_package(jobs.sparkSession)
 
     def replay(rows, slots):
-        children, parent = {}, {}
+        children, parent, ids = {}, {}, {x[0] for x in rows}
         for r in rows:
-            parent[r[0]] = r[1] if r[1] in {x[0] for x in rows} else None
+            parent[r[0]] = r[1] if r[1] in ids else None
             children.setdefault(parent[r[0]], []).append(r[0])
         cost, place = {r[0]: float(r[2]) for r in rows}, {r[0]: i for i, r in enumerate(rows)}
         waits = {j: len(children.get(j, ())) for j in cost}
@@ -138,14 +138,30 @@ def makespans(jobs: DataFrame, concurrency: list[int]) -> DataFrame:
             best[j] = cost[j] + max((best[c] for c in children.get(j, ())), default=0.0)
         return max(best.values(), default=0.0)
 
-    def run(frame):
-        import pandas as pd
-
-        rows = list(frame.sort_values(["ord", "id"])[["id", "parent", "seconds"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(frame["run"].iloc[0], k, replay(rows, k), sum(r[2] for r in rows), chain(rows)) for k in concurrency], columns=["run", "slots", "makespan", "serial", "critical"])
-
+    def run(batches):
+        import pyarrow as pa
+
+        def told(of, rows):
+            return [(of, k, replay(rows, k), float(sum(r[2] for r in rows)), chain(rows)) for k in concurrency]
+
+        of, rows, out, schema = None, [], [], None
+        for batch in batches:
+            schema = schema or pa.schema([("run", batch.schema.field("run").type), ("slots", pa.int32()), ("makespan", pa.float64()), ("serial", pa.float64()), ("critical", pa.float64())])
+            for key, *row in zip(*[batch.column(c).to_pylist() for c in ("run", "id", "parent", "seconds")]):
+                if rows and key != of:
+                    out += told(of, rows)
+                    rows = []
+                of = key
+                rows.append((row[0], row[1], float("nan") if row[2] is None else row[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+            out = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*told(of, rows)), schema)], schema=schema)
+
+    # runs lie one after the other in a part, so that many small ones cost no more than their jobs
     kind = jobs.schema["run"].dataType.simpleString()
-    return jobs.select("run", "id", "parent", "seconds", "ord").groupBy("run").applyInPandas(run, f"run {kind}, slots int, makespan double, serial double, critical double")
+    ordered = jobs.select("run", "id", "parent", "seconds", "ord").repartition("run").sortWithinPartitions("run", F.asc_nulls_last("ord"), F.asc_nulls_last("id"))
+    return ordered.mapInArrow(run, f"run {kind}, slots int, makespan double, serial double, critical double")
 
 
 def slots_held(events: DataFrame, slots: int) -> DataFrame:
