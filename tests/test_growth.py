@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from corvane.operators import extract, resolve
+from corvane.operators import extract, hierarchy, ledger, resolve
 from corvane.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,35 @@ def test_implementers_against_brute_force(spark):
     want = {(d, t, i) for (d, t), has in of(methods).items() for (e, i), asked in of(faces).items() if d == e and t != i and asked <= has}
     assert sorted((r.dir, r.type, r.interface) for r in got.collect()) == sorted(want) and want
     assert "Join Inner" in got._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs are not counted
+
+
+def test_containing_against_brute_force(spark):
+    rng = random.Random(4)
+    sets = {o: {rng.randrange(12) for _ in range(rng.choice([1, 2, 3, 5, 9]))} for o in range(60)} | {60: set(range(20)), 61: set(range(18))}
+    rows = [(o, m) for o, ms in sets.items() for m in ms] + [(62, 1), (62, 2), (62, None), (None, 1)]
+    want = {(a, b) for a, x in (sets | {62: {1, 2}}).items() for b, y in sets.items() if a != b and len(y) > 1 and y <= x}
+    assert {(r.typ, r.iface) for r in resolve.containing(spark.createDataFrame(rows, "o long, m long")).collect()} == want
+
+
+def test_reclaimed_and_makespans(spark):
+    claims = spark.createDataFrame([("a", 1, 7), ("b", 2, 7), ("b", 3, 7), ("c", 4, 7), ("c", 4, 8), ("d", 5, None)], "grp string, ord long, component_id long")
+    assert sorted(tuple(r) for r in hierarchy.reclaimed(claims).collect()) == [("b", 7, "a"), ("c", 7, "a")]
+    jobs = [(run, f"{run}-{i}", f"{run}-0" if i and i < 3 else None, float(i + 1), i) for run in range(40) for i in range(run % 6 + 1)]
+    frame = ledger.makespans(spark.createDataFrame(jobs, "run long, id string, parent string, seconds double, ord long"), [1, 4])
+    got = {(r.run, r.slots): (r.makespan, r.serial) for r in frame.collect()}
+    assert len(got) == 80 and all(got[run, 1] == (sum(range(1, run % 6 + 2)), sum(range(1, run % 6 + 2))) for run in range(40)) and got[2, 4][0] == 4.0
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_index_sums_keys_in_one_pass(spark):
+    comps = spark.createDataFrame([("p::A.f", "f", "method", "java"), ("q::A.f", "f", "method", "java"), ("q::B", "B", "class", "go"), ("q::B", "B", "class", "go")], "id string, name string, component_type string, language string")
+    idx = resolve.index(comps)
+    assert {r.key for r in idx.filter("kind = 'exact' AND language IS NULL").collect()} == {"p::A.f", "q::A.f", "q::B", "B"}
+    assert "count(distinct" not in idx._jdf.queryExecution().analyzed().toString()
+
+
+def test_calls_keep_their_numbers(spark):
+    comps = spark.createDataFrame([("p::A", "A", "class", "java")], "id string, name string, component_type string, language string")
+    calls = spark.createDataFrame([("p::A", "A", 1, "java")], "caller string, callee string, call_line int, language string").repartition(3)
+    plan = resolve.resolved(calls, comps)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "strategy=merge" in plan
