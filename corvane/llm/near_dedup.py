@@ -9,7 +9,7 @@ bands a pair at similarity 0.8 shares no bucket with probability 2.4e-9.
 No bucket emits all its pairs. First every member is compared with one node of its bucket only, one near its middle; confirmed
 links are merged to components. Buckets that still hold several components are then compared member by member inside
 the task: signature against signature, across components only, each pair in the least bucket that it shares, leaving out those
-already compared. Members with a candidate meet again, with their full sets, and the task gives the links that join components, at most one
+already compared. Members of a bucket's largest component are not compared with each other. Members with a candidate meet again, with their full sets, and the task gives the links that join components, at most one
 for each member. Buckets of more than BLOCK members are dealt in blocks, a pair of blocks a group. Two members of a bucket
 are thus in one component, or have been compared: no link that a bucket holds is lost, and none is capped.
 
@@ -23,7 +23,7 @@ has no component, is kept and linked with nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Room, _Kept, discard, free_name, small_batches, written
@@ -201,14 +201,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, as key, i, j (a pair of blocks), own, node, component. A member stands here once for every block of its
-    bucket, so its signature is not carried along: it joins the group where the group is compared."""
+    """Members of buckets that hold several components, as key, node, component, lo and hi: their block is drawn from lo to hi - 1 of the bucket's blocks, `few` of which hold members outside its largest
+    component, `blocks` in all."""
     spread = members.join(found.select(F.col("id").alias("node"), F.col("least").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).filter("lo != hi AND size > 2").select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = spread.join(mixed, "key").filter("node != leader")
-    # a member of block i meets block j in the group of (i, j)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "component")
+    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi AND size > 2").select("key")
+    rows = written(spread.join(mixed, "key").select("key", "node", "component", "n_shingles", "leader"), "mixed")
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    largest = each.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("minus"), "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    parts = lambda n, shingles: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    sized = largest.select("key", (-F.col("top.minus")).alias("_top"), parts(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("few"), parts(F.col("top.n"), F.col("top.shingles")).alias("_many")).withColumn("blocks", F.col("few") + F.col("_many"))
+    within = F.col("component") == F.col("_top")
+    out = rows.filter("node != leader").join(sized, "key").select("key", "node", "component", F.when(within, F.col("few")).otherwise(0).alias("lo"), F.when(within, F.col("blocks")).otherwise(F.col("few")).alias("hi"), "few", "blocks")
+    out = written(out, "unresolved")
+    discard(rows)
+    return out
+
+
+def in_groups(rows: DataFrame) -> DataFrame:
+    """`rows` of `unresolved` once for each group (key, i, j) of two blocks where they meet others, with `own`, their block. Members of a bucket's largest component do not meet each other, so
+    they stand here once for each block of the others."""
+    own = F.col("lo") + F.pmod(F.xxhash64("node"), F.col("hi") - F.col("lo")).cast("int")
+    met = F.sequence(F.lit(0), F.when(F.col("lo") > 0, F.col("few")).otherwise(F.col("blocks")) - 1)
+    spread = rows.withColumn("own", own).withColumn("_other", F.explode(met))
+    return spread.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("lo", "hi", "few", "blocks", "_other")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -261,7 +276,7 @@ def _arrays(held):
 
 
 def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) between components inside the groups of `rows`, whose signatures are in `nodes`. A task gives the links that join components, no others."""
+    """Links (a, b) between components inside the buckets of `rows` (those of `unresolved`), whose signatures are in `nodes`. A task gives the links that join components, no others."""
 
     def involve(batches):
         import pyarrow as pa
@@ -270,13 +285,13 @@ def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
             own, node, component, sig, bands = _arrays(held)
             some = [np.concatenate(x) for x in _candidates(group, threshold, own, node, component, sig, bands)]
             at = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), group[k]), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(node[at]), pa.array(own[at], pa.int32())], names=["key", "i", "j", "node", "own"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(at), group[k]), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array(node[at]), pa.array(own[at], pa.int32()), pa.array(component[at])], names=["key", "i", "j", "node", "own", "component"])
 
     signed = nodes.select("node", "sig", "bands")
-    involved = written(grouped(rows.join(signed, "node")).mapInArrow(involve, "key long, i int, j int, node long, own int"), "involved")
+    # signatures join before members are copied to their groups
+    involved = written(grouped(in_groups(rows.join(signed, "node"))).mapInArrow(involve, "key long, i int, j int, node long, own int, component long"), "involved")
     sets_table = sets_of(involved.select(F.col("node").alias("doc_id")).distinct(), docs, width)
-    sets = sets_table.withColumnRenamed("id", "node")
-    full = involved.join(rows, ["key", "i", "j", "node", "own"]).join(signed, "node").join(sets, "node")
+    full = involved.join(signed.join(sets_table.withColumnRenamed("id", "node"), "node"), "node")
 
     def link(batches):
         import pyarrow as pa
@@ -314,9 +329,9 @@ def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, t
 def led(members: DataFrame) -> DataFrame:
     """`members` (key, node, n_shingles, leader, size) with a leader near the middle: of a bucket's nodes the one whose own buckets hold most.
     Near copies of one text share its minima, so it stands in larger buckets than they do. Buckets of two need no choice."""
-    large = members.filter("size > 2").select("key", "node")
-    weight = members.filter("size > 2").groupBy("node").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("weight"))
-    best = large.join(weight, "node").groupBy("key").agg(F.max(F.struct(F.round("weight", 6).alias("w"), (-F.col("node")).alias("n"))).alias("best")).select("key", (-F.col("best.n")).alias("_leader"))
+    weight = F.sum(F.log2(F.col("size").cast("double"))).over(Window.partitionBy("node"))  # of BANDS rows at the most
+    large = members.filter("size > 2").select("key", "node", weight.alias("weight"))
+    best = large.groupBy("key").agg(F.max(F.struct(F.round("weight", 6).alias("w"), (-F.col("node")).alias("n"))).alias("best")).select("key", (-F.col("best.n")).alias("_leader"))
     return written(members.join(best, "key", "left").select("key", "node", "n_shingles", F.coalesce("_leader", "leader").alias("leader")), "members")
 
 
@@ -351,7 +366,7 @@ def mark(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> D
     links = written(confirm(candidates, docs, width, threshold).unionByName(shared), "confirmed")
     discard(first, candidates)
     joined = components(links)
-    more = written(unresolved(members, joined), "unresolved")
+    more = unresolved(members, joined)
     if more.limit(1).count():
         late = late_links(more, nodes, docs, width, threshold)
         if late.limit(1).count():

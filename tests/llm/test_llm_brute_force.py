@@ -367,3 +367,18 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_every_query_of_the_list_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(queries.ORACLE_SQL)) == '["op1_token_counts", "op8_exact_dedup"]'
+
+
+def test_a_large_component_meets_the_others_alone(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    nodes = range(1, 206)
+    component = {n: 1 if n <= 200 else n for n in nodes}
+    members = spark.createDataFrame([(7, n, 3, 1) for n in nodes] + [(8, n, 3, 1) for n in range(1, 101)], "key long, node long, n_shingles long, leader long")
+    found = spark.createDataFrame([(n, 1) for n in range(1, 201)], "id long, least long")
+    groups = {}
+    for r in near_dedup.in_groups(near_dedup.unresolved(members, found)).collect():
+        assert r.key == 7 and r.component == component[r.node] and r.own in (r.i, r.j)
+        groups.setdefault((r.i, r.j), []).append((r.node, r.own))
+    assert sum(map(len, groups.values())) <= 199 + 5 * 21  # the large component once, the others once for each of its blocks and for their own
+    met = [(min(a, b), max(a, b)) for (i, j), of in groups.items() for a, x in of for b, y in of if x == i and y == j and component[a] != component[b] and (i != j or a < b)]
+    assert sorted(met) == [(a, b) for a in range(2, 206) for b in range(max(a + 1, 201), 206)]
