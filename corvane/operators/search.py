@@ -46,6 +46,17 @@ def fields(units: DataFrame) -> DataFrame:
     return units.select("id", F.inline(each)).select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
 
 
+def counts(units: DataFrame) -> DataFrame:
+    """id and fields (field, len, and terms: each term with its freq) of each row of `units`, as `fields` gives them one by one; fields without terms are left out. The terms of a field are sorted, and a term's
+    freq is the distance to the next one's start."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).cast("long").alias("freq")))
+    bound = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))  # noqa: E731  so that a value used more than once is made once
+    of = lambda f: bound(F.sort_array(T.terms(F.coalesce(F.col(f), F.lit("")))), lambda s: F.struct(F.lit(f).alias("field"), F.size(s).alias("len"), bound(starts(s), lambda at: runs(s, at)).alias("terms")))
+    each = [of(f) for f in WEIGHTS]
+    return units.select("id", F.filter(F.array(*each), lambda f: f["len"] > 0).alias("fields"))
+
+
 def query_terms(spark: SparkSession, text: str) -> list[str]:
     """The terms of a question, by the rules of the index, once each."""
     return list(dict.fromkeys(spark.range(1).select(T.terms(F.lit(text)).alias("t")).first()["t"]))
@@ -94,23 +105,36 @@ class Index:
     def _segment(cls, units: DataFrame, path: str, number: int, id_type: str, buckets: int | None = None, gone: DataFrame | None = None, old: DataFrame | None = None) -> tuple[Segment, int, dict[str, int]]:
         """Writes the segment `number`; it, its number of units and its terms by field. `gone` (id): what it takes the place of; `old` (term, df): what those held."""
         spark, at = units.sparkSession, f"{path}/segment-{number:06d}"
-        posted = fields(units).groupBy("id", "field", "len", "term").agg(F.count("*").alias("freq"))
-        posted = stored(posted, "posted")
+        counted = stored(counts(units), "counted")  # occurrences are counted where their unit is read: only postings move, once, to their buckets
+        posted = counted.select("id", F.inline("fields")).select("id", "field", "len", F.inline("terms"))
         dealt = cls._dealt(posted, buckets)
         cls._write_postings(posted, dealt, at)
-        by_field = posted.groupBy("id", "field").agg(F.sum("freq").cast("int").alias("len"), F.collect_list("term").alias("terms"))
-        by_unit = by_field.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"), F.collect_list(F.struct("field", "len")).alias("sizes"))
-        units.select("id").distinct().join(by_unit, "id", "left").select("id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("sizes", F.array().cast(_SIZES)).alias("sizes")).write.mode("overwrite").parquet(f"{at}/units")
-        words = posted.groupBy("term").agg(F.countDistinct("id").alias("df"))
+        cls._by_unit(counted).write.mode("overwrite").parquet(f"{at}/units")
+        by_unit = spark.read.schema(f"id {id_type}, terms array<string>").parquet(f"{at}/units")
+        words = by_unit.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         if old is not None:
             words = words.unionByName(old.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         words.orderBy("term").write.mode("overwrite").parquet(f"{at}/words")
         (gone if gone is not None else units.select("id").limit(0)).select("id").distinct().write.mode("overwrite").parquet(f"{at}/gone")
-        total = {r["field"]: r["n"] for r in posted.groupBy("field").agg(F.sum("freq").alias("n")).collect()}  # a row per field
-        n = spark.read.schema(f"id {id_type}").parquet(f"{at}/units").count()
-        discard(posted)
+        total = {r["field"]: r["n"] for r in counted.select(F.inline("fields")).groupBy("field").agg(F.sum("len").alias("n")).collect()}  # a row per field
+        n = by_unit.count()
+        discard(counted)
         return Segment(number, dealt["rows"], dealt["buckets"], dealt["minis"], dealt["hot"]), n, total
 
+    @staticmethod
+    def _by_unit(counted: DataFrame) -> DataFrame:
+        """id, terms (each once) and sizes of the units in `counted`; rows that share an id are one unit, the others stay where they are."""
+        each = counted.filter("id IS NOT NULL").select("id", F.array_distinct(F.flatten(F.transform("fields", lambda f: f["terms"]["term"]))).alias("terms"), F.transform("fields", lambda f: F.struct(f["field"].alias("field"), f["len"].alias("len"))).cast(_SIZES).alias("sizes"))
+        none = counted.filter("id IS NULL").select("id").distinct().select("id", F.array().cast("array<string>").alias("terms"), F.array().cast(_SIZES).alias("sizes"))
+        twice = counted.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
+        if twice.isEmpty():
+            return each.unionByName(none)
+        same = each.join(twice, "id", "left_semi")
+        sizes = same.select("id", F.inline("sizes")).groupBy("id", "field").agg(F.sum("len").cast("int").alias("len")).groupBy("id").agg(F.collect_list(F.struct("field", "len")).cast(_SIZES).alias("sizes"))
+        terms = same.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+        merged_ = terms.join(sizes, "id", "left").select("id", "terms", F.coalesce("sizes", F.array().cast(_SIZES)).alias("sizes"))
+        return each.join(twice, "id", "left_anti").unionByName(merged_).unionByName(none)
+
     @staticmethod
     def _dealt(posted: DataFrame, buckets: int | None) -> dict:
         """How postings (term) are dealt out: the bucket of each minibucket of terms, and the buckets of each term that is split; from counts of at most MINIS minibuckets, and of the terms above half a bucket (twice as many as buckets at the most)."""

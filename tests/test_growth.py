@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from corvane.operators import extract, hierarchy, ledger, resolve
+from corvane.operators import extract, hierarchy, ledger, resolve, search
 from corvane.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +89,18 @@ def test_calls_keep_their_numbers(spark):
     calls = spark.createDataFrame([("p::A", "A", 1, "java")], "caller string, callee string, call_line int, language string").repartition(3)
     plan = resolve.resolved(calls, comps)._jdf.queryExecution().optimizedPlan().toString()
     assert "monotonically_increasing_id" not in plan and "strategy=merge" in plan
+
+
+def test_occurrences_are_counted_where_their_unit_is_read(spark):
+    rows = [(1, "Run the runner", "src/runner.py", "run run RUN getUser get user"), (2, None, "", "   "), (3, "x", "the", None), (1, "again", "src/runner.py", "run other"), (None, "stray", "", "run"), (None, "stray", "", None)]
+    units = spark.createDataFrame(rows, "id long, title string, path string, content string")
+    counted = search.counts(units)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = Counter((r.id, f.field, f.len, t.term, t.freq) for r in counted.collect() for f in r.fields for t in f.terms)
+    seen = Counter((i, *x) for i, *texts in rows for r in [spark.createDataFrame([(0, *texts)], "id long, title string, path string, content string")] for x in ((o.field, o.len, o.term) for o in search.fields(r).collect()))
+    assert sum(n * k[4] for k, n in got.items()) == sum(seen.values()) and {k[:4] for k in got} == set(seen)
+    index = search.Index.build(units)
+    held = {r.id: ({*r.terms}, {s.field: s.len for s in r.sizes}) for r in index.units().collect()}
+    by_field = lambda i: {f: sum(n for k, n in seen.items() if k[0] == i and k[1] == f) for f in {k[1] for k in seen if k[0] == i}}
+    assert held == {i: ({k[3] for k in seen if k[0] == i}, by_field(i)) for i in (1, 2, 3)} | {None: (set(), {})} and index.n == 4
+    assert {r.term: r.df for r in index.vocabulary().collect()} == Counter(t for i in (1, 2, 3) for t in {k[3] for k in seen if k[0] == i})
