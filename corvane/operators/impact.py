@@ -283,8 +283,10 @@ def report(name: str, files: DataFrame, components: DataFrame, edges: DataFrame,
 
 def rendered(rows: DataFrame) -> DataFrame:
     """section, ord and line: a report in lines, 60 usages and 15 of each other section, then how many more there are."""
-    nth, most = Window.partitionBy("section").orderBy("path", "line", "text"), F.when(F.col("section") == "usages", CAPS["usage"]).otherwise(CAPS["default"])
-    ranked = rows.withColumn("ord", F.row_number().over(nth)).withColumn("n", F.count("*").over(Window.partitionBy("section")))
+    most = F.when(F.col("section") == "usages", CAPS["usage"]).otherwise(CAPS["default"])
+    nth = Window.partitionBy("section").orderBy("path", "line", "text")
+    # no more than the largest cap of a section leaves a task, and the others are only counted
+    ranked = rows.withColumn("ord", F.row_number().over(nth)).filter(F.col("ord") <= max(CAPS.values()))
     shown = ranked.filter(F.col("ord") <= most).select("section", "ord", F.concat(F.col("path"), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit(" "), F.col("kind"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("line"))
-    more = ranked.groupBy("section").agg(F.max("n").alias("n")).withColumn("most", most).filter("n > most").select("section", (F.col("most") + 1).alias("ord"), F.concat(F.lit("... "), (F.col("n") - F.col("most")).cast("string"), F.lit(" more")).alias("line"))
+    more = rows.groupBy("section").agg(F.count("*").alias("n")).withColumn("most", most).filter("n > most").select("section", (F.col("most") + 1).alias("ord"), F.concat(F.lit("... "), (F.col("n") - F.col("most")).cast("string"), F.lit(" more")).alias("line"))
     return shown.unionByName(more)

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from corvane.operators import extract, hierarchy, ledger, resolve, search
+from corvane.operators import extract, hierarchy, impact, languages, ledger, resolve, search
 from corvane.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +104,17 @@ def test_occurrences_are_counted_where_their_unit_is_read(spark):
     by_field = lambda i: {f: sum(n for k, n in seen.items() if k[0] == i and k[1] == f) for f in {k[1] for k in seen if k[0] == i}}
     assert held == {i: ({k[3] for k in seen if k[0] == i}, by_field(i)) for i in (1, 2, 3)} | {None: (set(), {})} and index.n == 4
     assert {r.term: r.df for r in index.vocabulary().collect()} == Counter(t for i in (1, 2, 3) for t in {k[3] for k in seen if k[0] == i})
+
+
+def test_files_are_read_in_as_many_tasks_as_the_session_has(spark):
+    files = spark.createDataFrame([(f"src/C{i}.java", f"class C{i} {{ void run() {{ }} }}", "java") for i in range(40)], "path string, text string, language string").coalesce(1)
+    rows = languages.extract(files)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and rows.filter("row_kind = 'component'").count() == 80
+
+
+def test_a_report_ranks_no_more_than_it_shows(spark):
+    rows = [("usages", f"p{i:03d}", 1, "read", "t", None) for i in range(70)] + [("tests", f"p{i:03d}", None, "test", "", None) for i in range(15)] + [("docs", f"p{i:03d}", None, "page", "a", None) for i in range(17)]
+    shown = impact.rendered(spark.createDataFrame(rows, "section string, path string, line int, kind string, text string, id string"))
+    lines = {(r.section, r.ord): r.line for r in shown.collect()}
+    assert Counter(s for s, _ in lines) == {"usages": 61, "tests": 15, "docs": 16} and lines["usages", 61] == "... 10 more" and lines["docs", 16] == "... 2 more" and lines["usages", 60] == "p059:1 read t"
+    assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
