@@ -41,9 +41,9 @@ def closure(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, most: int = ON_DRIVER) -> DataFrame:
     """id and scc (the least member) of nodes in strongly connected components of more than one node.
 
-    What is left when nodes off all cycles are trimmed goes to the driver where it has at most `most` edges. Else it is cut by
+    Nodes off all cycles are trimmed until at most `most` edges are left, which go to the driver. If more stay, they are cut by
     colours: each node takes the least node that reaches it; of a colour, what reaches that node is a component."""
-    live, out = trimmed(edges), None
+    live, out = trimmed(edges, most), None
     kind = edges.schema["src"].dataType
     while True:
         n = live.count()
@@ -58,7 +58,7 @@ def cycles(edges: DataFrame, most: int = ON_DRIVER) -> DataFrame:
         large = found.join(found.groupBy("scc").count().filter("count > 1").select("scc"), "scc", "left_semi").select("id", "scc")
         out = large if out is None else out.unionByName(large)
         rest = live.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
-        live = trimmed(rest)
+        live = trimmed(rest, most)
 
 
 def _spread(nodes: DataFrame, edges: DataFrame, a: str, b: str, value: str, best) -> DataFrame:
@@ -126,11 +126,13 @@ def cycle_break(edges: DataFrame) -> DataFrame:
     return inside.groupBy("scc").agg(F.min(F.struct("src", "dst")).alias("e")).select("scc", "e.src", "e.dst")
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges that may lie on a cycle: nodes without a way in or out go, again and again."""
+def trimmed(edges: DataFrame, enough: int = 0) -> DataFrame:
+    """Edges that may lie on a cycle: nodes without a way in or out go, again and again, until all are gone or at most `enough` edges are left."""
     live = stored(edges.select("src", "dst").filter("src <> dst").distinct())
     n = live.count()
     while True:
+        if n <= enough:
+            return live
         live = stored(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if (now := live.count()) == n:
             return live
@@ -142,11 +144,15 @@ def levels(edges: DataFrame, most: int = ON_DRIVER) -> DataFrame:
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     rest = stored(edges.select("src", "dst").distinct())
     kind = edges.schema["src"].dataType.simpleString()
-    if rest.count() <= most:
-        rows = _levels([tuple(r) for r in rest.collect()])
-        return edges.sparkSession.createDataFrame(rows, f"id {kind}, level int")
     left, out, level = stored(nodes), None, 0
     while True:
+        if rest.count() <= most:  # the rest is walked on the driver; what it does not name has nothing left below it
+            rows = [(x, n + level) for x, n in _levels([tuple(r) for r in rest.collect()])]
+            last = edges.sparkSession.createDataFrame(rows, f"id {kind}, level int")
+            if out is None:
+                return last
+            alone = left.join(rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct(), "id", "left_anti")
+            return out.unionByName(last).unionByName(alone.withColumn("level", F.lit(level)))
         ready = stored(left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
         if ready.isEmpty():
             break

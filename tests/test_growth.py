@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from corvane.operators import extract, hierarchy, impact, languages, ledger, resolve, search
+from corvane.operators import extract, graph, hierarchy, impact, languages, ledger, resolve, search
 from corvane.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +118,17 @@ def test_a_report_ranks_no_more_than_it_shows(spark):
     lines = {(r.section, r.ord): r.line for r in shown.collect()}
     assert Counter(s for s, _ in lines) == {"usages": 61, "tests": 15, "docs": 16} and lines["usages", 61] == "... 10 more" and lines["docs", 16] == "... 2 more" and lines["usages", 60] == "p059:1 read t"
     assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_end_on_the_driver_as_soon_as_the_rest_fits(spark, monkeypatch):
+    calls, kept = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, *a: calls.append(1) or kept(df, *a))
+    pairs = [(i + 1, i) for i in range(12)] + [(20, 0), (21, 20), (30, 31), (31, 30), (31, 3), (40, 30)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    want = {i: i for i in range(13)} | {20: 1, 21: 2}
+    for most in (14, 100):
+        calls.clear()
+        assert {r.id: r.level for r in graph.levels(edges, most).collect()} == want and len(calls) <= 10
+    calls.clear()
+    assert graph.trimmed(edges, 100).count() == len(pairs) and len(calls) == 1
+    assert {(r.id, r.scc) for r in graph.cycles(edges, 100).collect()} == {(30, 30), (31, 30)}
