@@ -230,11 +230,17 @@ def tree_check(listed: DataFrame, components: DataFrame) -> DataFrame:
     return unknown.union(left).union(twice)
 
 
+#: Claims that one task sorts, or so.
+PART_CLAIMS = 500_000
+
+
 def reclaimed(claims: DataFrame) -> DataFrame:
     """grp, component_id and first: claims (grp, ord, component_id) of an id that an earlier group has."""
-    # one shuffle by id, whose parts are sorted: nearly all claims differ, so sums made before it would only fill memory
+    # one shuffle by id, whose parts are sorted: nearly all claims differ, so sums made before it would only fill memory; there are as many parts as keep each to some PART_CLAIMS
+    rows = claims.filter("component_id IS NOT NULL AND ord IS NOT NULL").select("grp", "component_id", "ord")
+    parts = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_CLAIMS))
     by = Window.partitionBy("component_id").orderBy("ord", "grp")
-    ranked = claims.filter("component_id IS NOT NULL AND ord IS NOT NULL").select("grp", "component_id", "ord", F.first("ord").over(by).alias("_ord"), F.first("grp").over(by).alias("first"))
+    ranked = rows.repartition(parts, "component_id").select("grp", "component_id", "ord", F.first("ord").over(by).alias("_ord"), F.first("grp").over(by).alias("first"))
     return ranked.filter("ord > _ord").select("grp", "component_id", "first").distinct()
 
 

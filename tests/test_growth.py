@@ -132,3 +132,15 @@ def test_levels_end_on_the_driver_as_soon_as_the_rest_fits(spark, monkeypatch):
     calls.clear()
     assert graph.trimmed(edges, 100).count() == len(pairs) and len(calls) == 1
     assert {(r.id, r.scc) for r in graph.cycles(edges, 100).collect()} == {(30, 30), (31, 30)}
+
+
+def test_claims_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "PART_CLAIMS", 100)
+    rng = random.Random(6)
+    rows = [(f"g{g}", g, rng.randrange(300)) for g in (rng.randrange(40) for _ in range(5000))]
+    first = {}
+    for g, o, c in rows:
+        first[c] = min(first.get(c, (o, g)), (o, g))
+    got = hierarchy.reclaimed(spark.createDataFrame(rows, "grp string, ord long, component_id long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(g, c, first[c][1]) for g, o, c in rows if o > first[c][0]})
+    assert got.rdd.getNumPartitions() == 50
