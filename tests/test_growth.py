@@ -91,6 +91,30 @@ def test_calls_keep_their_numbers(spark):
     assert "monotonically_increasing_id" not in plan and "strategy=merge" in plan
 
 
+def test_calls_that_come_in_another_order_at_each_reading(spark):
+    n, languages_ = 120, ("java", "go", "php")
+    lang = lambda k: languages_[k % 3]
+    comps = spark.createDataFrame([r for k in range(n) for r in ((f"s/{k}::C{k}", f"C{k}", "class", lang(k)), (f"s/{k}::C{k}.run{k}", f"run{k}", "method", lang(k)))], "id string, name string, component_type string, language string")
+    uses = [(k, d) for k in range(n) for d in {(k * 7 + 1) % n, (k * 5 + 3) % n, (k + 3) % n} - {k}]
+    rows = [r for k, d in uses for r in ((f"s/{k}::C{k}", f"C{d}", "type", d, lang(k)), (f"s/{k}::C{k}.run{k}", f"C{k}.f{d}.run{d}", "call", d, lang(k)))] + [(f"s/{k}::C{k}.run{k}", "log", "call", 0, lang(k)) for k in range(n)]
+    schema = "caller string, callee string, relation string, call_line int, language string"
+
+    def mixed(frames):
+        import os
+
+        for frame in frames:
+            yield frame.sample(frac=1, random_state=int.from_bytes(os.urandom(4)))
+
+    calls = spark.createDataFrame(rows, schema).coalesce(1).mapInPandas(mixed, schema)
+    types = {(f"s/{k}::C{k}", f"C{d}", f"s/{d}::C{d}", 1 if lang(k) == lang(d) else 11) for k, d in uses}
+    plain = resolve.resolved(calls.filter("relation = 'type'"), comps).collect()
+    assert len(plain) == len(uses) and {(r.caller, r.callee, r.resolved, r.rule) for r in plain} == types
+    fields = spark.createDataFrame([(f"s/{k}::C{k}", f"f{d}", f"C{d}", "field", d, lang(k)) for k, d in uses], "id string, name string, callee string, relation string, call_line int, language string")
+    got = resolve.bound(calls, comps, fields).filter("resolved IS NOT NULL").collect()
+    want = types | {(f"s/{k}::C{k}.run{k}", f"C{k}.f{d}.run{d}", f"s/{d}::C{d}.run{d}", 0) for k, d in uses if lang(k) == lang(d)}
+    assert len(got) == len(want) and {(r.caller, r.callee, r.resolved, r.rule) for r in got} == want and len(want) > len(types)
+
+
 def test_occurrences_are_counted_where_their_unit_is_read(spark):
     rows = [(1, "Run the runner", "src/runner.py", "run run RUN getUser get user"), (2, None, "", "   "), (3, "x", "the", None), (1, "again", "src/runner.py", "run other"), (None, "stray", "", "run"), (None, "stray", "", None)]
     units = spark.createDataFrame(rows, "id long, title string, path string, content string")
