@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import extract
-from corvane.session import stored
+from corvane.session import discard, stored
 
 # fixed values
 TAU_RENAME, TAU_NEIGHBOURS, TAU_GROW, HOPS, TAU_FULL, TAU_TREE = 0.95, 0.5, 0.33, 1, 0.5, 0.3
@@ -55,15 +55,13 @@ def rename_pairs(old: DataFrame, new: DataFrame, tau: float = TAU_RENAME) -> Dat
 
     Equal texts of a type are one class with members on either side; only classes are compared, those with members that are gone with those with members that come, and
     whole runs of members are assigned at once, so moving many copies of one text costs no more than its classes and members."""
-    gone, come = old.join(new.select("id"), "id", "left_anti"), new.join(old.select("id"), "id", "left_anti")
-    both = gone.withColumn("side", F.lit(0)).unionByName(come.withColumn("side", F.lit(1))).filter("trim(text) <> ''")
-    both = stored(both.select("id", "side", "component_type", "text", F.sha2("text", 256).alias("same")))
-    kind = F.xxhash64(F.lit(0), "component_type", "same").alias("class")
-    members = both.select("id", "side", kind)
+    kind = F.xxhash64(F.lit(0), "component_type", F.sha2("text", 256))
+    side = lambda df, other, n: df.filter("trim(text) <> ''").select("id", kind.alias("class"), F.lit(n).alias("side")).join(other.select("id"), "id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("class", "side").orderBy(F.col("id").desc())) - 1
-    members = stored(members.withColumn("rank", rank), "members")
-    classes = stored(both.select(kind, "side", "component_type", "text").groupBy("class").agg(F.first("component_type").alias("component_type"), F.first("text").alias("text"), F.count(F.when(F.col("side") == 0, 1)).alias("gone"), F.count(F.when(F.col("side") == 1, 1)).alias("come")), "classes")
-    rows = classes.select(F.col("class").alias("id"), "text", F.length("text").alias("n_chars"), "component_type")
+    members = stored(side(old, new, 0).unionByName(side(new, old, 1)).select("id", "side", "class", rank.alias("rank")), "members")
+    classes = stored(members.groupBy("class").agg(F.count(F.when(F.col("side") == 0, 1)).alias("gone"), F.count(F.when(F.col("side") == 1, 1)).alias("come")), "classes")
+    rows = old.select("component_type", "text").unionByName(new.select("component_type", "text")).filter("trim(text) <> ''").select(kind.alias("id"), "text", F.length("text").alias("n_chars"), "component_type")
+    rows = extract.few(rows, classes.select(F.col("class").alias("id")), all_else=True)
     near = extract.similar_pairs(rows, ["component_type"], tau, classes.filter("gone > 0").select(F.col("class").alias("id")), classes.filter("come > 0").select(F.col("class").alias("id")))
     links = near.select("a", "b", "similarity").unionByName(classes.filter("gone > 0 AND come > 0").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")))
     runs = assigned(links, members)
@@ -76,13 +74,17 @@ def rename_pairs(old: DataFrame, new: DataFrame, tau: float = TAU_RENAME) -> Dat
 
 def assigned(links: DataFrame, members: DataFrame) -> DataFrame:
     """a, b, similarity, from_a, from_b, n: runs of members (class, side, id, rank: place by falling name) that are matched, of linked classes (a: gone, b: come), as if all pairs of members went through in order of
-    similarity, name and name. Where a link is the best of both its classes and no other is as good, all members that both have left are matched at once; of links as good as each other, a pair of members a round."""
+    similarity, name and name. Where a link is the best of both its classes and no other is as good, all members that both have left are matched at once; of links as good as each other, a pair of members a round. Links that the driver can hold, with the members of their classes, are gone through there."""
     name = members.select("class", "side", "rank", "id")
     size = members.groupBy("class", "side").agg(F.count("*").alias("n"))
     of = lambda s, c: size.filter(F.col("side") == s).select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.lit(0).cast("long").alias(f"from_{c}"))
     left = stored(links.join(of(0, "a"), "a").join(of(1, "b"), "b"), "links")
     out = None
+    columns = ["a", "b", "similarity", "from_a", "from_b", "n"]
     while not left.isEmpty():
+        if (rest := _assigned_here(left, name)) is not None:
+            discard(left)
+            return rest if out is None else out.unionByName(rest)
         best = lambda c: left.groupBy(c).agg(F.max("similarity").alias(f"top_{c}"))
         ranked = left.join(best("a"), "a").join(best("b"), "b")
         level = lambda c: left.groupBy(c, "similarity").agg(F.count("*").alias(f"even_{c}"))
@@ -94,15 +96,44 @@ def assigned(links: DataFrame, members: DataFrame) -> DataFrame:
         first = lambda s, c: name.filter(F.col("side") == s).select(F.col("class").alias(c), F.col("rank").cast("long").alias(f"from_{c}"), F.col("id").alias(f"id_{c}"))
         tied = tied.join(first(0, "a"), ["a", "from_a"]).join(first(1, "b"), ["b", "from_b"]).withColumn("_key", F.struct("id_a", "id_b"))
         one = tied.join(tied.groupBy("a").agg(F.max("_key").alias("_ka")), "a").join(tied.groupBy("b").agg(F.max("_key").alias("_kb")), "b").filter("_key = _ka AND _key = _kb").withColumn("n", F.lit(1).cast("long"))
-        columns = ["a", "b", "similarity", "from_a", "from_b", "n"]
         taken = stored(alone.select(*columns).unionByName(one.select(*columns)), "runs")
         out = taken if out is None else out.unionByName(taken)
         used = lambda c: taken.groupBy(c).agg(F.sum("n").alias(f"used_{c}"))
         after = left.join(used("a"), "a", "left").join(used("b"), "b", "left").fillna(0, ["used_a", "used_b"])
-        left = stored(after.select("a", "b", "similarity", "n_a", (F.col("from_a") + F.col("used_a")).alias("from_a"), "n_b", (F.col("from_b") + F.col("used_b")).alias("from_b")).filter("from_a < n_a AND from_b < n_b"), "links")
+        before, left = left, stored(after.select("a", "b", "similarity", "n_a", (F.col("from_a") + F.col("used_a")).alias("from_a"), "n_b", (F.col("from_b") + F.col("used_b")).alias("from_b")).filter("from_a < n_a AND from_b < n_b"), "links")
+        discard(before, tops)
     return left.select("a", "b", "similarity", "from_a", "from_b", F.col("n_a").alias("n")) if out is None else out
 
 
+def _assigned_here(left: DataFrame, name: DataFrame) -> DataFrame | None:
+    """The runs of all links that are `left` (see assigned), matched on the driver; None where there are more than it may hold."""
+    links, steps = left.agg(F.count("*"), F.sum(F.col("n_a") - F.col("from_a"))).first()
+    if links > ON_DRIVER or steps > 10 * ON_DRIVER:
+        return None
+    at = lambda s, c: left.groupBy(F.lit(s).alias("side"), F.col(c).alias("class")).agg(F.max(f"from_{c}").alias("_from"))
+    held = stored(name.join(at(0, "a").unionByName(at(1, "b")), ["side", "class"]).filter("rank >= _from").select("side", "class", "rank", "id"), "held")
+    if held.count() > ON_DRIVER:
+        discard(held)
+        return None
+    members = defaultdict(list)
+    for r in sorted(held.collect(), key=lambda r: r["rank"]):
+        members[r["side"], r["class"]].append((r["id"], r["rank"]))
+    discard(held)
+    levels, place, found = defaultdict(lambda: defaultdict(list)), Counter(), []
+    for r in left.select("similarity", "a", "b").collect():
+        levels[r["similarity"]][r["a"]].append(r["b"])
+    for similarity in sorted(levels, reverse=True):
+        of = levels[similarity]
+        for _, a in sorted(((x, a) for a in of for x, _ in members[0, a][place[0, a] :]), reverse=True):
+            of[a] = [b for b in of[a] if place[1, b] < len(members[1, b])]
+            if of[a]:
+                b = max(of[a], key=lambda b: members[1, b][place[1, b]][0])
+                found.append((a, b, similarity, members[0, a][place[0, a]][1], members[1, b][place[1, b]][1], 1))
+                place[0, a] += 1
+                place[1, b] += 1
+    return left.sparkSession.createDataFrame(found, "a long, b long, similarity double, from_a long, from_b long, n long")
+
+
 def changes(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, tau: float | None = TAU_RENAME) -> DataFrame:
     """A row per change: id (the new one), change (interface, body, edge, added, deleted, renamed), old_id, similarity, edges_added, edges_removed.
 
